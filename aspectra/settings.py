@@ -1,0 +1,50 @@
+"""Thresholds and sizes of the pipelines, as one frozen dataclass."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Settings:
+    # keyword extraction
+    keybert_top_n: int = 6
+    keybert_min_cosine: float = 0.6
+    max_phrase_doc_freq: float = 0.25
+    min_ngram_freq: int = 2
+    min_single_word_senses: int = 2
+    diagnostic_top_keywords: int = 10
+    # de-duplication and clustering
+    dedup_similarity_threshold: float = 0.9
+    dedup_neighbours: int = 5
+    cluster_min_k: int = 2
+    cluster_max_k: int = 40
+    silhouette_fallback: float = 0.2
+    silhouette_switch_threshold: float = 0.25
+    davies_switch_threshold: float = 1.0
+    cluster_min_size: int = 3
+    cluster_noise_threshold: float = 0.5
+    cluster_algorithm: str = "auto"
+    density_min_cluster_size: int = 5
+    density_min_samples: int = 5
+    diagnostic_clusters_top_n: int = 5
+    generic_ratio_limit: float = 0.85
+    # rules and classifier
+    kpi_threshold: float = 0.6
+    rule_filter_min_confidence: float = 0.5
+    rule_training_confidence: float = 0.7
+    rule_override_confidence: float = 0.7
+    synonym_weight: float = 0.45
+    random_seed: int = 42
+    output_serial_start: int = 4
+    # aspect programs
+    batch_size: int = 32
+    snippet_len: int = 48
+    snippet_len_strict: int = 32
+    similarity_threshold: float = 0.4
+    top_k_aspects: int = 5
+    snippet_window: int = 12
+    # size limit for any table gathered to the driver or broadcast
+    max_lexicon_rows: int = 200_000
+    # pair limit for exact all-pairs similarity; above it LSH candidates are used
+    exact_pairs_limit: int = 50_000_000
