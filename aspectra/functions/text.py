@@ -13,6 +13,9 @@ from aspectra.lexicons import in_words
 # Java regex: \w is ASCII only, so Unicode word characters are spelled out.
 NON_WORD = r"[^\p{L}\p{N}_\s\-]"
 
+# Fixed value: check marks, smileys, heart, variation selector, star and the U+2600–U+26FF block.
+SYMBOLS = r"[\x{2705}\x{2714}\x{2713}\x{263A}\x{2639}\x{2764}\x{FE0F}\x{2605}\x{2600}-\x{26FF}]+"
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -41,9 +44,9 @@ def clean_words(c) -> Column:
 def symbol_cleanup(c) -> Column:
     """T4: check marks, hearts, stars and the U+2600–U+26FF block, runs of '+' and
     ellipses become sentence ends; whitespace collapsed."""
-    t = F.regexp_replace(_c(c), "[✅✔✓☺☹❤️★☀-⛿]+", ". ")
+    t = F.regexp_replace(_c(c), SYMBOLS, ". ")
     t = F.regexp_replace(t, r"\+{2,}", ". ")
-    t = F.regexp_replace(t, "…+", ". ")
+    t = F.regexp_replace(t, r"\x{2026}+", ". ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

@@ -78,3 +78,157 @@ SELECT category, keyword, ngram_type, frequency, category_rank, rank_in_category
 oracle("ng_top3", f"""{_NG_REPORT}
 SELECT category, count(*) OVER (PARTITION BY category) AS n_keywords, rank_in_category, keyword, frequency
 FROM rep QUALIFY rank_in_category <= 3""")
+
+
+# ---------------------------------------------------------------------------
+# T1–T7
+# ---------------------------------------------------------------------------
+from aspectra.functions.text import SYMBOLS  # noqa: E402
+
+NORM = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
+
+
+def norm(x: str) -> str:
+    return NORM.format(x=x)
+
+
+oracle("txt_normalize", f"SELECT doc_id AS review_key, {norm('text')} AS normalized_text FROM documents")
+oracle("txt_normalize_light", """SELECT doc_id AS review_key,
+  trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s.,!?]', ' ', 'g'), '\\s+', ' ', 'g')) AS light_text
+FROM documents""")
+oracle("txt_clean_words", f"SELECT doc_id AS review_key, {clean_words('text')} AS clean_text FROM documents")
+oracle("txt_symbol_cleanup", f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  html, '{SYMBOLS}', '. ', 'g'), '\\+{{2,}}', '. ', 'g'), '\\x{{2026}}+', '. ', 'g'), '\\s+', ' ', 'g')) AS clean_html
+FROM pages""")
+
+
+def _lang_case(text_expr: str) -> str:
+    langs = sorted(FX.FX_LANG_STOPWORDS)
+    scores = {lg: f"len(list_filter(regexp_extract_all(lower({text_expr}), '\\p{{L}}+'), lambda t: "
+                  f"{in_list('t', FX.FX_LANG_STOPWORDS[lg].split())}))" for lg in langs}
+    g = "greatest(" + ", ".join(scores.values()) + ")"
+    case = f"CASE WHEN {g} = 0 THEN 'en'"
+    for lg in langs:
+        case += f" WHEN {scores[lg]} = {g} THEN {q(lg)}"
+    return case + " END"
+
+
+def _clean_tokens(text_expr: str) -> str:
+    return (f"list_filter(list_transform(string_split({text_expr}, ' '), "
+            f"lambda t: lower(regexp_replace(t, '[^a-zA-Z]+', '', 'g'))), "
+            f"lambda t: length(t) >= 3 AND NOT {in_list('t', L.ENGLISH_STOPWORDS)} "
+            f"AND NOT {in_list('t', L.IRRELEVANT_WORDS)})")
+
+
+oracle("lang_detect", f"SELECT doc_id AS review_key, lang, {_lang_case('text')} AS lang_detected FROM documents")
+oracle("lang_filter_en", f"SELECT doc_id AS review_key, source AS organization_id FROM documents "
+                         f"WHERE {_lang_case('text')} = 'en'")
+oracle("tok_clean", f"""SELECT doc_id AS review_key, array_to_string(tk, ' ') AS tokens, CAST(len(tk) AS BIGINT) AS n_tokens
+FROM (SELECT doc_id, {_clean_tokens(norm('text'))} AS tk FROM documents)""")
+oracle("txt_skip_counts", f"""
+WITH d AS (SELECT {norm("coalesce(text, '')")} AS nt FROM documents),
+s AS (SELECT CASE WHEN nt = '' THEN 'empty' WHEN {_lang_case('nt')} <> 'en' THEN 'language'
+                  WHEN len({_clean_tokens('nt')}) = 0 THEN 'no_tokens' END AS skip FROM d)
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE skip IN ('empty', 'no_tokens')) AS skipped_empty,
+       count(*) FILTER (WHERE skip = 'language') AS skipped_language, count(*) FILTER (WHERE skip IS NULL) AS ingested
+FROM s""")
+
+# ---------------------------------------------------------------------------
+# S
+# ---------------------------------------------------------------------------
+oracle("src_reviews", "SELECT source AS source_id, coalesce(text, '') AS text FROM documents")
+oracle("src_row_ids", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_pos, coalesce(text, '') AS text FROM documents")
+oracle("src_nonnull_reviews", "SELECT CAST(doc_id AS VARCHAR) AS REVIEW_ID, NULL::VARCHAR AS ORGANIZATION_ID, text "
+                              "FROM documents WHERE text IS NOT NULL")
+oracle("src_text_fallback", """SELECT conv_id, turn, picked AS text FROM (
+  SELECT conv_id, turn, coalesce(nullif(CASE WHEN role = 'user' THEN text ELSE '' END, ''),
+                                 nullif(CASE WHEN role = 'assistant' THEN text END, ''), '') AS picked
+  FROM conversations) WHERE regexp_matches(picked, '\\S')""")
+oracle("dim_mapping", """
+WITH m AS (SELECT lower(trim(CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE ' ' || p_name || ' ' END)) AS keyword,
+                  p_partkey AS pos, p_partkey AS KPI_ID, p_brand AS KPI_NAME, CAST(p_size AS BIGINT) AS DEPARTMENT_ID,
+                  p_type AS DEPARTMENT_NAME FROM part)
+SELECT keyword, min(pos) AS pos, arg_max(KPI_ID, pos) AS KPI_ID, arg_max(KPI_NAME, pos) AS KPI_NAME,
+       arg_max(DEPARTMENT_ID, pos) AS DEPARTMENT_ID, arg_max(DEPARTMENT_NAME, pos) AS DEPARTMENT_NAME
+FROM m GROUP BY keyword""")
+oracle("dim_label_list", "SELECT n_name AS label, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation "
+                         "WHERE n_name IS NOT NULL AND n_regionkey IS NOT NULL")
+oracle("sink_csv_roundtrip", f"""{_NG_REPORT}
+SELECT category AS Category, keyword AS Keyword, ngram_type AS Type, frequency AS Frequency FROM rep""")
+oracle("run_serial", """
+WITH n AS (SELECT CASE WHEN lang = 'en' THEN CAST(n_chars AS VARCHAR) || '_keywords.json'
+                       ELSE source || '_keywords.json' END AS name FROM documents),
+m AS (SELECT max(CAST(regexp_extract(name, '^(\\d+)_keywords\\.json$', 1) AS BIGINT)) AS m FROM n
+      WHERE regexp_extract(name, '^(\\d+)_keywords\\.json$', 1) <> '')
+SELECT CAST(CASE WHEN m IS NULL THEN 4 ELSE greatest(m, 3) + 1 END AS BIGINT) AS next_serial,
+       CAST(CASE WHEN m IS NULL THEN 4 ELSE greatest(m, 3) + 1 END AS VARCHAR) || '_keywords.json' AS next_name FROM m""")
+
+# ---------------------------------------------------------------------------
+# E2–E9
+# ---------------------------------------------------------------------------
+
+
+def _probs(k: int) -> str:
+    return f"""(SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM (
+  SELECT vec_id, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM (
+    SELECT vec_id, CAST(embedding[1:{k}] AS DOUBLE[]) AS x FROM embeddings)))"""
+
+
+oracle("sent_softmax", f"""SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS pred_idx,
+  round(list_max(p), 6) AS confidence FROM {_probs(5)}""")
+oracle("sent_stars5", f"""SELECT vec_id, stars, CASE WHEN stars <= 2 THEN 'Negative' WHEN stars = 3 THEN 'Neutral'
+  ELSE 'Positive' END AS label, confidence FROM (
+  SELECT vec_id, CAST(list_position(p, list_max(p)) AS BIGINT) AS stars, round(list_max(p), 6) AS confidence
+  FROM {_probs(5)})""")
+oracle("sent_class3", f"""SELECT vec_id, stars, CASE stars WHEN 1 THEN 'Negative' WHEN 2 THEN 'Neutral'
+  ELSE 'Positive' END AS label, confidence FROM (
+  SELECT vec_id, CAST(list_position(p, list_max(p)) AS BIGINT) AS stars, round(list_max(p), 6) AS confidence
+  FROM {_probs(3)})""")
+oracle("sent_label_names", """SELECT event_id, pred_idx, label,
+  CAST(CASE label WHEN 'Negative' THEN 1 WHEN 'Neutral' THEN 2 ELSE 3 END AS BIGINT) AS stars FROM (
+  SELECT event_id, pred_idx, CASE WHEN contains(lower(raw), 'neg') THEN 'Negative'
+    WHEN contains(lower(raw), 'neu') THEN 'Neutral' WHEN contains(lower(raw), 'pos') THEN 'Positive'
+    ELSE coalesce(CASE pred_idx WHEN 0 THEN 'Negative' WHEN 1 THEN 'Neutral' WHEN 2 THEN 'Positive' END, 'Neutral') END AS label
+  FROM (SELECT event_id, pred_idx, CASE pred_idx WHEN 0 THEN 'LABEL_0' WHEN 1 THEN 'neg' WHEN 2 THEN 'POSITIVE'
+                                    ELSE CAST(pred_idx AS VARCHAR) END AS raw
+        FROM (SELECT event_id, CAST(floor(value) AS BIGINT) % 4 AS pred_idx FROM events)))""")
+
+ASPECT_SCORES = """(SELECT user_id AS review_id, event_id // 400 AS review_part, event_id AS pos,
+  CASE WHEN event_type IN ('purchase', 'signup') THEN 'Positive' WHEN event_type = 'error' THEN 'Negative'
+       ELSE 'Neutral' END AS label,
+  round(least(value, 500.0) * 2) / 1000 AS confidence FROM events)"""
+
+_VOTE = f"""
+g AS (SELECT review_id, review_part, count(*) AS n,
+        count(*) FILTER (WHERE label = 'Positive') AS npos, count(*) FILTER (WHERE label = 'Negative') AS nneg,
+        count(*) FILTER (WHERE label = 'Neutral') AS nneu,
+        CAST(sum(CASE WHEN label = 'Positive' THEN CAST(round(confidence * 1000) AS BIGINT) ELSE 0 END) AS BIGINT) AS spos,
+        CAST(sum(CASE WHEN label = 'Negative' THEN CAST(round(confidence * 1000) AS BIGINT) ELSE 0 END) AS BIGINT) AS sneg
+      FROM {ASPECT_SCORES} GROUP BY review_id, review_part),
+h AS (SELECT *, (npos + nneg) * 5 >= n * 3 AS polar FROM g),
+w AS (SELECT *, CASE WHEN polar THEN greatest(npos, nneg) ELSE greatest(npos, nneg, nneu) END AS mx FROM h),
+x AS (SELECT *, npos = mx AS wpos, nneg = mx AS wneg, (NOT polar AND nneu = mx) AS wneu,
+             spos * nneg AS lhs, sneg * npos AS rhs FROM w),
+v AS (SELECT review_id, review_part, n AS n_aspects,
+  CASE WHEN wpos::INT + wneg::INT + wneu::INT = 1 THEN CASE WHEN wpos THEN 'Positive' WHEN wneg THEN 'Negative' ELSE 'Neutral' END
+       WHEN wpos AND wneg AND NOT wneu THEN CASE WHEN lhs > rhs THEN 'Positive' WHEN rhs > lhs THEN 'Negative' ELSE 'Neutral' END
+       ELSE 'Neutral' END AS review_sentiment,
+  CASE WHEN wpos::INT + wneg::INT + wneu::INT = 1 THEN 1.0
+       WHEN wpos AND wneg AND NOT wneu THEN CASE WHEN lhs > rhs THEN ((2 * spos + npos) // (2 * npos)) / 1000.0
+                                                 WHEN rhs > lhs THEN ((2 * sneg + nneg) // (2 * nneg)) / 1000.0 ELSE 0.5 END
+       ELSE 0.5 END::DOUBLE AS review_confidence FROM x)"""
+
+oracle("sent_vote_majority", f"WITH {_VOTE} SELECT * FROM v")
+oracle("sent_broadcast", f"""WITH {_VOTE}
+SELECT a.pos, a.review_id, a.review_part, a.label, a.confidence, v.review_sentiment,
+       round(v.review_confidence, 3) AS review_confidence, 'MajorityVote+TieBreak+NeutralFix' AS aggregation_method
+FROM {ASPECT_SCORES} a LEFT JOIN v ON a.review_id = v.review_id AND a.review_part = v.review_part""")
+oracle("sent_vote_topk", f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY review_id, review_part ORDER BY confidence DESC, pos) AS rk
+           FROM {ASPECT_SCORES} QUALIFY rk <= 5),
+p AS (SELECT review_id, review_part, label, CAST(sum(CAST(round(confidence * 1000) AS BIGINT)) AS BIGINT) AS w,
+             min(rk) AS first FROM t GROUP BY ALL),
+s AS (SELECT review_id, review_part, arg_max(label, (w, -first)) AS lab, max(w) AS ww, sum(w) AS total
+      FROM p GROUP BY ALL)
+SELECT review_id, review_part, lab AS review_sentiment,
+  CASE WHEN total > 0 THEN ((2000 * ww + total) // (2 * total)) / 1000.0 ELSE 0.0 END::DOUBLE AS review_confidence FROM s""")

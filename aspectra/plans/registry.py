@@ -90,3 +90,198 @@ def q_ng_report(spark, sf):
 def q_ng_top3(spark, sf):
     return N.top_per_category(_catalog_report(spark, sf), 3).select(
         "category", "n_keywords", "rank_in_category", "keyword", "frequency")
+
+
+# ---------------------------------------------------------------------------
+# Text normalisation, language, tokens
+# ---------------------------------------------------------------------------
+from aspectra.operators import tokens as TK  # noqa: E402
+from aspectra.sources import reviews as S  # noqa: E402
+from aspectra.sources import sinks as SK  # noqa: E402
+
+
+@query("txt_normalize")
+def q_txt_normalize(spark, sf):
+    d = FX.documents_reviews(spark, sf)
+    return d.select("review_key", T.normalize_ws("text").alias("normalized_text"))
+
+
+@query("txt_normalize_light")
+def q_txt_normalize_light(spark, sf):
+    d = FX.documents_reviews(spark, sf)
+    return d.select("review_key", T.normalize_light("text").alias("light_text"))
+
+
+@query("txt_clean_words")
+def q_txt_clean_words(spark, sf):
+    d = FX.documents_reviews(spark, sf)
+    return d.select("review_key", T.clean_words("text").alias("clean_text"))
+
+
+@query("txt_symbol_cleanup")
+def q_txt_symbol_cleanup(spark, sf):
+    p = FX.table(spark, sf, "pages")
+    return p.select("page_id", T.symbol_cleanup("html").alias("clean_html"))
+
+
+def _ingested(spark, sf):
+    return TK.ingest(FX.documents_reviews(spark, sf), "text", FX.FX_LANG_STOPWORDS)
+
+
+@query("txt_skip_counts")
+def q_txt_skip_counts(spark, sf):
+    return TK.skip_counts(_ingested(spark, sf))
+
+
+@query("lang_detect")
+def q_lang_detect(spark, sf):
+    d = TK.detect_language(FX.documents_reviews(spark, sf), "text", FX.FX_LANG_STOPWORDS)
+    return d.select("review_key", "lang", "lang_detected")
+
+
+@query("lang_filter_en")
+def q_lang_filter_en(spark, sf):
+    d = TK.detect_language(FX.documents_reviews(spark, sf), "text", FX.FX_LANG_STOPWORDS)
+    return d.where(F.col("lang_detected") == "en").select("review_key", "organization_id")
+
+
+@query("tok_clean")
+def q_tok_clean(spark, sf):
+    d = FX.documents_reviews(spark, sf)
+    toks = TK.clean_tokens(T.normalize_ws("text"))
+    return d.select("review_key", F.array_join(toks, " ").alias("tokens"), F.size(toks).cast("long").alias("n_tokens"))
+
+
+# ---------------------------------------------------------------------------
+# S: sources and sinks
+# ---------------------------------------------------------------------------
+
+@query("src_reviews")
+def q_src_reviews(spark, sf):
+    return S.reviews(FX.table(spark, sf, "documents"), "text", "source")
+
+
+@query("src_row_ids")
+def q_src_row_ids(spark, sf):
+    d = FX.table(spark, sf, "documents").select("doc_id", "text")
+    return S.reviews(d, "text", None).select(F.col("source_id").cast("long").alias("row_pos"),
+                                             F.col("text").alias("text"))
+
+
+@query("src_nonnull_reviews")
+def q_src_nonnull_reviews(spark, sf):
+    d = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("ID"),
+                                                F.col("text").alias("HIGHLIGHTED_REVIEW_CONTENT"))
+    return S.nonnull_reviews(d).select("REVIEW_ID", "ORGANIZATION_ID", "text")
+
+
+@query("src_text_fallback")
+def q_src_text_fallback(spark, sf):
+    c = FX.table(spark, sf, "conversations").select(
+        "conv_id", "turn",
+        F.when(F.col("role") == "user", F.col("text")).otherwise(F.lit("")).alias("HIGHLIGHTED_REVIEW_CONTENT"),
+        F.lit(None).cast("string").alias("review"),
+        F.when(F.col("role") == "assistant", F.col("text")).alias("content"),
+        F.lit("").alias("text"))
+    return N.text_fallback(c, out="picked").select("conv_id", "turn", F.col("picked").alias("text"))
+
+
+def _mapping_source(spark, sf):
+    p = FX.table(spark, sf, "part")
+    return p.select(
+        F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit(" ")))
+        .alias("KEYWORD_NAME"),
+        F.col("p_partkey").alias("KPI_ID"), F.col("p_brand").alias("KPI_NAME"),
+        F.col("p_size").cast("long").alias("DEPARTMENT_ID"), F.col("p_type").alias("DEPARTMENT_NAME"),
+        F.col("p_partkey").alias("row_pos"))
+
+
+@query("dim_mapping")
+def q_dim_mapping(spark, sf):
+    return S.keyword_mapping(_mapping_source(spark, sf), "row_pos")
+
+
+@query("dim_label_list")
+def q_dim_label_list(spark, sf):
+    n = FX.table(spark, sf, "nation").select("n_name", "n_regionkey")
+    return S.label_list(n)
+
+
+@query("sink_csv_roundtrip")
+def q_sink_csv_roundtrip(spark, sf):
+    rep = _catalog_report(spark, sf).select(
+        F.col("category").alias("Category"), F.col("keyword").alias("Keyword"),
+        F.col("ngram_type").alias("Type"), F.col("frequency").alias("Frequency"))
+    path = SK.write_csv(rep, SK.scratch_path(spark, "keywords_csv"))
+    return SK.read_csv(spark, path, "Category string, Keyword string, Type string, Frequency long")
+
+
+@query("run_serial")
+def q_run_serial(spark, sf):
+    d = FX.table(spark, sf, "documents")
+    names = d.select(F.when(F.col("lang") == "en", F.concat(F.col("n_chars").cast("string"), F.lit("_keywords.json")))
+                     .otherwise(F.concat(F.col("source"), F.lit("_keywords.json"))).alias("name"))
+    return S.next_run_serial(names, "name", 4)
+
+
+# ---------------------------------------------------------------------------
+# sentiment
+# ---------------------------------------------------------------------------
+from aspectra.operators import sentiment as E  # noqa: E402
+
+FX_ID2LABEL = {0: "LABEL_0", 1: "neg", 2: "POSITIVE"}
+
+
+def _probs(spark, sf, k):
+    e = FX.table(spark, sf, "embeddings")
+    return e.select("vec_id", E.softmax(F.slice("embedding", 1, k)).alias("p"))
+
+
+@query("sent_softmax")
+def q_sent_softmax(spark, sf):
+    p = _probs(spark, sf, 5)
+    return p.select("vec_id", E.argmax_index("p").alias("pred_idx"),
+                    F.round(F.array_max("p"), 6).alias("confidence"))
+
+
+@query("sent_stars5")
+def q_sent_stars5(spark, sf):
+    p = _probs(spark, sf, 5).withColumn("stars", E.argmax_index("p") + 1)
+    return p.select("vec_id", "stars", E.stars5_label("stars").alias("label"),
+                    F.round(F.array_max("p"), 6).alias("confidence"))
+
+
+@query("sent_class3")
+def q_sent_class3(spark, sf):
+    p = _probs(spark, sf, 3).withColumn("idx", E.argmax_index("p"))
+    return p.select("vec_id", (F.col("idx") + 1).alias("stars"), E.class3_label("idx").alias("label"),
+                    F.round(F.array_max("p"), 6).alias("confidence"))
+
+
+@query("sent_label_names")
+def q_sent_label_names(spark, sf):
+    ev = FX.table(spark, sf, "events").select("event_id", (F.floor("value") % 4).cast("long").alias("pred_idx"))
+    lab, stars = E.normalize_label("pred_idx", FX_ID2LABEL)
+    return ev.select("event_id", "pred_idx", lab.alias("label"), stars.alias("stars"))
+
+
+ASPECT_KEYS = ["review_id", "review_part"]
+
+
+@query("sent_vote_majority")
+def q_sent_vote_majority(spark, sf):
+    return E.vote_majority(FX.aspect_scores(spark, sf), ASPECT_KEYS)
+
+
+@query("sent_vote_topk")
+def q_sent_vote_topk(spark, sf):
+    return E.vote_topk(FX.aspect_scores(spark, sf), ASPECT_KEYS, "pos", 5)
+
+
+@query("sent_broadcast")
+def q_sent_broadcast(spark, sf):
+    a = FX.aspect_scores(spark, sf)
+    v = E.vote_majority(a, ASPECT_KEYS).drop("n_aspects")
+    return E.attach_verdict(a, v, ASPECT_KEYS, "MajorityVote+TieBreak+NeutralFix").select(
+        "pos", "review_id", "review_part", "label", "confidence", "review_sentiment", "review_confidence",
+        "aggregation_method")
