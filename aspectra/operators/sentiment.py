@@ -32,10 +32,9 @@ def _c(c) -> Column:
 def softmax(logits) -> Column:
     """Numerically stable softmax of an array column (double precision)."""
     x = F.transform(_c(logits), lambda v: v.cast("double"))
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
+    e = F.zip_with(x, F.array_repeat(F.array_max(x), F.size(x)), lambda v, m: F.exp(v - m))
     s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / s)
+    return F.zip_with(e, F.array_repeat(s, F.size(e)), lambda v, t: v / t)
 
 
 def argmax_index(probs) -> Column:

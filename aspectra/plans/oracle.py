@@ -232,3 +232,74 @@ s AS (SELECT review_id, review_part, arg_max(label, (w, -first)) AS lab, max(w)
       FROM p GROUP BY ALL)
 SELECT review_id, review_part, lab AS review_sentiment,
   CASE WHEN total > 0 THEN ((2000 * ww + total) // (2 * total)) / 1000.0 ELSE 0.0 END::DOUBLE AS review_confidence FROM s""")
+
+
+# ---------------------------------------------------------------------------
+# V
+# ---------------------------------------------------------------------------
+UNIT = """(SELECT vec_id, list_transform(x, lambda v: v / (CASE WHEN nrm = 0 THEN 1.0 ELSE nrm END)) AS u FROM (
+  SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v))) AS nrm FROM (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)))"""
+PHRASES = """(SELECT e.vec_id, p.p_name || ' ' || CAST(e.vec_id AS VARCHAR) AS phrase, e.embedding, e.label
+  FROM embeddings e JOIN part p ON e.vec_id = p.p_partkey)"""
+
+oracle("vec_encode_hashed", f"""
+WITH p AS (SELECT DISTINCT {CATALOG_TEXT} AS phrase FROM part),
+g AS (SELECT phrase, unnest(list_transform(range(1, length(phrase) - 1), lambda i: substr(phrase, i, 3))) AS gram FROM p),
+b AS (SELECT phrase, ('0x' || substr(md5(gram), 1, 8))::BIGINT % 64 AS bucket, count(*) AS c FROM g GROUP BY ALL),
+n AS (SELECT phrase, sqrt(sum(c * c)) AS nrm FROM b GROUP BY phrase)
+SELECT b.phrase, b.bucket, round(c / nrm, 6) AS weight FROM b JOIN n USING (phrase)""")
+oracle("vec_normalize", f"""SELECT vec_id, CAST(generate_subscripts(u, 1) - 1 AS BIGINT) AS dim, round(unnest(u), 6) AS value
+FROM {UNIT}""")
+
+_PAIRS = f"""
+u AS {UNIT},
+pr AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.u, b.u) AS sim FROM u a, u b),
+rk AS (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM pr QUALIFY rank <= 5)"""
+oracle("vec_topk_neighbors", f"WITH {_PAIRS} SELECT i AS vec_id, rank, j AS nbr, round(sim, 6) AS sim FROM rk")
+
+_CANON = f"""WITH RECURSIVE {_PAIRS},
+nn1 AS (SELECT i, j AS nn, sim FROM rk WHERE j <> i QUALIFY row_number() OVER (PARTITION BY i ORDER BY rank) = 1),
+f AS (SELECT u.vec_id AS i, CASE WHEN nn1.sim >= {0.40} THEN nn1.nn END AS nn FROM u LEFT JOIN nn1 ON u.vec_id = nn1.i),
+walk(i, cur) AS (SELECT i, i FROM f
+                 UNION ALL SELECT w.i, f.nn FROM walk w JOIN f ON f.i = w.cur WHERE f.nn IS NOT NULL AND f.nn < w.cur),
+e AS (SELECT i, min(cur) AS cur FROM walk GROUP BY i),
+c AS (SELECT e.i AS vec_id, CASE WHEN f.nn IS NULL THEN e.cur ELSE f.nn END AS canonical FROM e JOIN f ON f.i = e.cur),
+ph AS {PHRASES},
+cp AS (SELECT ph.vec_id, ph.phrase, ph2.phrase AS canonical_phrase FROM ph JOIN c ON ph.vec_id = c.vec_id
+       JOIN ph ph2 ON ph2.vec_id = c.canonical)"""
+oracle("vec_canonical", f"{_CANON} SELECT phrase, canonical_phrase FROM cp")
+oracle("vec_dedup_group", f"""{_CANON},
+r AS (SELECT p.p_brand AS source_id, cp.canonical_phrase AS phrase, round(p.p_retailprice / 2000, 6) AS score,
+             list_filter(string_split(p.p_name, ' '), lambda t: {in_list('t', FX.FX_FUNCTIONAL)}) AS sents
+      FROM cp JOIN part p ON cp.vec_id = p.p_partkey),
+x AS (SELECT source_id, phrase, score, unnest(CASE WHEN len(sents) = 0 THEN [NULL] ELSE sents END) AS s FROM r),
+g1 AS (SELECT source_id, phrase, s, max(score) AS m FROM x GROUP BY ALL)
+SELECT source_id, phrase, max(m) AS score,
+       array_to_string(list_sort(list_filter(list(s), lambda z: z IS NOT NULL)), ',') AS sentiments
+FROM g1 GROUP BY source_id, phrase""")
+
+_MAP = f"""
+u AS {UNIT}, ph AS {PHRASES},
+kw AS (SELECT ph.vec_id AS kw_index, ph.phrase AS Matched_Keyword, u.u AS kv, CAST(ph.label AS BIGINT) AS KPI_ID,
+              'KPI ' || CAST(ph.label AS VARCHAR) AS KPI_Name, ph.vec_id AS Department_ID,
+              'Dept ' || CAST(ph.vec_id AS VARCHAR) AS Department_Name
+       FROM ph JOIN u ON ph.vec_id = u.vec_id WHERE ph.vec_id < 20),
+asp AS (SELECT ph.vec_id AS aspect_id, ph.phrase AS aspect_phrase, u.u AS au FROM ph JOIN u ON ph.vec_id = u.vec_id
+        WHERE ph.vec_id >= 20),
+best AS (SELECT asp.aspect_id, asp.aspect_phrase, kw.kw_index, list_inner_product(asp.au, kw.kv) AS cosine_similarity
+         FROM asp, kw QUALIFY row_number() OVER (PARTITION BY asp.aspect_id ORDER BY cosine_similarity DESC, kw.kw_index) = 1),
+m AS (SELECT best.*, kw.Matched_Keyword, kw.KPI_ID, kw.KPI_Name, kw.Department_ID, kw.Department_Name
+      FROM best JOIN kw USING (kw_index)),
+t AS (SELECT aspect_id, cosine_similarity, cosine_similarity < {0.30} AS unmapped_before,
+             CASE WHEN cosine_similarity < {0.30} THEN aspect_phrase ELSE Matched_Keyword END AS Matched_Keyword,
+             CASE WHEN cosine_similarity < {0.30} THEN 'N/A' ELSE CAST(KPI_ID AS VARCHAR) END AS KPI_ID,
+             CASE WHEN cosine_similarity < {0.30} THEN 'N/A' ELSE KPI_Name END AS KPI_Name,
+             CASE WHEN cosine_similarity < {0.30} THEN 'N/A' ELSE CAST(Department_ID AS VARCHAR) END AS Department_ID,
+             CASE WHEN cosine_similarity < {0.30} THEN 'N/A' ELSE Department_Name END AS Department_Name FROM m)"""
+oracle("map_best", f"""WITH {_MAP} SELECT aspect_id, Matched_Keyword, round(cosine_similarity, 4) AS cosine_similarity,
+  KPI_ID, KPI_Name, Department_ID, Department_Name FROM m""")
+oracle("map_threshold", f"""WITH {_MAP} SELECT aspect_id, Matched_Keyword, round(cosine_similarity, 4) AS cosine_similarity,
+  KPI_ID, KPI_Name, Department_ID, Department_Name, unmapped_before FROM t""")
+oracle("map_unmapped_counts", f"""WITH {_MAP} SELECT count(*) FILTER (WHERE unmapped_before) AS unmapped_before,
+  count(*) FILTER (WHERE lower(Matched_Keyword) = 'unmapped') AS unmapped_after FROM t""")

@@ -285,3 +285,108 @@ def q_sent_broadcast(spark, sf):
     return E.attach_verdict(a, v, ASPECT_KEYS, "MajorityVote+TieBreak+NeutralFix").select(
         "pos", "review_id", "review_part", "label", "confidence", "review_sentiment", "review_confidence",
         "aggregation_method")
+
+
+# ---------------------------------------------------------------------------
+# V: vectors, similarity, de-duplication, mapping
+# ---------------------------------------------------------------------------
+from aspectra.operators import vectors as V  # noqa: E402
+
+DEDUP_THRESHOLD = 0.40      # fixture value (FIXTURES.md): 0.9 matches nothing in the driver vectors
+MAP_THRESHOLD = 0.30
+
+
+@query("vec_encode_hashed")
+def q_vec_encode_hashed(spark, sf):
+    c = FX.catalog_reviews(spark, sf)
+    enc = V.encode_distinct(c, "text", 64)
+    return enc.select(F.col("text").alias("phrase"), F.posexplode("vector").alias("bucket", "w")).where(
+        F.col("w") != 0).select("phrase", F.col("bucket").cast("long"), F.round("w", 6).alias("weight"))
+
+
+@query("vec_normalize")
+def q_vec_normalize(spark, sf):
+    e = FX.table(spark, sf, "embeddings")
+    return e.select("vec_id", F.posexplode(V.l2_normalize("embedding")).alias("dim", "v")).select(
+        "vec_id", F.col("dim").cast("long"), F.round("v", 6).alias("value"))
+
+
+def _knn(spark, sf, k=5):
+    e = FX.table(spark, sf, "embeddings")
+    return V.knn_self(e, "vec_id", "embedding", k)
+
+
+@query("vec_topk_neighbors")
+def q_vec_topk_neighbors(spark, sf):
+    return _knn(spark, sf).select("vec_id", "rank", "nbr", F.round("sim", 6).alias("sim"))
+
+
+def _canonical(spark, sf):
+    ph = FX.phrases(spark, sf)
+    nn = V.nearest_other(_knn(spark, sf), "vec_id", DEDUP_THRESHOLD)
+    can = V.canonical_ids(ph.select("vec_id"), nn, "vec_id")
+    names = ph.select(F.col("vec_id").alias("canonical"), F.col("phrase").alias("canonical_phrase"))
+    return ph.join(can, "vec_id").join(names, "canonical")
+
+
+@query("vec_canonical")
+def q_vec_canonical(spark, sf):
+    return _canonical(spark, sf).select("phrase", "canonical_phrase")
+
+
+@query("vec_dedup_group")
+def q_vec_dedup_group(spark, sf):
+    c = _canonical(spark, sf)
+    p = FX.table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice", "p_name")
+    rows = c.join(p, c.vec_id == p.p_partkey).select(
+        F.col("p_brand").alias("source_id"), F.col("canonical_phrase").alias("phrase"),
+        F.round(F.col("p_retailprice") / 2000, 6).alias("score"),
+        F.filter(F.split("p_name", " "), lambda t: L.in_words(t, FX.FX_FUNCTIONAL)).alias("sentiments"))
+    g = V.dedup_group(rows, "source_id", "phrase", "score", "sentiments")
+    return g.select("source_id", "phrase", "score", F.array_join("sentiments", ",").alias("sentiments"))
+
+
+@query("vec_pca")
+def q_vec_pca(spark, sf):
+    e = FX.table(spark, sf, "embeddings")
+    r = V.pca_reduce(e, "embedding", 50)
+    return r.select("vec_id", F.size("reduced").cast("long").alias("n_dims"))
+
+
+def _keyword_catalogue(spark, sf):
+    ph = FX.phrases(spark, sf)
+    return ph.where(F.col("vec_id") < 20).select(
+        F.col("vec_id").alias("kw_index"), F.col("phrase").alias("Matched_Keyword"), F.col("embedding").alias("kv"),
+        F.col("label").cast("long").alias("KPI_ID"), F.concat(F.lit("KPI "), F.col("label")).alias("KPI_Name"),
+        F.col("vec_id").alias("Department_ID"), F.concat(F.lit("Dept "), F.col("vec_id")).alias("Department_Name"))
+
+
+def _mapped(spark, sf):
+    ph = FX.phrases(spark, sf)
+    aspects = ph.where(F.col("vec_id") >= 20).select(F.col("vec_id").alias("aspect_id"),
+                                                     F.col("phrase").alias("aspect_phrase"), "embedding")
+    cat = _keyword_catalogue(spark, sf)
+    m = V.nearest_keyword(aspects, "embedding", cat, "kw_index", "kv")
+    return m.join(F.broadcast(cat.drop("kv")), "kw_index", "left")
+
+
+@query("map_best")
+def q_map_best(spark, sf):
+    return _mapped(spark, sf).select("aspect_id", "Matched_Keyword", F.round("cosine_similarity", 4).alias(
+        "cosine_similarity"), "KPI_ID", "KPI_Name", "Department_ID", "Department_Name")
+
+
+def _thresholded(spark, sf):
+    return V.apply_threshold(_mapped(spark, sf), "aspect_phrase", "Matched_Keyword", MAP_THRESHOLD)
+
+
+@query("map_threshold")
+def q_map_threshold(spark, sf):
+    return _thresholded(spark, sf).select(
+        "aspect_id", "Matched_Keyword", F.round("cosine_similarity", 4).alias("cosine_similarity"),
+        "KPI_ID", "KPI_Name", "Department_ID", "Department_Name", "unmapped_before")
+
+
+@query("map_unmapped_counts")
+def q_map_unmapped_counts(spark, sf):
+    return V.unmapped_counts(_thresholded(spark, sf), "Matched_Keyword")
