@@ -303,3 +303,62 @@ oracle("map_threshold", f"""WITH {_MAP} SELECT aspect_id, Matched_Keyword, round
   KPI_ID, KPI_Name, Department_ID, Department_Name, unmapped_before FROM t""")
 oracle("map_unmapped_counts", f"""WITH {_MAP} SELECT count(*) FILTER (WHERE unmapped_before) AS unmapped_before,
   count(*) FILTER (WHERE lower(Matched_Keyword) = 'unmapped') AS unmapped_after FROM t""")
+
+
+# ---------------------------------------------------------------------------
+# R
+# ---------------------------------------------------------------------------
+_SYN_ROWS = [(t, s) for t, ss in FX.FX_SYNONYMS.items() for s in ss]
+_HINT_ROWS = [(i, a, b) for i, (a, b) in enumerate(FX.FX_DEPT_HINTS)]
+_INITCAP = "array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+_RULES = f"""
+kpis AS (SELECT {_INITCAP.format(x='p_name')} AS kpi FROM part
+         UNION SELECT {_INITCAP.format(x="string_split(p_name, ' ')[-1]")} FROM part),
+k AS (SELECT DISTINCT trim(kpi) AS kpi FROM kpis WHERE trim(kpi) <> ''),
+kt AS (SELECT kpi, regexp_extract_all(lower(kpi), '[a-zA-Z]+') AS tokens,
+              list_sort(list_distinct(regexp_extract_all(lower(kpi), '[a-zA-Z]+'))) AS utoks,
+              dense_rank() OVER (ORDER BY kpi) AS kpi_rank FROM k),
+nk AS (SELECT greatest(count(*), 1) AS N FROM kt),
+tt AS (SELECT kpi, unnest(utoks) AS token, generate_subscripts(utoks, 1) - 1 AS tok_pos FROM kt),
+dfc AS (SELECT token, count(*) AS df FROM tt GROUP BY token),
+idf AS (SELECT tt.kpi, tt.token AS keyword, ln((1 + N) / (1 + df)) + 1 AS weight FROM tt JOIN dfc USING (token), nk),
+syn AS (SELECT DISTINCT tt.kpi, lower(t.synonym) AS keyword FROM tt JOIN {values(_SYN_ROWS, ['token', 'synonym'])}
+        USING (token)),
+syn2 AS (SELECT kpi, keyword, 0.45 AS weight FROM syn WHERE NOT EXISTS
+         (SELECT 1 FROM idf WHERE idf.kpi = syn.kpi AND idf.keyword = syn.keyword)),
+w AS (SELECT kpi, keyword, weight, 'token' AS source FROM idf UNION ALL SELECT kpi, keyword, weight, 'synonym' FROM syn2),
+h AS (SELECT * FROM {values(_HINT_ROWS, ['hint_pos', 'hint', 'dept'])}),
+d1 AS (SELECT kpi, arg_min(dept, tok_pos * 1000 + hint_pos) AS d1 FROM tt JOIN h ON contains(tt.token, h.hint) GROUP BY kpi),
+dn AS (SELECT r_name AS department, r_regionkey AS pos, regexp_replace(lower(r_name), '[^a-z]', '', 'g') AS norm
+       FROM region WHERE regexp_replace(lower(r_name), '[^a-z]', '', 'g') <> ''),
+d2 AS (SELECT kpi, arg_min(department, pos * 1000 + tok_pos) AS d2 FROM tt JOIN dn
+       ON contains(regexp_replace(tt.token, '[^a-z]', '', 'g'), dn.norm) GROUP BY kpi),
+d3 AS (SELECT arg_min(r_name, r_regionkey) AS d3 FROM region),
+dep AS (SELECT kt.kpi, coalesce(d1, d2, d3, 'General') AS department FROM kt LEFT JOIN d1 USING (kpi)
+        LEFT JOIN d2 USING (kpi), d3),
+rules AS (SELECT kt.kpi, kt.kpi_rank, dep.department, kt.tokens,
+                 (SELECT list_sort(list(keyword)) FROM w WHERE w.kpi = kt.kpi) AS keywords,
+                 greatest((SELECT sum(weight) FROM w WHERE w.kpi = kt.kpi AND source = 'token'), 1.0) AS target_weight
+          FROM kt JOIN dep USING (kpi)),
+ph AS {PHRASES},
+hits AS (SELECT p.phrase, r.kpi, r.kpi_rank, r.department, r.target_weight, sum(w.weight) AS matched
+         FROM (SELECT DISTINCT phrase FROM ph) p JOIN w ON contains(lower(p.phrase), w.keyword) AND w.keyword <> ''
+         JOIN rules r ON r.kpi = w.kpi GROUP BY ALL HAVING sum(w.weight) > 0),
+best AS (SELECT phrase, kpi, department, least(1.0, matched / greatest(target_weight, 1e-6)) AS confidence FROM hits
+         QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY confidence DESC, kpi_rank) = 1)"""
+
+oracle("rule_idf", f"WITH {_RULES} SELECT kpi, keyword AS token, round(weight, 6) AS idf FROM idf")
+oracle("rule_synonyms", f"WITH {_RULES} SELECT kpi, keyword, weight FROM syn2")
+oracle("rule_department", f"WITH {_RULES} SELECT kpi, department FROM dep")
+oracle("rule_table", f"""WITH {_RULES} SELECT kpi, department, array_to_string(keywords, ',') AS keywords,
+  CAST(len(keywords) AS BIGINT) AS n_keywords, array_to_string(tokens, ' ') AS primary_phrase,
+  round(target_weight, 6) AS target_weight FROM rules""")
+oracle("rule_match", f"WITH {_RULES} SELECT phrase, kpi, department, round(confidence, 6) AS confidence FROM best")
+oracle("rule_annotate", f"""WITH {_RULES} SELECT ph.vec_id, best.kpi AS domain_kpi, best.department AS domain_department,
+  round(best.confidence, 6) AS domain_confidence FROM ph JOIN best USING (phrase) WHERE best.confidence >= 0.5""")
+oracle("rule_retention", f"""WITH {_RULES},
+cl AS (SELECT vec_id, phrase, CASE WHEN vec_id % 37 = 0 THEN -1 WHEN vec_id < 2 THEN 10 ELSE label END AS cluster FROM ph),
+a AS (SELECT cl.* FROM cl JOIN best USING (phrase) WHERE best.confidence >= 0.5 AND cl.cluster >= 0)
+SELECT (SELECT count(*) FROM a) AS matched_rows, (SELECT count(DISTINCT phrase) FROM a) AS matched_unique_phrases,
+       (SELECT count(*) FROM cl) - (SELECT count(*) FROM a) AS filtered_out""")

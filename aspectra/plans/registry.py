@@ -390,3 +390,68 @@ def q_map_threshold(spark, sf):
 @query("map_unmapped_counts")
 def q_map_unmapped_counts(spark, sf):
     return V.unmapped_counts(_thresholded(spark, sf), "Matched_Keyword")
+
+
+# ---------------------------------------------------------------------------
+# R: domain rules
+# ---------------------------------------------------------------------------
+from aspectra.operators import rules as R  # noqa: E402
+
+
+def _rules(spark, sf):
+    kpis = FX.kpi_names(spark, sf)
+    deps = FX.department_names(spark, sf)
+    syn = R.synonym_table(spark, FX.FX_SYNONYMS)
+    return R.build_rules(kpis, deps, syn, FX.FX_DEPT_HINTS)
+
+
+@query("rule_idf")
+def q_rule_idf(spark, sf):
+    kt = R.kpi_tokens(FX.kpi_names(spark, sf))
+    return R.token_idf(kt).select("kpi", F.col("keyword").alias("token"), F.round("weight", 6).alias("idf"))
+
+
+@query("rule_synonyms")
+def q_rule_synonyms(spark, sf):
+    kt = R.kpi_tokens(FX.kpi_names(spark, sf))
+    w = R.keyword_weights(kt, R.synonym_table(spark, FX.FX_SYNONYMS))
+    return w.where(F.col("source") == "synonym").select("kpi", "keyword", "weight")
+
+
+@query("rule_department")
+def q_rule_department(spark, sf):
+    kt = R.kpi_tokens(FX.kpi_names(spark, sf))
+    return R.infer_department(kt, FX.FX_DEPT_HINTS, FX.department_names(spark, sf))
+
+
+@query("rule_table")
+def q_rule_table(spark, sf):
+    rules, _ = _rules(spark, sf)
+    return rules.select("kpi", "department", F.array_join("keywords", ",").alias("keywords"),
+                        F.size("keywords").cast("long").alias("n_keywords"), "primary_phrase",
+                        F.round("target_weight", 6).alias("target_weight"))
+
+
+def _matches(spark, sf):
+    rules, w = _rules(spark, sf)
+    return R.match_rules(FX.phrases(spark, sf), "phrase", rules, w)
+
+
+@query("rule_match")
+def q_rule_match(spark, sf):
+    m = _matches(spark, sf)
+    return m.select("phrase", "kpi", "department", F.round("confidence", 6).alias("confidence"))
+
+
+@query("rule_annotate")
+def q_rule_annotate(spark, sf):
+    a = R.annotate(FX.phrases(spark, sf).select("vec_id", "phrase"), "phrase", _matches(spark, sf), 0.5)
+    return a.select("vec_id", "domain_kpi", "domain_department",
+                    F.round("domain_confidence", 6).alias("domain_confidence"))
+
+
+@query("rule_retention")
+def q_rule_retention(spark, sf):
+    rows = FX.fx_clusters(spark, sf).select("vec_id", "phrase", "cluster")
+    a = R.annotate(rows, "phrase", _matches(spark, sf), 0.5)
+    return R.retention(rows, a)
