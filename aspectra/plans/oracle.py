@@ -362,3 +362,129 @@ cl AS (SELECT vec_id, phrase, CASE WHEN vec_id % 37 = 0 THEN -1 WHEN vec_id < 2
 a AS (SELECT cl.* FROM cl JOIN best USING (phrase) WHERE best.confidence >= 0.5 AND cl.cluster >= 0)
 SELECT (SELECT count(*) FROM a) AS matched_rows, (SELECT count(DISTINCT phrase) FROM a) AS matched_unique_phrases,
        (SELECT count(*) FROM cl) - (SELECT count(*) FROM a) AS filtered_out""")
+
+
+# ---------------------------------------------------------------------------
+# T8–T16, A
+# ---------------------------------------------------------------------------
+SEPC = chr(1)
+
+
+def clauses_sql(x: str) -> str:
+    words = "|".join(L.CONTRAST_WORDS)
+    t = f"regexp_replace({x}, ';\\s*', ';{SEPC}', 'g')"
+    t = f"regexp_replace({t}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({words})\\s+', '\\1\\2{SEPC}', 'g')"
+    t = f"regexp_replace({t}, ',\\s+(and|or|but|nor|yet|so|for)\\s+', ', \\1{SEPC}', 'g')"
+    t = f"regexp_replace({t}, ',\\s+([A-Z])', ',{SEPC}\\1', 'g')"
+    t = f"regexp_replace({t}, '([.!?])\\s+', '\\1{SEPC}', 'g')"
+    return (f"list_filter(list_transform(string_split({t}, '{SEPC}'), "
+            f"lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> '')")
+
+
+DOC_CLAUSES = f"""(SELECT doc_id AS review_key, CAST(generate_subscripts(cl, 1) - 1 AS BIGINT) AS clause_pos,
+  unnest(cl) AS clause FROM (SELECT doc_id, {clauses_sql('text')} AS cl FROM documents))"""
+ORDER_REVIEWS = f"""(SELECT l_orderkey AS review_key, string_agg({CATALOG_TEXT}, ' ; '
+  ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS text
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
+# order-review clauses consist of fixture words only, so each clause is one chunk: its letters
+ORDER_CHUNKS = f"""(SELECT review_key, clause_pos, clause,
+  trim(regexp_replace(regexp_replace(lower(clause), '[^\\p{{L}}\\p{{N}}\\s''-]', ' ', 'g'), '\\s+', ' ', 'g')) AS phrase
+  FROM (SELECT review_key, CAST(generate_subscripts(cl, 1) - 1 AS BIGINT) AS clause_pos, unnest(cl) AS clause
+        FROM (SELECT review_key, {clauses_sql('text')} AS cl FROM {ORDER_REVIEWS})))"""
+
+oracle("seg_clauses", f"SELECT * FROM {DOC_CLAUSES}")
+_chunks_sql = f"""SELECT review_key, clause_pos, CAST(0 AS BIGINT) AS chunk_pos, phrase FROM {ORDER_CHUNKS}
+WHERE length(phrase) > 2 AND NOT {in_list('phrase', L.STOP_ASPECTS)}"""
+oracle("asp_chunks", _chunks_sql)
+oracle("asp_informative", _chunks_sql)
+oracle("asp_distinct", f"""
+WITH c AS (SELECT review_key, clause_pos, phrase,
+                  CASE WHEN len(string_split_regex(trim(clause), '\\s+')) > 48
+                       THEN array_to_string(string_split_regex(trim(clause), '\\s+')[1:48], ' ') || ' ...'
+                       ELSE array_to_string(string_split_regex(trim(clause), '\\s+'), ' ') END AS snippet
+           FROM {ORDER_CHUNKS} WHERE length(phrase) > 2 AND NOT {in_list('phrase', L.STOP_ASPECTS)}),
+a AS (SELECT review_key, phrase, snippet, min(clause_pos) AS first FROM c GROUP BY ALL)
+SELECT review_key, row_number() OVER (PARTITION BY review_key ORDER BY first) - 1 AS aspect_pos,
+       phrase AS aspect_phrase, snippet AS aspect_snippet FROM a""")
+oracle("asp_general_fallback", """SELECT doc_id AS review_key, CAST(0 AS BIGINT) AS aspect_pos,
+  'general' AS aspect_phrase, trim(text) AS aspect_snippet FROM documents WHERE text IS NOT NULL AND trim(text) <> ''""")
+
+_W = "string_split_regex(trim(clause), '\\s+')"
+oracle("snip_head", f"""SELECT review_key, clause_pos, CASE WHEN len({_W}) > 48
+  THEN array_to_string({_W}[1:48], ' ') || ' ...' ELSE array_to_string({_W}, ' ') END AS snippet FROM {DOC_CLAUSES}""")
+oracle("snip_window", f"""
+WITH c AS (SELECT review_key, clause_pos, {_W} AS w,
+                  lower(coalesce(string_split(clause, ' ')[2], '')) AS phrase FROM {DOC_CLAUSES}),
+i AS (SELECT *, list_filter(range(len(w)), lambda j: contains(lower(w[j + 1]), phrase))[1] AS idx FROM c),
+s AS (SELECT *, greatest(0, idx - 12) AS st, least(len(w), idx + 13) AS en FROM i)
+SELECT review_key, clause_pos, CASE WHEN idx IS NULL THEN
+    CASE WHEN len(w) > 32 THEN array_to_string(w[1:32], ' ') || ' ...' ELSE array_to_string(w, ' ') END
+  ELSE array_to_string(w[st + 1:st + least(en - st, 32)], ' ') END AS snippet FROM s""")
+oracle("snip_centered", f"""
+WITH c AS (SELECT review_key, clause_pos, {_W} AS w FROM {DOC_CLAUSES}),
+s AS (SELECT *, greatest(0, len(w) // 2 - 24) AS st FROM c)
+SELECT review_key, clause_pos, CASE WHEN len(w) <= 48 THEN array_to_string(w, ' ')
+  ELSE array_to_string(w[st + 1:least(len(w), st + 48)], ' ') END AS snippet FROM s""")
+
+_VOCAB = """(SELECT term, count(*) AS freq FROM (
+  SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en')
+  WHERE length(term) >= 3 GROUP BY term HAVING count(*) >= 50)"""
+
+
+def _spell(tokens_sql: str, dist: int, order: str, out: str) -> str:
+    """tokens_sql: a query giving (doc_id, tk) for the English documents."""
+    return f"""
+WITH t AS ({tokens_sql}),
+x AS (SELECT doc_id, unnest(tk) AS tok, generate_subscripts(tk, 1) AS pos FROM t),
+v AS {_VOCAB},
+u AS (SELECT DISTINCT tok FROM x WHERE tok NOT IN (SELECT term FROM v)),
+c AS (SELECT u.tok, v.term, v.freq, levenshtein(u.tok, v.term) AS dist FROM u, v
+      WHERE abs(length(u.tok) - length(v.term)) <= {dist} AND levenshtein(u.tok, v.term) <= {dist}),
+b AS (SELECT tok, term AS corr FROM c QUALIFY row_number() OVER (PARTITION BY tok ORDER BY {order}) = 1),
+r AS (SELECT x.doc_id, string_agg(coalesce(b.corr, x.tok), ' ' ORDER BY x.pos) AS s FROM x LEFT JOIN b USING (tok)
+      GROUP BY x.doc_id)
+SELECT t.doc_id AS review_key, coalesce(r.s, '') AS {out} FROM t LEFT JOIN r USING (doc_id)"""
+
+
+oracle("spell_correct_1", _spell(f"SELECT doc_id, {_clean_tokens(norm('text'))} AS tk FROM documents WHERE lang = 'en'",
+                                 1, "freq DESC, term", "tokens"))
+_LIGHT = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s.,!?]', ' ', 'g'), '\\s+', ' ', 'g'))"
+oracle("spell_correct_2", _spell(
+    f"SELECT doc_id, CASE WHEN lt = '' THEN []::VARCHAR[] ELSE string_split(lt, ' ') END AS tk "
+    f"FROM (SELECT doc_id, {_LIGHT} AS lt FROM documents WHERE lang = 'en')",
+    2, "dist, freq DESC, term", "text"))
+
+_LEX = values([r[:3] for r in FX.fx_token_lexicon_rows()], ["word", "tag", "lemma"], "l")
+_SENSES = values(FX.FX_SENSES, ["lemma", "sense", "domain"], "sx")
+_CAT_TOKENS = f"""(SELECT p_partkey AS review_key, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT) AS pos,
+  unnest(ws) AS token FROM (SELECT p_partkey, string_split({CATALOG_TEXT}, ' ') AS ws FROM part))"""
+_TAGGED = f"""(SELECT t.review_key, t.pos, t.token, coalesce(l.tag, 'NN') AS tag, coalesce(l.lemma, t.token) AS lemma
+  FROM {_CAT_TOKENS} t LEFT JOIN {_LEX} ON l.word = t.token)"""
+_SUFFIX = " OR ".join(f"suffix(lemma, {q(s)})" for s in L.ABSTRACT_SUFFIXES)
+_NOUNS = f"""(SELECT lemma, is_abstract,
+  CASE WHEN {in_list('lemma', FX.FX_DOMAIN_NOUNS)} THEN TRUE
+       WHEN {in_list('lemma', FX.FX_NOISE)} OR {in_list('lemma', FX.FX_ABSTRACT)} THEN FALSE
+       ELSE NOT is_abstract END AS is_concrete, n_senses FROM (
+  SELECT w.lemma, CASE WHEN {in_list('w.lemma', FX.FX_ABSTRACT)} THEN TRUE WHEN {_SUFFIX.replace('lemma', 'w.lemma')} THEN TRUE
+       WHEN coalesce(s.any_c, FALSE) THEN FALSE WHEN coalesce(s.any_a, FALSE) THEN TRUE ELSE FALSE END AS is_abstract,
+       CAST(coalesce(s.n, 0) AS BIGINT) AS n_senses
+  FROM (SELECT DISTINCT lemma FROM {_TAGGED}) w LEFT JOIN (
+    SELECT lemma, count(*) AS n, bool_or({in_list('domain', L.CONCRETE_DOMAINS)}) AS any_c,
+           bool_or({in_list('domain', L.ABSTRACT_DOMAINS)}) AS any_a FROM {_SENSES} GROUP BY lemma) s
+  ON s.lemma = w.lemma))"""
+
+oracle("tok_pos_lemma", f"SELECT review_key, pos, token, tag, lemma FROM {_TAGGED} WHERE substr(tag, 1, 2) IN ('NN', 'JJ')")
+oracle("noun_abstract", f"SELECT lemma, is_abstract FROM {_NOUNS}")
+oracle("noun_concrete", f"SELECT lemma, is_concrete FROM {_NOUNS}")
+oracle("noun_sense_count", f"SELECT lemma, n_senses FROM {_NOUNS}")
+oracle("tok_lemma_filter", f"""
+WITH t AS (SELECT t.*, n.is_concrete FROM {_TAGGED} t JOIN {_NOUNS} n USING (lemma)),
+k AS (SELECT * FROM t WHERE substr(tag, 1, 2) IN ('NN', 'JJ') AND NOT {in_list('lemma', L.ENGLISH_STOPWORDS)}
+      AND length(lemma) > 2 AND (NOT starts_with(tag, 'NN') OR (NOT {in_list('lemma', FX.FX_NOISE)}
+      AND NOT {in_list('lemma', FX.FX_ABSTRACT)} AND ({in_list('lemma', FX.FX_DOMAIN_NOUNS)}
+      OR {in_list('lemma', FX.FX_WHITELIST)} OR is_concrete))))
+SELECT review_key, string_agg(lemma, ' ' ORDER BY pos) AS clean_text,
+       string_agg(substr(tag, 1, 2), ' ' ORDER BY pos) AS pos_tags FROM k GROUP BY review_key""")
+oracle("phrase_generic", f"""SELECT p_partkey AS review_key, CASE WHEN trim(t) = '' THEN TRUE ELSE
+  len(list_filter(string_split_regex(trim(t), '\\s+'), lambda w: NOT {in_list('w', FX.FX_GENERIC)})) = 0 END AS is_generic
+  FROM (SELECT p_partkey, {CATALOG_TEXT} AS t FROM part)""")

@@ -455,3 +455,146 @@ def q_rule_retention(spark, sf):
     rows = FX.fx_clusters(spark, sf).select("vec_id", "phrase", "cluster")
     a = R.annotate(rows, "phrase", _matches(spark, sf), 0.5)
     return R.retention(rows, a)
+
+
+# ---------------------------------------------------------------------------
+# T8–T16, A: spelling, lexicon tags, noun tests, clauses, aspects
+# ---------------------------------------------------------------------------
+from aspectra.operators import aspects as A  # noqa: E402
+from aspectra.operators import lexical as LX  # noqa: E402
+
+
+def _en_docs(spark, sf):
+    return FX.documents_reviews(spark, sf).where(F.col("lang") == "en")
+
+
+def _vocab(spark, sf):
+    return LX.spell_vocabulary(_en_docs(spark, sf), "text", 50)
+
+
+@query("spell_correct_1")
+def q_spell_correct_1(spark, sf):
+    d = _en_docs(spark, sf).select("review_key", TK.clean_tokens(T.normalize_ws("text")).alias("toks"))
+    c = LX.correct_tokens(d, "review_key", "toks", _vocab(spark, sf), 1, prefer="frequent")
+    return c.select("review_key", F.array_join("corrected", " ").alias("tokens"))
+
+
+@query("spell_correct_2")
+def q_spell_correct_2(spark, sf):
+    d = _en_docs(spark, sf).select("review_key", T.normalize_light("text").alias("t"))
+    d = d.select("review_key", T.tokens("t").alias("toks"))
+    c = LX.correct_tokens(d, "review_key", "toks", _vocab(spark, sf), 2, prefer="closest")
+    return c.select("review_key", F.array_join("corrected", " ").alias("text"))
+
+
+def _catalog_tokens(spark, sf):
+    c = FX.catalog_reviews(spark, sf)
+    return c.select("review_key", F.posexplode(F.split("text", " ")).alias("pos", "token"))
+
+
+def _tagged(spark, sf):
+    lex = LX.lexicon_table(spark, FX.fx_token_lexicon_rows())
+    return LX.tag_tokens(_catalog_tokens(spark, sf), "token", lex)
+
+
+@query("tok_pos_lemma")
+def q_tok_pos_lemma(spark, sf):
+    return _tagged(spark, sf).where("keep").select("review_key", F.col("pos").cast("long"), "token", "tag", "lemma")
+
+
+def _noun_tested(df, spark):
+    return LX.with_noun_tests(df, "lemma", LX.senses_table(spark, FX.FX_SENSES), FX.FX_ABSTRACT,
+                              FX.FX_DOMAIN_NOUNS, FX.FX_NOISE)
+
+
+@query("tok_lemma_filter")
+def q_tok_lemma_filter(spark, sf):
+    t = _noun_tested(_tagged(spark, sf), spark)
+    kept = LX.lemma_filter(t, L.ENGLISH_STOPWORDS, FX.FX_NOISE, FX.FX_ABSTRACT, FX.FX_DOMAIN_NOUNS, FX.FX_WHITELIST)
+    g = kept.groupBy("review_key").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma", "tag"))).alias("s"))
+    return g.select("review_key", F.array_join(F.transform("s", lambda x: x["lemma"]), " ").alias("clean_text"),
+                    F.array_join(F.transform("s", lambda x: F.substring(x["tag"], 1, 2)), " ").alias("pos_tags"))
+
+
+def _lemmas(spark, sf):
+    t = _catalog_tokens(spark, sf).select(F.col("token").alias("lemma")).distinct()
+    return _noun_tested(t, spark)
+
+
+@query("noun_abstract")
+def q_noun_abstract(spark, sf):
+    return _lemmas(spark, sf).select("lemma", "is_abstract")
+
+
+@query("noun_concrete")
+def q_noun_concrete(spark, sf):
+    return _lemmas(spark, sf).select("lemma", "is_concrete")
+
+
+@query("noun_sense_count")
+def q_noun_sense_count(spark, sf):
+    return _lemmas(spark, sf).select("lemma", "n_senses")
+
+
+@query("phrase_generic")
+def q_phrase_generic(spark, sf):
+    c = FX.catalog_reviews(spark, sf)
+    return c.select("review_key", T.generic_phrase("text", FX.FX_GENERIC).alias("is_generic"))
+
+
+def _doc_clauses(spark, sf):
+    return A.segment(FX.documents_reviews(spark, sf), "review_key", "text")
+
+
+@query("seg_clauses")
+def q_seg_clauses(spark, sf):
+    return _doc_clauses(spark, sf)
+
+
+def _order_clause_chunks(spark, sf, informative):
+    o = FX.order_reviews(spark, sf)
+    cl = o.select("review_key", F.posexplode(A.clauses(F.col("text"))).alias("clause_pos", "clause"))
+    ch = cl.select("review_key", "clause_pos", F.posexplode(
+        A.chunk_phrases(F.col("clause"), FX.FX_ADJECTIVES, FX.FX_NOUNS, informative=informative))
+        .alias("chunk_pos", "phrase"))
+    return ch.select("review_key", F.col("clause_pos").cast("long"), F.col("chunk_pos").cast("long"), "phrase")
+
+
+@query("asp_chunks")
+def q_asp_chunks(spark, sf):
+    return _order_clause_chunks(spark, sf, False)
+
+
+@query("asp_informative")
+def q_asp_informative(spark, sf):
+    return _order_clause_chunks(spark, sf, True)
+
+
+@query("asp_distinct")
+def q_asp_distinct(spark, sf):
+    a = A.extract_aspects(FX.order_reviews(spark, sf), "review_key", "text", FX.FX_ADJECTIVES, FX.FX_NOUNS)
+    return a.select("review_key", "aspect_pos", "aspect_phrase", "aspect_snippet")
+
+
+@query("asp_general_fallback")
+def q_asp_general_fallback(spark, sf):
+    a = A.extract_aspects(FX.documents_reviews(spark, sf), "review_key", "text", FX.FX_ADJECTIVES, FX.FX_NOUNS)
+    return a.select("review_key", "aspect_pos", "aspect_phrase", "aspect_snippet")
+
+
+@query("snip_head")
+def q_snip_head(spark, sf):
+    return _doc_clauses(spark, sf).select("review_key", "clause_pos", A.snippet_head(F.col("clause"), 48).alias("snippet"))
+
+
+@query("snip_window")
+def q_snip_window(spark, sf):
+    c = _doc_clauses(spark, sf)
+    phrase = F.lower(F.coalesce(F.try_element_at(F.split("clause", " "), F.lit(2)), F.lit("")))
+    return c.select("review_key", "clause_pos", A.snippet_window(F.col("clause"), phrase, 12, 32).alias("snippet"))
+
+
+@query("snip_centered")
+def q_snip_centered(spark, sf):
+    return _doc_clauses(spark, sf).select("review_key", "clause_pos",
+                                          A.snippet_centered(F.col("clause"), 48).alias("snippet"))

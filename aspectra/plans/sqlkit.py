@@ -16,7 +16,7 @@ def in_list(expr: str, words: Iterable[str]) -> str:
     return f"({expr} IN ({', '.join(q(w) for w in ws)}))"
 
 
-def values(rows, cols: list[str]) -> str:
+def values(rows, cols: list[str], alias: str = "t") -> str:
     """(VALUES ...) AS t(cols) for literal parameter tables."""
     def lit(v):
         if v is None:
@@ -27,7 +27,7 @@ def values(rows, cols: list[str]) -> str:
             return repr(v)
         return q(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    return f"(VALUES {body}) AS t({', '.join(cols)})"
+    return f"(VALUES {body}) AS {alias}({', '.join(cols)})"
 
 
 def clean_words(x: str) -> str:
