@@ -488,3 +488,106 @@ SELECT review_key, string_agg(lemma, ' ' ORDER BY pos) AS clean_text,
 oracle("phrase_generic", f"""SELECT p_partkey AS review_key, CASE WHEN trim(t) = '' THEN TRUE ELSE
   len(list_filter(string_split_regex(trim(t), '\\s+'), lambda w: NOT {in_list('w', FX.FX_GENERIC)})) = 0 END AS is_generic
   FROM (SELECT p_partkey, {CATALOG_TEXT} AS t FROM part)""")
+
+
+# ---------------------------------------------------------------------------
+# C
+# ---------------------------------------------------------------------------
+FXC = f"""(SELECT vec_id, phrase, embedding, label,
+  CASE WHEN vec_id % 37 = 0 THEN -1 WHEN vec_id < 2 THEN 10 ELSE label END AS cluster FROM {PHRASES})"""
+
+
+def silhouette_sql(pts: str) -> str:
+    """pts: (vec_id, v DOUBLE[], cluster) of the non-noise points."""
+    return f"""(WITH p AS {pts},
+d AS (SELECT a.vec_id AS i, a.cluster AS ci, b.cluster AS c, list_distance(a.v, b.v) AS dist
+      FROM p a, p b WHERE a.vec_id <> b.vec_id),
+s AS (SELECT i, ci, c, avg(dist) AS m FROM d GROUP BY ALL),
+own AS (SELECT i, m AS a FROM s WHERE c = ci),
+oth AS (SELECT i, min(m) AS b FROM s WHERE c <> ci GROUP BY i),
+sil AS (SELECT CASE WHEN own.a IS NULL OR oth.b IS NULL THEN 0.0 ELSE (oth.b - own.a) / greatest(own.a, oth.b) END AS s
+        FROM p LEFT JOIN own ON own.i = p.vec_id LEFT JOIN oth ON oth.i = p.vec_id)
+SELECT CASE WHEN (SELECT count(DISTINCT cluster) FROM p) <= 1 OR (SELECT count(*) FROM p) < 2 THEN 0.0
+            ELSE avg(s) END AS silhouette FROM sil)"""
+
+
+_PTS = f"(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, cluster FROM {FXC} WHERE cluster >= 0)"
+_CEN = f"""(SELECT cluster, list(x ORDER BY dim) AS c, max(n) AS size FROM (
+  SELECT cluster, dim, avg(x) AS x, count(*) AS n FROM (
+    SELECT cluster, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM {_PTS}) GROUP BY ALL) GROUP BY cluster)"""
+_DBI = f"""(WITH p AS {_PTS}, cen AS {_CEN},
+sc AS (SELECT p.cluster, avg(list_distance(p.v, cen.c)) AS s FROM p JOIN cen USING (cluster) GROUP BY ALL),
+cs AS (SELECT * FROM cen JOIN sc USING (cluster)),
+r AS (SELECT a.cluster AS k, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM cs a, cs b
+      WHERE a.cluster <> b.cluster GROUP BY a.cluster)
+SELECT CASE WHEN (SELECT count(DISTINCT cluster) FROM p) <= 1 OR (SELECT count(*) FROM p) < 2 THEN 'inf'::DOUBLE
+            ELSE avg(r) END AS davies_bouldin FROM r)"""
+
+oracle("clu_silhouette", f"SELECT round(silhouette, 6) AS silhouette FROM {silhouette_sql(_PTS)}")
+oracle("clu_davies_bouldin", f"SELECT round(davies_bouldin, 6) AS davies_bouldin FROM {_DBI}")
+oracle("clu_centroids", f"""SELECT CAST(cluster AS BIGINT) AS cluster, CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS dim,
+  round(unnest(c), 6) AS value FROM {_CEN}""")
+oracle("clu_reassign", f"""
+WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, cluster FROM {FXC}),
+sz AS (SELECT cluster, count(*) AS n FROM f GROUP BY cluster),
+cen AS {_CEN},
+cu AS (SELECT cluster, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS u FROM cen),
+mv AS (SELECT f.vec_id, list_transform(f.v, lambda x: x / sqrt(list_sum(list_transform(f.v, lambda y: y * y)))) AS u
+       FROM f JOIN sz USING (cluster) WHERE f.cluster = -1 OR sz.n < 3),
+best AS (SELECT mv.vec_id, cu.cluster FROM mv, cu
+         QUALIFY row_number() OVER (PARTITION BY mv.vec_id ORDER BY list_inner_product(mv.u, cu.u) DESC, cu.cluster) = 1)
+SELECT f.vec_id, CAST(coalesce(best.cluster, f.cluster) AS BIGINT) AS cluster FROM f LEFT JOIN best USING (vec_id)""")
+oracle("clu_drop_small", f"""
+WITH f AS (SELECT vec_id, cluster FROM {FXC}), sz AS (SELECT cluster, count(*) AS n FROM f GROUP BY cluster),
+d AS (SELECT vec_id, CASE WHEN cluster <> -1 AND n < 3 THEN -1 ELSE cluster END AS cluster FROM f JOIN sz USING (cluster))
+SELECT vec_id, CAST(CASE WHEN (SELECT max(cluster) FROM d) = -1 THEN 0 ELSE cluster END AS BIGINT) AS cluster FROM d""")
+
+_PROFILE = f"""WITH {_RULES},
+rows AS (SELECT c.vec_id, c.phrase, c.cluster, best.confidence,
+                len(list_filter(string_split_regex(trim(c.phrase), '\\s+'), lambda w: NOT {in_list('w', FX.FX_GENERIC)})) = 0
+                  AS is_generic FROM {FXC} c LEFT JOIN best USING (phrase)),
+g AS (SELECT cluster, count(*) AS size, avg(CASE WHEN coalesce(confidence, 0) >= 0.5 THEN 1.0 ELSE 0.0 END) AS pr,
+             avg(CASE WHEN is_generic THEN 1.0 ELSE 0.0 END) AS gr, min(coalesce(confidence, 0.0)) AS mn,
+             max(coalesce(confidence, 0.0)) AS mx FROM rows GROUP BY cluster),
+prof AS (SELECT cluster, size, CASE WHEN cluster = -1 THEN 0.0 ELSE pr END AS pass_ratio,
+                CASE WHEN cluster = -1 THEN 1.0 ELSE 1.0 - pr END AS noise_ratio,
+                CASE WHEN cluster = -1 THEN 1.0 ELSE gr END AS generic_ratio,
+                CASE WHEN cluster = -1 THEN NULL ELSE mn END AS min_confidence,
+                CASE WHEN cluster = -1 THEN NULL ELSE mx END AS max_confidence FROM g)"""
+oracle("clu_profile", f"""{_PROFILE} SELECT CAST(cluster AS BIGINT) AS cluster, size, round(pass_ratio, 6) AS pass_ratio,
+  round(noise_ratio, 6) AS noise_ratio, round(generic_ratio, 6) AS generic_ratio,
+  round(min_confidence, 6) AS min_confidence, round(max_confidence, 6) AS max_confidence FROM prof""")
+oracle("clu_noisiest", f"""{_PROFILE} SELECT CAST(cluster AS BIGINT) AS cluster, round(noise_ratio, 3) AS noise_ratio,
+  row_number() OVER (ORDER BY round(noise_ratio, 3) DESC, cluster) AS rank FROM prof WHERE cluster >= 0
+  QUALIFY rank <= 5""")
+
+_NONNOUN = sorted({w for w, t, _l, _e in FX.fx_token_lexicon_rows() if not t.startswith("NN")})
+_SCORED = f"""(SELECT c.*, round(p.p_retailprice / 2000, 6) AS score FROM {FXC} c JOIN part p ON c.vec_id = p.p_partkey)"""
+oracle("clu_labels", f"""
+WITH b AS (SELECT cluster, phrase FROM {_SCORED} WHERE cluster >= 0
+           QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, length(phrase) DESC, phrase) = 1),
+n AS (SELECT cluster, phrase, list_filter(string_split(lower(phrase), ' '), lambda t: NOT {in_list('t', _NONNOUN)}) AS ns FROM b),
+d AS (SELECT cluster, phrase, array_to_string(list_filter(ns, lambda t, i: list_position(ns, t) = i), ' ') AS nouns FROM n),
+l AS (SELECT cluster, CASE WHEN nouns <> '' THEN nouns ELSE lower(phrase) END AS raw FROM d)
+SELECT CAST(cluster AS BIGINT) AS cluster,
+       array_to_string(list_transform(string_split(raw, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label FROM l
+UNION ALL SELECT DISTINCT CAST(cluster AS BIGINT), 'Noise' FROM {FXC} WHERE cluster = -1""")
+oracle("clu_highlights", f"""SELECT CAST(cluster AS BIGINT) AS cluster,
+  row_number() OVER (PARTITION BY cluster ORDER BY score DESC, phrase) AS rank, phrase FROM {_SCORED} WHERE cluster >= 0
+  QUALIFY rank <= 5""")
+oracle("clu_sizes", f"""
+WITH s AS (SELECT cluster, count(*) AS size FROM {FXC} GROUP BY cluster)
+SELECT CAST(cluster AS BIGINT) AS cluster, size, row_number() OVER (ORDER BY size DESC, cluster) AS size_rank,
+  round(sum(CASE WHEN cluster = -1 THEN size ELSE 0 END) OVER () / sum(size) OVER (), 6) AS noise_ratio,
+  CAST(sum(CASE WHEN cluster <> -1 THEN 1 ELSE 0 END) OVER () AS BIGINT) AS cluster_count FROM s""")
+_DROPPED = f"""(WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, cluster FROM {FXC}),
+sz AS (SELECT cluster, count(*) AS n FROM f GROUP BY cluster),
+d AS (SELECT vec_id, v, CASE WHEN cluster <> -1 AND n < 3 THEN -1 ELSE cluster END AS cluster FROM f JOIN sz USING (cluster))
+SELECT vec_id, v, CASE WHEN (SELECT max(cluster) FROM d) = -1 THEN 0 ELSE cluster END AS cluster FROM d)"""
+oracle("clu_select", f"""
+WITH km AS (SELECT (SELECT silhouette FROM {silhouette_sql(_PTS)}) AS ks, (SELECT davies_bouldin FROM {_DBI}) AS kd),
+dd AS (SELECT * FROM {_DROPPED} WHERE cluster >= 0),
+dn AS (SELECT (SELECT silhouette FROM {silhouette_sql('(SELECT * FROM dd)')}) AS ds,
+              (SELECT count(DISTINCT cluster) FROM dd) AS n),
+j AS (SELECT ks < 0.25 OR kd > 1.0 AS switched, ds, n FROM km, dn)
+SELECT CASE WHEN switched AND n > 2 AND ds >= 0.2 THEN 'density' ELSE 'kmeans' END AS method, switched FROM j""")

@@ -598,3 +598,117 @@ def q_snip_window(spark, sf):
 def q_snip_centered(spark, sf):
     return _doc_clauses(spark, sf).select("review_key", "clause_pos",
                                           A.snippet_centered(F.col("clause"), 48).alias("snippet"))
+
+
+# ---------------------------------------------------------------------------
+# C: clustering
+# ---------------------------------------------------------------------------
+from aspectra.operators import clusters as C  # noqa: E402
+
+NON_NOUNS = sorted({w for w, t, _l, _e in FX.fx_token_lexicon_rows() if not t.startswith("NN")})
+
+
+def _fx_nouns(c):
+    """Tokens tagged NN* by the fixture lexicon (unknown words count as nouns)."""
+    return F.filter(F.split(c, " "), lambda t: ~L.in_words(t, NON_NOUNS))
+
+
+def _clusters_scored(spark, sf):
+    c = FX.fx_clusters(spark, sf)
+    p = FX.table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    return c.join(p, c.vec_id == p.p_partkey).drop("p_partkey").withColumn(
+        "score", F.round(F.col("p_retailprice") / 2000, 6)).drop("p_retailprice")
+
+
+@query("clu_silhouette")
+def q_clu_silhouette(spark, sf):
+    s = C.silhouette(FX.fx_clusters(spark, sf), "vec_id", "embedding", "cluster")
+    return s.select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("clu_davies_bouldin")
+def q_clu_davies_bouldin(spark, sf):
+    d = C.davies_bouldin(FX.fx_clusters(spark, sf), "embedding", "cluster")
+    return d.select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
+
+
+@query("clu_reassign")
+def q_clu_reassign(spark, sf):
+    r = C.reassign(FX.fx_clusters(spark, sf).select("vec_id", "embedding", "cluster"), "embedding", "cluster", "vec_id")
+    return r.select("vec_id", F.col("cluster").cast("long").alias("cluster"))
+
+
+@query("clu_drop_small")
+def q_clu_drop_small(spark, sf):
+    d = C.drop_small(FX.fx_clusters(spark, sf).select("vec_id", "cluster"), "cluster", 3)
+    return d.select("vec_id", F.col("cluster").cast("long").alias("cluster"))
+
+
+@query("clu_centroids")
+def q_clu_centroids(spark, sf):
+    c = C.centroids(FX.fx_clusters(spark, sf), "embedding", "cluster")
+    return c.select(F.col("cluster").cast("long").alias("cluster"), F.posexplode("centroid").alias("dim", "v")).select(
+        "cluster", F.col("dim").cast("long"), F.round("v", 6).alias("value"))
+
+
+def _profiled(spark, sf):
+    rows = FX.fx_clusters(spark, sf).select("vec_id", "phrase", "cluster")
+    m = _matches(spark, sf).select("phrase", "confidence")
+    rows = rows.join(m, "phrase", "left").withColumn("is_generic", T.generic_phrase("phrase", FX.FX_GENERIC))
+    return C.profile(rows, "cluster", "is_generic", "confidence", 0.5)
+
+
+@query("clu_profile")
+def q_clu_profile(spark, sf):
+    p = _profiled(spark, sf)
+    return p.select(F.col("cluster").cast("long").alias("cluster"), F.col("size").cast("long"),
+                    *[F.round(c, 6).alias(c) for c in ("pass_ratio", "noise_ratio", "generic_ratio", "min_confidence",
+                                                       "max_confidence")])
+
+
+@query("clu_merge_map")
+def q_clu_merge_map(spark, sf):
+    c = FX.fx_clusters(spark, sf).select("vec_id", "embedding", "cluster")
+    return C.merge_map(c, "embedding", _profiled(spark, sf))
+
+
+@query("clu_labels")
+def q_clu_labels(spark, sf):
+    lab = C.label_clusters(_clusters_scored(spark, sf), "cluster", "phrase", "score", _fx_nouns)
+    return lab.select(F.col("cluster").cast("long").alias("cluster"), "label")
+
+
+@query("clu_highlights")
+def q_clu_highlights(spark, sf):
+    h = C.highlights(_clusters_scored(spark, sf), "cluster", "phrase", "score", 5)
+    return h.select(F.col("cluster").cast("long").alias("cluster"), "rank", "phrase")
+
+
+@query("clu_sizes")
+def q_clu_sizes(spark, sf):
+    s = C.sizes(FX.fx_clusters(spark, sf), "cluster")
+    return s.select(F.col("cluster").cast("long").alias("cluster"), F.col("size").cast("long"), "size_rank",
+                    F.round("noise_ratio", 6).alias("noise_ratio"), "cluster_count")
+
+
+@query("clu_noisiest")
+def q_clu_noisiest(spark, sf):
+    n = C.noisiest(_profiled(spark, sf), "cluster", 5)
+    return n.select(F.col("cluster").cast("long").alias("cluster"), "noise_ratio", "rank")
+
+
+@query("clu_kmeans_sweep")
+def q_clu_kmeans_sweep(spark, sf):
+    e = FX.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    labels, _ = C.kmeans_sweep(e, "embedding")
+    return labels.select("vec_id", F.col("cluster").cast("long").alias("cluster"))
+
+
+@query("clu_select")
+def q_clu_select(spark, sf):
+    c = FX.fx_clusters(spark, sf)
+    km = C.silhouette(c, "vec_id", "embedding", "cluster").crossJoin(C.davies_bouldin(c, "embedding", "cluster"))
+    d = C.drop_small(c, "cluster", 3)
+    dens = C.silhouette(d, "vec_id", "embedding", "cluster").crossJoin(
+        d.where(F.col("cluster") >= 0).agg(F.countDistinct("cluster").alias("n_clusters")))
+    return C.select_method(km, dens, "auto")
