@@ -45,3 +45,20 @@ def half_up_div(num: Column, den: Column) -> Column:
 def round_half_up(c: Column, digits: int) -> Column:
     """Decimal half-up rounding of a double (through decimal, as the oracle does)."""
     return F.round(c.cast("decimal(38,18)"), digits).cast("double")
+
+
+def global_rank(df: DataFrame, order: Column, out: str = "_grank", partitions: int | None = None) -> DataFrame:
+    """Exact 1-based rank in a total ``order`` without a global window: range partitioning
+    puts equal keys in one partition, each partition is sorted, and partition offsets
+    (one row per partition) are added to the in-partition positions."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    d = (df.withColumn("_ok", order).repartitionByRange(n, "_ok").sortWithinPartitions("_ok")
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    # ids increase by 1 inside a partition: position = id - first id of the partition
+    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (d.join(F.broadcast(offs), "_pid")  # one row per partition
+            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
+            .drop("_ok", "_pid", "_mid", "_m0", "_off"))

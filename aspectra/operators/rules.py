@@ -93,11 +93,14 @@ def rule_table(kt: DataFrame, weights: DataFrame, departments: DataFrame) -> Dat
 
 def build_rules(kpis: DataFrame, departments: DataFrame, synonyms: DataFrame,
                 hints: Sequence[tuple[str, str]] = L.DEPARTMENT_HINTS, synonym_weight: float = 0.45):
-    """R1–R4 together: (rules, weights) — rules one row per KPI, weights one row per keyword."""
-    kt = kpi_tokens(kpis)
-    w = keyword_weights(kt, synonyms, synonym_weight)
+    """R1–R4 together: (rules, weights) — rules one row per KPI, weights one row per keyword.
+
+    The rule dimension is small and used by many branches, so its pieces are
+    checkpointed (reliably, to the shared checkpoint folder) to cut the lineage."""
+    kt = kpi_tokens(kpis).checkpoint()
+    w = keyword_weights(kt, synonyms, synonym_weight).checkpoint()
     dep = infer_department(kt, hints, departments)
-    return rule_table(kt, w, dep), w
+    return rule_table(kt, w, dep).checkpoint(), w
 
 
 def match_rules(phrases: DataFrame, phrase_col: str, rules: DataFrame, weights: DataFrame) -> DataFrame:

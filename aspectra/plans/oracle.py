@@ -591,3 +591,94 @@ dn AS (SELECT (SELECT silhouette FROM {silhouette_sql('(SELECT * FROM dd)')}) AS
               (SELECT count(DISTINCT cluster) FROM dd) AS n),
 j AS (SELECT ks < 0.25 OR kd > 1.0 AS switched, ds, n FROM km, dn)
 SELECT CASE WHEN switched AND n > 2 AND ds >= 0.2 THEN 'density' ELSE 'kmeans' END AS method, switched FROM j""")
+
+
+# ---------------------------------------------------------------------------
+# M
+# ---------------------------------------------------------------------------
+_TRN = f"""{_RULES},
+seed AS (SELECT trim(c) AS phrase, kpi, department, -1 AS cluster, kpi_rank * 10 + i - 1 AS seq FROM (
+           SELECT kpi, kpi_rank, department, unnest(cand) AS c, generate_subscripts(cand, 1) AS i FROM (
+             SELECT kpi, kpi_rank, department, [array_to_string(tokens, ' ')] || keywords[1:3] AS cand FROM rules))
+         WHERE trim(c) <> ''),
+fxc AS {FXC},
+ann AS (SELECT fxc.vec_id, fxc.phrase, fxc.cluster, best.kpi AS domain_kpi, best.department AS domain_department,
+               best.confidence AS domain_confidence FROM fxc JOIN best USING (phrase)
+        WHERE best.confidence >= 0.5 AND fxc.cluster >= 0),
+rulet AS (SELECT phrase, domain_kpi AS kpi, domain_department AS department, cluster, vec_id AS seq FROM ann
+          WHERE domain_confidence >= 0.7),
+kc AS (SELECT cluster, domain_kpi AS v, count(*) AS n FROM ann GROUP BY ALL),
+dc AS (SELECT cluster, domain_department AS v, count(*) AS n FROM ann GROUP BY ALL),
+clus AS (SELECT 'cluster_' || k.cluster || '_centroid' AS phrase, k.v AS kpi, d.v AS department, k.cluster,
+                k.cluster AS seq
+         FROM (SELECT * FROM kc QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, v) = 1) k
+         JOIN (SELECT * FROM dc QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, v) = 1) d USING (cluster)),
+cids AS (SELECT DISTINCT cluster AS alt FROM fxc WHERE cluster >= 0),
+neg AS (SELECT phrase || '__neg_' || alt AS phrase, '__noise__' AS kpi, 'Unknown' AS department, alt AS cluster,
+               vec_id AS seq FROM (
+          SELECT ann.phrase, ann.vec_id, cids.alt FROM ann JOIN cids ON cids.alt <> ann.cluster
+          QUALIFY row_number() OVER (PARTITION BY ann.phrase, ann.cluster, ann.vec_id
+                                     ORDER BY md5(ann.phrase || '|' || cids.alt || '|42')) = 1)),
+un AS (SELECT *, 0 AS source_rank FROM seed UNION ALL SELECT *, 1 FROM rulet UNION ALL SELECT *, 2 FROM clus
+       UNION ALL SELECT *, 3 FROM neg),
+dd AS (SELECT * FROM un QUALIFY row_number() OVER (PARTITION BY phrase, kpi, cluster ORDER BY source_rank, seq) = 1),
+st AS (SELECT count(*) AS n, count(DISTINCT kpi) AS k, CASE WHEN count(*) >= 40 THEN 0.25 ELSE 0.2 END AS f FROM dd),
+mc AS (SELECT min(c) AS minc FROM (SELECT count(*) AS c FROM dd GROUP BY kpi)),
+sp AS (SELECT dd.*, CASE WHEN st.n <= 4 OR st.k <= 1 THEN NULL
+         WHEN mc.minc >= 2 THEN row_number() OVER (PARTITION BY kpi ORDER BY md5(phrase || '|' || kpi || '|' || cluster || '|42'))
+                                <= floor(count(*) OVER (PARTITION BY kpi) * st.f + 0.5)
+         ELSE row_number() OVER (ORDER BY md5(phrase || '|' || kpi || '|' || cluster || '|42')) <= floor(st.n * st.f + 0.5)
+         END AS is_test FROM dd, st, mc)"""
+
+oracle("trn_seed", f"WITH {_TRN} SELECT phrase, kpi, department, CAST(cluster AS BIGINT) AS cluster, CAST(seq AS BIGINT) AS seq FROM seed")
+oracle("trn_rule", f"WITH {_TRN} SELECT phrase, kpi, department, CAST(cluster AS BIGINT) AS cluster, CAST(seq AS BIGINT) AS seq FROM rulet")
+oracle("trn_cluster", f"WITH {_TRN} SELECT phrase, kpi, department, CAST(cluster AS BIGINT) AS cluster FROM clus")
+oracle("trn_negatives", f"WITH {_TRN} SELECT phrase, kpi, department, CAST(cluster AS BIGINT) AS cluster, CAST(seq AS BIGINT) AS seq FROM neg")
+oracle("trn_union_dedup", f"""WITH {_TRN} SELECT phrase, kpi, department, CAST(cluster AS BIGINT) AS cluster,
+  CAST(source_rank AS BIGINT) AS source_rank FROM dd""")
+oracle("feat_label_index", f"WITH {_TRN} SELECT kpi, CAST(dense_rank() OVER (ORDER BY kpi) - 1 AS BIGINT) AS label_index "
+                           f"FROM (SELECT DISTINCT kpi FROM dd)")
+oracle("feat_split", f"WITH {_TRN} SELECT phrase, kpi, CAST(cluster AS BIGINT) AS cluster, is_test FROM sp")
+oracle("feat_weights", f"""WITH {_TRN}, tr AS (SELECT kpi, count(*) AS cnt FROM sp WHERE NOT coalesce(is_test, FALSE) GROUP BY kpi)
+SELECT kpi, round(sum(cnt) OVER () / (count(*) OVER () * cnt), 6) AS weight FROM tr""")
+oracle("feat_concat", f"""
+WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, cluster FROM {FXC}),
+cen AS (SELECT cluster, c[1:48] AS c FROM {_CEN}),
+j AS (SELECT f.vec_id, f.e, coalesce(cen.c, f.e) AS c FROM f LEFT JOIN cen USING (cluster)),
+x AS (SELECT vec_id, e || CASE WHEN len(c) = len(e) THEN c
+                               ELSE list_transform(range(len(e)), lambda i: c[(i % len(c)) + 1]) END AS feat FROM j)
+SELECT vec_id, CAST(generate_subscripts(feat, 1) - 1 AS BIGINT) AS dim, round(unnest(feat), 6) AS value FROM x""")
+
+_PP = "(SELECT doc_id, CAST(quality AS BIGINT) AS y_true, CAST(1 - toxic AS BIGINT) AS y_pred FROM labels)"
+oracle("clf_metrics", f"""
+WITH p AS {_PP}, lab AS (SELECT y_true AS l FROM p UNION SELECT y_pred FROM p),
+s AS (SELECT lab.l, (SELECT count(*) FROM p WHERE y_true = lab.l AND y_pred = lab.l) AS tp,
+             (SELECT count(*) FROM p WHERE y_pred = lab.l) AS pc, (SELECT count(*) FROM p WHERE y_true = lab.l) AS tc FROM lab),
+m AS (SELECT tp, tc, CASE WHEN pc > 0 THEN tp / pc ELSE 0.0 END AS pr, CASE WHEN tc > 0 THEN tp / tc ELSE 0.0 END AS rc FROM s)
+SELECT round(sum(tp) / sum(tc), 6) AS accuracy, round(avg(pr), 6) AS precision, round(avg(rc), 6) AS recall,
+       round(avg(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END), 6) AS f1 FROM m""")
+oracle("clf_confusion", f"""
+WITH p AS {_PP}, lab AS (SELECT y_true AS l FROM p UNION SELECT y_pred FROM p)
+SELECT a.l AS y_true, b.l AS y_pred, (SELECT count(*) FROM p WHERE p.y_true = a.l AND p.y_pred = b.l) AS n
+FROM lab a, lab b""")
+oracle("clf_support", f"SELECT y_true AS label, count(*) AS support FROM {_PP} GROUP BY y_true")
+
+_FUSE = f"""{_RULES},
+pr AS (SELECT vec_id, phrase, list_transform(e, lambda v: v / list_sum(e)) AS p FROM (
+         SELECT vec_id, phrase, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM (
+           SELECT vec_id, phrase, CAST(embedding[1:4] AS DOUBLE[]) AS x FROM ph))),
+m AS (SELECT vec_id, phrase, p[4] AS noise, list_position(p[1:3], list_max(p[1:3])) AS bi, p FROM pr),
+mm AS (SELECT m.*, ['Bolt', 'Gear', 'Ring'][bi] AS mk, p[bi] * greatest(0.0, 1 - noise) AS mp FROM m),
+j AS (SELECT mm.vec_id, mm.noise, mm.mk, mm.mp, coalesce(rd.department, 'General') AS mdept,
+             best.kpi AS rk, best.department AS rdept, best.confidence AS r
+      FROM mm LEFT JOIN best USING (phrase) LEFT JOIN (SELECT kpi, department FROM rules) rd ON rd.kpi = mm.mk),
+d AS (SELECT *, r IS NOT NULL AND ((r >= 0.7 AND r >= mp AND r >= 0.5) OR NOT (mp >= 0.6 AND mp >= r)) AS use_rule FROM j),
+e AS (SELECT vec_id, noise, CASE WHEN use_rule THEN rk ELSE mk END AS kpi, CASE WHEN use_rule THEN rdept ELSE mdept END AS department,
+             CASE WHEN r IS NOT NULL THEN greatest(r, mp) ELSE mp END AS prob, use_rule FROM d),
+fz AS (SELECT vec_id, kpi, department, CASE WHEN kpi = '__noise__' THEN least(prob, 0.0) ELSE prob END AS probability,
+              use_rule AND kpi <> '__noise__' AS rule_applied, noise AS noise_probability FROM e)"""
+oracle("fuse_decision", f"""WITH {_FUSE} SELECT vec_id, kpi, department, round(probability, 6) AS probability, rule_applied,
+  round(noise_probability, 6) AS noise_probability,
+  probability >= 0.6 AND kpi <> '__noise__' AND noise_probability < 0.5 AS accepted FROM fz""")
+oracle("fuse_accepted", f"""WITH {_FUSE} SELECT vec_id, kpi, round(probability, 6) AS probability FROM fz
+  WHERE probability >= 0.6 AND kpi <> '__noise__' AND noise_probability < 0.5""")

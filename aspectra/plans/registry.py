@@ -712,3 +712,160 @@ def q_clu_select(spark, sf):
     dens = C.silhouette(d, "vec_id", "embedding", "cluster").crossJoin(
         d.where(F.col("cluster") >= 0).agg(F.countDistinct("cluster").alias("n_clusters")))
     return C.select_method(km, dens, "auto")
+
+
+# ---------------------------------------------------------------------------
+# M: training samples, classifier, fusion
+# ---------------------------------------------------------------------------
+from aspectra.operators import training as M  # noqa: E402
+
+FX_MODEL_CLASSES = ["Bolt", "Gear", "Ring", "__noise__"]   # probs_noise fixture: 4th class is noise
+
+
+def _annotated(spark, sf):
+    """Domain-filtered rows: phrases matching a rule with confidence >= 0.5, cluster >= 0."""
+    rows = FX.fx_clusters(spark, sf).select("vec_id", "phrase", "embedding", "cluster")
+    return R.annotate(rows, "phrase", _matches(spark, sf), 0.5).where(F.col("cluster") >= 0)
+
+
+def _centroids(spark, sf):
+    return C.centroids(FX.fx_clusters(spark, sf), "embedding", "cluster")
+
+
+def _samples(spark, sf):
+    rules, _ = _rules(spark, sf)
+    ann = _annotated(spark, sf)
+    cen = _centroids(spark, sf)
+    return (M.seed_samples(rules), M.rule_samples(ann, "vec_id", 0.7), M.cluster_samples(ann, cen),
+            M.negative_samples(ann, cen, "vec_id", 42))
+
+
+def _training_table(spark, sf):
+    seed, rule, clus, neg = _samples(spark, sf)
+    u = M.union_dedup(seed, rule, clus, neg)
+    cen = _centroids(spark, sf).select(F.col("cluster").cast("int").alias("cluster"), "centroid")
+    emb = FX.table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("_e"))
+    u = u.join(cen, "cluster", "left").join(emb, "seq", "left")
+    e = (F.when(F.col("source_rank") == 0, V.hashed_vector("phrase", 64))
+         .when(F.col("source_rank") == 2, F.col("centroid"))
+         .otherwise(F.transform("_e", lambda x: x.cast("double"))))
+    c = F.when(F.col("source_rank") == 0, e).otherwise(F.coalesce(F.col("centroid"), e))
+    u = u.withColumn("emb", e).withColumn("cen", c)
+    return u.withColumn("features", M.concat_features("emb", "cen")).drop("_e", "centroid")
+
+
+@query("trn_seed")
+def q_trn_seed(spark, sf):
+    return _samples(spark, sf)[0].select("phrase", "kpi", "department", F.col("cluster").cast("long"), "seq")
+
+
+@query("trn_rule")
+def q_trn_rule(spark, sf):
+    return _samples(spark, sf)[1].select("phrase", "kpi", "department", F.col("cluster").cast("long"), "seq")
+
+
+@query("trn_cluster")
+def q_trn_cluster(spark, sf):
+    return _samples(spark, sf)[2].select("phrase", "kpi", "department", F.col("cluster").cast("long"))
+
+
+@query("trn_negatives")
+def q_trn_negatives(spark, sf):
+    return _samples(spark, sf)[3].select("phrase", "kpi", "department", F.col("cluster").cast("long"), "seq")
+
+
+def _union(spark, sf):
+    return M.union_dedup(*_samples(spark, sf))
+
+
+@query("trn_union_dedup")
+def q_trn_union_dedup(spark, sf):
+    return _union(spark, sf).select("phrase", "kpi", "department", F.col("cluster").cast("long"),
+                                    F.col("source_rank").cast("long"))
+
+
+@query("feat_concat")
+def q_feat_concat(spark, sf):
+    c = FX.fx_clusters(spark, sf).select("vec_id", "embedding", "cluster")
+    cen = _centroids(spark, sf).select("cluster", F.slice("centroid", 1, 48).alias("centroid"))
+    j = c.join(F.broadcast(cen), "cluster", "left")  # one row per cluster
+    feats = M.concat_features("embedding", F.coalesce(F.col("centroid"), F.array().cast("array<double>")))
+    return j.select("vec_id", F.posexplode(feats).alias("dim", "v")).select(
+        "vec_id", F.col("dim").cast("long"), F.round("v", 6).alias("value"))
+
+
+@query("feat_label_index")
+def q_feat_label_index(spark, sf):
+    return M.label_index(_union(spark, sf), "kpi")
+
+
+def _split(spark, sf):
+    return M.split(_union(spark, sf), ["phrase", "kpi", "cluster"], "kpi", 42)
+
+
+@query("feat_split")
+def q_feat_split(spark, sf):
+    return _split(spark, sf).select("phrase", "kpi", F.col("cluster").cast("long"), "is_test")
+
+
+@query("feat_weights")
+def q_feat_weights(spark, sf):
+    tr = _split(spark, sf).where(~F.coalesce(F.col("is_test"), F.lit(False)))
+    return M.class_weights(tr, "kpi").select("kpi", F.round("weight", 6).alias("weight"))
+
+
+@query("clf_train_select")
+def q_clf_train_select(spark, sf):
+    model, labels, s = M.train_classifier(_training_table(spark, sf), "features", "kpi", 42)
+    test = s.where(F.coalesce(F.col("is_test"), F.lit(True)))
+    pred = model.transform(test).select("phrase", "kpi", F.col("prediction").cast("long").alias("pred_index"))
+    return pred.join(F.broadcast(labels.select(F.col("label_index").alias("pred_index"),
+                                               F.col("kpi").alias("predicted"))), "pred_index").drop("pred_index")
+
+
+@query("clf_metrics")
+def q_clf_metrics(spark, sf):
+    m = M.macro_metrics(FX.pred_pairs(spark, sf))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query("clf_confusion")
+def q_clf_confusion(spark, sf):
+    return M.confusion(FX.pred_pairs(spark, sf)).select("y_true", "y_pred", F.col("n").cast("long"))
+
+
+@query("clf_support")
+def q_clf_support(spark, sf):
+    return M.support(FX.pred_pairs(spark, sf), "y_true")
+
+
+@query("clf_proba")
+def q_clf_proba(spark, sf):
+    t = _training_table(spark, sf)
+    model, labels, _ = M.train_classifier(t, "features", "kpi", 42)
+    p = M.class_probabilities(model, t.select("phrase", "kpi", "cluster", "features"), "features", labels)
+    return p.select("phrase", "kpi", F.col("cluster").cast("long"),
+                    F.posexplode("probs").alias("class_index", "probability")).select(
+        "phrase", "kpi", "cluster", F.col("class_index").cast("long"), F.round("probability", 6).alias("probability"))
+
+
+def _fused(spark, sf):
+    ph = FX.phrases(spark, sf).select("vec_id", "phrase", "embedding")
+    m = _matches(spark, sf).select("phrase", F.col("kpi").alias("rule_kpi"), F.col("department").alias("rule_dept"),
+                                   F.col("confidence").alias("rule_conf"))
+    rows = ph.join(m, "phrase", "left").withColumn("probs", E.softmax(F.slice("embedding", 1, 4)))
+    rules, _ = _rules(spark, sf)
+    return M.fuse(rows, "probs", FX_MODEL_CLASSES, "rule_kpi", "rule_dept", "rule_conf", rules.select("kpi", "department"))
+
+
+@query("fuse_decision")
+def q_fuse_decision(spark, sf):
+    f = _fused(spark, sf)
+    return f.select("vec_id", "kpi", "department", F.round("probability", 6).alias("probability"), "rule_applied",
+                    F.round("noise_probability", 6).alias("noise_probability"), "accepted")
+
+
+@query("fuse_accepted")
+def q_fuse_accepted(spark, sf):
+    f = _fused(spark, sf).where("accepted")
+    return f.select("vec_id", "kpi", F.round("probability", 6).alias("probability"))
