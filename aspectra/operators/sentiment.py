@@ -168,3 +168,44 @@ def attach_verdict(aspects: DataFrame, verdicts: DataFrame, keys: Sequence[str],
     return j.drop(*[f"_v_{k}" for k in keys]).withColumn(
         "review_confidence", F.round(F.col("review_confidence"), 3)).withColumn(
         "aggregation_method", F.lit(method))
+
+
+# ---------------------------------------------------------------------------
+# E1 built-in scorer, E6 whole-review sentiment, E10 aspect table
+# ---------------------------------------------------------------------------
+
+def lexicon_logits(text, positive, negative, n_classes: int = 5) -> Column:
+    """E1 built-in scorer: net = #positive - #negative words (lower-case letter runs),
+    clipped to the star range; class k (1-based) gets logit -|net - (k - centre)|, so the
+    argmax star is centre + net.  Counting stays inside the row (hash-set lookups)."""
+    from aspectra import lexicons as L
+    toks = F.regexp_extract_all(F.lower(_c(text)), F.lit(r"\p{L}+"), 0)
+    pos = F.size(F.filter(toks, lambda t: L.in_words(t, list(positive))))
+    neg = F.size(F.filter(toks, lambda t: L.in_words(t, list(negative))))
+    half = (n_classes - 1) // 2
+    net = F.least(F.lit(half), F.greatest(F.lit(-half), pos - neg))
+    return F.array(*[(-F.abs(net - (k - half))).cast("double") for k in range(n_classes)])
+
+
+def review_sentiment(df: DataFrame, text_col: str, logits_col: str) -> DataFrame:
+    """Blank text -> ('EMPTY', 0.0); else 5-class stars -> NEGATIVE / NEUTRAL / POSITIVE
+    with the max probability rounded to 4."""
+    p = softmax(logits_col)
+    stars = argmax_index(p) + 1
+    lab = F.upper(stars5_label(stars))
+    blank = F.trim(F.col(text_col)) == ""
+    return (df.withColumn("sentiment", F.when(blank, F.lit("EMPTY")).otherwise(lab))
+            .withColumn("confidence", F.when(blank, F.lit(0.0)).otherwise(F.round(F.array_max(p), 4))))
+
+
+def score_aspects(aspects: DataFrame, snippet_col: str, logits_col: str, five_class: bool = True) -> DataFrame:
+    """E2–E4 on aspect snippets: Aspect_Sentiment, Confidence_Sentiment (rounded 3), Stars."""
+    p = softmax(logits_col)
+    idx = argmax_index(p)
+    if five_class:
+        stars, lab = idx + 1, stars5_label(idx + 1)
+    else:
+        stars, lab = idx + 1, class3_label(idx)
+    return (aspects.withColumn("Aspect_Sentiment", lab)
+            .withColumn("Confidence_Sentiment", F.round(F.array_max(p), 3))
+            .withColumn("Stars", stars.cast("long")))

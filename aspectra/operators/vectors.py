@@ -226,9 +226,10 @@ def pca_reduce(df: DataFrame, vec_col: str, target_dim: int = 50, out: str = "re
 # ---------------------------------------------------------------------------
 
 def nearest_keyword(aspects: DataFrame, aspect_vec: str, keywords: DataFrame, kw_pos: str, kw_vec: str,
-                    max_keywords: int = 200_000) -> DataFrame:
-    """V7: argmax cosine over the keyword catalogue (first keyword on ties);
-    adds ``kw_index`` (the catalogue position) and ``cosine_similarity`` (unrounded).
+                    max_keywords: int = 200_000, tie_decimals: int = 12) -> DataFrame:
+    """V7: argmax cosine over the keyword catalogue (first keyword on ties; similarities
+    equal to ``tie_decimals`` decimals are ties, so summation order cannot pick the
+    winner); adds ``kw_index`` (the catalogue position) and ``cosine_similarity``.
 
     The catalogue is a dimension: its size is checked, then it is shipped once per
     executor as a broadcast matrix; aspect rows stream through Arrow batches."""
@@ -253,7 +254,7 @@ def nearest_keyword(aspects: DataFrame, aspect_vec: str, keywords: DataFrame, kw
                 continue
             a = _unit_matrix(list(pdf[aspect_vec]))
             s = a @ m.T
-            best = np.argmax(s, axis=1)  # first maximum = first keyword on ties
+            best = np.argmax(np.round(s, tie_decimals), axis=1)  # first maximum = first keyword on ties
             pdf["kw_index"] = pos[best]
             pdf["cosine_similarity"] = s[np.arange(len(best)), best]
             yield pdf

@@ -186,3 +186,18 @@ def pred_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lb = table(spark, sf_dir, "labels")
     return lb.select(F.col("doc_id"), F.col("quality").cast("long").alias("y_true"),
                      (1 - F.col("toxic")).cast("long").alias("y_pred"))
+
+
+# Sentiment word lists of the built-in lexicon scorer (E1): words that occur in the
+# driver documents, and, for the catalogue aspect chain, catalogue adjectives.
+FX_POSITIVE = frozenset("best good great excellent nice love perfect amazing".split())
+FX_NEGATIVE = frozenset("idiot trash worthless moron pathetic stupid loser disgusting hate awful terrible worst".split())
+FX_ASPECT_POSITIVE = frozenset("new promo large".split())
+FX_ASPECT_NEGATIVE = frozenset("old economy small".split())
+
+
+def orders_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order reviews with the customer as organisation (ID, ORGANIZATION_ID, text)."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_key"),
+                                              F.col("o_custkey").alias("organization_id"))
+    return order_reviews(spark, sf_dir).join(o, "review_key", "left")

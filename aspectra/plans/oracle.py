@@ -682,3 +682,149 @@ oracle("fuse_decision", f"""WITH {_FUSE} SELECT vec_id, kpi, department, round(p
   probability >= 0.6 AND kpi <> '__noise__' AND noise_probability < 0.5 AS accepted FROM fz""")
 oracle("fuse_accepted", f"""WITH {_FUSE} SELECT vec_id, kpi, round(probability, 6) AS probability FROM fz
   WHERE probability >= 0.6 AND kpi <> '__noise__' AND noise_probability < 0.5""")
+
+
+# ---------------------------------------------------------------------------
+# E1, E6, E10, G, S8
+# ---------------------------------------------------------------------------
+
+
+def lexicon_star_sql(text: str, pos, neg) -> str:
+    """(net, stars, confidence) columns of the built-in lexicon scorer."""
+    toks = f"regexp_extract_all(lower({text}), '\\p{{L}}+')"
+    net = (f"least(2, greatest(-2, len(list_filter({toks}, lambda t: {in_list('t', pos)})) - "
+           f"len(list_filter({toks}, lambda t: {in_list('t', neg)}))))")
+    return net
+
+
+def _softmax_max(net: str) -> str:
+    terms = " + ".join(f"exp(-abs({net} - ({k})) + abs({net} - {net}))" for k in range(-2, 3))
+    return f"(1.0 / ({terms}))"
+
+
+oracle("sent_lexicon_score", f"""SELECT review_key, CAST(net + 3 AS BIGINT) AS stars, round({_softmax_max('net')}, 6) AS confidence
+FROM (SELECT doc_id AS review_key, {lexicon_star_sql('text', FX.FX_POSITIVE, FX.FX_NEGATIVE)} AS net FROM documents)""")
+
+_ALL_LIGHT_TOKENS = (f"SELECT doc_id, CASE WHEN lt = '' THEN []::VARCHAR[] ELSE string_split(lt, ' ') END AS tk "
+                     f"FROM (SELECT doc_id, {_LIGHT} AS lt FROM documents)")
+oracle("sent_review", f"""
+WITH s AS ({_spell(_ALL_LIGHT_TOKENS, 2, 'dist, freq DESC, term', 'text')}),
+n AS (SELECT review_key, text, {lexicon_star_sql('text', FX.FX_POSITIVE, FX.FX_NEGATIVE)} AS net FROM s)
+SELECT review_key, text,
+  CASE WHEN trim(text) = '' THEN 'EMPTY' WHEN net + 3 <= 2 THEN 'NEGATIVE' WHEN net + 3 = 3 THEN 'NEUTRAL' ELSE 'POSITIVE' END
+    AS sentiment,
+  CASE WHEN trim(text) = '' THEN 0.0 ELSE round({_softmax_max('net')}, 4) END AS confidence FROM n""")
+
+_ASP = f"""(
+WITH c AS (SELECT review_key, clause_pos, phrase,
+                  CASE WHEN len(string_split_regex(trim(clause), '\\s+')) > 48
+                       THEN array_to_string(string_split_regex(trim(clause), '\\s+')[1:48], ' ') || ' ...'
+                       ELSE array_to_string(string_split_regex(trim(clause), '\\s+'), ' ') END AS snippet
+           FROM {ORDER_CHUNKS} WHERE length(phrase) > 2 AND NOT {in_list('phrase', L.STOP_ASPECTS)}),
+a AS (SELECT review_key, phrase, snippet, min(clause_pos) AS first FROM c GROUP BY ALL)
+SELECT review_key, row_number() OVER (PARTITION BY review_key ORDER BY first) - 1 AS aspect_pos,
+       phrase AS aspect_phrase, snippet AS aspect_snippet FROM a)"""
+
+oracle("rep_counts", f"""SELECT (SELECT count(*) FROM {ORDER_REVIEWS}) AS reviews_in, count(*) AS aspect_rows,
+  count(DISTINCT review_key) AS reviews_with_aspects FROM {_ASP}""")
+
+
+def _hashed(src: str) -> str:
+    """Sparse hashed vectors (phrase, bucket, w) of the distinct phrases in ``src``(phrase)."""
+    return f"""(WITH p AS (SELECT DISTINCT phrase FROM {src}),
+g AS (SELECT phrase, unnest(list_transform(range(1, length(phrase) - 1), lambda i: substr(phrase, i, 3))) AS gram FROM p),
+b AS (SELECT phrase, ('0x' || substr(md5(gram), 1, 8))::BIGINT % 64 AS bucket, count(*) AS c FROM g GROUP BY ALL),
+n AS (SELECT phrase, sqrt(sum(c * c)) AS nrm FROM b GROUP BY phrase)
+SELECT b.phrase, b.bucket, c / nrm AS w FROM b JOIN n USING (phrase))"""
+
+
+_MAPDIM = """(SELECT keyword, min(pos) AS pos, arg_max(KPI_ID, pos) AS KPI_ID, arg_max(KPI_NAME, pos) AS KPI_NAME,
+       arg_max(DEPARTMENT_ID, pos) AS DEPARTMENT_ID, arg_max(DEPARTMENT_NAME, pos) AS DEPARTMENT_NAME FROM (
+  SELECT lower(trim(CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE ' ' || p_name || ' ' END)) AS keyword,
+         p_partkey AS pos, p_partkey AS KPI_ID, p_brand AS KPI_NAME, CAST(p_size AS BIGINT) AS DEPARTMENT_ID,
+         p_type AS DEPARTMENT_NAME FROM part) GROUP BY keyword)"""
+
+oracle("aspect_table", f"""
+WITH orv AS (SELECT r.review_key, r.text, o.o_custkey AS org FROM {ORDER_REVIEWS} r
+             LEFT JOIN orders o ON o.o_orderkey = r.review_key),
+asp AS (SELECT a.*, orv.text, orv.org FROM {_ASP} a JOIN orv USING (review_key)),
+kd AS {_MAPDIM},
+kv AS {_hashed('(SELECT keyword AS phrase FROM kd)')},
+av AS {_hashed('(SELECT aspect_phrase AS phrase FROM asp)')},
+sims AS (SELECT av.phrase AS ap, kd.pos, sum(av.w * kv.w) AS sim FROM av JOIN kv USING (bucket)
+         JOIN kd ON kd.keyword = kv.phrase GROUP BY ALL),
+allp AS (SELECT DISTINCT aspect_phrase AS ap FROM asp),
+cand AS (SELECT allp.ap, kd.pos, coalesce(sims.sim, 0.0) AS sim FROM allp CROSS JOIN kd
+         LEFT JOIN sims ON sims.ap = allp.ap AND sims.pos = kd.pos),
+best AS (SELECT ap, pos, sim FROM cand QUALIFY row_number() OVER (PARTITION BY ap ORDER BY round(sim, 12) DESC, pos) = 1),
+m AS (SELECT asp.*, kd.keyword AS Matched_Keyword, best.sim, kd.KPI_ID, kd.KPI_NAME, kd.DEPARTMENT_ID, kd.DEPARTMENT_NAME
+      FROM asp JOIN best ON best.ap = asp.aspect_phrase JOIN kd ON kd.pos = best.pos),
+sc AS (SELECT m.*, {lexicon_star_sql('aspect_snippet', FX.FX_ASPECT_POSITIVE, FX.FX_ASPECT_NEGATIVE)} AS net FROM m),
+sa AS (SELECT *, CASE WHEN net + 3 <= 2 THEN 'Negative' WHEN net + 3 = 3 THEN 'Neutral' ELSE 'Positive' END AS Aspect_Sentiment,
+              round({_softmax_max('net')}, 3) AS Confidence_Sentiment, CAST(net + 3 AS BIGINT) AS Stars FROM sc),
+g AS (SELECT review_key, trim(text) AS tx, count(*) AS n,
+        count(*) FILTER (WHERE Aspect_Sentiment = 'Positive') AS npos, count(*) FILTER (WHERE Aspect_Sentiment = 'Negative') AS nneg,
+        count(*) FILTER (WHERE Aspect_Sentiment = 'Neutral') AS nneu,
+        CAST(sum(CASE WHEN Aspect_Sentiment = 'Positive' THEN CAST(round(Confidence_Sentiment * 1000) AS BIGINT) ELSE 0 END) AS BIGINT) AS spos,
+        CAST(sum(CASE WHEN Aspect_Sentiment = 'Negative' THEN CAST(round(Confidence_Sentiment * 1000) AS BIGINT) ELSE 0 END) AS BIGINT) AS sneg
+      FROM sa GROUP BY ALL),
+h AS (SELECT *, (npos + nneg) * 5 >= n * 3 AS polar FROM g),
+w AS (SELECT *, CASE WHEN polar THEN greatest(npos, nneg) ELSE greatest(npos, nneg, nneu) END AS mx FROM h),
+x AS (SELECT *, npos = mx AS wpos, nneg = mx AS wneg, (NOT polar AND nneu = mx) AS wneu, spos * nneg AS lhs, sneg * npos AS rhs FROM w),
+v AS (SELECT review_key, tx,
+  CASE WHEN wpos::INT + wneg::INT + wneu::INT = 1 THEN CASE WHEN wpos THEN 'Positive' WHEN wneg THEN 'Negative' ELSE 'Neutral' END
+       WHEN wpos AND wneg AND NOT wneu THEN CASE WHEN lhs > rhs THEN 'Positive' WHEN rhs > lhs THEN 'Negative' ELSE 'Neutral' END
+       ELSE 'Neutral' END AS rs,
+  CASE WHEN wpos::INT + wneg::INT + wneu::INT = 1 THEN 1.0
+       WHEN wpos AND wneg AND NOT wneu THEN CASE WHEN lhs > rhs THEN ((2 * spos + npos) // (2 * npos)) / 1000.0
+                                                 WHEN rhs > lhs THEN ((2 * sneg + nneg) // (2 * nneg)) / 1000.0 ELSE 0.5 END
+       ELSE 0.5 END::DOUBLE AS rc FROM x)
+SELECT sa.review_key AS REVIEW_ID, CAST(sa.org AS VARCHAR) AS ORGANIZATION_ID, trim(sa.text) AS Original_Review,
+  sa.aspect_phrase AS N_gram, sa.Matched_Keyword, round(sa.sim, 4) AS Cosine_Similarity, CAST(sa.KPI_ID AS VARCHAR) AS KPI_ID,
+  sa.KPI_NAME AS KPI_Name, CAST(sa.DEPARTMENT_ID AS VARCHAR) AS Department_ID, sa.DEPARTMENT_NAME AS Department_Name,
+  sa.aspect_phrase AS Aspect_Phrase, sa.aspect_snippet AS Aspect_Snippet, sa.Aspect_Sentiment, sa.Confidence_Sentiment,
+  sa.Stars, 'LexiconScorer(aspect-first)' AS Sentiment_Source, v.rs AS Review_Sentiment, round(v.rc, 3) AS Review_Confidence,
+  'MajorityVote+TieBreak+NeutralFix' AS Aggregation_Method
+FROM sa JOIN v ON v.review_key = sa.review_key AND v.tx = trim(sa.text)""")
+
+_ASSIGN = f"""{_FUSE},
+acc AS (SELECT fz.vec_id, fz.kpi, fz.department, fz.probability, fz.rule_applied, c.phrase, c.cluster,
+               list_filter(string_split(c.phrase, ' '), lambda t: {in_list('t', FX.FX_FUNCTIONAL)}) AS sents,
+               len(list_filter(string_split_regex(trim(c.phrase), '\\s+'), lambda w: NOT {in_list('w', FX.FX_GENERIC)})) = 0
+                 AS is_generic
+        FROM fz JOIN {FXC} c USING (vec_id)
+        WHERE fz.probability >= 0.6 AND fz.kpi <> '__noise__' AND fz.noise_probability < 0.5),
+lb AS (SELECT b.cluster, array_to_string(list_transform(string_split(
+         CASE WHEN nouns <> '' THEN nouns ELSE lower(phrase) END, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label
+       FROM (SELECT cluster, phrase, array_to_string(list_filter(ns, lambda t, i: list_position(ns, t) = i), ' ') AS nouns FROM (
+         SELECT cluster, phrase, list_filter(string_split(lower(phrase), ' '), lambda t: NOT {in_list('t', _NONNOUN)}) AS ns FROM (
+           SELECT cluster, phrase FROM {_SCORED} WHERE cluster >= 0
+           QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, length(phrase) DESC, phrase) = 1))) b
+       UNION ALL SELECT DISTINCT cluster, 'Noise' FROM {FXC} WHERE cluster = -1),
+cr AS (SELECT acc.cluster AS cluster_id, coalesce(lb.label, 'Cluster ' || acc.cluster) AS label,
+              1.0 - sum(CASE WHEN NOT is_generic THEN 1 ELSE 0 END) / greatest(count(*), 1) AS generic_ratio,
+              count(*) AS n_keywords FROM acc LEFT JOIN lb ON lb.cluster = acc.cluster GROUP BY ALL),
+kr AS (SELECT acc.*, row_number() OVER (PARTITION BY cluster ORDER BY probability DESC, phrase) AS rank FROM acc)"""
+
+oracle("rep_clusters", f"""WITH {_ASSIGN} SELECT CAST(cluster_id AS BIGINT) AS cluster_id, label,
+  round(generic_ratio, 6) AS generic_ratio, n_keywords FROM cr""")
+oracle("sink_json_roundtrip", f"""WITH {_ASSIGN} SELECT CAST(cr.cluster_id AS BIGINT) AS cluster_id, cr.label,
+  round(cr.generic_ratio, 6) AS generic_ratio, cr.n_keywords, kr.phrase AS top_phrase
+  FROM cr LEFT JOIN kr ON kr.cluster = cr.cluster_id AND kr.rank = 1""")
+oracle("rep_cluster_top15", f"""WITH {_ASSIGN} SELECT CAST(cluster AS BIGINT) AS cluster, rank, phrase, kpi, department,
+  round(probability, 6) AS probability, CASE WHEN rule_applied THEN 'RULE' ELSE 'MODEL' END AS source,
+  array_to_string(sents[1:3], ',') AS sentiments FROM kr WHERE rank <= 15""")
+oracle("rep_run_summary", f"""
+WITH {_FUSE},
+ann2 AS (SELECT c.vec_id FROM {FXC} c JOIN best USING (phrase) WHERE best.confidence >= 0.5 AND c.cluster >= 0),
+sz AS (SELECT cluster, count(*) AS size FROM {FXC} GROUP BY cluster),
+cm AS ({ORACLES["clf_metrics"]})
+SELECT round((SELECT silhouette FROM {silhouette_sql(_PTS)}), 6) AS silhouette,
+       round((SELECT davies_bouldin FROM {_DBI}), 6) AS davies_bouldin,
+       cm.precision AS classifier_precision, cm.recall AS classifier_recall, cm.f1 AS classifier_f1,
+       cm.accuracy AS classifier_accuracy,
+       (SELECT count(*) FROM sz WHERE cluster <> -1) AS cluster_count,
+       round((SELECT sum(CASE WHEN cluster = -1 THEN size ELSE 0 END) / sum(size) FROM sz), 6) AS noise_ratio,
+       (SELECT count(*) FROM fz WHERE probability >= 0.6 AND kpi <> '__noise__' AND noise_probability < 0.5)
+         AS total_keywords,
+       (SELECT count(*) FROM ann2) AS retained_candidates, 0.6 AS threshold FROM cm""")

@@ -869,3 +869,108 @@ def q_fuse_decision(spark, sf):
 def q_fuse_accepted(spark, sf):
     f = _fused(spark, sf).where("accepted")
     return f.select("vec_id", "kpi", F.round("probability", 6).alias("probability"))
+
+
+# ---------------------------------------------------------------------------
+# E1, E6, E10, G, S8: scoring, chains, reports
+# ---------------------------------------------------------------------------
+from aspectra.operators import report as G  # noqa: E402
+from aspectra.plans import chains as CH  # noqa: E402
+
+
+@query("sent_lexicon_score")
+def q_sent_lexicon_score(spark, sf):
+    d = FX.documents_reviews(spark, sf).withColumn("lg", E.lexicon_logits("text", FX.FX_POSITIVE, FX.FX_NEGATIVE))
+    p = E.softmax("lg")
+    return d.select("review_key", (E.argmax_index(p) + 1).alias("stars"), F.round(F.array_max(p), 6).alias("confidence"))
+
+
+@query("sent_review")
+def q_sent_review(spark, sf):
+    d = FX.documents_reviews(spark, sf).select("review_key", T.tokens(T.normalize_light("text")).alias("toks"))
+    c = LX.correct_tokens(d, "review_key", "toks", _vocab(spark, sf), 2, prefer="closest")
+    c = c.withColumn("text", F.array_join("corrected", " "))
+    c = c.withColumn("lg", E.lexicon_logits("text", FX.FX_POSITIVE, FX.FX_NEGATIVE))
+    return E.review_sentiment(c, "text", "lg").select("review_key", "text", "sentiment", "confidence")
+
+
+def _mapping_dim(spark, sf):
+    return S.keyword_mapping(_mapping_source(spark, sf), "row_pos")
+
+
+def _aspect_table(spark, sf, **kw):
+    return CH.aspect_table(FX.orders_reviews(spark, sf), _mapping_dim(spark, sf), FX.FX_ADJECTIVES, FX.FX_NOUNS,
+                           FX.FX_ASPECT_POSITIVE, FX.FX_ASPECT_NEGATIVE, **kw)
+
+
+@query("aspect_table")
+def q_aspect_table(spark, sf):
+    return _aspect_table(spark, sf)
+
+
+def _assignments(spark, sf):
+    f = _fused(spark, sf).where("accepted")
+    c = FX.fx_clusters(spark, sf).select("vec_id", "phrase", "cluster")
+    a = f.select("vec_id", "kpi", "department", "probability", "rule_applied").join(c, "vec_id")
+    return (a.withColumn("sentiments", F.filter(F.split("phrase", " "), lambda t: L.in_words(t, FX.FX_FUNCTIONAL)))
+            .withColumn("is_generic", T.generic_phrase("phrase", FX.FX_GENERIC)))
+
+
+def _cluster_records(spark, sf):
+    labels = C.label_clusters(_clusters_scored(spark, sf), "cluster", "phrase", "score", _fx_nouns)
+    return SK.cluster_records(_assignments(spark, sf), labels)
+
+
+@query("rep_clusters")
+def q_rep_clusters(spark, sf):
+    cl, _ = _cluster_records(spark, sf)
+    return cl.select(F.col("cluster_id").cast("long"), "label", F.round("generic_ratio", 6).alias("generic_ratio"),
+                     F.col("n_keywords").cast("long"))
+
+
+@query("rep_cluster_top15")
+def q_rep_cluster_top15(spark, sf):
+    t = G.cluster_top_keywords(_assignments(spark, sf), 15, 3)
+    return t.select(F.col("cluster").cast("long"), "rank", "phrase", "kpi", "department",
+                    F.round("probability", 6).alias("probability"), "source", "sentiments")
+
+
+@query("rep_run_summary")
+def q_rep_run_summary(spark, sf):
+    c = FX.fx_clusters(spark, sf)
+    sizes = C.sizes(c, "cluster").agg(F.max("cluster_count").alias("cluster_count"),
+                                      F.max("noise_ratio").alias("noise_ratio"))
+    acc = _fused(spark, sf).agg(F.count_if("accepted").alias("total_keywords"))
+    ann = _annotated(spark, sf).agg(F.count(F.lit(1)).alias("retained_candidates"))
+    out = G.run_summary({
+        "sil": C.silhouette(c, "vec_id", "embedding", "cluster"),
+        "dbi": C.davies_bouldin(c, "embedding", "cluster"),
+        "clf": M.macro_metrics(FX.pred_pairs(spark, sf)),
+        "sizes": sizes, "acc": acc, "ann": ann})
+    return out.select(
+        F.round("silhouette", 6).alias("silhouette"), F.round("davies_bouldin", 6).alias("davies_bouldin"),
+        F.round("precision", 6).alias("classifier_precision"), F.round("recall", 6).alias("classifier_recall"),
+        F.round("f1", 6).alias("classifier_f1"), F.round("accuracy", 6).alias("classifier_accuracy"),
+        F.col("cluster_count").cast("long"), F.round("noise_ratio", 6).alias("noise_ratio"),
+        F.col("total_keywords").cast("long"), F.col("retained_candidates").cast("long"),
+        F.lit(0.6).alias("threshold"))
+
+
+@query("rep_counts")
+def q_rep_counts(spark, sf):
+    r = FX.order_reviews(spark, sf)
+    a = A.extract_aspects(r, "review_key", "text", FX.FX_ADJECTIVES, FX.FX_NOUNS)
+    return G.processed_counts(r, a, "review_key")
+
+
+@query("sink_json_roundtrip")
+def q_sink_json_roundtrip(spark, sf):
+    cl, kws = _cluster_records(spark, sf)
+    summary = spark.range(1).select(F.lit("aspectra").alias("run_name"))
+    path = SK.write_json_report(summary, cl, kws, SK.scratch_path(spark, "keywords_json"))
+    back = spark.read.schema("cluster_id int, label string, generic_ratio double, n_keywords long").json(f"{path}/clusters")
+    kw = spark.read.schema("cluster_id int, rank long, phrase string").json(f"{path}/keywords")
+    top = kw.where(F.col("rank") == 1).select("cluster_id", F.col("phrase").alias("top_phrase"))
+    return back.join(top, "cluster_id", "left").select(
+        F.col("cluster_id").cast("long"), "label", F.round("generic_ratio", 6).alias("generic_ratio"), "n_keywords",
+        "top_phrase")
