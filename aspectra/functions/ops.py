@@ -62,3 +62,13 @@ def global_rank(df: DataFrame, order: Column, out: str = "_grank", partitions: i
     return (d.join(F.broadcast(offs), "_pid")  # one row per partition
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
             .drop("_ok", "_pid", "_mid", "_m0", "_off"))
+
+
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition on ``key`` when the input has fewer partitions than the cluster's
+    parallelism (a small file in one row group is one task); inputs that are already
+    split are left alone, so large scans pay no extra shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)

@@ -35,11 +35,10 @@ def _c(c) -> Column:
 # ---------------------------------------------------------------------------
 
 def char_grams(c, n: int = 3) -> Column:
-    """Character n-grams (no padding); shorter texts give an empty array."""
-    x = _c(c)
-    k = F.length(x) - n
-    idx = F.when(k >= 0, F.sequence(F.lit(1), k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.substr(x, i, F.lit(n)))
+    """Character n-grams in order (no padding); shorter texts give an empty array.
+    One linear regex pass: a zero-width lookahead captures the next n characters at every
+    position (positional ``substr`` on UTF-8 text would be quadratic on long texts)."""
+    return F.regexp_extract_all(_c(c), F.lit("(?s)(?=(.{%d}))" % n), 1)
 
 
 def gram_bucket(g: Column, dim: int) -> Column:
@@ -279,3 +278,18 @@ def unmapped_counts(thresholded: DataFrame, keyword_col: str) -> DataFrame:
     return thresholded.agg(
         F.count_if(F.col("unmapped_before")).alias("unmapped_before"),
         F.count_if(F.lower(F.col(keyword_col)) == "unmapped").alias("unmapped_after"))
+
+
+def hashed_vectors_table(df: DataFrame, key: str, text_col: str, dim: int = 64, n: int = 3,
+                         out: str = "vector") -> DataFrame:
+    """V1 for long texts: (key, L2-normalised hashed n-gram vector).  Grams are exploded,
+    bucketed in a code-generated projection and counted per (key, bucket) with map-side
+    partial aggregation; at most ``dim`` rows per text reach the final assembly.  (The
+    in-row ``hashed_vector`` suits short phrases.)"""
+    g = df.select(key, F.explode(char_grams(text_col, n)).alias("_g"))
+    c = g.select(key, gram_bucket(F.col("_g"), dim).alias("_b")).groupBy(key, "_b").agg(
+        F.count(F.lit(1)).cast("double").alias("_n"))
+    m = c.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_n"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                        lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("long")), F.lit(0.0)))
+    return m.select(key, l2_normalize(dense).alias(out))

@@ -96,7 +96,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def documents_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    """Documents as reviews; text work per row is heavy, so few input partitions are spread."""
+    from aspectra.functions.ops import spread
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select(
         F.col("doc_id").alias("review_key"),
         F.col("doc_id").alias("review_id"),

@@ -974,3 +974,109 @@ def q_sink_json_roundtrip(spark, sf):
     return back.join(top, "cluster_id", "left").select(
         F.col("cluster_id").cast("long"), "label", F.round("generic_ratio", 6).alias("generic_ratio"), "n_keywords",
         "top_phrase")
+
+
+# ---------------------------------------------------------------------------
+# X: embedding-ranked keywords (re-aimed: hashed-vector relevance)
+# ---------------------------------------------------------------------------
+from aspectra.operators import keyphrases as X  # noqa: E402
+
+KX_MIN_COSINE = 0.6
+
+
+def _kx_docs(spark, sf):
+    """Ingested English documents (the data's language column), source = organisation."""
+    d = FX.documents_reviews(spark, sf).where(F.col("lang") == "en")
+    norm = T.normalize_ws("text")
+    clean = F.array_join(TK.clean_tokens(norm), " ")
+    return d.select("review_key", F.col("organization_id").alias("source_id"),
+                    X.document_text(F.col("text"), norm, clean).alias("document_text"))
+
+
+def _kx_classes(spark, sf):
+    """Tags from the fixture lexicon; senses: the fixture senses plus every frequent English
+    word (the spelling vocabulary) as a one-sense artifact noun."""
+    lex = LX.lexicon_table(spark, FX.fx_token_lexicon_rows())
+    senses = LX.senses_table(spark, FX.FX_SENSES).unionByName(
+        _vocab(spark, sf).select(F.col("term").alias("lemma"), F.lit(1).alias("sense"),
+                                 F.lit("noun.artifact").alias("domain")))
+    return X.WordClasses.from_tables(lex, senses, 2)
+
+
+def _kx_cands(spark, sf):
+    return X.candidate_table(_kx_docs(spark, sf), "review_key", "source_id", "document_text", _kx_classes(spark, sf),
+                             min_cosine=KX_MIN_COSINE)
+
+
+@query("kx_document_text")
+def q_kx_document_text(spark, sf):
+    return _kx_docs(spark, sf).select("review_key", "document_text")
+
+
+@query("kx_candidates")
+def q_kx_candidates(spark, sf):
+    d = _kx_docs(spark, sf)
+    d = d.withColumn("_kept", X.candidate_tokens(F.col("document_text")))
+    return d.select("review_key", F.explode(X.ngrams_of(F.col("_kept"))).alias("phrase"))
+
+
+@query("kx_raw_counts")
+def q_kx_raw_counts(spark, sf):
+    c = _kx_cands(spark, sf)
+    return c.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("kx_rank_candidates")
+def q_kx_rank_candidates(spark, sf):
+    return _kx_cands(spark, sf).select("review_key", "cand_rank", "phrase", F.round("score", 6).alias("score"))
+
+
+@query("kx_reject_reason")
+def q_kx_reject_reason(spark, sf):
+    return _kx_cands(spark, sf).select("review_key", "cand_rank", "phrase", "reason")
+
+
+@query("kx_sentiments")
+def q_kx_sentiments(spark, sf):
+    c = _kx_cands(spark, sf).where(F.col("reason").isNull())
+    return c.select("review_key", "phrase", F.array_join("sentiments", ",").alias("sentiments"))
+
+
+@query("kx_top_per_doc")
+def q_kx_top_per_doc(spark, sf):
+    c = _kx_cands(spark, sf).where("selected")
+    return c.select("review_key", "source_id", "kept_rank", "phrase", F.round("score", 6).alias("score"))
+
+
+@query("kx_doc_freq")
+def q_kx_doc_freq(spark, sf):
+    return X.phrase_frequencies(_kx_cands(spark, sf))
+
+
+def _kx_pruned(spark, sf):
+    c = _kx_cands(spark, sf).checkpoint()  # the top-30 table feeds several outputs
+    n_docs = _kx_docs(spark, sf).count()
+    return c, X.prune(c, X.phrase_frequencies(c), max(n_docs, 1), L.ASPECT_NOUN_WHITELIST | L.HOTEL_DOMAIN_NOUNS), n_docs
+
+
+@query("kx_prune_freq")
+def q_kx_prune_freq(spark, sf):
+    _, p, _ = _kx_pruned(spark, sf)
+    return p.select("review_key", "phrase", "count", "doc_freq", "prune")
+
+
+@query("kx_funnel")
+def q_kx_funnel(spark, sf):
+    c, p, n = _kx_pruned(spark, sf)
+    return X.funnel(c, p, n)
+
+
+@query("kx_drop_examples")
+def q_kx_drop_examples(spark, sf):
+    c, p, _ = _kx_pruned(spark, sf)
+    return X.drop_examples(c, p, 10).select("reason", "rank", "phrase", "n")
+
+
+@query("kx_top_phrases")
+def q_kx_top_phrases(spark, sf):
+    return X.top_phrases(_kx_cands(spark, sf), 10).select("rank", "phrase", "n")
