@@ -36,8 +36,10 @@ def aspect_table(reviews: DataFrame, mapping: DataFrame, adjectives, nouns, posi
         asp = asp.withColumn("ORGANIZATION_ID", F.lit(None).cast("string"))
     cat = mapping.select("keyword", "pos", "KPI_ID", "KPI_NAME", "DEPARTMENT_ID", "DEPARTMENT_NAME",
                          V.hashed_vector("keyword", dim).alias("kv"))
-    asp = asp.withColumn("_av", V.hashed_vector("aspect_phrase", dim))
-    m = V.nearest_keyword(asp, "_av", cat, "pos", "kv").drop("_av")
+    # each distinct phrase is encoded and matched once, then joined back to its aspect rows
+    ph = V.encode_distinct(asp, "aspect_phrase", dim, "_av")
+    best = V.nearest_keyword(ph, "_av", cat, "pos", "kv").drop("_av")
+    m = asp.join(best, "aspect_phrase", "left")
     m = m.join(F.broadcast(cat.drop("kv")), m.kw_index == cat.pos, "left").drop("kw_index", "pos")  # catalogue rows
     m = m.withColumnRenamed("keyword", "Matched_Keyword")
     if threshold is not None:
