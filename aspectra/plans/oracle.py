@@ -828,3 +828,20 @@ SELECT round((SELECT silhouette FROM {silhouette_sql(_PTS)}), 6) AS silhouette,
        (SELECT count(*) FROM fz WHERE probability >= 0.6 AND kpi <> '__noise__' AND noise_probability < 0.5)
          AS total_keywords,
        (SELECT count(*) FROM ann2) AS retained_candidates, 0.6 AS threshold FROM cm""")
+
+
+# ---------------------------------------------------------------------------
+# X (candidate generation; the scored stages have no SQL oracle yet)
+# ---------------------------------------------------------------------------
+_KX_DOC = (f"coalesce(nullif(text, ''), nullif({norm('text')}, ''), "
+           f"nullif(array_to_string({_clean_tokens(norm('text'))}, ' '), ''))")
+oracle("kx_document_text", f"SELECT doc_id AS review_key, {_KX_DOC} AS document_text FROM documents WHERE lang = 'en'")
+oracle("kx_candidates", f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower({_KX_DOC}), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                      lambda t: NOT {in_list('t', L.ENGLISH_STOPWORDS)}) AS k
+           FROM documents WHERE lang = 'en'),
+g AS (SELECT doc_id, unnest(k) AS phrase FROM d
+      UNION ALL SELECT doc_id, unnest(list_transform(range(greatest(len(k) - 1, 0)), lambda i: k[i + 1] || ' ' || k[i + 2])) FROM d
+      UNION ALL SELECT doc_id, unnest(list_transform(range(greatest(len(k) - 2, 0)),
+                                                     lambda i: k[i + 1] || ' ' || k[i + 2] || ' ' || k[i + 3])) FROM d)
+SELECT DISTINCT doc_id AS review_key, phrase FROM g""")
