@@ -34,6 +34,9 @@ def aspect_table(reviews: DataFrame, mapping: DataFrame, adjectives, nouns, posi
         asp = asp.join(org, key, "left")
     else:
         asp = asp.withColumn("ORGANIZATION_ID", F.lit(None).cast("string"))
+    # the aspect rows feed the phrase encoding, the mapping join, the vote and the verdict
+    # join: materialise them once in the shared checkpoint folder
+    asp = asp.checkpoint()
     cat = mapping.select("keyword", "pos", "KPI_ID", "KPI_NAME", "DEPARTMENT_ID", "DEPARTMENT_NAME",
                          V.hashed_vector("keyword", dim).alias("kv"))
     # each distinct phrase is encoded and matched once, then joined back to its aspect rows
@@ -54,7 +57,9 @@ def aspect_table(reviews: DataFrame, mapping: DataFrame, adjectives, nouns, posi
     s = E.score_aspects(m, "aspect_snippet", "_lg", True).drop("_lg")
     s = s.withColumnRenamed("aspect_phrase", "Aspect_Phrase").withColumnRenamed("aspect_snippet", "Aspect_Snippet")
     s = s.withColumn("REVIEW_ID", F.col(key)).withColumn("Original_Review", F.trim(F.col(text_col)))
-    vkeys = ["REVIEW_ID", "Original_Review"]
+    # the review key is (id, text); the text enters shuffles as its md5, not as the long string
+    s = s.withColumn("_text_md5", F.md5(F.col("Original_Review")))
+    vkeys = ["REVIEW_ID", "_text_md5"]
     if top_k_vote:
         verdict = E.vote_topk(s, vkeys, "aspect_pos", top_k_vote, "Aspect_Sentiment", "Confidence_Sentiment")
     else:
