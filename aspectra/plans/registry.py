@@ -8,6 +8,7 @@ compare hashes the same values; vectors are reported per dimension.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,20 @@ from aspectra import lexicons as L
 from aspectra.functions import text as T
 from aspectra.operators import ngrams as N
 from aspectra.plans import fixtures as FX
+from aspectra.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str):
+    """Register a query; the wrapper makes sure the session has its checkpoint folder
+    (the cluster's ``spark.checkpoint.dir``, or a scratch folder only when unset)."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf):
+            checkpoint_dir(spark)
+            return fn(spark, sf)
+        QUERIES[name] = run
         return fn
     return deco
 
