@@ -225,3 +225,11 @@ def test_oracle_sf0001(spark, name):
     import __spark_entry__ as entry
     from tools_check import compare
     assert compare(spark, name, entry, SF001)
+
+
+def test_global_rank_matches_sort(spark):
+    from aspectra.functions.ops import global_rank
+    df = spark.range(0, 997).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("k"))
+    got = {r["id"]: r["_grank"] for r in global_rank(df, F.col("k"), partitions=5).collect()}
+    order = sorted(range(997), key=lambda i: __import__("hashlib").md5(str(i).encode()).hexdigest())
+    assert got == {i: n + 1 for n, i in enumerate(order)}
