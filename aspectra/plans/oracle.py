@@ -845,3 +845,27 @@ g AS (SELECT doc_id, unnest(k) AS phrase FROM d
       UNION ALL SELECT doc_id, unnest(list_transform(range(greatest(len(k) - 2, 0)),
                                                      lambda i: k[i + 1] || ' ' || k[i + 2] || ' ' || k[i + 3])) FROM d)
 SELECT DISTINCT doc_id AS review_key, phrase FROM g""")
+
+_KX_CAND = ORACLES["kx_candidates"]
+oracle("kx_rank_candidates", f"""
+WITH d AS (SELECT doc_id, {_KX_DOC} AS doc FROM documents WHERE lang = 'en'),
+dg AS (SELECT doc_id, unnest(list_transform(range(greatest(len(ch) - 2, 0)),
+                                            lambda i: ch[i + 1] || ch[i + 2] || ch[i + 3])) AS g
+       FROM (SELECT doc_id, string_split(doc, '') AS ch FROM d)),
+db AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS b, count(*) AS c FROM dg GROUP BY ALL),
+dn AS (SELECT doc_id, sqrt(sum(c * c)) AS nrm FROM db GROUP BY doc_id),
+du AS (SELECT db.doc_id, b, c / nrm AS w FROM db JOIN dn USING (doc_id)),
+cand AS (SELECT review_key AS doc_id, phrase FROM ({_KX_CAND})),
+pg AS (SELECT doc_id, phrase, unnest(list_transform(range(greatest(length(phrase) - 2, 0)),
+                                                    lambda i: substr(phrase, i + 1, 3))) AS g FROM cand),
+pb AS (SELECT doc_id, phrase, ('0x' || substr(md5(g), 1, 8))::BIGINT % 64 AS b, count(*) AS c FROM pg GROUP BY ALL),
+pn AS (SELECT doc_id, phrase, sqrt(sum(c * c)) AS nrm FROM pb GROUP BY ALL),
+dt AS (SELECT pb.doc_id, pb.phrase, sum(pb.c * du.w) AS dp FROM pb JOIN du ON du.doc_id = pb.doc_id AND du.b = pb.b
+       GROUP BY ALL),
+sc AS (SELECT cand.doc_id, cand.phrase,
+              CASE WHEN pn.nrm IS NULL OR pn.nrm = 0 THEN 0.0 ELSE round(coalesce(dt.dp, 0.0) / pn.nrm, 12) END AS score
+       FROM cand LEFT JOIN pn USING (doc_id, phrase) LEFT JOIN dt USING (doc_id, phrase)),
+rk AS (SELECT doc_id, phrase, score,
+              row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) - 1 AS cand_rank FROM sc
+       QUALIFY cand_rank < 30)
+SELECT doc_id AS review_key, CAST(cand_rank AS BIGINT) AS cand_rank, phrase, round(score, 6) AS score FROM rk""")
