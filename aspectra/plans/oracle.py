@@ -869,3 +869,37 @@ rk AS (SELECT doc_id, phrase, score,
               row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) - 1 AS cand_rank FROM sc
        QUALIFY cand_rank < 30)
 SELECT doc_id AS review_key, CAST(cand_rank AS BIGINT) AS cand_rank, phrase, round(score, 6) AS score FROM rk""")
+
+_JJ = sorted(w for w, t, _l, _e in FX.fx_token_lexicon_rows() if t.startswith("JJ"))
+_OTHER = sorted(w for w, t, _l, _e in FX.fx_token_lexicon_rows() if not t.startswith("JJ") and not t.startswith("NN"))
+_SUF = " OR ".join(f"suffix(t, {q(s)})" for s in L.ABSTRACT_SUFFIXES)
+_IS_NOUN = f"(NOT {in_list('t', _JJ)} AND NOT {in_list('t', _OTHER)})"
+_IS_ABS = (f"({in_list('t', L.ABSTRACT_IDEA_NOUNS)} OR {_SUF} OR "
+           f"(NOT coalesce(w.any_c, FALSE) AND coalesce(w.any_a, FALSE)))")
+_IS_CONC = (f"({in_list('t', L.HOTEL_DOMAIN_NOUNS)} OR (NOT {in_list('t', L.NOISE_NOUNS)} AND "
+            f"NOT {in_list('t', L.ABSTRACT_IDEA_NOUNS)} AND NOT {_IS_ABS}))")
+oracle("kx_reject_reason", f"""
+WITH rk AS ({ORACLES["kx_rank_candidates"].replace("round(score, 6) AS score", "score")}),
+sx AS (SELECT * FROM {_SENSES} UNION ALL SELECT term, 1, 'noun.artifact' FROM {_VOCAB}),
+w AS (SELECT lemma, count(*) AS n, bool_or({in_list('domain', L.CONCRETE_DOMAINS)}) AS any_c,
+             bool_or({in_list('domain', L.ABSTRACT_DOMAINS)}) AS any_a FROM sx GROUP BY lemma),
+ct AS (SELECT review_key, cand_rank, phrase, score,
+              list_filter(list_transform(string_split(phrase, ' '), lambda t: regexp_replace(lower(t), '[^a-z]+', '', 'g')),
+                          lambda t: t <> '') AS toks FROM rk),
+tt AS (SELECT review_key, cand_rank, unnest(toks) AS t FROM ct),
+agg AS (SELECT tt.review_key, tt.cand_rank,
+          bool_or({in_list('t', L.PRAISE_TARGETS)}) AS any_praise, bool_or({_IS_NOUN}) AS any_noun,
+          bool_or({in_list('t', L.NOISE_NOUNS)}) AS any_noise, bool_or({_IS_ABS}) AS any_abs,
+          bool_and({in_list('t', L.GENERIC_PHRASE_COMPONENTS)}) AS all_generic,
+          bool_or({in_list('t', _JJ)} AND NOT {in_list('t', L.FUNCTIONAL_ADJECTIVES)}) AS bad_adj,
+          bool_or({in_list('t', _OTHER)}) AS any_other,
+          bool_or({_IS_NOUN} AND ({in_list('t', L.ASPECT_NOUN_WHITELIST | L.HOTEL_DOMAIN_NOUNS)} OR {_IS_CONC})) AS allowed,
+          bool_or({_IS_NOUN} AND coalesce(w.n, 0) >= 2) AS multi,
+          bool_and(w.lemma IS NULL) AS no_sense
+        FROM tt LEFT JOIN w ON w.lemma = tt.t GROUP BY ALL)
+SELECT ct.review_key, ct.cand_rank, ct.phrase,
+  CASE WHEN len(ct.toks) = 0 THEN 'pattern' WHEN ct.score < 0.6 THEN 'similarity' WHEN any_praise THEN 'praise'
+       WHEN NOT any_noun THEN 'pattern' WHEN any_noise THEN 'noise' WHEN any_abs THEN 'abstract'
+       WHEN all_generic THEN 'generic' WHEN bad_adj THEN 'sentiment' WHEN any_other THEN 'other_tag'
+       WHEN NOT allowed AND NOT multi THEN 'sense' WHEN no_sense THEN 'wordnet' END AS reason
+FROM ct LEFT JOIN agg USING (review_key, cand_rank)""")
