@@ -903,3 +903,18 @@ SELECT ct.review_key, ct.cand_rank, ct.phrase,
        WHEN all_generic THEN 'generic' WHEN bad_adj THEN 'sentiment' WHEN any_other THEN 'other_tag'
        WHEN NOT allowed AND NOT multi THEN 'sense' WHEN no_sense THEN 'wordnet' END AS reason
 FROM ct LEFT JOIN agg USING (review_key, cand_rank)""")
+
+_KX_REASON = ORACLES["kx_reject_reason"].replace(
+    "SELECT ct.review_key, ct.cand_rank, ct.phrase,\n  CASE", "SELECT ct.review_key, ct.cand_rank, ct.phrase, ct.score, ct.toks,\n  CASE")
+_KX_SEL = f"""WITH r AS ({_KX_REASON}),
+k AS (SELECT *, row_number() OVER (PARTITION BY review_key ORDER BY cand_rank) AS kept_rank FROM r WHERE reason IS NULL
+      QUALIFY kept_rank <= 6)"""
+oracle("kx_top_per_doc", f"""{_KX_SEL}
+SELECT k.review_key, d.source AS source_id, CAST(k.kept_rank AS BIGINT) AS kept_rank, k.phrase, round(k.score, 6) AS score
+FROM k JOIN documents d ON d.doc_id = k.review_key""")
+oracle("kx_sentiments", f"""WITH r AS ({_KX_REASON})
+SELECT review_key, phrase, array_to_string(list_filter(toks, lambda t: {in_list('t', _JJ)} AND
+  {in_list('t', L.FUNCTIONAL_ADJECTIVES)}), ',') AS sentiments FROM r WHERE reason IS NULL""")
+oracle("kx_doc_freq", f"""{_KX_SEL} SELECT phrase, count(*) AS count, count(*) AS doc_freq FROM k GROUP BY phrase""")
+oracle("kx_raw_counts", f"""WITH r AS ({_KX_REASON}) SELECT CAST(len(toks) AS BIGINT) AS n_tokens, count(*) AS n FROM r
+GROUP BY ALL""")
