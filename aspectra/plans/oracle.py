@@ -918,3 +918,15 @@ SELECT review_key, phrase, array_to_string(list_filter(toks, lambda t: {in_list(
 oracle("kx_doc_freq", f"""{_KX_SEL} SELECT phrase, count(*) AS count, count(*) AS doc_freq FROM k GROUP BY phrase""")
 oracle("kx_raw_counts", f"""WITH r AS ({_KX_REASON}) SELECT CAST(len(toks) AS BIGINT) AS n_tokens, count(*) AS n FROM r
 GROUP BY ALL""")
+
+_ALLOWED = L.ASPECT_NOUN_WHITELIST | L.HOTEL_DOMAIN_NOUNS
+oracle("kx_prune_freq", f"""{_KX_SEL},
+f AS (SELECT phrase, count(*) AS cnt FROM k GROUP BY phrase),
+nd AS (SELECT greatest(count(*), 1) AS n FROM documents WHERE lang = 'en')
+SELECT k.review_key, k.phrase, f.cnt AS count, f.cnt AS doc_freq,
+  CASE WHEN len(string_split(k.phrase, ' ')) > 1 AND f.cnt < 2 THEN 'docfreq_low'
+       WHEN f.cnt / nd.n > 0.25 AND NOT list_bool_or(list_transform(string_split(k.phrase, ' '),
+            lambda t: {in_list('t', _ALLOWED)})) THEN 'docfreq_high' END AS prune
+FROM k JOIN f USING (phrase), nd""")
+oracle("kx_top_phrases", f"""{_KX_SEL}, f AS (SELECT phrase, count(*) AS n FROM k GROUP BY phrase)
+SELECT row_number() OVER (ORDER BY n DESC, phrase) AS rank, phrase, n FROM f QUALIFY rank <= 10""")
