@@ -930,3 +930,13 @@ SELECT k.review_key, k.phrase, f.cnt AS count, f.cnt AS doc_freq,
 FROM k JOIN f USING (phrase), nd""")
 oracle("kx_top_phrases", f"""{_KX_SEL}, f AS (SELECT phrase, count(*) AS n FROM k GROUP BY phrase)
 SELECT row_number() OVER (ORDER BY n DESC, phrase) AS rank, phrase, n FROM f QUALIFY rank <= 10""")
+
+_EX_REASONS = ["noise", "abstract", "pattern", "generic", "sentiment", "docfreq_high", "docfreq_low", "wordnet", "praise"]
+oracle("kx_drop_examples", f"""
+WITH pr AS ({ORACLES["kx_prune_freq"]}),
+r AS ({_KX_REASON}),
+u AS (SELECT reason, phrase FROM r WHERE {in_list('reason', _EX_REASONS)}
+      UNION ALL SELECT prune, phrase FROM pr WHERE prune IS NOT NULL),
+c AS (SELECT reason, phrase, count(*) AS n FROM u GROUP BY ALL)
+SELECT reason, row_number() OVER (PARTITION BY reason ORDER BY n DESC, phrase) AS rank, phrase, n FROM c
+QUALIFY rank <= 10""")
