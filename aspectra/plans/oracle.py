@@ -940,3 +940,24 @@ u AS (SELECT reason, phrase FROM r WHERE {in_list('reason', _EX_REASONS)}
 c AS (SELECT reason, phrase, count(*) AS n FROM u GROUP BY ALL)
 SELECT reason, row_number() OVER (PARTITION BY reason ORDER BY n DESC, phrase) AS rank, phrase, n FROM c
 QUALIFY rank <= 10""")
+
+_FUNNEL_R = ["pattern", "similarity", "praise", "noise", "abstract", "generic", "other_tag", "sense", "wordnet"]
+_funnel_rows = [
+    ("raw_candidates", "(SELECT count(*) FROM r)"),
+    ("raw_unigrams", "(SELECT count(*) FROM r WHERE len(toks) = 1)"),
+    ("raw_bigrams", "(SELECT count(*) FROM r WHERE len(toks) = 2)"),
+    ("raw_trigrams", "(SELECT count(*) FROM r WHERE len(toks) >= 3)"),
+    *[(f"{x}_pruned", f"(SELECT count(*) FROM r WHERE reason = {q(x)})") for x in _FUNNEL_R],
+    ("sentiment_captured", "(SELECT count(*) FROM r WHERE reason = 'sentiment')"),
+    ("unique_candidates", "(SELECT count(DISTINCT phrase) FROM k)"),
+    ("low_freq_pruned", "(SELECT count(*) FROM pr WHERE prune = 'docfreq_low')"),
+    ("high_docfreq_pruned", "(SELECT count(*) FROM pr WHERE prune = 'docfreq_high')"),
+    ("post_freq_candidates", "(SELECT count(DISTINCT phrase) FROM pr WHERE prune IS NULL)"),
+    ("final_records", "(SELECT count(*) FROM pr WHERE prune IS NULL)"),
+    ("documents", "(SELECT greatest(count(*), 1) FROM documents WHERE lang = 'en')"),
+    ("token_pruned", "0"),
+    ("accepted", "(SELECT count(*) FROM pr WHERE prune IS NULL)"),
+]
+oracle("kx_funnel", f"""{_KX_SEL},
+pr AS ({ORACLES["kx_prune_freq"]})
+""" + " UNION ALL ".join(f"SELECT {q(m)} AS metric, CAST({e} AS BIGINT) AS value" for m, e in _funnel_rows))
