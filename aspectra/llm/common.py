@@ -44,6 +44,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many counted rows may be sent to all executors; callers keep rows below about 100 bytes.
+BROADCAST_ROWS = 1 << 20
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df``, a saved table, marked for a broadcast join if its counted rows stay within the bound; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
