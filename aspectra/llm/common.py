@@ -92,6 +92,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now
 
 
+def let(value, body):
+    """``body(value)`` with ``value`` evaluated once: a column named inside a lambda would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Matches that are placed together; keeps the work linear in a text's matches.
+BLOCK = 64
+
+
 def spans(text, pattern: str):
     """``array<struct<start,end,hit>>`` of the leftmost non-overlapping matches, in code points, end exclusive.
 
@@ -100,13 +109,22 @@ def spans(text, pattern: str):
     """
     piece_lengths = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    paired = F.zip_with(piece_lengths, hits, lambda n, hit: F.struct(n.alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("found"))
+    paired = F.filter(F.zip_with(piece_lengths, hits, lambda n, hit: F.struct(n.alias("gap"), hit.alias("hit"))), lambda x: x["hit"].isNotNull())
+    kind = "array<struct<start:int,end:int,hit:string>>"
 
-    def step(acc, x):
+    def place(acc, x):
         s = acc["at"] + x["gap"]
-        e = s + F.length(x["hit"])
-        one = F.array(F.struct(s.alias("start"), e.alias("end"), x["hit"].alias("hit")))
-        return F.struct(e.alias("at"), F.concat(acc["found"], one).alias("found"))
+        one = F.array(F.struct(s.alias("start"), (s + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))
+        return F.struct((s + F.length(x["hit"])).alias("at"), F.concat(acc["found"], one).alias("found"))
+
+    def place_block(acc, block):
+        placed = F.aggregate(block, F.struct(acc["at"].alias("at"), F.expr(f"cast(array() as {kind})").alias("found")), place)
+        return let(placed, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["blocks"], F.array(p["found"])).alias("blocks")))
+
+    def whole(all_hits):
+        blocks = F.transform(F.sequence(F.lit(1), F.size(all_hits), F.lit(BLOCK)), lambda i: F.slice(all_hits, i, BLOCK))
+        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("blocks"))
+        placed = F.aggregate(blocks, start, place_block, lambda acc: F.flatten(acc["blocks"]))
+        return F.when(F.size(all_hits) > 0, placed).otherwise(F.expr(f"cast(array() as {kind})"))
 
-    return F.aggregate(F.filter(paired, lambda x: x["hit"].isNotNull()), start, step, lambda acc: acc["found"])
+    return let(paired, whole)

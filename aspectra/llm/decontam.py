@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import saved, sent_if_small, text_or_empty
+from aspectra.llm.common import let, saved, sent_if_small, text_or_empty
 
 #: Runs of characters that stand between words (fixed value).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,34 +35,31 @@ def _positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def gram_hashes(rows: DataFrame, gram: int) -> DataFrame:
-    """Adds ``grams``: the hash of each run of ``gram`` words of column ``words``."""
-    hashed = rows.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    return hashed.withColumn("grams", F.transform(_positions(F.size("words") - (gram - 1)), lambda i: F.xxhash64(*_at(F.col("word_hashes"), i, gram)))).drop("word_hashes")
+def gram_hashes(found: Column, gram: int) -> Column:
+    """Hash of each run of ``gram`` words of an array of words."""
+    return let(F.transform(found, lambda w: F.xxhash64(w)), lambda h: F.transform(_positions(F.size(h) - (gram - 1)), lambda i: F.xxhash64(*_at(h, i, gram))))
 
 
-def _picked(rows: DataFrame, width: int) -> DataFrame:
-    """Adds ``picked``: position and hash of the grams that are the smallest of some run of ``width`` neighbours, ties included."""
-    low = rows.withColumn("low", F.transform(_positions(F.size("grams") - (width - 1)), lambda i: F.least(*_at(F.col("grams"), i, width))))
+def _picked(grams: Column, width: int) -> Column:
+    """Position and hash of the grams that are the smallest of some run of ``width`` neighbours, ties included."""
 
-    def chosen(g, i):
-        around = F.greatest(*(F.get(F.col("low"), i - k) for k in range(width)))  # null beyond either end
-        return F.struct(i.alias("p"), F.when(g == around, g).alias("h"))
+    def choose(g, low):
+        # a gram is picked if the largest of the minima of the runs around it is its own hash; null beyond either end
+        marked = F.transform(g, lambda x, i: F.struct(i.alias("p"), F.when(x == F.greatest(*(F.get(low, i - k) for k in range(width))), x).alias("h")))
+        return F.filter(marked, lambda x: x["h"].isNotNull())
 
-    # a gram is picked if the largest of the minima of the runs around it is its own hash
-    return low.withColumn("picked", F.filter(F.transform("grams", chosen), lambda x: x["h"].isNotNull())).drop("low")
+    def of(g):
+        return let(F.transform(_positions(F.size(g) - (width - 1)), lambda i: F.least(*_at(g, i, width))), lambda low: choose(g, low))
 
-
-def fingerprints(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """Adds ``picked`` (position, hash) for windows of ``window`` words; all grams if the window is one gram."""
-    rows = gram_hashes(rows, gram)
-    if window == gram:
-        return rows.withColumn("picked", F.transform("grams", lambda g, i: F.struct(i.alias("p"), g.alias("h")))).drop("grams")
-    return _picked(rows, window - gram + 1).drop("grams")
+    return let(grams, of)
 
 
-def _window_text(first: Column, n: int | Column) -> Column:
-    return F.array_join(F.slice(F.col("words"), first + 1, n), " ")
+def fingerprints(found: Column, window: int, gram: int) -> Column:
+    """``array<struct<p,h>>`` for windows of ``window`` words: their picked grams, or all of them if a window is one gram."""
+    grams = gram_hashes(found, gram)
+    if window == gram:
+        return F.transform(grams, lambda g, i: F.struct(i.alias("p"), g.alias("h")))
+    return _picked(grams, window - gram + 1)
 
 
 def contaminated(
@@ -84,42 +81,41 @@ def contaminated(
     )
     # what is asked of the documents: windows of full length, and one length for each kind of short item
     lengths = [(window, gram)] + [(n, n) for (n,) in items.where(F.size("words") < window).select(F.size("words")).distinct().sort(F.size("words")).collect()]
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("words", words(F.col("text")))
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
-    probes, searched = None, keyed.select("key", "words")
+    probes = None
     for n, k in lengths:
         owners = items.where(F.size("words") >= window if n == window else F.size("words") == n)
-        prints = fingerprints(owners, n, k).select(F.explode("picked.h").alias("h")).distinct().withColumn("n", F.lit(n))
+        prints = owners.select(F.explode(fingerprints(F.col("words"), n, k)["h"]).alias("h")).distinct().withColumn("n", F.lit(n))
         probes = prints if probes is None else probes.unionByName(prints)
-        searched = fingerprints(searched, n, k).withColumnRenamed("picked", f"picked_{n}")
     probes = saved(probes, "benchmark-prints")
-    marks = F.concat(*(F.transform(f"picked_{n}", lambda x, n=n: F.struct(F.lit(n).alias("n"), x["p"].alias("p"), x["h"].alias("h"))) for n, _ in lengths))
-    marked = searched.select("key", F.explode(marks).alias("m")).select("key", "m.n", "m.p", "m.h")
+
+    def marks(found):
+        return F.concat(*(F.transform(fingerprints(found, n, k), lambda x, n=n: F.struct(F.lit(n).alias("n"), x["p"].alias("p"), x["h"].alias("h"))) for n, k in lengths))
+
+    marked = keyed.select("key", F.explode(let(words(F.col("text")), marks)).alias("m")).select("key", "m.n", "m.p", "m.h")
     hits = marked.join(sent_if_small(probes), ["n", "h"]).groupBy("key").agg(F.collect_set(F.struct("n", "p")).alias("hits"))  # bounded by the document's own length
     hits = saved(hits, "benchmark-hits")
 
     # the windows that hold a matched gram, word for word
-    near = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "hits",
-                lambda x: F.transform(
-                    F.filter(F.sequence(F.greatest(x["p"] - F.when(x["n"] == window, window - gram).otherwise(0), F.lit(0)), x["p"]), lambda s: s + x["n"] <= F.size("words")),
-                    lambda s: F.struct(x["n"].alias("n"), s.alias("p")),
-                ),
-            )
-        )
-    )
-    suspects = rows.withColumn("key", F.xxhash64("doc_id", "text")).join(hits, "key").withColumn("words", words(F.col("text"))).select("doc_id", "key", "words", F.explode(near).alias("w"))
-    asked = items.select(
-        "item", "words", F.when(F.size("words") < window, F.size("words")).otherwise(F.lit(window)).alias("n")
-    ).select("item", "n", F.explode(F.transform(_positions(F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i + 1, F.col("n")), " "))).alias("window")).distinct()
-    occurring = suspects.select("doc_id", "key", "w.n", "w.p", _window_text(F.col("w.p"), F.col("w.n")).alias("window")).join(sent_if_small(saved(asked, "benchmark-windows")), ["n", "window"])
+    def starts(hit, size):
+        first = F.greatest(hit["p"] - F.when(hit["n"] == window, window - gram).otherwise(0), F.lit(0))
+        return F.filter(F.sequence(first, hit["p"]), lambda s: s + hit["n"] <= size)
+
+    def around(found):
+        near = F.flatten(F.transform("hits", lambda x: F.transform(starts(x, F.size(found)), lambda s: F.struct(x["n"].alias("n"), s.alias("p")))))
+        return F.transform(F.array_distinct(near), lambda w: F.struct(w["n"].alias("n"), w["p"].alias("p"), F.array_join(F.slice(found, w["p"] + 1, w["n"]), " ").alias("window")))
+
+    suspects = keyed.join(hits, "key").select("doc_id", "key", F.explode(let(words(F.col("text")), around)).alias("w"))
+    length = F.when(F.size("words") < window, F.size("words")).otherwise(F.lit(window))
+    whole = let(F.col("words"), lambda w: F.transform(_positions(F.size(w) - length + 1), lambda i: F.array_join(F.slice(w, i + 1, length), " ")))
+    asked = saved(items.select("item", length.alias("n"), F.explode(whole).alias("window")).distinct(), "benchmark-windows")
+    occurring = suspects.select("doc_id", "key", "w.n", "w.p", "w.window").join(sent_if_small(asked), ["n", "window"])
     per_doc = occurring.groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "n")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["p"], x["p"] + x["n"] - 1)))))
     counted = per_doc.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), covered.cast("long").alias("n_hit"), "items")
 
-    sized = keyed.select("doc_id", "text", "key", F.size("words").cast("long").alias("n_words"))
+    sized = keyed.select("doc_id", "text", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = sized.join(counted, (F.col("key") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
         "doc_id", "text", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
     )

@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import spans
+from aspectra.llm.common import let, spans
 
 
 @dataclass(frozen=True)
@@ -29,11 +29,12 @@ class Rule:
     least: int = 0
 
 
-#: Fixed patterns; the first three are the base rules.
+#: Fixed patterns; the first three are the base rules.  Their runs of one class are maximal, so a run that is too short
+#: holds no later match and its length can stand in the pattern.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]+", 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
+    Rule("hex", r"[0-9a-f]{24,}", 24),
 )
 RULES = (
     *BASE,
@@ -109,9 +110,8 @@ def row_key() -> Column:
 
 def postings(rows: DataFrame, grams: list[str]) -> DataFrame:
     """The inverted index: ``gram, key`` for each of ``grams`` that a row's lower-cased text holds."""
-    low = rows.select(row_key().alias("key"), F.lower("text").alias("low"))
-    held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("low"), g))
-    return low.select("key", F.explode(held).alias("gram"))
+    held = let(F.lower("text"), lambda low: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(low, g)))
+    return rows.select(row_key().alias("key"), F.explode(held).alias("gram"))
 
 
 def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
