@@ -90,8 +90,11 @@ def contaminated(
         probes = prints if probes is None else probes.unionByName(prints)
     probes = saved(probes, "benchmark-prints")
 
+    def marks_of(found, n, k):
+        return F.transform(fingerprints(found, n, k), lambda x: F.struct(F.lit(n).alias("n"), x["p"].alias("p"), x["h"].alias("h")))
+
     def marks(found):
-        return F.concat(*(F.transform(fingerprints(found, n, k), lambda x, n=n: F.struct(F.lit(n).alias("n"), x["p"].alias("p"), x["h"].alias("h"))) for n, k in lengths))
+        return F.concat(*(marks_of(found, n, k) for n, k in lengths))
 
     marked = keyed.select("key", F.explode(let(words(F.col("text")), marks)).alias("m")).select("key", "m.n", "m.p", "m.h")
     hits = marked.join(sent_if_small(probes), ["n", "h"]).groupBy("key").agg(F.collect_set(F.struct("n", "p")).alias("hits"))  # bounded by the document's own length
