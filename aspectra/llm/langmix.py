@@ -81,10 +81,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
 class Model:
     """Log probabilities of buckets per language, smoothed by a constant."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, smoothing: float = 0.1):
-        self.langs = langs
+    def __init__(self, langs: list[str], logp: np.ndarray):
+        self.langs, self.logp = langs, logp
+
+    @staticmethod
+    def of_counts(langs: list[str], counts: np.ndarray, smoothing: float = 0.1) -> "Model":
         p = counts + smoothing
-        self.logp = np.ascontiguousarray(np.log(p / p.sum(axis=1, keepdims=True)).T.astype(np.float32))
+        return Model(langs, np.ascontiguousarray(np.log(p / p.sum(axis=1, keepdims=True)).T.astype(np.float32)))
 
     def words(self, points: np.ndarray) -> np.ndarray:
         """Log likelihood of each word (row) under each language: the mean over n-gram lengths, so that lengths don't count twice."""
@@ -158,16 +161,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     table = counted.toPandas()  # at most BUCKETS rows a language
     counts = np.zeros((len(langs), BUCKETS))
     counts[pd.Categorical(table["lang"], langs).codes, table["bucket"]] = table["n"]
-    return Model(langs, counts)
+    return Model.of_counts(langs, counts)
 
 
 def mixture_of(spark: SparkSession, model: Model | None, unknown: str = "und"):
     """A column function of a text: a struct of ``lang_pred, score, languages``; see ``predict``."""
-    shared = spark.sparkContext.broadcast(model)  # languages * BUCKETS numbers
+    shared = spark.sparkContext.broadcast(model and (model.langs, model.logp))  # languages * BUCKETS numbers
 
     @F.pandas_udf("lang_pred string, score double, languages map<string,double>")
     def infer_texts(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
+        m = shared.value and Model(*shared.value)
         pred, score, langs = [], [], []
         for text in texts:
             points = code_points(text or "")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aspectra.llm import decontam, langmix, packing, pii, secretscan, sharding, simhash, suffixdedup, urlfilter, vecgraph
+from aspectra.llm import decontam, langmix, oracles, packing, pii, secretscan, sharding, simhash, suffixdedup, urlfilter, vecgraph
 from aspectra.llm.common import read
 
 
@@ -84,4 +84,10 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others learn, search or tokenize, or need checksums that SQL lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op4_decontamination": oracles.DECONTAMINATION,
+    "op8_pii": oracles.personal_data(),
+    "op10_secret_scan": oracles.secret_scan(),
+}
