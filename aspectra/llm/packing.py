@@ -11,53 +11,60 @@ shard, so every window but a shard's last is full.
 
 from __future__ import annotations
 
+import json
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: How byte-level BPE vocabularies of this family split a text before merging (fixed value).
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: BM25's usual saturation and length normalisation.
 K1, B = 1.2, 0.75
-#: Pieces remembered per worker; the memory is emptied when it is full, which changes no result.
-REMEMBERED = 400_000
+#: Texts with a longer run without white space go to the tokenizer itself, whose merging stays fast on them.
+LONG_RUN = 1000
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the rest from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids (little-endian unsigned 32-bit) and word numbers of a text; remembers the ids of pieces it has met."""
+    """Token ids of a text, as the tokenizer file at ``path`` gives them, in little-endian unsigned 32-bit.
+
+    A byte-level BPE vocabulary numbers its merges by rank, so its ids are made by
+    the faster rank-based encoder; texts with the vocabulary's added tokens or
+    with very long runs are encoded by the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PIECES).findall
-        self.ids: dict[str, bytes] = {}
-        self.words: dict[str, int] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: set) -> None:
-        if len(self.ids) + len(pieces) > REMEMBERED:
-            self.ids.clear()
-        new = [p for p in pieces if p not in self.ids]
-        for piece, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.ids[piece] = np.array(got.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> tuple[bytes, list[str]]:
-        pieces = self.split(text)
-        if any(t in text for t in self.added):
-            return self._ids(text), pieces
-        try:
-            return b"".join(map(self.ids.__getitem__, pieces)), pieces
-        except KeyError:
-            self._learn(set(pieces))
-            return b"".join(map(self.ids.__getitem__, pieces)), pieces
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        byte = byte_alphabet()
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in self.added}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str, words: list[str]) -> bytes:
+        if len(max(words, key=len, default="")) > LONG_RUN or any(t in text for t in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast(text)
+        packed = array("I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -66,37 +73,32 @@ def encoder(path: str) -> Encoder:
 
 
 class Shard:
-    """An inverted index of BM25 weights over a few documents' words."""
-
-    def __init__(self, words: list[list[str]]):
-        number: dict[str, int] = {}
-        terms, counts, sizes = [], [], []
-        for pieces in words:
-            t, c = np.unique(np.fromiter((number.setdefault(p, len(number)) for p in pieces), dtype=np.int32, count=len(pieces)), return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            sizes.append(len(t))
+    """An inverted index of BM25 weights over a few documents' words (numbers that stand for words, one array a document)."""
+
+    def __init__(self, words: list[np.ndarray]):
         self.docs = len(words)
-        owner = np.repeat(np.arange(self.docs, dtype=np.int32), sizes)
-        term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
-        length = np.array([len(w) for w in words], dtype=np.float32)
-        found_in = np.bincount(term, minlength=len(number))
+        length = np.array([len(w) for w in words], dtype=np.int64)
+        owner = np.repeat(np.arange(self.docs), length)
+        distinct, term = np.unique(np.concatenate(words), return_inverse=True)
+        # postings: one entry per word and document, by word, then document
+        posting, tf = np.unique(term * self.docs + owner, return_counts=True)
+        term, owner = posting // self.docs, posting % self.docs
+        found_in = np.bincount(term, minlength=len(distinct))
         idf = np.log((self.docs - found_in + 0.5) / (found_in + 0.5))
         # a word of one document points nowhere, one of most documents has no positive weight
         keep = ((found_in > 1) & (idf > 0))[term]
-        owner, term, tf = owner[keep], term[keep], tf[keep]
+        term, owner, tf = term[keep], owner[keep], tf[keep]
         norm = K1 * (1 - B + B * length / max(1.0, float(length.mean())))
-        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float64)
-        self.queries = np.split(term, np.cumsum(np.bincount(owner, minlength=self.docs))[:-1])
-        by_term = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[by_term], weight[by_term]
-        self.start = np.searchsorted(term[by_term], np.arange(len(number) + 1))
+        self.owner, self.weight = owner, idf[term] * tf * (K1 + 1) / (tf + norm[owner])
+        self.start = np.searchsorted(term, np.arange(len(distinct) + 1))
+        by_doc = np.argsort(owner, kind="stable")
+        self.queries = np.split(term[by_doc], np.cumsum(np.bincount(owner, minlength=self.docs))[:-1])
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 score of every document of the shard for all words of ``doc``."""
         q = self.queries[doc]
         first, n = self.start[q], self.start[q + 1] - self.start[q]
-        at = np.arange(n.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else first, n)
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
         return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.docs)
 
 
@@ -166,9 +168,11 @@ def pack(
         ids, words, doc_ids, held = [], [], [], 0
         for frame in frames:
             for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True):
-                got, split = encode(text or "")
+                text = text or ""
+                split = text.split()
+                got = encode(text, split)
                 ids.append(got + end)
-                words.append(split)
+                words.append(np.fromiter(map(hash, split), dtype=np.int64, count=len(split)))
                 doc_ids.append(doc_id)
                 held += len(got) // 4
                 if len(ids) == shard_docs or held >= shard_ids:

@@ -187,9 +187,9 @@ def test_encoder_matches_the_tokenizer(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     e = packing.Encoder(path)
-    hard = ["a  b\n\n c\t", "it's 'll ''s x", "  ", "<|endoftext|> a", "é漢字\U0001f600 12 3.4", "a  b", "", "x" * 3000]
+    hard = ["a  b\n\n c\t", "it's 'll ''s x", "  ", "<|endoftext|> a", "é漢字\U0001f600 12 3.4", "a  b", "", "x" * 3000, "\u00a0 \u2003x\u0085", "\n\n\n", "a\r\n b", "I'LL 'S"]
     for text in [t for _, t in pairs(spark)] + hard:
-        assert np.frombuffer(e.encode(text)[0], dtype="<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(text, text.split()), dtype="<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 HARD_PII = [
