@@ -5,7 +5,6 @@ and returns a DataFrame; nothing is collected to the driver except word
 lists whose size is bounded and checked (see ``aspectra.lexicons``).
 """
 
-from aspectra.session import get_spark, checkpoint_dir
-from aspectra.settings import Settings
+from aspectra.session import checkpoint_dir, get_spark
 
-__all__ = ["get_spark", "checkpoint_dir", "Settings"]
+__all__ = ["checkpoint_dir", "get_spark"]

@@ -2,7 +2,7 @@
 
 Word lists are parameters: every operator accepts a DataFrame with one word
 column or a Python iterable.  A list is gathered to the driver only after its
-row count is checked against ``Settings.max_lexicon_rows``; it then becomes an
+row count is checked against ``MAX_LEXICON_ROWS``; it then becomes an
 ``IN`` set that Catalyst compiles to a hash lookup inside whole-stage codegen
 (no join, no shuffle).  Lists derived from data (spelling vocabulary, KPI
 tokens) stay DataFrames and are joined instead.

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aspectra.functions.graph import components
+from aspectra.functions.ops import global_rank
 from aspectra.operators.vectors import _unit_matrix, l2_normalize, nearest_keyword
 
 
@@ -85,6 +87,41 @@ def silhouette(points: DataFrame, id_col: str, vec_col: str, cluster_col: str) -
         F.when((F.col("k") <= 1) | (F.col("n") < 2), F.lit(0.0)).otherwise(F.coalesce("s", F.lit(0.0))).alias("silhouette"))
 
 
+#: Clusters whose sums may be sent to all executors at once.
+MAX_SENT_CLUSTERS = 10_000
+
+
+def silhouette_sq(points: DataFrame, id_col: str, vec_col: str, cluster_col: str) -> DataFrame:
+    """C2 on squared Euclidean distances, in one pass over the points: the mean squared
+    distance to a cluster follows from its size, its mean vector and its mean squared norm.
+    Cost grows with points x clusters; ``silhouette`` keeps the pairwise Euclidean form."""
+    p = points.where(F.col(cluster_col) >= 0).select(
+        F.col(cluster_col).cast("long").alias("c"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
+    e = p.select("c", norm.alias("q"), F.posexplode("v").alias("dim", "x"))
+    per_dim = e.groupBy("c", "dim").agg(F.avg("x").alias("x"), F.avg("q").alias("q"), F.count(F.lit(1)).alias("n"))
+    per = per_dim.groupBy("c").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("m"),
+        F.max("q").alias("q"), F.max("n").alias("n"))
+    k = per.count()
+    if k > MAX_SENT_CLUSTERS:
+        raise ValueError(f"{k} clusters; use ``silhouette``")
+    sums = per.agg(F.collect_list(F.struct("c", "m", "q", "n")).alias("all"))  # k entries in one row
+    d = p.withColumn("q", norm).crossJoin(F.broadcast(sums))
+
+    def mean_distance(v, q, s):
+        dot = F.aggregate(F.zip_with(v, s["m"], lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+        return F.greatest(q - 2 * dot + s["q"], F.lit(0.0))
+
+    own = F.filter("all", lambda s: s["c"] == F.col("c"))[0]
+    a = F.when(own["n"] > 1, mean_distance(F.col("v"), F.col("q"), own) * own["n"] / (own["n"] - 1))
+    others = F.transform(F.filter("all", lambda s: s["c"] != F.col("c")), lambda s: mean_distance(F.col("v"), F.col("q"), s))
+    d = d.select(a.alias("a"), F.array_min(others).alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise(
+        (F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return d.agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette_sq"))
+
+
 def centroids(points: DataFrame, vec_col: str, cluster_col: str = "cluster") -> DataFrame:
     """Element-wise mean vector of every cluster >= 0: (cluster, centroid, size)."""
     p = points.where(F.col(cluster_col) >= 0)
@@ -285,6 +322,62 @@ def kmeans_sweep(points: DataFrame, vec_col: str, min_k: int = 2, max_k: int = 4
     return best[2].withColumn("cluster", F.col("prediction").cast("int")).drop("features", "prediction"), mdf
 
 
+def _pairs_within(points: DataFrame, eps: float, nb: int, per_group, schema: str) -> DataFrame:
+    """``per_group(rows a, rows b, near)`` for every pair of blocks; ``near`` marks pairs at distance <= eps."""
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
+        a, b = pdf[pdf["_b"] == lo], pdf[pdf["_b"] == hi]
+        ma, mb = (np.stack([np.asarray(v, dtype=np.float64) for v in x["v"]]) if len(x) else np.zeros((0, 1)) for x in (a, b))
+        if not len(a) or not len(b):
+            return per_group(a, b, np.zeros((len(a), len(b)), dtype=bool))
+        d2 = (ma * ma).sum(1)[:, None] + (mb * mb).sum(1)[None, :] - 2.0 * ma @ mb.T
+        return per_group(a, b, np.sqrt(np.clip(d2, 0.0, None)) <= eps)
+
+    return _block_groups(points, "i", nb).groupBy("_lo", "_hi").applyInPandas(one, schema)
+
+
+def density_labels(points: DataFrame, id_col: str, vec_col: str, eps: float, min_points: int = 5, min_size: int = 3,
+                   block_size: int = 2048) -> DataFrame:
+    """C4 at a fixed cut: adds ``cluster``.  A core point has ``min_points`` points (itself
+    included) within ``eps``; clusters are the connected core points at most ``eps`` apart, of
+    at least ``min_size`` points, numbered by their smallest id; everything else is -1.
+
+    Pairs are compared block by block and never emitted: a group returns neighbour counts,
+    then one edge per core point to the smallest point of its component inside the group."""
+    base = points.select(F.col(id_col).cast("long").alias("i"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    nb = max(1, math.ceil(base.count() / block_size))
+
+    def counts(a, b, near):
+        out = [pd.DataFrame({"i": a["i"], "n": near.sum(axis=1)})]
+        if int(a["_b"].iloc[0] if len(a) else -1) != int(b["_b"].iloc[0] if len(b) else -1):
+            out.append(pd.DataFrame({"i": b["i"], "n": near.sum(axis=0)}))
+        return pd.concat(out).astype("int64")
+
+    per = _pairs_within(base, eps, nb, counts, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    core = base.join(per.where(F.col("n") >= min_points).select("i"), "i").checkpoint()
+
+    def links(a, b, near):
+        # smallest id of each component inside the group, by repeated minima over near points
+        la, lb = a["i"].to_numpy().copy(), b["i"].to_numpy().copy()
+        far = np.iinfo(np.int64).max
+        while len(la) and len(lb):
+            na = np.minimum(la, np.where(near, lb[None, :], far).min(axis=1))
+            new = np.minimum(lb, np.where(near, na[:, None], far).min(axis=0))
+            if (na == la).all() and (new == lb).all():
+                break
+            la, lb = na, new
+        return pd.DataFrame({"a": np.concatenate([a["i"], b["i"]]), "b": np.concatenate([la, lb])}, dtype="int64").drop_duplicates()
+
+    edges = _pairs_within(core, eps, nb, links, "a long, b long")
+    parts = components(edges)
+    labelled = core.select("i").join(parts.withColumnRenamed("node", "i"), "i", "left").select(
+        "i", F.coalesce("component", "i").alias("root"))
+    big = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
+    order = global_rank(big.select("root"), F.col("root"), "_r").select("root", (F.col("_r") - 1).cast("int").alias("cluster"))
+    out = labelled.join(order, "root").select(F.col("i").alias(id_col), "cluster")
+    return points.join(out, id_col, "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+
+
 def select_method(kmeans: DataFrame, density: DataFrame, algorithm: str = "auto", switch_sil: float = 0.25,
                   switch_dbi: float = 1.0, fallback_sil: float = 0.2) -> DataFrame:
     """kmeans(silhouette, davies_bouldin) and density(silhouette, n_clusters) one-row

@@ -7,8 +7,8 @@ top 6 kept phrases.  Only phrase frequencies (X7/X8) and the funnel (X9/X10) are
 aggregations — decomposable counts, map-side combined, so a phrase present in a
 third of all documents costs one partial row per partition.
 
-Word attributes (tags, senses, abstract/concrete) come from bounded lexicon
-tables turned into hash sets after a size check.
+Word attributes (tags, senses, abstract/concrete) are a table of any size, joined to
+the distinct tokens of the top candidates; only the fixed word lists are literal sets.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectra import lexicons as L
-from aspectra.operators.vectors import gram_bucket, hashed_vectors_table
 
 REASONS = ["pattern", "similarity", "praise", "noise", "abstract", "generic", "sentiment", "other_tag", "sense",
            "wordnet"]
@@ -51,30 +50,24 @@ class WordClasses:
     whitelist: frozenset = L.ASPECT_NOUN_WHITELIST
     suffixes: tuple = field(default=L.ABSTRACT_SUFFIXES)
 
-    @staticmethod
-    def from_tables(lexicon: DataFrame, senses: DataFrame, min_senses: int = 2, limit: int = L.MAX_LEXICON_ROWS,
-                    **lists) -> "WordClasses":
-        """lexicon (word, tag, lemma); senses (lemma, sense, domain).  Each table is reduced
-        to one row per word, size-checked and gathered once."""
-        tags = lexicon.select("word", "tag").distinct()
-        per = senses.groupBy("lemma").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.bool_or(L.in_words(F.col("domain"), L.CONCRETE_DOMAINS)).alias("c"),
-            F.bool_or(L.in_words(F.col("domain"), L.ABSTRACT_DOMAINS)).alias("a"))
-        for t in (tags, per):
-            if t.limit(limit + 1).count() > limit:
-                raise ValueError("lexicon exceeds the size limit for hash-set lookups")
-        tag_rows = tags.collect()
-        sense_rows = per.collect()
-        return WordClasses(
-            adjectives=frozenset(r["word"] for r in tag_rows if r["tag"].startswith("JJ")),
-            other_tags=frozenset(r["word"] for r in tag_rows
-                                 if not r["tag"].startswith("JJ") and not r["tag"].startswith("NN")),
-            sense_words=frozenset(r["lemma"] for r in sense_rows),
-            multi_sense=frozenset(r["lemma"] for r in sense_rows if r["n"] >= min_senses),
-            any_concrete=frozenset(r["lemma"] for r in sense_rows if r["c"]),
-            any_abstract=frozenset(r["lemma"] for r in sense_rows if r["a"]),
-            **lists)
+
+#: Bits of a word's attributes.
+ADJECTIVE, OTHER_TAG, MULTI_SENSE, CONCRETE, ABSTRACT, HAS_SENSE = 1, 2, 4, 8, 16, 32
+
+
+def word_attributes(lexicon: DataFrame, senses: DataFrame, min_senses: int = 2) -> DataFrame:
+    """(word, bits) from lexicon (word, tag, lemma) and senses (lemma, sense, domain); one row per word."""
+    tag = F.col("tag")
+    tags = lexicon.select("word", F.when(tag.startswith("JJ"), F.lit(ADJECTIVE)).when(tag.startswith("NN"), F.lit(0))
+                          .otherwise(F.lit(OTHER_TAG)).alias("bits"))
+    per = senses.groupBy(F.col("lemma").alias("word")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_or(L.in_words(F.col("domain"), L.CONCRETE_DOMAINS)).alias("c"),
+        F.bool_or(L.in_words(F.col("domain"), L.ABSTRACT_DOMAINS)).alias("a"))
+    bit = lambda test, b: F.when(test, F.lit(b)).otherwise(F.lit(0))
+    sense_bits = per.select("word", (F.lit(HAS_SENSE) + bit(F.col("n") >= min_senses, MULTI_SENSE) + bit(F.col("c"), CONCRETE)
+                                     + bit(F.col("a"), ABSTRACT)).alias("bits"))
+    return tags.unionByName(sense_bits).groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
 
 def _in(c: Column, ws: Iterable[str]) -> Column:
@@ -110,68 +103,62 @@ def ngrams_of(kept: Column, max_n: int = 3) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def candidate_phrases(doc: Column, stop: Iterable[str] = L.ENGLISH_STOPWORDS, max_n: int = 3) -> Column:
-    """X2 on a document column (materialise ``candidate_tokens`` first for long texts)."""
-    return ngrams_of(candidate_tokens(doc, stop), max_n)
+#: Candidates or characters scored in one piece; bounds the count matrix.
+SCORED_TOGETHER, CHARS_TOGETHER = 20_000, 2_000_000
 
 
-def phrase_buckets(cands: Column, dim: int = 64) -> Column:
-    """array<struct<phrase, b>>: gram buckets of every candidate."""
-    return F.transform(cands, lambda c: F.struct(c.alias("phrase"),
-                                                 F.transform(_grams(c), lambda g: gram_bucket(g, dim)).alias("b")))
+def _gram_counts(texts: list[str], dim: int, n: int, known: dict[int, int]) -> np.ndarray:
+    """Counts of hashed character n-grams (n <= 3), one row per text.  Distinct grams are
+    hashed once, as ``gram_bucket`` does: first 8 hex digits of md5(gram) mod dim."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.arange(len(points)) + n <= np.repeat(np.cumsum(sizes), sizes)
+    at = np.flatnonzero(inside)
+    codes = np.zeros(len(at), dtype=np.int64)
+    for i in range(n):
+        codes = (codes << 21) | points[at + i]
+    distinct, place = np.unique(codes, return_inverse=True)
+    buckets = np.empty(len(distinct), dtype=np.int64)
+    for k, code in enumerate(distinct.tolist()):
+        if code not in known:
+            gram = "".join(chr(code >> 21 * (n - 1 - i) & 0x1FFFFF) for i in range(n))
+            known[code] = int(hashlib.md5(gram.encode()).hexdigest()[:8], 16) % dim
+        buckets[k] = known[code]
+    return np.bincount(owner[at] * dim + buckets[place], minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
 
 
 def candidate_scorer(dim: int = 64, n: int = 3, tie_decimals: int = 12):
-    """X3 relevance scorer (the re-aimed embedding model call): Arrow batches of
-    (candidate list, document unit vector) -> cosine per candidate, in numpy.  Buckets
-    follow ``gram_bucket`` (first 8 hex digits of md5(gram) mod dim); scores are rounded
-    to ``tie_decimals`` so equal cosines tie exactly (phrase order then decides)."""
+    """X3 relevance scorer (the re-aimed embedding model call): one Arrow pass over (candidate
+    list, document text) -> cosine per candidate.  Documents and candidates of a batch are
+    counted together; scores are rounded to ``tie_decimals`` so equal cosines tie exactly
+    (phrase order then decides).  Marked non-deterministic so that Catalyst never runs it twice."""
     @F.pandas_udf("array<double>")
-    def _score(cands: pd.Series, docvec: pd.Series) -> pd.Series:
-        cache: dict[str, int] = {}
-
-        def bucket(g: str) -> int:
-            b = cache.get(g)
-            if b is None:
-                b = int(hashlib.md5(g.encode("utf-8")).hexdigest()[:8], 16) % dim
-                cache[g] = b
-            return b
-
-        out = []
-        for cs, dv in zip(cands, docvec):
-            d = np.asarray(dv, dtype=np.float64)
-            res = np.zeros(len(cs))
-            for k, c in enumerate(cs):
-                if len(c) < n:
-                    continue
-                cnt = np.bincount([bucket(c[i:i + n]) for i in range(len(c) - n + 1)], minlength=dim)
-                nrm = float(np.sqrt(cnt @ cnt))
-                res[k] = round(float(cnt @ d) / nrm, tie_decimals) if nrm > 0 else 0.0
-            out.append(res)
-        return pd.Series(out)
-
-    return _score
-
-
-def score_candidates(with_b: Column, doc_unit: Column) -> Column:
-    """cosine(hashed(doc), hashed(phrase)) per candidate: array<struct<phrase, score>>.
-    dot = sum of the doc's unit weights over the phrase's gram buckets; the phrase norm
-    is sqrt(sum of squared bucket counts).  The doc vector enters as an argument."""
+    def _score(cands: pd.Series, docs: pd.Series) -> pd.Series:
+        known: dict[int, int] = {}
 
-    def score(x, d):
-        b = x["b"]
-        dotp = F.aggregate(b, F.lit(0.0), lambda acc, bb: acc + F.element_at(d, (bb + 1).cast("int")))
-        nrm2 = F.aggregate(b, F.lit(0.0), lambda acc, bb: acc + F.size(F.filter(b, lambda y: y == bb)).cast("double"))
-        s = F.when(nrm2 > 0, dotp / F.sqrt(nrm2)).otherwise(F.lit(0.0))
-        return F.struct(x["phrase"].alias("phrase"), s.alias("score"))
+        def unit(m):
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            return m / np.where(norm == 0, 1.0, norm), norm[:, 0]
 
-    return F.zip_with(with_b, F.array_repeat(doc_unit, F.size(with_b)), score)
+        def flush(part):
+            d, _ = unit(_gram_counts([t for _, t in part], dim, n, known))
+            sizes = [len(c) for c, _ in part]
+            m = _gram_counts([x for c, _ in part for x in c], dim, n, known)
+            norm = np.sqrt((m * m).sum(axis=1))
+            s = (m * np.repeat(d, sizes, axis=0)).sum(axis=1) / np.where(norm == 0, 1.0, norm)
+            return np.split(np.round(s, tie_decimals), np.cumsum(sizes)[:-1])
 
+        out, part, phrases, chars = [], [], 0, 0
+        for c, t in zip(cands, docs):
+            part.append((list(c), t))
+            phrases, chars = phrases + len(c), chars + len(t)
+            if phrases >= SCORED_TOGETHER or chars >= CHARS_TOGETHER:
+                out += flush(part)
+                part, phrases, chars = [], 0, 0
+        return pd.Series(out + (flush(part) if part else []))
 
-def _grams(c: Column, n: int = 3) -> Column:
-    k = F.length(c) - n
-    idx = F.when(k >= 0, F.sequence(F.lit(1), k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.substr(c, i, F.lit(n)))
+    return _score.asNondeterministic()
 
 
 def top_candidates(scored: Column, k: int = 30) -> Column:
@@ -181,22 +168,37 @@ def top_candidates(scored: Column, k: int = 30) -> Column:
     return F.slice(F.sort_array(keyed), 1, k)
 
 
-def cascade(phrase: Column, score: Column, wc: WordClasses, min_cosine: float = 0.6) -> tuple[Column, Column]:
-    """X4 + X5: (reason, sentiments).  First failing test wins: pattern (no letters) ->
+def phrase_tokens(phrase: Column) -> Column:
+    """Lower-cased letters-only tokens of a phrase."""
+    return F.filter(F.transform(F.split(phrase, " "), lambda t: F.regexp_replace(F.lower(t), "[^a-z]+", "")),
+                    lambda t: t != "")
+
+
+def cascade(phrase: Column, score: Column, wc: WordClasses, min_cosine: float = 0.6,
+            attributes: Column | None = None) -> tuple[Column, Column]:
+    """``attributes``: map token -> bits, in addition to the sets of ``wc``.  X4 + X5: (reason, sentiments).  First failing test wins: pattern (no letters) ->
     similarity -> praise target -> no noun -> noise -> abstract -> generic -> non-functional
     adjective ('sentiment') -> other tag -> sense -> word-net; null = kept.  Sentiments =
     the functional adjectives of the phrase."""
-    toks = F.filter(F.transform(F.split(phrase, " "), lambda t: F.regexp_replace(F.lower(t), "[^a-z]+", "")),
-                    lambda t: t != "")
-    adj = list(wc.adjectives)
-    other = list(wc.other_tags)
+    toks = phrase_tokens(phrase)
+
+    def has(words, bit):
+        def test(t):
+            listed = _in(t, list(words))
+            return listed if attributes is None else listed | (
+                F.coalesce(F.element_at(attributes, t), F.lit(0)).bitwiseAND(F.lit(bit)) != 0)
+        return test
+
+    is_adj, is_other = has(wc.adjectives, ADJECTIVE), has(wc.other_tags, OTHER_TAG)
+    many_senses, has_sense = has(wc.multi_sense, MULTI_SENSE), has(wc.sense_words, HAS_SENSE)
+    any_concrete, any_abstract = has(wc.any_concrete, CONCRETE), has(wc.any_abstract, ABSTRACT)
 
     def is_noun(t):
-        return ~_in(t, adj) & ~_in(t, other)
+        return ~is_adj(t) & ~is_other(t)
 
     suffix = lambda t: F.lit(False) if not wc.suffixes else _any_suffix(t, wc.suffixes)
     is_abstract = lambda t: (_in(t, wc.abstract_list) | suffix(t)
-                             | (~_in(t, wc.any_concrete) & _in(t, wc.any_abstract)))
+                             | (~any_concrete(t) & any_abstract(t)))
     is_concrete = lambda t: _in(t, wc.domain) | (~_in(t, wc.noise) & ~_in(t, wc.abstract_list) & ~is_abstract(t))
     allowed_high = list(wc.whitelist | wc.domain)
     reason = (
@@ -207,12 +209,12 @@ def cascade(phrase: Column, score: Column, wc: WordClasses, min_cosine: float =
         .when(F.exists(toks, lambda t: _in(t, wc.noise)), F.lit("noise"))
         .when(F.exists(toks, is_abstract), F.lit("abstract"))
         .when(F.forall(toks, lambda t: _in(t, wc.generic)), F.lit("generic"))
-        .when(F.exists(toks, lambda t: _in(t, adj) & ~_in(t, wc.functional)), F.lit("sentiment"))
-        .when(F.exists(toks, lambda t: _in(t, other)), F.lit("other_tag"))
+        .when(F.exists(toks, lambda t: is_adj(t) & ~_in(t, wc.functional)), F.lit("sentiment"))
+        .when(F.exists(toks, is_other), F.lit("other_tag"))
         .when(~F.exists(toks, lambda t: is_noun(t) & (_in(t, allowed_high) | is_concrete(t)))
-              & ~F.exists(toks, lambda t: is_noun(t) & _in(t, wc.multi_sense)), F.lit("sense"))
-        .when(F.forall(toks, lambda t: ~_in(t, wc.sense_words)), F.lit("wordnet")))
-    sentiments = F.filter(toks, lambda t: _in(t, adj) & _in(t, wc.functional))
+              & ~F.exists(toks, lambda t: is_noun(t) & many_senses(t)), F.lit("sense"))
+        .when(F.forall(toks, lambda t: ~has_sense(t)), F.lit("wordnet")))
+    sentiments = F.filter(toks, lambda t: is_adj(t) & _in(t, wc.functional))
     return reason, sentiments
 
 
@@ -224,29 +226,36 @@ def _any_suffix(t: Column, suffixes) -> Column:
 
 
 def candidate_table(docs: DataFrame, key: str, source_col: str, doc_col: str, wc: WordClasses, *,
-                    stop=L.ENGLISH_STOPWORDS, top_n: int = 6, min_cosine: float = 0.6, dim: int = 64) -> DataFrame:
+                    attributes: DataFrame | None = None, stop=L.ENGLISH_STOPWORDS, top_n: int = 6,
+                    min_cosine: float = 0.6, dim: int = 64, salts: int = 16) -> DataFrame:
     """X2–X6 as rows: one row per top-30 candidate of each document with
     (key, source, cand_rank, phrase, score, n_tokens, reason, sentiments, kept_rank, selected);
     the first ``top_n`` kept candidates (score order) are the document's records.
-    Everything up to the explode happens inside the document's row."""
+    The top 30 are found inside the document's row and checkpointed; their distinct tokens
+    then meet ``attributes`` (word, bits), repeated per salt against frequent tokens, and
+    come back as one map per document."""
     n_cand = max(top_n * 5, top_n + 5)
     d = docs.select(key, source_col, F.col(doc_col).alias("_doc")).where(F.col("_doc").isNotNull())
     # each step is its own column, referenced more than once, so Catalyst keeps it materialised
     d = d.withColumn("_kept", candidate_tokens(F.col("_doc"), stop))
     d = d.withColumn("_c", ngrams_of(F.col("_kept")))
-    dv = hashed_vectors_table(d, key, "_doc", dim, out="_ud")
-    d = d.drop("_doc", "_kept").join(dv, key, "left").withColumn(
-        "_ud", F.coalesce(F.col("_ud"), F.array_repeat(F.lit(0.0), dim)))
-    d = d.withColumn("_s", candidate_scorer(dim)(F.col("_c"), F.col("_ud")))
+    d = d.withColumn("_s", candidate_scorer(dim)(F.col("_c"), F.col("_doc")))
     scored = F.zip_with("_c", "_s", lambda c, v: F.struct(c.alias("phrase"), v.alias("score")))
-    d = d.withColumn("_top", top_candidates(scored, n_cand))
+    d = d.select(key, source_col, top_candidates(scored, n_cand).alias("_top")).checkpoint()
+    if attributes is None:
+        d = d.withColumn("_words", F.expr("cast(map() as map<string,int>)"))
+    else:
+        toks = F.array_distinct(F.flatten(F.transform("_top", lambda x: phrase_tokens(x["phrase"]))))
+        words = d.select(key, F.explode(toks).alias("word")).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        known = attributes.where("bits != 0").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        maps = words.join(known, ["word", "_salt"]).groupBy(key).agg(
+            F.map_from_entries(F.collect_set(F.struct("word", "bits"))).alias("_words"))  # a document's top tokens only
+        d = d.join(maps, key, "left").withColumn("_words", F.coalesce("_words", F.expr("cast(map() as map<string,int>)")))
 
     def judge(x):
-        toks = F.filter(F.transform(F.split(x["phrase"], " "), lambda t: F.regexp_replace(F.lower(t), "[^a-z]+", "")),
-                        lambda t: t != "")
-        reason, sents = cascade(x["phrase"], x["score"], wc, min_cosine)
+        reason, sents = cascade(x["phrase"], x["score"], wc, min_cosine, F.col("_words"))
         return F.struct(x["phrase"].alias("phrase"), x["score"].alias("score"), reason.alias("reason"),
-                        sents.alias("sentiments"), F.size(toks).cast("long").alias("n_tokens"))
+                        sents.alias("sentiments"), F.size(phrase_tokens(x["phrase"])).cast("long").alias("n_tokens"))
 
     d = d.withColumn("_cand", F.transform("_top", judge))
     # both columns in one projection: _cand stays materialised (two references)
@@ -313,7 +322,7 @@ def drop_examples(cands: DataFrame, pruned: DataFrame, k: int = 10) -> DataFrame
 
 
 def top_phrases(cands: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent selected phrases before frequency pruning."""
-    from aspectra.functions.ops import topk
-    c = cands.where("selected").groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
-    return topk(c, ["_all"], [F.col("n").desc(), F.col("phrase")], k).drop("_all")
+    """The k most frequent selected phrases before frequency pruning (each task keeps its own k)."""
+    c = cands.where("selected").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    top = c.orderBy(F.col("n").desc(), "phrase").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "phrase")).cast("long"))

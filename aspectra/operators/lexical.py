@@ -25,11 +25,20 @@ def _c(c) -> Column:
 # spelling
 # ---------------------------------------------------------------------------
 
-def spell_vocabulary(texts: DataFrame, text_col: str, min_count: int = 50, min_len: int = 3) -> DataFrame:
-    """Frequency vocabulary: [a-z]+ tokens of length >= min_len seen >= min_count times."""
+def spell_vocabulary(texts: DataFrame, text_col: str, min_share: float = 1e-4, min_len: int = 1) -> DataFrame:
+    """A dictionary from a corpus: [a-z]+ tokens that make up at least ``min_share`` of all of
+    them, with their frequency.  A share, unlike a count, keeps rare misspellings out however
+    large the corpus is; short words belong to it, or they would be "corrected" away.  Any
+    (term, freq) table can stand in its place."""
     t = texts.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), 0)).alias("term"))
-    return (t.where(F.length("term") >= min_len).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
-            .where(F.col("freq") >= min_count))
+    counts = t.where(F.length("term") >= min_len).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    total = counts.agg(F.sum("freq").alias("_total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).where(F.col("freq") >= F.col("_total") * min_share).select("term", "freq")
+
+
+def correctable(w: Column) -> Column:
+    """Words a spelling corrector may touch: two characters or more, letters among them, no digits."""
+    return (F.length(w) >= 2) & w.rlike(r"\p{L}") & ~w.rlike(r"\p{N}")
 
 
 def _deletes1(w: Column) -> Column:
@@ -52,8 +61,11 @@ def corrections(words: DataFrame, word_col: str, vocab: DataFrame, max_distance:
     vocabulary.  prefer='closest': smallest distance, then highest frequency, then term;
     prefer='frequent': highest frequency among all candidates, then term.
     Returns (word, correction); words without a candidate are absent."""
-    unknown = (words.select(F.col(word_col).alias("word")).where(F.col("word").isNotNull()).distinct()
-               .join(vocab.select(F.col("term").alias("word")), "word", "left_anti"))
+    longest = vocab.agg((F.max(F.length("term")) + max_distance).alias("_longest"))  # one row
+    unknown = (words.select(F.col(word_col).alias("word")).where(F.col("word").isNotNull() & correctable(F.col("word")))
+               .distinct().join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
+               # a longer word has no term within the distance
+               .crossJoin(F.broadcast(longest)).where(F.length("word") <= F.col("_longest")).drop("_longest"))
     uk = unknown.select("word", F.explode(delete_keys(F.col("word"), max_distance)).alias("key"))
     vk = vocab.select("term", "freq", F.explode(delete_keys(F.col("term"), max_distance)).alias("key"))
     cand = uk.join(vk, "key").select("word", "term", "freq").distinct()
@@ -67,18 +79,20 @@ def corrections(words: DataFrame, word_col: str, vocab: DataFrame, max_distance:
 
 
 def correct_tokens(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, max_distance: int,
-                   prefer: str = "closest", out: str = "corrected") -> DataFrame:
+                   prefer: str = "closest", out: str = "corrected", salts: int = 16) -> DataFrame:
     """Replace unknown tokens of an array column by their correction (unchanged when none);
-    order kept.  Tokens are exploded, corrections joined per distinct word, and the array
-    is rebuilt per row (bounded by the row's own token count)."""
-    ex = df.select(key, F.posexplode(tokens_col).alias("pos", "tok"))
-    corr = corrections(ex, "tok", vocab, max_distance, prefer)
-    fixed = ex.join(corr.withColumnRenamed("word", "tok"), "tok", "left").select(
-        key, "pos", F.coalesce("correction", "tok").alias("tok"))
-    rebuilt = fixed.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]).alias(out))
-    return df.join(rebuilt, key, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+    order kept.  Only the distinct tokens of a row meet the corrections (misspelled words
+    only), which are repeated once per salt so that no frequent token fills one task; a row
+    gets its own corrections back as a map and replaces in place."""
+    ex = df.select(key, F.explode(F.array_distinct(tokens_col)).alias("tok"))
+    corr = corrections(ex, "tok", vocab, max_distance, prefer).select(
+        F.col("word").alias("tok"), "correction", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    fixes = (ex.where(correctable(F.col("tok"))).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+             .join(corr, ["tok", "_salt"]).groupBy(key)
+             .agg(F.map_from_entries(F.collect_set(F.struct("tok", "correction"))).alias("_fixes")))
+    fixed = F.when(F.col("_fixes").isNull(), F.col(tokens_col)).otherwise(
+        F.transform(tokens_col, lambda t: F.coalesce(F.element_at(F.col("_fixes"), t), t)))
+    return df.join(fixes, key, "left").withColumn(out, F.coalesce(fixed, F.array().cast("array<string>"))).drop("_fixes")
 
 
 # ---------------------------------------------------------------------------
@@ -136,12 +150,6 @@ def lemma_filter(tagged: DataFrame, stop: Iterable[str], noise: Iterable[str], a
     return tagged.where(ok & (~noun | noun_ok))
 
 
-def generic_flag(c, generic: Iterable[str]) -> Column:
-    """T15 re-export for plans."""
-    from aspectra.functions.text import generic_phrase
-    return generic_phrase(c, generic)
-
-
 def lexicon_table(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame([(w, t, lm) for w, t, lm, *_ in rows], "word string, tag string, lemma string")
 

@@ -20,7 +20,7 @@ NOISE = "__noise__"
 
 
 def _md5_order(*cols, seed: int = 42) -> Column:
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))))
+    return F.md5(F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols], F.lit(str(seed))))
 
 
 # ---------------------------------------------------------------------------
@@ -57,12 +57,13 @@ def cluster_samples(annotated: DataFrame, centroid_ids: DataFrame) -> DataFrame:
 def negative_samples(annotated: DataFrame, centroid_ids: DataFrame, order_col: str, seed: int = 42) -> DataFrame:
     """M4: every row of a cluster >= 0 paired with one OTHER cluster's centroid, chosen by a
     seeded md5 order; kpi '__noise__', department 'Unknown'.  None with <= 1 centroid.
-    The partner set is the cluster list (one row per cluster, broadcast)."""
-    cids = centroid_ids.select(F.col("cluster").alias("alt"))
-    a = annotated.where(F.col("cluster") >= 0).select("phrase", "cluster", order_col)
-    pairs = a.join(F.broadcast(cids), F.col("alt") != F.col("cluster"))
-    pick = pairs.groupBy("phrase", "cluster", order_col).agg(
-        F.min_by("alt", _md5_order("phrase", "alt", seed=seed)).alias("alt"))
+    The partner is found in the row, from the sorted list of cluster ids; nothing is joined."""
+    cids = centroid_ids.agg(F.array_sort(F.collect_set("cluster")).alias("_all"))  # one row of K numbers
+    a = annotated.where(F.col("cluster") >= 0).select("phrase", "cluster", order_col).crossJoin(F.broadcast(cids))
+    keyed = F.transform(F.filter("_all", lambda c: c != F.col("cluster")),
+                        lambda c: F.struct(_md5_order(F.col("phrase"), c, seed=seed).alias("k"), c.alias("alt")))
+    pick = a.select("phrase", "cluster", order_col, F.array_min(keyed)["alt"].alias("alt")).where(
+        F.col("alt").isNotNull()).dropDuplicates(["phrase", "cluster", order_col])
     return pick.select(F.concat(F.col("phrase"), F.lit("__neg_"), F.col("alt").cast("string")).alias("phrase"),
                        F.lit(NOISE).alias("kpi"), F.lit("Unknown").alias("department"),
                        F.col("alt").cast("int").alias("cluster"), F.col(order_col).cast("long").alias("seq"))
@@ -112,10 +113,11 @@ def split(samples: DataFrame, key_cols: Sequence[str], label_col: str = "kpi", s
     min_class = samples.groupBy(label_col).count().agg(F.min("count")).collect()[0][0]
     order = _md5_order(*key_cols, seed=seed)
     if min_class >= 2:
-        w = Window.partitionBy(label_col).orderBy(order)
-        cnt = F.count(F.lit(1)).over(Window.partitionBy(label_col))
-        return samples.withColumn("_r", F.row_number().over(w)).withColumn(
-            "is_test", F.col("_r") <= F.floor(cnt * f + 0.5)).drop("_r")
+        # position inside the label from one global (label, md5) rank: no label is one task
+        ranked = global_rank(samples, F.struct(F.col(label_col), order.alias("o")), "_r")
+        own = ranked.groupBy(label_col).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        return ranked.join(own, label_col).withColumn(
+            "is_test", F.col("_r") - F.col("_first") + 1 <= F.floor(F.col("_n") * f + 0.5)).drop("_r", "_first", "_n")
     # unstratified: one global md5 order, ranked without a single-partition window
     ranked = global_rank(samples, order, "_r")
     return ranked.withColumn("is_test", F.col("_r") <= int(n * f + 0.5)).drop("_r")

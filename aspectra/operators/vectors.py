@@ -9,8 +9,8 @@
   and no pair row is ever emitted.
 * V4 canonical phrases by pointer jumping: O(log chain) self-joins, each round
   checkpointed to the shared checkpoint folder.
-* V7/V8 nearest catalogue keyword: the keyword catalogue is a size-checked
-  dimension shipped as a broadcast matrix; aspects stream through ``mapInPandas``.
+* V7/V8 nearest catalogue keyword: the catalogue is sent in pieces of bounded size, one
+  pass each; aspects stream through ``mapInPandas``.
 """
 
 from __future__ import annotations
@@ -183,6 +183,8 @@ def canonical_ids(ids: DataFrame, nn: DataFrame, id_col: str, max_rounds: int =
             F.when(F.col("a.p").isNull(), F.lit(None)).otherwise(F.col("b.p")).cast("long").alias("p"),
             F.when(F.col("a.p").isNull(), F.col("a.v")).otherwise(F.col("b.v")).alias("v"))
         cur = nxt.checkpoint()
+    else:
+        raise RuntimeError(f"chains longer than 2**{max_rounds}")
     return cur.select(F.col("i").alias(id_col), F.col("v").alias("canonical"))
 
 
@@ -224,41 +226,52 @@ def pca_reduce(df: DataFrame, vec_col: str, target_dim: int = 50, out: str = "re
 # V7–V9: nearest catalogue keyword
 # ---------------------------------------------------------------------------
 
+#: Keywords compared at once in a task; bounds the similarity matrix of a batch.
+KEYWORD_TILE = 4096
+
+
 def nearest_keyword(aspects: DataFrame, aspect_vec: str, keywords: DataFrame, kw_pos: str, kw_vec: str,
-                    max_keywords: int = 200_000, tie_decimals: int = 12) -> DataFrame:
+                    piece_rows: int = 200_000, tie_decimals: int = 12) -> DataFrame:
     """V7: argmax cosine over the keyword catalogue (first keyword on ties; similarities
     equal to ``tie_decimals`` decimals are ties, so summation order cannot pick the
     winner); adds ``kw_index`` (the catalogue position) and ``cosine_similarity``.
 
-    The catalogue is a dimension: its size is checked, then it is shipped once per
-    executor as a broadcast matrix; aspect rows stream through Arrow batches."""
+    The catalogue is counted and sent to the executors in pieces of about ``piece_rows``
+    rows; each piece is one pass over the aspects, in Arrow batches, that keeps the best
+    keyword so far.  A usual catalogue is one piece; a larger one costs more passes, never
+    more memory.  An empty catalogue gives a null index."""
     spark: SparkSession = aspects.sparkSession
     kw = keywords.select(F.col(kw_pos).cast("long").alias("p"), F.col(kw_vec).alias("v"))
-    if kw.limit(max_keywords + 1).count() > max_keywords:
-        raise ValueError("keyword catalogue exceeds the broadcast limit")
-    rows = sorted(kw.collect(), key=lambda r: r["p"])
-    km = _unit_matrix([r["v"] for r in rows])
-    kpos = np.array([r["p"] for r in rows], dtype=np.int64)
-    bc = spark.sparkContext.broadcast((km, kpos))
-    schema = T.StructType(aspects.schema.fields + [T.StructField("kw_index", T.LongType()),
-                                                   T.StructField("cosine_similarity", T.DoubleType())])
+    pieces = max(1, -(-kw.count() // piece_rows))
+    out = aspects.withColumn("kw_index", F.lit(None).cast("long")).withColumn("cosine_similarity", F.lit(0.0))
+    for i in range(pieces):
+        part = kw.where(F.pmod(F.xxhash64("p"), F.lit(pieces)) == i) if pieces > 1 else kw
+        rows = sorted(part.collect(), key=lambda r: r["p"])
+        out = out.mapInPandas(_match(spark.sparkContext.broadcast((_unit_matrix([r["v"] for r in rows]), np.array(
+            [r["p"] for r in rows], dtype=np.int64))), aspect_vec, tie_decimals), out.schema)
+    return out
+
 
+def _match(shared, aspect_vec: str, tie_decimals: int):
     def match(batches):
-        m, pos = bc.value
+        m, pos = shared.value
         for pdf in batches:
-            if len(pdf) == 0 or m.size == 0:
-                pdf["kw_index"] = pd.Series([None] * len(pdf), dtype="Int64")
-                pdf["cosine_similarity"] = pd.Series([0.0] * len(pdf), dtype="float64")
-                yield pdf
-                continue
-            a = _unit_matrix(list(pdf[aspect_vec]))
-            s = a @ m.T
-            best = np.argmax(np.round(s, tie_decimals), axis=1)  # first maximum = first keyword on ties
-            pdf["kw_index"] = pos[best]
-            pdf["cosine_similarity"] = s[np.arange(len(best)), best]
+            if len(pdf) and len(pos):
+                a = _unit_matrix(list(pdf[aspect_vec]))
+                best = pdf["kw_index"].astype("Int64").to_numpy(dtype="float64", na_value=np.inf)
+                top = np.where(np.isinf(best), -np.inf, pdf["cosine_similarity"].to_numpy(dtype="float64"))
+                place = np.where(np.isinf(best), -1, best).astype(np.int64)
+                for t in range(0, len(pos), KEYWORD_TILE):
+                    s = a @ m[t:t + KEYWORD_TILE].T
+                    j = np.argmax(np.round(s, tie_decimals), axis=1)  # the first of a tile's equal maxima
+                    sim, at = s[np.arange(len(j)), j], pos[t + j]
+                    new, old = np.round(sim, tie_decimals), np.round(top, tie_decimals)
+                    better = (new > old) | ((new == old) & (at < place))
+                    top, place = np.where(better, sim, top), np.where(better, at, place)
+                pdf["kw_index"], pdf["cosine_similarity"] = place, top
             yield pdf
 
-    return aspects.mapInPandas(match, schema)
+    return match
 
 
 def apply_threshold(mapped: DataFrame, phrase_col: str, keyword_col: str, threshold: float,

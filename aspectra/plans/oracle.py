@@ -426,18 +426,19 @@ s AS (SELECT *, greatest(0, len(w) // 2 - 24) AS st FROM c)
 SELECT review_key, clause_pos, CASE WHEN len(w) <= 48 THEN array_to_string(w, ' ')
   ELSE array_to_string(w[st + 1:least(len(w), st + 48)], ' ') END AS snippet FROM s""")
 
-_VOCAB = """(SELECT term, count(*) AS freq FROM (
-  SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en')
-  WHERE length(term) >= 3 GROUP BY term HAVING count(*) >= 50)"""
+_VOCAB = """(SELECT term, freq FROM (SELECT term, count(*) AS freq, sum(count(*)) OVER () AS total FROM (
+  SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY term)
+  WHERE freq >= total * 1e-4)"""
+_CORRECTABLE = "length(tok) >= 2 AND regexp_matches(tok, '\\p{L}') AND NOT regexp_matches(tok, '\\p{N}')"
 
 
 def _spell(tokens_sql: str, dist: int, order: str, out: str) -> str:
-    """tokens_sql: a query giving (doc_id, tk) for the English documents."""
+    """tokens_sql: a query giving (doc_id, tk)."""
     return f"""
 WITH t AS ({tokens_sql}),
 x AS (SELECT doc_id, unnest(tk) AS tok, generate_subscripts(tk, 1) AS pos FROM t),
 v AS {_VOCAB},
-u AS (SELECT DISTINCT tok FROM x WHERE tok NOT IN (SELECT term FROM v)),
+u AS (SELECT DISTINCT tok FROM x WHERE tok NOT IN (SELECT term FROM v) AND {_CORRECTABLE}),
 c AS (SELECT u.tok, v.term, v.freq, levenshtein(u.tok, v.term) AS dist FROM u, v
       WHERE abs(length(u.tok) - length(v.term)) <= {dist} AND levenshtein(u.tok, v.term) <= {dist}),
 b AS (SELECT tok, term AS corr FROM c QUALIFY row_number() OVER (PARTITION BY tok ORDER BY {order}) = 1),
@@ -446,12 +447,12 @@ r AS (SELECT x.doc_id, string_agg(coalesce(b.corr, x.tok), ' ' ORDER BY x.pos) A
 SELECT t.doc_id AS review_key, coalesce(r.s, '') AS {out} FROM t LEFT JOIN r USING (doc_id)"""
 
 
-oracle("spell_correct_1", _spell(f"SELECT doc_id, {_clean_tokens(norm('text'))} AS tk FROM documents WHERE lang = 'en'",
+oracle("spell_correct_1", _spell(f"SELECT doc_id, {_clean_tokens(norm('text'))} AS tk FROM documents",
                                  1, "freq DESC, term", "tokens"))
 _LIGHT = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s.,!?]', ' ', 'g'), '\\s+', ' ', 'g'))"
 oracle("spell_correct_2", _spell(
     f"SELECT doc_id, CASE WHEN lt = '' THEN []::VARCHAR[] ELSE string_split(lt, ' ') END AS tk "
-    f"FROM (SELECT doc_id, {_LIGHT} AS lt FROM documents WHERE lang = 'en')",
+    f"FROM (SELECT doc_id, {_LIGHT} AS lt FROM documents)",
     2, "dist, freq DESC, term", "text"))
 
 _LEX = values([r[:3] for r in FX.fx_token_lexicon_rows()], ["word", "tag", "lemma"], "l")
@@ -497,10 +498,10 @@ FXC = f"""(SELECT vec_id, phrase, embedding, label,
   CASE WHEN vec_id % 37 = 0 THEN -1 WHEN vec_id < 2 THEN 10 ELSE label END AS cluster FROM {PHRASES})"""
 
 
-def silhouette_sql(pts: str) -> str:
+def silhouette_sql(pts: str, distance: str = "list_distance(a.v, b.v)") -> str:
     """pts: (vec_id, v DOUBLE[], cluster) of the non-noise points."""
     return f"""(WITH p AS {pts},
-d AS (SELECT a.vec_id AS i, a.cluster AS ci, b.cluster AS c, list_distance(a.v, b.v) AS dist
+d AS (SELECT a.vec_id AS i, a.cluster AS ci, b.cluster AS c, {distance} AS dist
       FROM p a, p b WHERE a.vec_id <> b.vec_id),
 s AS (SELECT i, ci, c, avg(dist) AS m FROM d GROUP BY ALL),
 own AS (SELECT i, m AS a FROM s WHERE c = ci),
@@ -524,6 +525,8 @@ SELECT CASE WHEN (SELECT count(DISTINCT cluster) FROM p) <= 1 OR (SELECT count(*
             ELSE avg(r) END AS davies_bouldin FROM r)"""
 
 oracle("clu_silhouette", f"SELECT round(silhouette, 6) AS silhouette FROM {silhouette_sql(_PTS)}")
+oracle("clu_silhouette_sq", f"""SELECT round(silhouette, 6) AS silhouette_sq
+  FROM {silhouette_sql(_PTS, 'list_distance(a.v, b.v) ** 2')}""")
 oracle("clu_davies_bouldin", f"SELECT round(davies_bouldin, 6) AS davies_bouldin FROM {_DBI}")
 oracle("clu_centroids", f"""SELECT CAST(cluster AS BIGINT) AS cluster, CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS dim,
   round(unnest(c), 6) AS value FROM {_CEN}""")
@@ -744,7 +747,11 @@ _MAPDIM = """(SELECT keyword, min(pos) AS pos, arg_max(KPI_ID, pos) AS KPI_ID, a
          p_partkey AS pos, p_partkey AS KPI_ID, p_brand AS KPI_NAME, CAST(p_size AS BIGINT) AS DEPARTMENT_ID,
          p_type AS DEPARTMENT_NAME FROM part) GROUP BY keyword)"""
 
-oracle("aspect_table", f"""
+def _aspect_table_sql(half: int, source: str) -> str:
+    """Chain B with 2 * half + 1 classes: the net word count, clipped to +-half, picks the class."""
+    net = f"least({half}, greatest(-{half}, {lexicon_star_sql('aspect_snippet', FX.FX_ASPECT_POSITIVE, FX.FX_ASPECT_NEGATIVE)}))"
+    confidence = f"(1.0 / ({' + '.join(f'exp(-abs(net - ({k})))' for k in range(-half, half + 1))}))"
+    return f"""
 WITH orv AS (SELECT r.review_key, r.text, o.o_custkey AS org FROM {ORDER_REVIEWS} r
              LEFT JOIN orders o ON o.o_orderkey = r.review_key),
 asp AS (SELECT a.*, orv.text, orv.org FROM {_ASP} a JOIN orv USING (review_key)),
@@ -759,9 +766,9 @@ cand AS (SELECT allp.ap, kd.pos, coalesce(sims.sim, 0.0) AS sim FROM allp CROSS
 best AS (SELECT ap, pos, sim FROM cand QUALIFY row_number() OVER (PARTITION BY ap ORDER BY round(sim, 12) DESC, pos) = 1),
 m AS (SELECT asp.*, kd.keyword AS Matched_Keyword, best.sim, kd.KPI_ID, kd.KPI_NAME, kd.DEPARTMENT_ID, kd.DEPARTMENT_NAME
       FROM asp JOIN best ON best.ap = asp.aspect_phrase JOIN kd ON kd.pos = best.pos),
-sc AS (SELECT m.*, {lexicon_star_sql('aspect_snippet', FX.FX_ASPECT_POSITIVE, FX.FX_ASPECT_NEGATIVE)} AS net FROM m),
-sa AS (SELECT *, CASE WHEN net + 3 <= 2 THEN 'Negative' WHEN net + 3 = 3 THEN 'Neutral' ELSE 'Positive' END AS Aspect_Sentiment,
-              round({_softmax_max('net')}, 3) AS Confidence_Sentiment, CAST(net + 3 AS BIGINT) AS Stars FROM sc),
+sc AS (SELECT m.*, {net} AS net FROM m),
+sa AS (SELECT *, CASE WHEN net < 0 THEN 'Negative' WHEN net = 0 THEN 'Neutral' ELSE 'Positive' END AS Aspect_Sentiment,
+              round({confidence}, 3) AS Confidence_Sentiment, CAST(net + {half} + 1 AS BIGINT) AS Stars FROM sc),
 g AS (SELECT review_key, trim(text) AS tx, count(*) AS n,
         count(*) FILTER (WHERE Aspect_Sentiment = 'Positive') AS npos, count(*) FILTER (WHERE Aspect_Sentiment = 'Negative') AS nneg,
         count(*) FILTER (WHERE Aspect_Sentiment = 'Neutral') AS nneu,
@@ -783,9 +790,13 @@ SELECT sa.review_key AS REVIEW_ID, CAST(sa.org AS VARCHAR) AS ORGANIZATION_ID, t
   sa.aspect_phrase AS N_gram, sa.Matched_Keyword, round(sa.sim, 4) AS Cosine_Similarity, CAST(sa.KPI_ID AS VARCHAR) AS KPI_ID,
   sa.KPI_NAME AS KPI_Name, CAST(sa.DEPARTMENT_ID AS VARCHAR) AS Department_ID, sa.DEPARTMENT_NAME AS Department_Name,
   sa.aspect_phrase AS Aspect_Phrase, sa.aspect_snippet AS Aspect_Snippet, sa.Aspect_Sentiment, sa.Confidence_Sentiment,
-  sa.Stars, 'LexiconScorer(aspect-first)' AS Sentiment_Source, v.rs AS Review_Sentiment, round(v.rc, 3) AS Review_Confidence,
+  sa.Stars, '{source}' AS Sentiment_Source, v.rs AS Review_Sentiment, round(v.rc, 3) AS Review_Confidence,
   'MajorityVote+TieBreak+NeutralFix' AS Aggregation_Method
-FROM sa JOIN v ON v.review_key = sa.review_key AND v.tx = trim(sa.text)""")
+FROM sa JOIN v ON v.review_key = sa.review_key AND v.tx = trim(sa.text)"""
+
+
+oracle("aspect_table", _aspect_table_sql(2, "LexiconScorer(aspect-first)"))
+oracle("aspect_table_class3", _aspect_table_sql(1, "LexiconScorer(3-class)"))
 
 _ASSIGN = f"""{_FUSE},
 acc AS (SELECT fz.vec_id, fz.kpi, fz.department, fz.probability, fz.rule_applied, c.phrase, c.cluster,
@@ -961,3 +972,18 @@ _funnel_rows = [
 oracle("kx_funnel", f"""{_KX_SEL},
 pr AS ({ORACLES["kx_prune_freq"]})
 """ + " UNION ALL ".join(f"SELECT {q(m)} AS metric, CAST({e} AS BIGINT) AS value" for m, e in _funnel_rows))
+
+oracle("src_reviews_csv", """SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS source_id, coalesce(text, '') AS text
+  FROM documents""")
+oracle("dim_label_list_csv", """SELECT p_name AS label, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part
+  WHERE p_partkey % 7 <> 0""")
+
+oracle("clu_density", """
+WITH RECURSIVE p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT a.vec_id AS i, b.vec_id AS j FROM p a, p b WHERE list_distance(a.v, b.v) <= 0.9),
+core AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 2),
+e AS (SELECT n.i, n.j FROM n JOIN core USING (i) JOIN core k ON k.i = n.j),
+r(i, root) AS (SELECT i, j FROM e UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.root),
+m AS (SELECT i, min(root) AS root FROM r GROUP BY i),
+o AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM m GROUP BY root HAVING count(*) >= 2)
+SELECT p.vec_id, CAST(coalesce(o.cluster, -1) AS BIGINT) AS cluster FROM p LEFT JOIN m ON m.i = p.vec_id LEFT JOIN o USING (root)""")

@@ -176,6 +176,23 @@ def q_src_row_ids(spark, sf):
                                              F.col("text").alias("text"))
 
 
+@query("src_reviews_csv")
+def q_src_reviews_csv(spark, sf):
+    """Documents written as CSV (quotes, line breaks), read back without an id column: the id is the file position."""
+    d = FX.table(spark, sf, "documents").select("doc_id", "text").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    path = SK.write_csv(d.select("text"), SK.scratch_path(spark, "documents_csv"))
+    return S.reviews(S.read_table(spark, path, "csv"), "text", None)
+
+
+@query("dim_label_list_csv")
+def q_dim_label_list_csv(spark, sf):
+    p = FX.table(spark, sf, "part").select("p_partkey", "p_name").repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey")
+    # every seventh name is missing: its row is dropped and leaves no gap
+    named = p.select(F.when(F.col("p_partkey") % 7 != 0, F.col("p_name")).alias("label"), F.lit("x").alias("other"))
+    path = SK.write_csv(named, SK.scratch_path(spark, "labels_csv"))
+    return S.label_list(S.read_table(spark, path, "csv"))
+
+
 @query("src_nonnull_reviews")
 def q_src_nonnull_reviews(spark, sf):
     d = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("ID"),
@@ -477,19 +494,19 @@ def _en_docs(spark, sf):
 
 
 def _vocab(spark, sf):
-    return LX.spell_vocabulary(_en_docs(spark, sf), "text", 50)
+    return LX.spell_vocabulary(FX.documents_reviews(spark, sf), "text")
 
 
 @query("spell_correct_1")
 def q_spell_correct_1(spark, sf):
-    d = _en_docs(spark, sf).select("review_key", TK.clean_tokens(T.normalize_ws("text")).alias("toks"))
+    d = FX.documents_reviews(spark, sf).select("review_key", TK.clean_tokens(T.normalize_ws("text")).alias("toks"))
     c = LX.correct_tokens(d, "review_key", "toks", _vocab(spark, sf), 1, prefer="frequent")
     return c.select("review_key", F.array_join("corrected", " ").alias("tokens"))
 
 
 @query("spell_correct_2")
 def q_spell_correct_2(spark, sf):
-    d = _en_docs(spark, sf).select("review_key", T.normalize_light("text").alias("t"))
+    d = FX.documents_reviews(spark, sf).select("review_key", T.normalize_light("text").alias("t"))
     d = d.select("review_key", T.tokens("t").alias("toks"))
     c = LX.correct_tokens(d, "review_key", "toks", _vocab(spark, sf), 2, prefer="closest")
     return c.select("review_key", F.array_join("corrected", " ").alias("text"))
@@ -634,6 +651,12 @@ def q_clu_silhouette(spark, sf):
     return s.select(F.round("silhouette", 6).alias("silhouette"))
 
 
+@query("clu_silhouette_sq")
+def q_clu_silhouette_sq(spark, sf):
+    s = C.silhouette_sq(FX.fx_clusters(spark, sf), "vec_id", "embedding", "cluster")
+    return s.select(F.round("silhouette_sq", 6).alias("silhouette_sq"))
+
+
 @query("clu_davies_bouldin")
 def q_clu_davies_bouldin(spark, sf):
     d = C.davies_bouldin(FX.fx_clusters(spark, sf), "embedding", "cluster")
@@ -712,6 +735,15 @@ def q_clu_kmeans_sweep(spark, sf):
     return labels.select("vec_id", F.col("cluster").cast("long").alias("cluster"))
 
 
+DENSITY_CUT = 0.9
+
+
+@query("clu_density")
+def q_clu_density(spark, sf):
+    e = FX.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return C.density_labels(e, "vec_id", "embedding", DENSITY_CUT, 2, 2).select("vec_id", F.col("cluster").cast("long").alias("cluster"))
+
+
 @query("clu_select")
 def q_clu_select(spark, sf):
     c = FX.fx_clusters(spark, sf)
@@ -916,6 +948,19 @@ def q_aspect_table(spark, sf):
     return _aspect_table(spark, sf)
 
 
+@query("aspect_table_class3")
+def q_aspect_table_class3(spark, sf):
+    return _aspect_table(spark, sf, classes=3, source_name="LexiconScorer(3-class)")
+
+
+@query("aspect_table_strict")
+def q_aspect_table_strict(spark, sf):
+    """Symbols cleaned, informative chunks, window snippets, mapping threshold, top-5 weighted vote."""
+    return _aspect_table(spark, sf, strict=True, clean_symbols=True, threshold=0.4, top_k_vote=5, classes=3,
+                         model_labels={0: "LABEL_NEGATIVE", 1: "LABEL_NEUTRAL", 2: "LABEL_POSITIVE"},
+                         source_name="LexiconScorer(strict)")
+
+
 def _assignments(spark, sf):
     f = _fused(spark, sf).where("accepted")
     c = FX.fx_clusters(spark, sf).select("vec_id", "phrase", "cluster")
@@ -1001,19 +1046,19 @@ def _kx_docs(spark, sf):
                     X.document_text(F.col("text"), norm, clean).alias("document_text"))
 
 
-def _kx_classes(spark, sf):
-    """Tags from the fixture lexicon; senses: the fixture senses plus every frequent English
-    word (the spelling vocabulary) as a one-sense artifact noun."""
+def _kx_attributes(spark, sf):
+    """Tags from the fixture lexicon; senses: the fixture senses plus every dictionary word
+    (the spelling vocabulary) as a one-sense artifact noun."""
     lex = LX.lexicon_table(spark, FX.fx_token_lexicon_rows())
     senses = LX.senses_table(spark, FX.FX_SENSES).unionByName(
         _vocab(spark, sf).select(F.col("term").alias("lemma"), F.lit(1).alias("sense"),
                                  F.lit("noun.artifact").alias("domain")))
-    return X.WordClasses.from_tables(lex, senses, 2)
+    return X.word_attributes(lex, senses, 2)
 
 
 def _kx_cands(spark, sf):
-    return X.candidate_table(_kx_docs(spark, sf), "review_key", "source_id", "document_text", _kx_classes(spark, sf),
-                             min_cosine=KX_MIN_COSINE)
+    return X.candidate_table(_kx_docs(spark, sf), "review_key", "source_id", "document_text", X.WordClasses(),
+                             attributes=_kx_attributes(spark, sf), min_cosine=KX_MIN_COSINE)
 
 
 @query("kx_document_text")
@@ -1088,3 +1133,24 @@ def q_kx_drop_examples(spark, sf):
 @query("kx_top_phrases")
 def q_kx_top_phrases(spark, sf):
     return X.top_phrases(_kx_cands(spark, sf), 10).select("rank", "phrase", "n")
+
+
+def _main_program(spark, sf):
+    """Chain A over the documents; the KPIs are the corpus's ten most frequent keyphrases."""
+    cands, pruned, _ = _kx_pruned(spark, sf)
+    kpis = X.top_phrases(cands, 10).select(F.initcap("phrase").alias("kpi"))
+    return CH.phrase_program(pruned.where(F.col("prune").isNull()).select("phrase", "score"), kpis,
+                             FX.department_names(spark, sf), R.synonym_table(spark, FX.FX_SYNONYMS), FX.FX_DEPT_HINTS)
+
+
+@query("main_assignments")
+def q_main_assignments(spark, sf):
+    a = _main_program(spark, sf)["assignments"]
+    return a.select("vec_id", "phrase", F.col("n").cast("long"), F.col("cluster").cast("long"), "kpi", "department",
+                    F.round("probability", 6).alias("probability"), "rule_applied", "accepted")
+
+
+@query("main_summary")
+def q_main_summary(spark, sf):
+    out = _main_program(spark, sf)
+    return G.run_summary({k: out[k] for k in ("decisions", "clusters", "quality", "classifier")})

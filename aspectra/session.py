@@ -2,14 +2,16 @@
 
 ``get_spark`` builds a local session for tests and the bench; on a cluster
 the caller's session is used as-is.  ``checkpoint_dir`` reads the cluster's
-``spark.checkpoint.dir`` and only sets a scratch folder when none is
-configured (local runs and tests).
+``spark.checkpoint.dir``; a scratch folder of this machine stands in only for a
+local master, and a cluster without a shared folder is an error.  ``ship``
+sends the package to the executors' Python workers.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -36,13 +38,35 @@ def get_spark(cpus: int | None = None, app: str = "aspectra", shuffle_partitions
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only when unset."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder; set to a scratch folder only on a local master that has none."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="aspectra-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+#: Applications whose executors have the package.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of this application, once; they need not share the driver's folders."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="aspectra-"), "aspectra.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

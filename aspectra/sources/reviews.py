@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aspectra import lexicons as L
+from aspectra.functions.ops import global_rank
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -22,19 +23,23 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
 def with_row_position(df: DataFrame, out: str = "row_pos") -> DataFrame:
     """Dense 0-based row number in FILE order, without a global window.
 
-    Per file row counts (one row per file) get running offsets; every row then
-    adds its ``_metadata.row_index``.  Only the per-file count table is small,
-    so it is the one that gets broadcast.
+    ``df`` is read from files.  Rows are numbered inside their file (parquet: the file's own
+    row index) or inside their split of it (CSV, JSON: the order in which the scan yields
+    them); row counts per file or split, in path and offset order, become offsets.  One
+    window runs over these counts, one row per split.
     """
-    meta = df.select("*", F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.row_index").alias("_ri"))
-    counts = meta.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_fp", (F.sum("_n").over(Window.orderBy("_fp").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    offsets = offsets.select("_fp", F.coalesce("_off", F.lit(0)).alias("_off"))
-    return (meta.join(F.broadcast(offsets), "_fp")
-            .withColumn(out, (F.col("_off") + F.col("_ri")).cast("long"))
-            .drop("_fp", "_ri", "_off"))
+    scan = df.select("_metadata").schema["_metadata"].dataType.names
+    order = ["_fp", "_bs"]
+    meta = df.select("*", F.col("_metadata.file_path").alias("_fp"), *(
+        [F.lit(0).alias("_bs"), F.col("_metadata.row_index").alias("_ri")] if "row_index" in scan
+        else [F.col("_metadata.file_block_start").alias("_bs"), F.monotonically_increasing_id().alias("_ri")]))
+    splits = meta.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"), F.min("_ri").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select(*order, F.coalesce(before, F.lit(0)).alias("_off"),
+                            (F.lit(0) if "row_index" in scan else F.col("_first")).alias("_first"))
+    return (meta.join(offsets, order)
+            .withColumn(out, (F.col("_off") + F.col("_ri") - F.col("_first")).cast("long"))
+            .drop("_ri", "_off", "_first", *order))
 
 
 def reviews(df: DataFrame, text_col: str = "HIGHLIGHTED_REVIEW_CONTENT", id_col: str | None = "ORGANIZATION_ID",
@@ -81,12 +86,11 @@ def label_list(df: DataFrame | None, spark: SparkSession | None = None, defaults
     if df is None:
         return spark.createDataFrame([(d, i) for i, d in enumerate(defaults)], "label string, pos long")
     first = df.columns[0]
-    clean = df.dropna()
-    label = F.regexp_replace(F.col(first).cast("string"), "^﻿", "")
-    if order_col is None:
-        clean = with_row_position(clean, "_pos")
-        order_col = "_pos"
-    return clean.select(label.alias("label"), F.col(order_col).cast("long").alias("pos"))
+    label = F.regexp_replace(F.col(first).cast("string"), "^\ufeff", "")
+    # numbered before rows are dropped, then ranked again without gaps
+    placed = with_row_position(df, "_pos") if order_col is None else df.withColumn("_pos", F.col(order_col).cast("long"))
+    clean = placed.dropna(subset=df.columns).select(label.alias("label"), "_pos")
+    return global_rank(clean, F.col("_pos"), "pos").select("label", (F.col("pos") - 1).alias("pos"))
 
 
 def default_kpis(spark: SparkSession) -> DataFrame:

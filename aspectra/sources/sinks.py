@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aspectra.functions.ops import global_rank
 from aspectra.session import checkpoint_dir
 
 
@@ -20,7 +21,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def write_csv(df: DataFrame, path: str) -> str:
     """Header CSV, no index column; parallel part files (no single-task funnel)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -49,10 +51,12 @@ def cluster_records(assignments: DataFrame, labels: DataFrame | None = None) ->
     else:
         g = g.withColumn("label", F.lit(None).cast("string"))
     g = g.withColumn("label", F.coalesce("label", F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))))
-    w = Window.partitionBy("cluster").orderBy(F.col("probability").desc(), F.col("phrase"))
-    kws = assignments.withColumn("rank", F.row_number().over(w).cast("long")).select(
-        F.col("cluster").alias("cluster_id"), "rank", "phrase", "kpi", "department", "probability",
-        "rule_applied", "sentiments")
+    # rank inside the cluster from one global rank, so that a large cluster is not one task
+    ranked = global_rank(assignments, F.struct(F.col("cluster"), (-F.col("probability")).alias("p"), F.col("phrase")), "_r")
+    first = ranked.groupBy("cluster").agg(F.min("_r").alias("_first"))
+    kws = ranked.join(first, "cluster").select(
+        F.col("cluster").alias("cluster_id"), (F.col("_r") - F.col("_first") + 1).cast("long").alias("rank"), "phrase",
+        "kpi", "department", "probability", "rule_applied", "sentiments")
     return g, kws
 
 
