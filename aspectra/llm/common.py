@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aspectra.functions import graph
 from aspectra.session import checkpoint_dir
 
 #: Spark drops a query's shuffle files when it ends instead of waiting for the driver's garbage collector.
@@ -58,38 +59,8 @@ def text_or_empty(column: str = "text"):
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list: ``node, component`` (the smallest node).
-
-    Alternating large-star and small-star rounds: every round is a min per
-    node (combined map-side) and a join back, so a hub's neighbours are never
-    gathered; rounds grow with the logarithm of the longest path.  Edges with a
-    null end and self-loops are ignored; nodes without an edge are not returned.
-    """
-    e = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
-    )
-    e = saved(e, "edges")
-    state = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v").where("u != v").distinct()
-        )
-        e = saved(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        state = now
+    """Connected components of an edge list, ``node, component``; every round is a saved table."""
+    return graph.components(edges, a, b, keep=lambda df: saved(df, "edges"))
 
 
 def let(value, body):
