@@ -96,12 +96,13 @@ class Model:
         first = 0
         while first < len(at) - 1:
             last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK)) - 1)
-            part = points[at[first] : at[last] + 1]
+            ahead = max(SIZES) - 1  # n-grams of the last word reach into the next one
+            part = points[at[first] : at[last] + 1 + ahead]
             total = np.zeros((len(part), len(self.langs)))
             for size in SIZES:
                 if len(part) >= size:
                     total[: len(part) - size + 1] += self.logp[grams(part, size)]
-            out.append(np.add.reduceat(total, at[first:last] - at[first], axis=0) / len(SIZES))
+            out.append(np.add.reduceat(total[: at[last] - at[first]], at[first:last] - at[first], axis=0) / len(SIZES))
             first = last
         return np.concatenate(out)
 
