@@ -8,8 +8,8 @@ of all its cells are united.  Every vector is then searched for in its own
 cell, among its members and the neighbours the united lists name: a greedy beam
 search starts at the medoid, and from each node in range the search expands to
 its neighbours until none in range is new.  Found pairs are verified in double
-precision, recall is audited against brute force on a stated set of queries,
-and the search is repeated with more cells and a wider beam while it is too low.
+precision, recall is audited against brute force on stated queries, each linked
+one with the same weight, and the search is repeated with more cells and a wider beam while it is too low.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from aspectra.llm.common import components, saved
 
 #: Rows the cells are fitted on at most, and cells at most.
 SAMPLE_ROWS, MAX_CELLS = 1 << 14, 1 << 11
-#: Audit: queries at most, and what they must find of their true links.
-AUDIT_QUERIES, RECALL = 512, 0.95
+#: Audit: queries of the first block, queries at most, linked queries that suffice, and the share of its true links a query must find on average.
+AUDIT_QUERIES, AUDIT_MOST, AUDIT_LINKED, RECALL = 512, 1 << 14, 128, 0.95
 #: Queries searched at once in a task; bounds the pairs held.
 TOGETHER = 128
 #: Beyond the threshold by so much, nodes still lead the search on.
@@ -214,21 +214,34 @@ def search(members: DataFrame, graph: DataFrame, reps: DataFrame, sizes: DataFra
     return both.groupBy("cell", "slice", "asked_by").applyInPandas(one, "a long, b long").distinct()
 
 
-def audit(reps: DataFrame, links: DataFrame, dim: int, threshold: float) -> float:
-    """Share of the true links of ``AUDIT_QUERIES`` stated queries (the smallest id hashes) that ``links`` holds."""
-    asked = reps.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(AUDIT_QUERIES).select("rep", "unit").toPandas()
-    ids, x = asked["rep"].to_numpy(), _matrix(asked["unit"], dim)
-
-    def batches(frames):
-        for frame in frames:
-            if len(frame):
-                node, query = np.nonzero(_matrix(frame["unit"], dim) @ x.T >= threshold)
-                a, b = frame["rep"].to_numpy()[node], ids[query]
-                yield pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]})
+def audit(reps: DataFrame, links: DataFrame, dim: int, threshold: float) -> float | None:
+    """Mean share of its true links that ``links`` holds, over the linked ones of stated queries; None if none of them has a link.
 
-    true = saved(reps.select("rep", "unit").mapInPandas(batches, "a long, b long").distinct(), "vector-audit")
-    wanted = true.count()
-    return true.join(links, ["a", "b"]).count() / wanted if wanted else 1.0
+    Queries are taken from all rows in the order of an id hash, in blocks that
+    double, until ``AUDIT_LINKED`` of them have a link or ``AUDIT_MOST`` are
+    asked.  Each linked query weighs the same, whatever the size of its group.
+    """
+    spark = reps.sparkSession
+    asked = reps.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(AUDIT_MOST).select("rep", "unit").toPandas()
+    ids, x = asked["rep"].to_numpy(), _matrix(asked["unit"], dim)
+    shares, at, upto = [], 0, AUDIT_QUERIES
+    while at < len(ids) and len(shares) < AUDIT_LINKED:
+        block = spark.sparkContext.broadcast((ids[at:upto], x[at:upto]))
+
+        def batches(frames, block=block):
+            names, queries = block.value
+            for frame in frames:
+                nodes, vectors = frame["rep"].to_numpy(), _matrix(frame["unit"], dim)
+                for k in range(0, len(queries) if len(nodes) else 0, AUDIT_QUERIES):
+                    node, query = np.nonzero(vectors @ queries[k : k + AUDIT_QUERIES].T >= threshold)
+                    q, n = names[k + query], nodes[node]
+                    yield pd.DataFrame({"query": q, "a": np.minimum(q, n), "b": np.maximum(q, n)})[q != n]
+
+        true = saved(reps.select("rep", "unit").mapInPandas(batches, "query long, a long, b long").distinct(), "vector-audit")
+        held = true.join(links.select("a", "b", F.lit(1).alias("held")), ["a", "b"], "left")
+        shares += [r[0] for r in held.groupBy("query").agg((F.count("held") / F.count("*")).alias("share")).select("share").collect()]
+        at, upto = upto, 2 * upto
+    return float(np.mean(shares)) if shares else None
 
 
 def near_duplicates(
@@ -238,8 +251,8 @@ def near_duplicates(
 
     ``n_links`` counts the other vectors found with cosine at least
     ``threshold``, ``component_id`` is the smallest id reachable over links,
-    ``kept`` marks the row that carries it, ``recall`` is the audited share of
-    links found.  Vectors that are null, empty, zero, or hold null or non-finite
+    ``kept`` marks the row that carries it, ``recall`` is the audited mean share
+    of a linked vector's links found, null if no audited vector has a link.  Vectors that are null, empty, zero, or hold null or non-finite
     components link with nothing, nor do vectors of different lengths or of a
     null id (whose component is null).  Equal vectors are indexed once and
     counted as many.  Repeated rows of one id and vector are one vector,
@@ -249,10 +262,11 @@ def near_duplicates(
     units = saved(unit_vectors(rows.distinct()), "vector-units")
     classes = saved(units.groupBy("dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
     linked = None
-    recall = 1.0
+    recall = None
     for (dim,) in classes.select("dim").distinct().sort("dim").collect():  # vectors of one length compare among themselves
         found, least = _links(classes.where(F.col("dim") == dim), dim, threshold, cell_rows, slice_rows, overlap, width)
-        linked, recall = found if linked is None else linked.unionByName(found), min(recall, least)
+        linked = found if linked is None else linked.unionByName(found)
+        recall = min((r for r in (recall, least) if r is not None), default=None)
     if linked is None:
         linked = rows.sparkSession.createDataFrame([], "a long, b long")
     ends = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -264,10 +278,10 @@ def near_duplicates(
     per_id = units.join(judged, ["dim", "unit"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id")).join(per_id, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(recall).alias("recall"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
-def _links(reps: DataFrame, dim: int, threshold: float, cell_rows: int, slice_rows: int, overlap: int, width: int) -> tuple[DataFrame, float]:
+def _links(reps: DataFrame, dim: int, threshold: float, cell_rows: int, slice_rows: int, overlap: int, width: int) -> tuple[DataFrame, float | None]:
     n = reps.count()
     cells = max(1, min(-(-n // cell_rows), MAX_CELLS))
     centroids = fit_cells(reps, cells, dim)
@@ -278,6 +292,6 @@ def _links(reps: DataFrame, dim: int, threshold: float, cell_rows: int, slice_ro
         graph = saved(build(members, dim), "vector-graph")
         links = saved(search(members, graph, reps, sizes, dim, threshold, width), "vector-links")
         recall = audit(reps, links, dim, threshold)
-        if recall >= RECALL or (overlap >= cells and width >= n):
+        if recall is None or recall >= RECALL or (overlap >= cells and width >= n):
             return links, recall
         overlap, width = overlap + 1, 2 * width

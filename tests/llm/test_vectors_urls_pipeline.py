@@ -46,6 +46,25 @@ def test_vectors_reach_recall(clumps, settings):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_audit_sees_small_groups_and_rare_links(spark):
+    """All links of a large clump are held and those of lone pairs are not; then few pairs among many vectors; then no link."""
+    rng = np.random.default_rng(7)
+    lone = rng.normal(size=(3000, 32))
+    clump = rng.normal(size=32) + 0.01 * rng.normal(size=(300, 32))
+
+    def judged(x, held):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        reps = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(u)], "rep long, unit binary").repartition(3)
+        return vecgraph.audit(reps, spark.createDataFrame(held, "a long, b long"), 32, 0.9)
+
+    pairs = np.concatenate([clump, lone[:100], lone[:100] + 0.01 * rng.normal(size=(100, 32))])
+    held = [(a, b) for a, b in true_links(pairs) if b < 300]
+    assert judged(pairs, held) == pytest.approx(300 / 500, abs=0.15)
+    rare = np.concatenate([lone, lone[:2] + 0.01 * rng.normal(size=(2, 32))])
+    assert judged(rare, []) == 0.0 and judged(rare, list(true_links(rare))) == 1.0
+    assert judged(lone, []) is None
+
+
 def test_vectors_edge_cases(spark):
     nan, inf = math.nan, math.inf
     rows = [
