@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.common import spans
 
-#: Stands for a separator inside a match; texts that hold it are read as if a letter stood there.
-MARK = ""
+#: Stands for a separator inside a match; where a text holds it, ``FREED`` stands for it, which is in no class of any pattern either.
+MARK, FREED = "", ""
 #: Kinds that every result holds if they match; the others need ``threshold``.
 BASE = ("email", "ip", "card", "phone")
 #: Characters before and after a span in which context words count.
@@ -113,7 +113,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for k in KINDS:
         if k.joined:
-            marked = F.regexp_replace(F.translate("text", MARK, "x"), k.joined, MARK)
+            marked = F.regexp_replace(F.translate("text", MARK, FREED), k.joined, MARK)
             rows = rows.withColumn(f"text_{k.name}", F.when(F.col("text").rlike(k.hint), marked).otherwise(F.lit("")))
     rows = rows.withColumns({k.name: _found(k, threshold) for k in KINDS})
     return rows.select("doc_id", "text", F.concat(*(F.col(k.name) for k in KINDS)).alias("spans"))

@@ -206,6 +206,12 @@ HARD_PII = [
 ]
 
 
+HARD_PII += [
+    "\ue000bob@ex.com a@b.c\ue000 u\ue000v@w.xx q@r\ue000s.tt q@r.s\ue000.tt \ue001u@v.ww\ue001",
+    "\ue0004111 1111 1111 1111\ue000 4111\ue0001111 1111 1111 4111\ue000111111111111 +\ue00049 30 1234567 +49\ue00030 1234567 \ue0001.2.3.4\ue000",
+]
+
+
 def test_pii_base_matches_brute_force(spark):
     texts = list(enumerate([*HARD_PII, None, ""])) + [(1000 + i, t) for i, t in pairs(spark)]
     got = queries._digest(pii.find(spark.createDataFrame(texts, "doc_id long, text string")), pii.BASE).collect()
