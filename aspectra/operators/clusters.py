@@ -9,6 +9,7 @@ cluster-level tables have one row per cluster and are small.
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -289,14 +290,16 @@ def noisiest(prof: DataFrame, cluster_col: str = "cluster", k: int = 5) -> DataF
         cluster_col, "noise_ratio", "rank")
 
 
-def kmeans_sweep(points: DataFrame, vec_col: str, min_k: int = 2, max_k: int = 40, seeds=(42,), max_iter: int = 300):
+def kmeans_sweep(points: DataFrame, vec_col: str, min_k: int = 2, max_k: int = 40, seeds=tuple(range(42, 52)), max_iter: int = 300):
     """k = min_k .. min(max_k, max(min_k, int(2*sqrt(n)))), stopping at k >= n; per k the
-    lowest-cost run over ``seeds``; the best k by the evaluator's silhouette (squared
+    lowest-cost run over ``seeds`` (fitted side by side); the best k by the evaluator's silhouette (squared
     Euclidean — a different number from C2, named so).  Returns (labels, metrics)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
+    from pyspark.util import inheritable_thread_target
 
+    spark = points.sparkSession
     v = points.withColumn("features", array_to_vector(F.col(vec_col))).cache()
     n = v.count()
     top = min(max_k, max(min_k, int(math.sqrt(n) * 2)))
@@ -306,7 +309,9 @@ def kmeans_sweep(points: DataFrame, vec_col: str, min_k: int = 2, max_k: int = 4
     for k in range(min_k, top + 1):
         if k >= n:
             break
-        runs = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features").fit(v) for s in seeds]
+        fits = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features") for s in seeds]
+        with ThreadPool(len(fits)) as pool:
+            runs = pool.map(inheritable_thread_target(spark)(lambda fit: fit.fit(v)), fits)
         m = min(runs, key=lambda r: r.summary.trainingCost)
         pred = m.transform(v)
         if pred.select("prediction").distinct().limit(2).count() <= 1:
@@ -315,7 +320,6 @@ def kmeans_sweep(points: DataFrame, vec_col: str, min_k: int = 2, max_k: int = 4
         metrics.append((k, float(sil), float(m.summary.trainingCost)))
         if best is None or sil > best[0]:
             best = (sil, k, pred)
-    spark = points.sparkSession
     mdf = spark.createDataFrame(metrics, "k int, silhouette_sq double, cost double")
     if best is None:
         return points.withColumn("cluster", F.lit(0)), mdf

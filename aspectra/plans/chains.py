@@ -86,7 +86,7 @@ def aspect_table(reviews: DataFrame, mapping: DataFrame, adjectives, nouns, posi
 
 
 def phrase_program(records: DataFrame, kpis: DataFrame, departments: DataFrame, synonyms: DataFrame, hints, *,
-                   dim: int = 64, dedup_threshold: float = 0.4, max_k: int = 6, min_size: int = 3,
+                   dim: int = 64, dedup_threshold: float = 0.4, max_k: int = 40, min_size: int = 3,
                    min_confidence: float = 0.5, seed: int = 42) -> dict[str, DataFrame]:
     """Chain A, the main program, as one lineage: pruned keyphrase records (X8) -> vectors (V1)
     -> canonical phrases (V4) -> clusters (C1, C6, C7) -> rules (R1-R6) -> samples (M1-M5)

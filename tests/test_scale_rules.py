@@ -1,5 +1,7 @@
 """Edge tables and exactness of the operators that were rebuilt for scale."""
 
+import inspect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -142,6 +144,31 @@ def test_density_labels_match_brute_force(spark):
         assert [r.cluster for r in got] == want
 
 
+def test_sweep_takes_the_references_k_and_restarts(spark, monkeypatch):
+    """The main program sweeps k to 40; nine topics need more than six clusters; ten seeds a k by default."""
+    import pyspark.ml.clustering as ML
+
+    from aspectra.plans import chains as CH
+
+    assert inspect.signature(CH.phrase_program).parameters["max_k"].default == 40
+    assert inspect.signature(C.kmeans_sweep).parameters["max_k"].default == 40
+    fitted = []
+
+    plain = ML.KMeans.fit
+
+    def counted(self, *args):
+        fitted.append((self.getK(), self.getSeed()))
+        return plain(self, *args)
+
+    monkeypatch.setattr(ML.KMeans, "fit", counted)
+    rng = np.random.default_rng(3)
+    x = np.repeat(10 * np.eye(9), 3, axis=0) + 0.01 * rng.normal(size=(27, 9))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {r.vec_id: r.cluster for r in C.kmeans_sweep(frame, "embedding", 8)[0].collect()}
+    assert len(set(got.values())) == 9 and all(got[i] == got[i - i % 3] for i in got)
+    assert sorted(fitted) == [(k, s) for k in (8, 9, 10) for s in range(42, 52)]
+
+
 def test_main_program_fits_together(spark):
     from aspectra.plans.registry import QUERIES
 
