@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from aspectra.llm import decontam, langmix, packing, secretscan, simhash
-from aspectra.llm.common import read, saved
+from aspectra.llm.common import read, saved, text_or_empty
 
 #: A document whose largest language has a smaller share is in no one language.
 LEAST_SHARE = 0.5
@@ -30,10 +30,15 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def decontamination(spark, docs, sf_dir):
-    """Drops documents that hold too many words of benchmark windows."""
+    """Drops documents that hold too many words of benchmark windows.
+
+    Each row is judged by its own text: a contaminated row without an id goes, a
+    clean row that shares its id with a contaminated one stays.
+    """
     found = decontam.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    dropped = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = found.where("contaminated").select(F.col("doc_id").alias("dropped_id"), F.sha2("text", 256).alias("dropped_text")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (F.sha2(text_or_empty(), 256) == F.col("dropped_text"))
+    return docs.join(dropped, same, "left_anti").select(docs.columns)
 
 
 def secrets(spark, docs, sf_dir):

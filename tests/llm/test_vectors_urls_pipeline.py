@@ -170,6 +170,16 @@ def test_pipeline_stages(spark, docs, empty):
             table = common.saved(stage(spark, table, SF), "test-edge")
 
 
+def test_decontamination_judges_each_row(spark):
+    """Null ids and shared ids: every row goes or stays by its own text."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first().text
+    rows = [(None, item), (None, "clean, without an id"), (None, None), (1, item), (1, "clean, with a shared id"), (1, None), (2, item), (2, item), (3, "clean"), (3, "clean")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.decontamination(spark, frame, SF)
+    assert got.columns == frame.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((i, t) for i, t in rows if t != item)
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 
