@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aspectra.llm import decontam, langmix, oracles, packing, pii, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, vecgraph
+from aspectra.llm import decontam, langmix, oracles, packing, pii, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, variants, vecgraph
 from aspectra.llm.common import read
 
 
@@ -71,6 +71,10 @@ def op10_secret_scan(spark, sf_dir):
     return _digest(secretscan.find(read(spark, sf_dir, "documents")), tuple(r.kind for r in secretscan.BASE))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return variants.group_variants(variants.dictionary(read(spark, sf_dir, "documents"), typo_every=199))
+
+
 def op13_quality_rules(spark, sf_dir):
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     return quality.judge(read(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"))
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_quality_rules": op13_quality_rules,
 }
 

@@ -2,13 +2,14 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aspectra.llm import quality, queries
+from aspectra.llm import quality, queries, variants
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,88 @@ def test_quality_edge_cases(spark, docs, empty, texts):
     none = quality.judge(docs, trusted.limit(0)).collect()
     assert all(r.threshold is None and r.kept == (not r.base_failed) for r in none)
     assert quality.judge(empty, trusted).collect() == []
+
+
+def brute_words(rows, typo_every=199):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if typo_every and h % typo_every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+
+def one_apart(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(counts, ratio=5):
+    out, forms = {}, {}
+    for w, n in counts.items():
+        near = [v for v in counts if abs(len(v) - len(w)) < 2 and one_apart(v, w)]
+        top = min(near, key=lambda v: (-counts[v], v), default=None)
+        forms[w] = top if top is not None and counts[top] >= ratio * n else None
+        out[w] = (n, len(near))
+    found = set()
+    for w, (n, near) in out.items():
+        root = w
+        while forms[root]:
+            root = forms[root]
+        found.add((w, forms[w], root, n, near, counts[forms[w]] if forms[w] else None))
+    return found
+
+
+def variant_rows(df):
+    rows = df.collect()
+    assert len(rows) == len({r.word for r in rows})
+    return {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+
+
+def test_variants_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = brute_variants(brute_words([(r.doc_id, r.text) for r in docs.collect()]))
+    got = variant_rows(queries.op11_spelling_variants(spark, SF))
+    assert got == want and any(form for _, form, *_ in want)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_variants_of_dense_words(spark, parts):
+    """Words over three letters: runs of equal letters, shared borders, ties, chains of forms, symbols beyond the first plane."""
+    rng = np.random.default_rng(parts)
+    words = {"".join(rng.choice(list("ab\u00e9"), rng.integers(1, 7))) for _ in range(500)} | {"a" * k for k in range(1, 30)} | {"\U0001f600x", "\U0001f600\U0001f600x", "\uffffx"}
+    counts = {w: int(5 ** rng.integers(0, 5)) for w in words}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = variant_rows(variants.group_variants(spark.createDataFrame(list(counts.items()), "word string, n int")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == brute_variants(counts)
+
+
+def test_variants_number_one_trie(spark):
+    words = ["a", "ab", "abc", "abd", "b", "ba", "bab", "c" * 3000, "c" * 2999 + "d"]
+    rows = spark.createDataFrame([(w,) for w in words], "word string").repartition(4)
+    paths = {r.word: r.path for r in variants.numbered(rows, "word", "path").collect()}
+    nodes = {}
+    for w, path in paths.items():
+        assert len(path) == len(w) + 1
+        for d, node in enumerate(path):
+            assert nodes.setdefault(node, w[:d]) == w[:d]
+    assert len(nodes) == len({w[:d] for w in words for d in range(len(w) + 1)})
+    assert [w for w, _ in sorted(paths.items(), key=lambda x: x[1][-1])] == sorted(words)
+
+
+def test_variants_edge_cases(spark, docs, empty, texts):
+    """Null, empty and long texts, a null id, repeated rows and clashing columns."""
+    want = brute_variants(brute_words(texts, 3))
+    assert variant_rows(variants.group_variants(variants.dictionary(docs, typo_every=3))) == want
+    assert variants.group_variants(variants.dictionary(empty, typo_every=3)).collect() == []
+    with pytest.raises(ValueError):
+        variants.group_variants(variants.dictionary(docs), ratio=1)
