@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from aspectra.llm import decontam, langmix, oracles, packing, pii, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, variants, vecgraph
+from aspectra.llm import decontam, dialogue, langmix, oracles, packing, pii, quality, secretscan, sharding, simhash, suffixdedup, urlfilter, variants, vecgraph
 from aspectra.llm.common import read
 
 
@@ -75,6 +78,37 @@ def op11_spelling_variants(spark, sf_dir):
     return variants.group_variants(variants.dictionary(read(spark, sf_dir, "documents"), typo_every=199))
 
 
+def _hashed_lines(frames):
+    """SHA-256 of each conversation's lines, which come in order; a digest is sequential, but no conversation is held."""
+    conv, digest = None, None
+    for frame in frames:
+        out = []
+        for name, line in zip(frame["conv"], frame["line"], strict=True):
+            if digest is None or name != conv:
+                if digest is not None:
+                    out.append((conv, digest.hexdigest()))
+                conv, digest = name, hashlib.sha256(line.encode())
+            else:
+                digest.update(b"\n" + line.encode())
+        yield pd.DataFrame(out, columns=["conv", "repaired_sha256"])
+    if digest is not None:
+        yield pd.DataFrame([(conv, digest.hexdigest())], columns=["conv", "repaired_sha256"])
+
+
+def op12_conversation_repair(spark, sf_dir, segment_rows: int = dialogue.SEGMENT_ROWS):
+    turns = read(spark, sf_dir, "conversations")
+    found = dialogue.repair(dialogue.damaged(turns), segment_rows=segment_rows)
+    lines = found.edits.where("edit != 'D'").select(F.col("conv_id").cast("string").alias("conv"), "part", "seg", "at", F.concat_ws(":", "role", "text").alias("line"))
+    in_order = lines.repartition("conv").sortWithinPartitions("conv", "part", "seg", "at")
+    hashed = in_order.select("conv", "line").mapInPandas(_hashed_lines, "conv string, repaired_sha256 string")
+    all_ids = turns.select("conv_id").distinct()
+    facts = found.conversations.withColumnRenamed("conv_id", "found_id")
+    rows = all_ids.join(facts, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").join(hashed, F.col("conv_id").cast("string").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = hashlib.sha256().hexdigest()
+    return rows.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"))
+
+
 def op13_quality_rules(spark, sf_dir):
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     return quality.judge(read(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"))
@@ -92,6 +126,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_quality_rules": op13_quality_rules,
 }
 

@@ -1,5 +1,7 @@
 """Operators 11 to 13 against brute force, on edge cases and on a whole small table."""
 
+import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -9,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aspectra.llm import quality, queries, variants
+from aspectra.llm import dialogue, quality, queries, variants
 
 SF = "/root/testdata/sf0.001"
 
@@ -174,3 +176,129 @@ def test_variants_edge_cases(spark, docs, empty, texts):
     assert variants.group_variants(variants.dictionary(empty, typo_every=3)).collect() == []
     with pytest.raises(ValueError):
         variants.group_variants(variants.dictionary(docs), ratio=1)
+
+
+def brute_damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 0:
+            continue
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def cheapest_edits(rows):
+    """(cost, audit, lines): rows are (role, text, fault); a search over all states with whole strings."""
+    legal = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    wants = {"": "user", "s": "user", "u": "assistant", "a": "user"}
+    at = {"": (0, "", ())}
+
+    def better(new, state, path):
+        if state not in new or path[:2] < new[state][:2]:
+            new[state] = path
+
+    def inserted(at):
+        for _ in range(3):
+            for state, (cost, audit, lines) in list(at.items()):
+                better(at, legal[state, wants[state][0]], (cost + 3, audit + "I", (*lines, wants[state] + ":")))
+        return at
+
+    at = inserted(at)
+    for role, text, fault in rows:
+        new = {}
+        for state, (cost, audit, lines) in at.items():
+            better(new, state, (cost + 4, audit + "D", lines))
+            if fault in ("blank", "duplicate"):
+                continue
+            more = 3 * (fault == "truncated")
+            if (state, role[:1]) in legal:
+                better(new, legal[state, role[:1]], (cost + more, audit + "K", (*lines, f"{role}:{text}")))
+            want = wants[state]
+            better(new, legal[state, want[0]], (cost + more + 3, audit + "R", (*lines, f"{want}:{text}")))
+        at = inserted(new)
+    return min(at[s] for s in ("", "a") if s in at)
+
+
+def brute_repair(rows, ids):
+    out = {}
+    for conv in ids:
+        mine = [r for r in rows if r[0] == conv]
+        mine.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.sha256(r[3].encode()).hexdigest()))
+        seen, faulty = set(), []
+        for _, _, role, text in mine:
+            solid = re.sub(r"[\x20\x09-\x0D]", "", text)
+            fault = "blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else ""
+            seen.add((role, text))
+            faulty.append((role, text, fault))
+        turns = [r[1] for r in mine if r[1] is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(faulty))
+        cost, audit, lines = cheapest_edits(faulty)
+        counts = [sum(f == k for *_, f in faulty) for k in ("blank", "duplicate", "truncated")]
+        out[conv] = (gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def repaired(spark, rows, folder, **settings):
+    """op12 on ``rows``; every registered column but the id."""
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, what string, part int, audit string, digest string")
+    frame.write.mode("overwrite").parquet(f"{folder}/conversations.parquet")
+    got = queries.op12_conversation_repair(spark, folder, **settings).collect()
+    assert len({r.conv_id for r in got}) == len(got)
+    return {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) for r in got}
+
+
+def clash(rows):
+    return [(*r, "x", 1, "y", "z") for r in rows]
+
+
+def test_repair_matches_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    want = brute_repair(brute_damage(rows), {r[0] for r in rows})
+    got = {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) for r in queries.op12_conversation_repair(spark, SF).collect()}
+    assert got == want and len({c for v in want.values() for c in v[6]}) == 4
+
+
+@pytest.mark.parametrize("segment", [dialogue.SEGMENT_ROWS, 3, 1])
+def test_repair_of_hard_conversations(spark, segment, tmp_path):
+    """Nulls, ties, repeated turns and rows, other roles, one conversation with a third of all rows, joined from many segments."""
+    rng = np.random.default_rng(5)
+
+    def one(conv, turn):
+        role = [None, "user", "user", "assistant", "assistant", "system", "tool", ""][rng.integers(8)]
+        text = [None, "", " \t", "So it is.", "and then", "Why?", f"Word {rng.integers(9)}.", f"cut {rng.integers(9)} "][rng.integers(8)]
+        return conv, turn, role, text
+
+    rows = [one(int(c), None if rng.random() < 0.1 else int(rng.integers(-3, 8))) for c in rng.integers(0, 80, 400)]
+    rows += [one(1000, int(t)) for t in rng.integers(0, 150, 200)] + [one(None, int(t)) for t in rng.integers(0, 30, 20)]
+    # two answers in a row, over and over: keeping either is as cheap
+    rows += [(2000, t, ("user", "assistant", "assistant")[t % 3], f"Turn {t}.") for t in range(60)]
+    want = brute_repair(brute_damage(rows), {r[0] for r in rows})
+    assert repaired(spark, clash(rows), str(tmp_path), segment_rows=segment) == want
+
+
+def test_repair_edge_cases(spark, tmp_path):
+    gone = next(c for c in range(100) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    nothing = hashlib.sha256().hexdigest()
+    assert repaired(spark, clash([(gone, 0, "user", "Hello.")]), str(tmp_path / "a")) == {gone: (0, 0, 0, 0, 0, 0, "", nothing)}
+    assert repaired(spark, [], str(tmp_path / "b")) == {}
+
+
+@pytest.mark.parametrize("start", dialogue.STATES)
+def test_survivors_hold_only_the_unresolved(start):
+    """Edits leave the tree as soon as all survivors share them, and freed nodes are let go."""
+    survivors = dialogue.Survivors(start)
+    live = 0
+    for k in range(3000):
+        survivors.step(dialogue.MOVES["ua"[k % 2], False, k % 7 == 0])
+        survivors.insert()
+        if k % 50 == 49:
+            survivors.resolved()
+        live = max([live] + [n.depth - survivors.root.depth for _, n in survivors.at.values()])
+    assert live < 200
