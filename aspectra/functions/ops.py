@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aspectra.session import checkpoint_dir
+
 
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
@@ -47,21 +50,35 @@ def round_half_up(c: Column, digits: int) -> Column:
     return F.round(c.cast("decimal(38,18)"), digits).cast("double")
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared checkpoint folder and read back: values that
+    depend on the execution (partition numbers, row ids) are the same for every reader."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def global_rank(df: DataFrame, order: Column, out: str = "_grank", partitions: int | None = None) -> DataFrame:
     """Exact 1-based rank in a total ``order`` without a global window: range partitioning
     puts equal keys in one partition, each partition is sorted, and partition offsets
-    (one row per partition) are added to the in-partition positions."""
+    (one row per partition) are added to the in-partition positions.
+
+    The bounds of a range partitioning are sampled anew by every execution, so the laid-out
+    rows are saved with their partition and position, and offsets and ranks both come from
+    that one table."""
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    d = (df.withColumn("_ok", order).repartitionByRange(n, "_ok").sortWithinPartitions("_ok")
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
+    laid = (df.withColumn("_ok", order).repartitionByRange(n, "_ok").sortWithinPartitions("_ok").drop("_ok")
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_mid", F.monotonically_increasing_id()))
+    d = saved(laid, "rank")
     # ids increase by 1 inside a partition: position = id - first id of the partition
     counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return (d.join(F.broadcast(offs), "_pid")  # one row per partition
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
-            .drop("_ok", "_pid", "_mid", "_m0", "_off"))
+            .drop("_pid", "_mid", "_m0", "_off"))
 
 
 def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
