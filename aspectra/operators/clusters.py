@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from aspectra.functions.graph import components
 from aspectra.functions.ops import global_rank
+from aspectra.operators.density import hierarchy_labels
 from aspectra.operators.vectors import _unit_matrix, l2_normalize, nearest_keyword
 
 
@@ -392,3 +393,23 @@ def select_method(kmeans: DataFrame, density: DataFrame, algorithm: str = "auto"
     switch = F.lit(algorithm == "hdbscan") | (F.lit(algorithm == "auto") & ((F.col("ks") < switch_sil) | (F.col("kd") > switch_dbi)))
     adopt = switch & (F.col("dn") > 2) & (F.col("ds") >= fallback_sil)
     return j.select(F.when(adopt, "density").otherwise("kmeans").alias("method"), switch.alias("switched"))
+
+
+def quality(points: DataFrame, id_col: str, vec_col: str, cluster_col: str) -> DataFrame:
+    """What C5 weighs, in one row: ``silhouette`` (C2), ``davies_bouldin`` (C3) and ``n_clusters`` without noise."""
+    n = points.where(F.col(cluster_col) >= 0).agg(F.countDistinct(cluster_col).alias("n_clusters"))
+    return silhouette(points, id_col, vec_col, cluster_col).crossJoin(davies_bouldin(points, vec_col, cluster_col)).crossJoin(n)
+
+
+def select_labels(points: DataFrame, id_col: str, vec_col: str, algorithm: str = "auto", min_size: int = 5, **limits) -> DataFrame:
+    """C5 on real labels: ``points`` carry the k-means labels in ``cluster``; where those are poor (or
+    density is forced) the density hierarchy (C4) is run, and adopted if it is good enough.
+    Adds ``method``; ``cluster`` holds the adopted labels."""
+    kmeans = quality(points, id_col, vec_col, "cluster").checkpoint()
+    rest = [c for c in points.columns if c != "cluster"]
+    none = kmeans.select(F.lit(None).cast("double").alias("silhouette"), F.lit(0).alias("n_clusters"))
+    if not select_method(kmeans, none, algorithm, **limits).first()["switched"]:
+        return points.withColumn("method", F.lit("kmeans"))
+    dense = hierarchy_labels(points.select(*rest), id_col, vec_col, min_size).checkpoint()
+    method = select_method(kmeans, quality(dense, id_col, vec_col, "cluster"), algorithm, **limits).first()["method"]
+    return (dense if method == "density" else points).withColumn("method", F.lit(method))

@@ -2,13 +2,11 @@
 
 * V1 built-in encoder: hashed character 3-grams -> dense L2-normed vector, a pure
   column expression (no shuffle).
-* V3 exact top-k neighbours without materialising pairs: vectors are hashed into
-  blocks of bounded size; every block pair is one ``applyInPandas`` group (at most
-  2 x block_size rows) that computes a BLAS product and emits only its top-k per
-  row; the per-block top-k lists are merged exactly.  No group grows with the data
-  and no pair row is ever emitted.
+* V3 exact top-k neighbours and V4's nearest one above a threshold by the triangle
+  inequality over pivot cells (``metric``): a vector is sent only to cells that can hold
+  something nearer than what it has; no pair row is ever emitted.
 * V4 canonical phrases by pointer jumping: O(log chain) self-joins, each round
-  checkpointed to the shared checkpoint folder.
+  saved in the shared checkpoint folder.
 * V7/V8 nearest catalogue keyword: the catalogue is sent in pieces of bounded size, one
   pass each; aspects stream through ``mapInPandas``.
 """
@@ -23,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aspectra.functions.ops import topk
+from aspectra.functions.ops import saved, topk
+from aspectra.operators import metric
 
 
 def _c(c) -> Column:
@@ -86,7 +85,7 @@ def encode_distinct(df: DataFrame, text_col: str, dim: int = 64, out: str = "vec
 
 
 # ---------------------------------------------------------------------------
-# V3: exact blocked top-k self similarity
+# V3: exact top-k self similarity
 # ---------------------------------------------------------------------------
 
 def _unit_matrix(vs) -> np.ndarray:
@@ -98,59 +97,31 @@ def _unit_matrix(vs) -> np.ndarray:
     return m
 
 
-def _top_rows(sims: np.ndarray, ids_row: np.ndarray, ids_col: np.ndarray, k: int):
-    """Per row: k best columns by (sim desc, id asc)."""
-    out_i, out_j, out_s = [], [], []
-    if sims.size == 0:
-        return out_i, out_j, out_s
-    kk = min(k, sims.shape[1])
-    order_cols = np.argsort(ids_col, kind="stable")
-    s_sorted = sims[:, order_cols]
-    ids_sorted = ids_col[order_cols]
-    # stable sort on -sim keeps ascending id among equal sims
-    idx = np.argsort(-s_sorted, axis=1, kind="stable")[:, :kk]
-    for r in range(sims.shape[0]):
-        for c in idx[r]:
-            out_i.append(ids_row[r])
-            out_j.append(ids_sorted[c])
-            out_s.append(float(s_sorted[r, c]))
-    return out_i, out_j, out_s
-
-
-def knn_self(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_size: int = 2048) -> DataFrame:
+def knn_self(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_size: int = metric.SLICE_ROWS,
+             within: float | None = None) -> DataFrame:
     """V3: exact top-k inner-product neighbours of unit vectors, self included.
-    Returns (id, rank, nbr, sim); ties go to the lower neighbour id."""
-    base = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v"))
-    n = base.count()
-    nb = max(1, math.ceil(n / block_size))
-    blocked = base.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(nb)))
-    other = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_o")
-    tagged = blocked.select("*", other)
-    tagged = tagged.select("_id", "_v", "_b",
-                           F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"))
-    schema = "i long, j long, sim double"
-
-    def per_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
-        a = pdf[pdf["_b"] == lo]
-        ia = a["_id"].to_numpy()
-        ma = _unit_matrix(list(a["_v"]))
-        if lo == hi:
-            res = _top_rows(ma @ ma.T, ia, ia, k)
-        else:
-            b = pdf[pdf["_b"] == hi]
-            ib = b["_id"].to_numpy()
-            mb = _unit_matrix(list(b["_v"]))
-            s = ma @ mb.T
-            r1 = _top_rows(s, ia, ib, k)
-            r2 = _top_rows(s.T, ib, ia, k)
-            res = (r1[0] + r2[0], r1[1] + r2[1], r1[2] + r2[2])
-        return pd.DataFrame({"i": pd.Series(res[0], dtype="int64"), "j": pd.Series(res[1], dtype="int64"),
-                             "sim": pd.Series(res[2], dtype="float64")})
-
-    cand = tagged.groupBy("_lo", "_hi").applyInPandas(per_pair, schema)
-    best = topk(cand, ["i"], [F.col("sim").desc(), F.col("j")], k, "rank", salt_buckets=0)
-    return best.select(F.col("i").alias(id_col), F.col("rank"), F.col("j").alias("nbr"), F.col("sim"))
+    Returns (id, rank, nbr, sim); ties go to the lower neighbour id; ``within`` drops
+    neighbours of a smaller similarity before they are searched for.
+
+    Between unit vectors the order by similarity is the order by distance, so
+    ``metric.nearest`` finds them cell by cell.  Zero vectors, which V2 leaves as they are,
+    have similarity 0 to everything; rows without a vector have no neighbours."""
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("_v")).where(F.col("_v").isNotNull())
+    zero = ~F.exists("_v", lambda x: x != 0)
+    units = base.where(~zero).select("id", l2_normalize("_v").alias("v"))
+    most = math.inf if within is None else math.sqrt(max(0.0, 2.0 - 2.0 * within)) + 1e-9
+    near = metric.nearest(units, k, most, block_size).select("id", "nbr", (1.0 - F.col("dist") * F.col("dist") / 2.0).alias("sim"))
+    zeros = base.where(zero).select("id")
+    if (within is None or within <= 0) and zeros.limit(1).count():
+        def few(rows):
+            return F.broadcast(rows.orderBy("id").limit(k).select(F.col("id").alias("nbr"), F.lit(0.0).alias("sim")))  # k rows
+
+        flat = units.select("id").crossJoin(few(zeros)).unionByName(zeros.crossJoin(few(base.select("id"))))
+        near = near.unionByName(flat)
+    if within is not None:
+        near = near.where(F.col("sim") >= within)
+    best = topk(near, ["id"], [F.col("sim").desc(), F.col("nbr")], k, "rank", salt_buckets=0)
+    return best.select(F.col("id").alias(id_col), "rank", "nbr", "sim")
 
 
 # ---------------------------------------------------------------------------
@@ -164,16 +135,22 @@ def nearest_other(knn: DataFrame, id_col: str, threshold: float) -> DataFrame:
     return first.where(F.col("sim") >= threshold).select(id_col, F.col("nbr").alias("nn"), F.col("sim").alias("nn_sim"))
 
 
+def nearest_within(df: DataFrame, id_col: str, vec_col: str, threshold: float) -> DataFrame:
+    """The nearest other vector of similarity at least ``threshold``: (id, nn, nn_sim).  The threshold
+    bounds the search itself: a vector visits only cells whose ball can hold one so near."""
+    return nearest_other(knn_self(df, id_col, vec_col, 2, within=threshold), id_col, threshold)
+
+
 def canonical_ids(ids: DataFrame, nn: DataFrame, id_col: str, max_rounds: int = 64) -> DataFrame:
     """V4: order-dependent canonical id.  c(i)=i without a qualifying neighbour,
     c(i)=nn(i) when nn(i) > i (not visited yet), else c(i)=c(nn(i)).  Pointer jumping:
-    each round doubles the followed chain; rounds are checkpointed."""
+    each round doubles the followed chain; rounds are saved tables."""
     base = ids.select(F.col(id_col).alias("i")).join(nn.select(F.col(id_col).alias("i"), "nn"), "i", "left")
     cur = base.select(
         "i",
         F.when(F.col("nn") < F.col("i"), F.col("nn")).alias("p"),
         F.when(F.col("nn") > F.col("i"), F.col("nn")).otherwise(F.col("i")).alias("v"))
-    cur = cur.checkpoint()
+    cur = saved(cur, "canonical")
     for _ in range(max_rounds):
         if cur.where(F.col("p").isNotNull()).limit(1).count() == 0:
             break
@@ -182,7 +159,7 @@ def canonical_ids(ids: DataFrame, nn: DataFrame, id_col: str, max_rounds: int =
             F.col("a.i").alias("i"),
             F.when(F.col("a.p").isNull(), F.lit(None)).otherwise(F.col("b.p")).cast("long").alias("p"),
             F.when(F.col("a.p").isNull(), F.col("a.v")).otherwise(F.col("b.v")).alias("v"))
-        cur = nxt.checkpoint()
+        cur = saved(nxt, "canonical")
     else:
         raise RuntimeError(f"chains longer than 2**{max_rounds}")
     return cur.select(F.col("i").alias(id_col), F.col("v").alias("canonical"))

@@ -98,7 +98,7 @@ def phrase_program(records: DataFrame, kpis: DataFrame, departments: DataFrame,
     ph = records.groupBy("phrase").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
     ph = global_rank(ph, F.col("phrase"), "vec_id").withColumn("vec_id", F.col("vec_id") - 1)
     ph = ph.withColumn("embedding", V.hashed_vector("phrase", dim)).checkpoint()
-    nearest = V.nearest_other(V.knn_self(ph, "vec_id", "embedding", 5), "vec_id", dedup_threshold)
+    nearest = V.nearest_within(ph, "vec_id", "embedding", dedup_threshold)
     canonical = V.canonical_ids(ph.select("vec_id"), nearest, "vec_id")
     merged = ph.join(canonical, "vec_id").groupBy(F.col("canonical").alias("vec_id")).agg(
         F.max("score").alias("score"), F.sum("n").alias("n"))

@@ -348,7 +348,7 @@ def q_vec_topk_neighbors(spark, sf):
 
 def _canonical(spark, sf):
     ph = FX.phrases(spark, sf)
-    nn = V.nearest_other(_knn(spark, sf), "vec_id", DEDUP_THRESHOLD)
+    nn = V.nearest_within(FX.table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", DEDUP_THRESHOLD)
     can = V.canonical_ids(ph.select("vec_id"), nn, "vec_id")
     names = ph.select(F.col("vec_id").alias("canonical"), F.col("phrase").alias("canonical_phrase"))
     return ph.join(can, "vec_id").join(names, "canonical")
@@ -744,6 +744,18 @@ def q_clu_density(spark, sf):
     return C.density_labels(e, "vec_id", "embedding", DENSITY_CUT, 2, 2).select("vec_id", F.col("cluster").cast("long").alias("cluster"))
 
 
+@query("clu_density_tree")
+def q_clu_density_tree(spark, sf):
+    e = FX.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return C.hierarchy_labels(e, "vec_id", "embedding", 5).select("vec_id", F.col("cluster").cast("long").alias("cluster"))
+
+
+@query("clu_select_density")
+def q_clu_select_density(spark, sf):
+    c = FX.fx_clusters(spark, sf).select("vec_id", "embedding", "cluster")
+    return C.select_labels(c, "vec_id", "embedding").select("vec_id", F.col("cluster").cast("long").alias("cluster"), "method")
+
+
 @query("clu_select")
 def q_clu_select(spark, sf):
     c = FX.fx_clusters(spark, sf)
