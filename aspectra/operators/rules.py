@@ -1,9 +1,9 @@
 """Domain rules from KPI names.
 
 The rule table is a dimension (one row per KPI keyword, bounded by the KPI list);
-matching is a theta join of the phrase table against that broadcast dimension
-(``phrase.contains(keyword)``), then one aggregation per phrase.  Work is linear in
-the phrases; nothing data-sized is broadcast.
+which keywords lie inside which phrases comes from one pass of a multi-pattern
+automaton (``functions.matching``), then equi-joins and one aggregation per phrase.
+Work is linear in the phrases; keyword lists of any size are cut into shards.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectra import lexicons as L
+from aspectra.functions.matching import contained
 
 
 def kpi_tokens(kpis: DataFrame, kpi_col: str = "kpi") -> DataFrame:
@@ -51,7 +52,7 @@ def keyword_weights(kt: DataFrame, synonyms: DataFrame, synonym_weight: float =
     unless the synonym is already one of its keywords: (kpi, keyword, weight, source)."""
     idf = token_idf(kt).withColumn("source", F.lit("token"))
     t = kt.select("kpi", F.explode("unique_tokens").alias("token"))
-    syn = (t.join(F.broadcast(synonyms), "token").select("kpi", F.col("synonym").alias("keyword")).distinct()
+    syn = (t.join(synonyms, "token").select("kpi", F.col("synonym").alias("keyword")).distinct()
            .join(idf.select("kpi", "keyword"), ["kpi", "keyword"], "left_anti")
            .withColumn("weight", F.lit(float(synonym_weight))).withColumn("source", F.lit("synonym")))
     return idf.unionByName(syn)
@@ -69,7 +70,9 @@ def infer_department(kt: DataFrame, hints: Sequence[tuple[str, str]], department
                .groupBy("kpi").agg(F.min_by("dept", F.struct("tok_pos", "hint_pos")).alias("d1")))
     d = departments.select(F.col("department"), F.col("pos"),
                            F.regexp_replace(F.lower("department"), "[^a-z]", "").alias("norm")).where(F.col("norm") != "")
-    by_name = (t.join(F.broadcast(d), F.regexp_replace("token", "[^a-z]", "").contains(F.col("norm")))
+    letters = t.withColumn("text", F.regexp_replace("token", "[^a-z]", ""))
+    inside = contained(letters, d.select(F.col("norm").alias("word"))).withColumnRenamed("word", "norm")
+    by_name = (letters.join(inside, "text").join(d, "norm")
                .groupBy("kpi").agg(F.min_by("department", F.struct("pos", "tok_pos")).alias("d2")))
     first = departments.agg(F.min_by("department", "pos").alias("d3"))
     out = (kt.select("kpi").join(by_hint, "kpi", "left").join(by_name, "kpi", "left")
@@ -109,8 +112,9 @@ def match_rules(phrases: DataFrame, phrase_col: str, rules: DataFrame, weights:
     KPI order on ties; phrases without any keyword hit get no row.
     Returns (phrase, kpi, department, confidence)."""
     kw = weights.join(rules.select("kpi", "kpi_rank", "target_weight", "department"), "kpi").where(F.col("keyword") != "")
-    p = phrases.select(F.col(phrase_col).alias("phrase")).distinct()
-    hits = p.join(F.broadcast(kw), F.lower(F.col("phrase")).contains(F.col("keyword")))
+    p = phrases.select(F.col(phrase_col).alias("phrase"), F.lower(F.col(phrase_col)).alias("text")).distinct()
+    found = contained(p, kw.select(F.col("keyword").alias("word"))).withColumnRenamed("word", "keyword")
+    hits = p.join(found, "text").join(kw, "keyword")
     per_rule = hits.groupBy("phrase", "kpi", "kpi_rank", "department", "target_weight").agg(
         F.sum("weight").alias("matched"))
     per_rule = per_rule.where(F.col("matched") > 0).withColumn(
