@@ -9,7 +9,6 @@ cluster-level tables have one row per cluster and are small.
 from __future__ import annotations
 
 import math
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from aspectra.functions.graph import components
 from aspectra.functions.ops import global_rank
+from aspectra.operators import sweep
 from aspectra.operators.density import hierarchy_labels
 from aspectra.operators.vectors import _unit_matrix, l2_normalize, nearest_keyword
 
@@ -293,38 +293,12 @@ def noisiest(prof: DataFrame, cluster_col: str = "cluster", k: int = 5) -> DataF
 
 def kmeans_sweep(points: DataFrame, vec_col: str, min_k: int = 2, max_k: int = 40, seeds=tuple(range(42, 52)), max_iter: int = 300):
     """k = min_k .. min(max_k, max(min_k, int(2*sqrt(n)))), stopping at k >= n; per k the
-    lowest-cost run over ``seeds`` (fitted side by side); the best k by the evaluator's silhouette (squared
-    Euclidean — a different number from C2, named so).  Returns (labels, metrics)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.util import inheritable_thread_target
-
-    spark = points.sparkSession
-    v = points.withColumn("features", array_to_vector(F.col(vec_col))).cache()
-    n = v.count()
-    top = min(max_k, max(min_k, int(math.sqrt(n) * 2)))
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
-    best = None
-    metrics = []
-    for k in range(min_k, top + 1):
-        if k >= n:
-            break
-        fits = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features") for s in seeds]
-        with ThreadPool(len(fits)) as pool:
-            runs = pool.map(inheritable_thread_target(spark)(lambda fit: fit.fit(v)), fits)
-        m = min(runs, key=lambda r: r.summary.trainingCost)
-        pred = m.transform(v)
-        if pred.select("prediction").distinct().limit(2).count() <= 1:
-            continue
-        sil = ev.evaluate(pred)
-        metrics.append((k, float(sil), float(m.summary.trainingCost)))
-        if best is None or sil > best[0]:
-            best = (sil, k, pred)
-    mdf = spark.createDataFrame(metrics, "k int, silhouette_sq double, cost double")
-    if best is None:
-        return points.withColumn("cluster", F.lit(0)), mdf
-    return best[2].withColumn("cluster", F.col("prediction").cast("int")).drop("features", "prediction"), mdf
+    lowest-cost run over ``seeds``; the best k by silhouette on squared Euclidean distances (a
+    different number from C2, named so).  All models advance together, one pass over the points a
+    step (``sweep``).  Returns (labels, metrics)."""
+    n = points.count()
+    top = min(max_k, max(min_k, int(math.sqrt(n) * 2)), n - 1)
+    return sweep.kmeans_sweep(points, vec_col, range(min_k, top + 1), seeds, max_iter)
 
 
 def _pairs_within(points: DataFrame, eps: float, nb: int, per_group, schema: str) -> DataFrame:

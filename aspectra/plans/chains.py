@@ -87,9 +87,9 @@ def aspect_table(reviews: DataFrame, mapping: DataFrame, adjectives, nouns, posi
 
 def phrase_program(records: DataFrame, kpis: DataFrame, departments: DataFrame, synonyms: DataFrame, hints, *,
                    dim: int = 64, dedup_threshold: float = 0.4, max_k: int = 40, min_size: int = 3,
-                   min_confidence: float = 0.5, seed: int = 42) -> dict[str, DataFrame]:
+                   min_confidence: float = 0.5, seed: int = 42, algorithm: str = "auto") -> dict[str, DataFrame]:
     """Chain A, the main program, as one lineage: pruned keyphrase records (X8) -> vectors (V1)
-    -> canonical phrases (V4) -> clusters (C1, C6, C7) -> rules (R1-R6) -> samples (M1-M5)
+    -> canonical phrases (V4) -> clusters (C1, C4, C5, C6, C7) -> rules (R1-R6) -> samples (M1-M5)
     -> classifier (M10, M13) -> fused decisions (M14, M15).
 
     ``records``: phrase, score, one row per selected record.  Returns ``assignments`` (one
@@ -105,6 +105,7 @@ def phrase_program(records: DataFrame, kpis: DataFrame, departments: DataFrame,
     points = merged.join(ph.select("vec_id", "phrase", "embedding"), "vec_id").checkpoint()
 
     labelled, _ = C.kmeans_sweep(points, "embedding", 2, max_k)
+    labelled = C.select_labels(labelled.checkpoint(), "vec_id", "embedding", algorithm).drop("method")
     labelled = C.reassign(labelled, "embedding", "cluster", "vec_id", min_size)
     labelled = C.drop_small(labelled, "cluster", min_size).checkpoint()
     centroids = C.centroids(labelled, "embedding", "cluster").select(

@@ -146,21 +146,20 @@ def test_density_labels_match_brute_force(spark):
 
 def test_sweep_takes_the_references_k_and_restarts(spark, monkeypatch):
     """The main program sweeps k to 40; nine topics need more than six clusters; ten seeds a k by default."""
-    import pyspark.ml.clustering as ML
-
+    from aspectra.operators import sweep
     from aspectra.plans import chains as CH
 
     assert inspect.signature(CH.phrase_program).parameters["max_k"].default == 40
     assert inspect.signature(C.kmeans_sweep).parameters["max_k"].default == 40
     fitted = []
 
-    plain = ML.KMeans.fit
+    plain = sweep.plus_plus
 
-    def counted(self, *args):
-        fitted.append((self.getK(), self.getSeed()))
-        return plain(self, *args)
+    def counted(x, k, seed):
+        fitted.append((k, seed))
+        return plain(x, k, seed)
 
-    monkeypatch.setattr(ML.KMeans, "fit", counted)
+    monkeypatch.setattr(sweep, "plus_plus", counted)
     rng = np.random.default_rng(3)
     x = np.repeat(10 * np.eye(9), 3, axis=0) + 0.01 * rng.normal(size=(27, 9))
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
