@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aspectra.llm import dialogue, quality, queries, variants
+from aspectra.llm import dialogue, quality, queries, variants, vecgraph
 
 SF = "/root/testdata/sf0.001"
 
@@ -302,3 +302,49 @@ def test_survivors_hold_only_the_unresolved(start):
             survivors.resolved()
         live = max([live] + [n.depth - survivors.root.depth for _, n in survivors.at.values()])
     assert live < 200
+
+
+def test_vectors_of_a_clump_larger_than_a_slice(spark):
+    """Balls that are wholly linked, balls that are compared, ties and an id with two vectors; counts are exact where all pairs are found."""
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=12)
+    wide = middle + 0.16 * rng.normal(size=(260, 12))
+    tight = rng.normal(size=12) + 0.002 * rng.normal(size=(200, 12))
+    x = np.concatenate([wide, tight, rng.normal(size=(150, 12))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u @ u.T
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (0, x[300].tolist())]
+    got = vecgraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), cell_rows=150, slice_rows=40).collect()
+    assert len(got) == len(rows)
+    degree = (sims >= 0.9).sum(axis=1) - 1
+    by_id = {r.vec_id: r for r in got}
+    # the copies of vector 300 under id 0 is one more link to each of its neighbours
+    more = (sims[300] >= 0.9).astype(int)
+    found = np.array([by_id[i].n_links for i in range(len(x))])
+    want = degree + more
+    want[0] = max(degree[0], degree[300] + 1)
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum()
+    assert all(by_id[i].n_links == want[i] for i in range(260, 460))
+    assert by_id[0].component_id == 0 and by_id[300].component_id == 0
+
+
+def test_compared_balls_count_every_link(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=8) + 0.3 * rng.normal(size=(60, 8))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ball = rng.integers(0, 3, 60)
+    covered = spark.createDataFrame([(i, int(b), bytearray(v.tobytes()), int(i % 3 + 1)) for i, (b, v) in enumerate(zip(ball, u))], "rep long, ball long, unit binary, copies long")
+    pairs = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5)], "a long, b long, sim double")
+    linked = u @ u.T >= 0.9
+    copies = np.arange(60) % 3 + 1
+    for chunk in (vecgraph.CHUNK_ROWS, 4):
+        before, vecgraph.CHUNK_ROWS = vecgraph.CHUNK_ROWS, chunk
+        try:
+            counts, joined = vecgraph.compared(pairs, covered, 8, 0.9)
+            got = {r.rep: r.others for r in counts.collect()}
+        finally:
+            vecgraph.CHUNK_ROWS = before
+        met = {(0, 1), (1, 0), (0, 2), (2, 0)}
+        want = {i: int(sum(copies[j] for j in range(60) if linked[i, j] and (ball[i], ball[j]) in met)) for i in range(60)}
+        assert got == {i: n for i, n in want.items() if n}
+        assert {tuple(r) for r in joined.collect()} == {(a, b) for a, b in ((0, 1), (0, 2)) if linked[np.ix_(ball == a, ball == b)].any()}
