@@ -890,11 +890,11 @@ _IS_ABS = (f"({in_list('t', L.ABSTRACT_IDEA_NOUNS)} OR {_SUF} OR "
 _IS_CONC = (f"({in_list('t', L.HOTEL_DOMAIN_NOUNS)} OR (NOT {in_list('t', L.NOISE_NOUNS)} AND "
             f"NOT {in_list('t', L.ABSTRACT_IDEA_NOUNS)} AND NOT {_IS_ABS}))")
 oracle("kx_reject_reason", f"""
-WITH rk AS ({ORACLES["kx_rank_candidates"].replace("round(score, 6) AS score", "score")}),
+WITH rk AS MATERIALIZED ({ORACLES["kx_rank_candidates"].replace("round(score, 6) AS score", "score").replace("cand AS (", "cand AS MATERIALIZED (")}),
 sx AS (SELECT * FROM {_SENSES} UNION ALL SELECT term, 1, 'noun.artifact' FROM {_VOCAB}),
-w AS (SELECT lemma, count(*) AS n, bool_or({in_list('domain', L.CONCRETE_DOMAINS)}) AS any_c,
+w AS MATERIALIZED (SELECT lemma, count(*) AS n, bool_or({in_list('domain', L.CONCRETE_DOMAINS)}) AS any_c,
              bool_or({in_list('domain', L.ABSTRACT_DOMAINS)}) AS any_a FROM sx GROUP BY lemma),
-ct AS (SELECT review_key, cand_rank, phrase, score,
+ct AS MATERIALIZED (SELECT review_key, cand_rank, phrase, score,
               list_filter(list_transform(string_split(phrase, ' '), lambda t: regexp_replace(lower(t), '[^a-z]+', '', 'g')),
                           lambda t: t <> '') AS toks FROM rk),
 tt AS (SELECT review_key, cand_rank, unnest(toks) AS t FROM ct),
