@@ -256,6 +256,16 @@ _PAIRS = f"""
 u AS {UNIT},
 pr AS (SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.u, b.u) AS sim FROM u a, u b),
 rk AS (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM pr QUALIFY rank <= 5)"""
+oracle("vec_ppmi", """
+WITH t AS (SELECT regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents),
+v AS (SELECT u AS word FROM (SELECT unnest(w) AS u FROM t) GROUP BY u HAVING count(*) >= 50),
+p AS (SELECT unnest(list_zip(w[1:len(w) - k], w[k + 1:len(w)])) AS z FROM t, range(1, 5) r(k) WHERE len(w) > k),
+c AS (SELECT least(z[1], z[2]) AS a, greatest(z[1], z[2]) AS b, count(*) AS n FROM p GROUP BY ALL),
+f AS (SELECT * FROM c WHERE a IN (SELECT word FROM v) AND b IN (SELECT word FROM v)),
+s AS (SELECT a, b, CASE WHEN a = b THEN 2 * n ELSE n END AS n FROM f UNION ALL SELECT b, a, n FROM f WHERE a <> b),
+r AS (SELECT a, sum(n) AS na FROM s GROUP BY a),
+e AS (SELECT s.a, s.b, ln(CAST(s.n AS DOUBLE) * (SELECT sum(na) FROM r) / r.na / q.na) AS x FROM s JOIN r ON r.a = s.a JOIN r q ON q.a = s.b)
+SELECT a, b, round(x, 6) AS ppmi FROM e WHERE x > 0""")
 oracle("vec_topk_neighbors", f"WITH {_PAIRS} SELECT i AS vec_id, rank, j AS nbr, round(sim, 6) AS sim FROM rk")
 
 _CANON = f"""WITH RECURSIVE {_PAIRS},

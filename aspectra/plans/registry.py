@@ -315,6 +315,8 @@ def q_sent_broadcast(spark, sf):
 # ---------------------------------------------------------------------------
 # V: vectors, similarity, de-duplication, mapping
 # ---------------------------------------------------------------------------
+from aspectra.functions.ops import global_rank  # noqa: E402
+from aspectra.operators import cooccurrence as W  # noqa: E402
 from aspectra.operators import vectors as V  # noqa: E402
 
 DEDUP_THRESHOLD = 0.40      # fixture value (FIXTURES.md): 0.9 matches nothing in the driver vectors
@@ -329,6 +331,21 @@ def q_vec_encode_hashed(spark, sf):
         F.col("w") != 0).select("phrase", F.col("bucket").cast("long"), F.round("w", 6).alias("weight"))
 
 
+@query("vec_ppmi")
+def q_vec_ppmi(spark, sf):
+    return W.ppmi(W.cooccurrences(FX.table(spark, sf, "documents"), "text", 4, 50)).select("a", "b", F.round("v", 6).alias("ppmi"))
+
+
+@query("vec_encode_trained")
+def q_vec_encode_trained(spark, sf):
+    """Every word of the trained encoder with its nearest other word."""
+    v = W.train_vectors(FX.table(spark, sf, "documents"), "text", 64, 4, 50)
+    v = global_rank(v, F.col("word"), "id")
+    near = V.nearest_other(V.knn_self(v, "id", "vector", 2), "id", -1.0)
+    names = v.select(F.col("id").alias("nn"), F.col("word").alias("neighbour"))
+    return v.select("id", "word").join(near, "id").join(names, "nn").select("word", "neighbour", F.round("nn_sim", 4).alias("sim"))
+
+
 @query("vec_normalize")
 def q_vec_normalize(spark, sf):
     e = FX.table(spark, sf, "embeddings")
