@@ -718,6 +718,36 @@ def _softmax_max(net: str) -> str:
 oracle("sent_lexicon_score", f"""SELECT review_key, CAST(net + 3 AS BIGINT) AS stars, round({_softmax_max('net')}, 6) AS confidence
 FROM (SELECT doc_id AS review_key, {lexicon_star_sql('text', FX.FX_POSITIVE, FX.FX_NEGATIVE)} AS net FROM documents)""")
 
+def _class_logits(rows: str, model: str) -> str:
+    """Raw class logits of ``rows`` (id, text) under the counted ``model`` CTEs (counts ``c``, totals ``tk``, priors ``pr``)."""
+    parts = ", ".join(
+        f"(SELECT lp FROM pr WHERE y = {k}) + coalesce(sum(ln((coalesce(c{k}.n, 0) + 0.1) / ((SELECT n FROM tk WHERE y = {k}) + 0.1 * 65536))), 0) AS l{k}" for k in range(3))
+    joins = " ".join(f"LEFT JOIN c c{k} ON c{k}.b = g.b AND c{k}.y = {k}" for k in range(3))
+    return f"SELECT r.id, {parts} FROM {rows} r LEFT JOIN {model} g ON g.id = r.id {joins} GROUP BY r.id"
+
+
+_TM_GRAMS = """(SELECT id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 65536 AS b FROM (
+  SELECT id, unnest(list_concat(w, list_transform(range(greatest(len(w) - 1, 0)), lambda i: w[i + 1] || ' ' || w[i + 2]))) AS g
+  FROM (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')[1:256] AS w FROM d)))"""
+oracle("sent_trained", f"""
+WITH d AS (SELECT doc_id AS id, text FROM documents),
+gr AS MATERIALIZED {_TM_GRAMS},
+lab AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS y,
+               ('0x' || substr(md5(text), 9, 8))::BIGINT % 5 = 0 AS held FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL),
+c AS MATERIALIZED (SELECT b, y, count(*) AS n FROM gr JOIN lab USING (id) WHERE NOT held GROUP BY b, y),
+tk AS (SELECT y, sum(n) AS n FROM c GROUP BY y),
+ny AS (SELECT k AS y, coalesce(n, 0.5) AS n FROM range(3) r(k) LEFT JOIN (SELECT y, count(*) AS n FROM lab WHERE NOT held GROUP BY y) z ON z.y = k),
+pr AS (SELECT y, ln(n / (SELECT sum(n) FROM ny)) AS lp FROM ny),
+raw AS MATERIALIZED ({_class_logits('d', 'gr')}),
+ls AS (SELECT t, sum(ln(exp(l0 / t - m) + exp(l1 / t - m) + exp(l2 / t - m)) + m - CASE y WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END / t) AS loss
+       FROM (SELECT raw.*, lab.y, CAST(2 ** k AS DOUBLE) AS t, greatest(l0, l1, l2) / CAST(2 ** k AS DOUBLE) AS m
+             FROM raw JOIN lab USING (id), range(10) r(k) WHERE held) GROUP BY t),
+te AS (SELECT t FROM ls ORDER BY loss, t LIMIT 1)
+SELECT id AS doc_id, CAST(CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS BIGINT) AS label_index, t AS temperature,
+       round((l0 - greatest(l0, l1, l2)) / t, 4) AS below_0, round((l1 - greatest(l0, l1, l2)) / t, 4) AS below_1,
+       round((l2 - greatest(l0, l1, l2)) / t, 4) AS below_2
+FROM raw, te""")
+
 _ALL_LIGHT_TOKENS = (f"SELECT doc_id, CASE WHEN lt = '' THEN []::VARCHAR[] ELSE string_split(lt, ' ') END AS tk "
                      f"FROM (SELECT doc_id, {_LIGHT} AS lt FROM documents)")
 oracle("sent_review", f"""

@@ -944,6 +944,7 @@ def q_fuse_accepted(spark, sf):
 # E1, E6, E10, G, S8: scoring, chains, reports
 # ---------------------------------------------------------------------------
 from aspectra.operators import report as G  # noqa: E402
+from aspectra.operators import textmodel as TM  # noqa: E402
 from aspectra.plans import chains as CH  # noqa: E402
 
 
@@ -967,6 +968,22 @@ def _mapping_dim(spark, sf):
     return S.keyword_mapping(_mapping_source(spark, sf), "row_pos")
 
 
+def _labelled_texts(spark, sf):
+    """Labelled documents: 0 toxic, 1 of low quality, 2 good."""
+    y = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    return FX.table(spark, sf, "documents").join(FX.table(spark, sf, "labels").select("doc_id", y.alias("y")), "doc_id").select("text", "y")
+
+
+@query("sent_trained")
+def q_sent_trained(spark, sf):
+    """Every document by the trained scorer: its class, and how far the logits of the others lie below."""
+    model = TM.train(_labelled_texts(spark, sf), "text", "y", 3)
+    d = E.score_texts(FX.table(spark, sf, "documents").select("doc_id", "text"), "text", TM.scorer(spark, model), 3)
+    top = F.array_max("logits")
+    return d.select("doc_id", (F.array_position("logits", top) - 1).cast("long").alias("label_index"), F.lit(model.temperature).alias("temperature"),
+                    *[F.round(F.get("logits", F.lit(k)) - top, 4).alias(f"below_{k}") for k in range(3)])
+
+
 def _aspect_table(spark, sf, **kw):
     return CH.aspect_table(FX.orders_reviews(spark, sf), _mapping_dim(spark, sf), FX.FX_ADJECTIVES, FX.FX_NOUNS,
                            FX.FX_ASPECT_POSITIVE, FX.FX_ASPECT_NEGATIVE, **kw)
@@ -982,6 +999,13 @@ def q_aspect_table_class3(spark, sf):
     return _aspect_table(spark, sf, classes=3, source_name="LexiconScorer(3-class)")
 
 
+@query("aspect_table_trained")
+def q_aspect_table_trained(spark, sf):
+    """The three-class program with the trained scorer in place of the word lists."""
+    model = TM.train(_labelled_texts(spark, sf), "text", "y", 3)
+    return _aspect_table(spark, sf, classes=3, scorer=TM.scorer(spark, model), source_name="TrainedScorer(3-class)")
+
+
 @query("aspect_table_strict")
 def q_aspect_table_strict(spark, sf):
     """Symbols cleaned, informative chunks, window snippets, mapping threshold, top-5 weighted vote."""
