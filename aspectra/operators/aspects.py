@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from aspectra import lexicons as L
 from aspectra.functions.text import normalize_ws
+from aspectra.operators.entities import name_marks, names_in, pattern_kinds
 
-SEP = "\u0001"
+#: Ends a run; marks a token of an entity.
+SEP, ENTITY = "\u0001", "\u0002"
 
 
 def _c(c) -> Column:
@@ -54,21 +56,35 @@ def segment(df: DataFrame, key: str, text_col: str) -> DataFrame:
 # A1–A3: chunks
 # ---------------------------------------------------------------------------
 
+def clause_tokens(clause: Column) -> Column:
+    """Lower-case tokens; other than letters, digits, hyphens and apostrophes become a ``|`` of their own."""
+    toks = F.split(F.regexp_replace(F.lower(clause), r"[^\p{L}\p{N}\s'-]", " | "), r"\s+")
+    return F.filter(toks, lambda t: t != "")
+
+
 def chunk_phrases(clause: Column, adjectives: Iterable[str], nouns: Iterable[str],
                   determiners: Iterable[str] = ("the", "a", "an", "this", "that", "these", "those", "my", "our",
                                                 "your", "their", "his", "her", "its"),
-                  stop_aspects: Iterable[str] = L.STOP_ASPECTS, informative: bool = False) -> Column:
+                  stop_aspects: Iterable[str] = L.STOP_ASPECTS, informative: bool = False,
+                  names: Column | None = None) -> Column:
     """A1 (re-aimed noun chunks): maximal runs of determiner / adjective / noun tokens
     (tags from the word lists; punctuation ends a run) that contain a noun; phrase =
     normalised run text.  Dropped: empty, stop aspects, length <= 2; distinct in order.
-    ``informative`` (A2): a chunk also needs >= 2 alphabetic tokens and not only
-    determiners."""
+    ``informative`` (A2): a chunk also needs >= 2 alphabetic tokens, not only determiners, and
+    no token of a number, date, time or quantity, or of one of ``names`` (arrays of tokens); such
+    tokens belong to the run they stand in."""
     adjectives, nouns, determiners = list(adjectives), list(nouns), list(determiners)
-    toks = F.split(F.regexp_replace(F.lower(clause), r"[^\p{L}\p{N}\s'-]", " | "), r"\s+")
-    toks = F.filter(toks, lambda t: t != "")
+    toks = clause_tokens(clause)
     in_run = F.transform(toks, lambda t: L.in_words(t, adjectives) | L.in_words(t, nouns) | L.in_words(t, determiners))
     marked = F.zip_with(toks, in_run, lambda t, r: F.when(r, t).otherwise(F.lit(SEP)))
+    if informative:
+        entity = F.transform(pattern_kinds(toks), lambda k: k.isNotNull())
+        if names is not None:
+            entity = F.zip_with(entity, name_marks(toks, names), lambda a, b: a | b)
+        marked = F.zip_with(marked, F.zip_with(toks, entity, lambda t, e: F.when(e, F.concat(F.lit(ENTITY), t))), lambda m, e: F.coalesce(e, m))
     runs = F.split(F.array_join(marked, " "), SEP)
+    if informative:
+        runs = F.filter(runs, lambda r: ~r.contains(ENTITY))
     runs = F.transform(runs, lambda r: normalize_ws(r))
     runs = F.filter(runs, lambda r: F.exists(F.split(r, " "), lambda t: L.in_words(t, nouns)))
     stop_aspects = list(stop_aspects)
@@ -115,19 +131,24 @@ def token_match(clause: Column, phrase: Column) -> Column:
 
 def extract_aspects(df: DataFrame, key: str, text_col: str, adjectives, nouns, *, strict: bool = False,
                     snippet_len: int | None = None, window: int = 12,
-                    stop_aspects=L.STOP_ASPECTS) -> DataFrame:
+                    stop_aspects=L.STOP_ASPECTS, gazetteer: DataFrame | None = None) -> DataFrame:
     """A1–A7 per review: (key, text, aspect_pos, aspect_phrase, aspect_snippet).
 
     Default (aspect program): chunks per clause; snippet = the clause trimmed to 48
     centred tokens when one token contains the phrase, else the clause head (48 words).
-    ``strict`` (trail program): informative chunks only, window snippet +-12 capped at 32.
+    ``strict`` (trail program): informative chunks only, window snippet +-12 capped at 32; chunks that
+    overlap a name of ``gazetteer`` (column ``name``; ``key`` is then unique) are not informative.
     First-occurrence distinct of (phrase, snippet) per review; a review without aspects
     yields ('general', full text).  Blank or null texts yield nothing."""
     n = snippet_len or (32 if strict else 48)
     cl = clauses(F.col(text_col))
+    names = None
+    if strict and gazetteer is not None:
+        names = F.col("_names")
+        df = df.join(names_in(df, key, clause_tokens(F.col(text_col)), gazetteer, out="_names"), key, "left")
 
     def per_clause(c):
-        ph = chunk_phrases(c, adjectives, nouns, stop_aspects=stop_aspects, informative=strict)
+        ph = chunk_phrases(c, adjectives, nouns, stop_aspects=stop_aspects, informative=strict, names=names)
         if strict:
             snip = lambda p: snippet_window(c, p, window, n)
         else:

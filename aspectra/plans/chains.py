@@ -32,19 +32,20 @@ def aspect_table(reviews: DataFrame, mapping: DataFrame, adjectives, nouns, posi
                  key: str = "review_key", text_col: str = "text", org_col: str | None = "organization_id",
                  dim: int = 64, strict: bool = False, threshold: float | None = None, top_k_vote: int | None = None,
                  classes: int = 5, model_labels: dict[int, str] | None = None, clean_symbols: bool = False,
-                 scorer=None, source_name: str = "LexiconScorer(aspect-first)") -> DataFrame:
+                 scorer=None, gazetteer: DataFrame | None = None, source_name: str = "LexiconScorer(aspect-first)") -> DataFrame:
     """Chain B.  ``key``: unique per review (the row position when the source has no id).
     ``mapping``: (keyword, pos, KPI_ID, KPI_NAME, DEPARTMENT_ID, DEPARTMENT_NAME), one row per
     keyword (S5).  ``clean_symbols`` applies T4 first; ``threshold`` enables the strict mapping
     (V8); ``top_k_vote`` the confidence-weighted vote (E8) instead of the majority vote (E7);
     ``classes`` = 3 scores three classes, named by E4 or, with ``model_labels``, by E5;
+    ``gazetteer`` holds the names that strict aspects must not overlap (A2);
     ``scorer`` (see ``textmodel``) gives the logits, else the word lists do.
 
     Aspects are scored and voted on before they are mapped, and carry no review text: text,
     organisation and verdict join them once, at the end."""
     if clean_symbols:
         reviews = reviews.withColumn(text_col, symbol_cleanup(text_col))
-    asp = A.extract_aspects(reviews, key, text_col, adjectives, nouns, strict=strict).drop(text_col)
+    asp = A.extract_aspects(reviews, key, text_col, adjectives, nouns, strict=strict, gazetteer=gazetteer).drop(text_col)
     if scorer is not None:
         asp = E.score_texts(asp, "aspect_snippet", scorer, classes, "_lg")
     else:

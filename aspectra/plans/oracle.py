@@ -416,6 +416,15 @@ WITH c AS (SELECT review_key, clause_pos, phrase,
 a AS (SELECT review_key, phrase, snippet, min(clause_pos) AS first FROM c GROUP BY ALL)
 SELECT review_key, row_number() OVER (PARTITION BY review_key ORDER BY first) - 1 AS aspect_pos,
        phrase AS aspect_phrase, snippet AS aspect_snippet FROM a""")
+oracle("asp_entities", f"""
+WITH nm AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE split_part(p_name, ' ', 1) IN ('hot', 'cold')),
+c AS (SELECT review_key, clause_pos, phrase, array_to_string(string_split_regex(trim(clause), '\\s+'), ' ') AS snippet FROM {ORDER_CHUNKS}
+      WHERE length(phrase) > 2 AND NOT {in_list('phrase', L.STOP_ASPECTS)}),
+k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM nm WHERE contains(' ' || c.phrase || ' ', ' ' || nm.name || ' '))),
+a AS (SELECT review_key, phrase, snippet, min(clause_pos) AS first FROM k GROUP BY ALL)
+SELECT review_key, row_number() OVER (PARTITION BY review_key ORDER BY first) - 1 AS aspect_pos,
+       phrase AS aspect_phrase, snippet AS aspect_snippet FROM a
+UNION ALL SELECT review_key, 0, 'general', trim(text) FROM {ORDER_REVIEWS} WHERE review_key NOT IN (SELECT review_key FROM k)""")
 oracle("asp_general_fallback", """SELECT doc_id AS review_key, CAST(0 AS BIGINT) AS aspect_pos,
   'general' AS aspect_phrase, trim(text) AS aspect_snippet FROM documents WHERE text IS NOT NULL AND trim(text) <> ''""")
 

@@ -618,6 +618,14 @@ def q_asp_distinct(spark, sf):
     return a.select("review_key", "aspect_pos", "aspect_phrase", "aspect_snippet")
 
 
+@query("asp_entities")
+def q_asp_entities(spark, sf):
+    """Strict aspects; the part names that begin with hot or cold are the names they must not overlap."""
+    names = FX.table(spark, sf, "part").select(F.col("p_name").alias("name")).where(F.split("p_name", " ")[0].isin("hot", "cold")).distinct()
+    a = A.extract_aspects(FX.order_reviews(spark, sf), "review_key", "text", FX.FX_ADJECTIVES, FX.FX_NOUNS, strict=True, gazetteer=names)
+    return a.select("review_key", "aspect_pos", "aspect_phrase", "aspect_snippet")
+
+
 @query("asp_general_fallback")
 def q_asp_general_fallback(spark, sf):
     a = A.extract_aspects(FX.documents_reviews(spark, sf), "review_key", "text", FX.FX_ADJECTIVES, FX.FX_NOUNS)
