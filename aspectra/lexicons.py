@@ -1,8 +1,6 @@
 """Default word lists (hotel domain) and helpers to pass word lists as tables.
 
-Word lists are parameters: every operator accepts a DataFrame with one word
-column or a Python iterable.  A list is gathered to the driver only after its
-row count is checked against ``MAX_LEXICON_ROWS``; it then becomes an
+Word lists are parameters.  The fixed ones are Python iterables; a list becomes an
 ``IN`` set that Catalyst compiles to a hash lookup inside whole-stage codegen
 (no join, no shuffle).  Lists derived from data (spelling vocabulary, KPI
 tokens) stay DataFrames and are joined instead.
@@ -199,24 +197,6 @@ UNDESIRED_ENTITIES = frozenset(["PERSON", "DATE", "TIME", "QUANTITY", "CARDINAL"
 # helpers
 # ---------------------------------------------------------------------------
 
-MAX_LEXICON_ROWS = 200_000
-
-
-def words(source: DataFrame | Iterable[str] | None, column: str | None = None,
-          limit: int = MAX_LEXICON_ROWS) -> frozenset[str]:
-    """Gather a bounded word list.  A DataFrame is size-checked before collect."""
-    if source is None:
-        return frozenset()
-    if isinstance(source, DataFrame):
-        col = column or source.columns[0]
-        small = source.select(F.col(col).cast("string").alias("w")).where(F.col("w").isNotNull()).distinct()
-        n = small.limit(limit + 1).count()
-        if n > limit:
-            raise ValueError(f"word list has more than {limit} rows; pass it as a join table instead")
-        return frozenset(r["w"] for r in small.collect())
-    return frozenset(str(w) for w in source)
-
-
 def in_words(col: Column, ws: Iterable[str]) -> Column:
     """``col IN (...)`` — Catalyst turns long literal lists into a hash set (InSet)."""
     ws = sorted(set(ws))

@@ -137,7 +137,8 @@ def extract_aspects(df: DataFrame, key: str, text_col: str, adjectives, nouns, *
     Default (aspect program): chunks per clause; snippet = the clause trimmed to 48
     centred tokens when one token contains the phrase, else the clause head (48 words).
     ``strict`` (trail program): informative chunks only, window snippet +-12 capped at 32; chunks that
-    overlap a name of ``gazetteer`` (column ``name``; ``key`` is then unique) are not informative.
+    overlap a name of ``gazetteer`` (column ``name``, of undesired kinds where it has a ``kind``; ``key``
+    is then unique) are not informative.
     First-occurrence distinct of (phrase, snippet) per review; a review without aspects
     yields ('general', full text).  Blank or null texts yield nothing."""
     n = snippet_len or (32 if strict else 48)
@@ -145,6 +146,8 @@ def extract_aspects(df: DataFrame, key: str, text_col: str, adjectives, nouns, *
     names = None
     if strict and gazetteer is not None:
         names = F.col("_names")
+        if "kind" in gazetteer.columns:
+            gazetteer = gazetteer.where(F.col("kind").isin(sorted(L.UNDESIRED_ENTITIES)))
         df = df.join(names_in(df, key, clause_tokens(F.col(text_col)), gazetteer, out="_names"), key, "left")
 
     def per_clause(c):

@@ -96,7 +96,8 @@ MAX_SENT_CLUSTERS = 10_000
 def silhouette_sq(points: DataFrame, id_col: str, vec_col: str, cluster_col: str) -> DataFrame:
     """C2 on squared Euclidean distances, in one pass over the points: the mean squared
     distance to a cluster follows from its size, its mean vector and its mean squared norm.
-    Cost grows with points x clusters; ``silhouette`` keeps the pairwise Euclidean form."""
+    Cost grows with points x clusters, which are sent in pieces; ``silhouette`` keeps the
+    pairwise Euclidean form."""
     p = points.where(F.col(cluster_col) >= 0).select(
         F.col(cluster_col).cast("long").alias("c"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
@@ -105,20 +106,20 @@ def silhouette_sq(points: DataFrame, id_col: str, vec_col: str, cluster_col: str
     per = per_dim.groupBy("c").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("m"),
         F.max("q").alias("q"), F.max("n").alias("n"))
-    k = per.count()
-    if k > MAX_SENT_CLUSTERS:
-        raise ValueError(f"{k} clusters; use ``silhouette``")
-    sums = per.agg(F.collect_list(F.struct("c", "m", "q", "n")).alias("all"))  # k entries in one row
-    d = p.withColumn("q", norm).crossJoin(F.broadcast(sums))
+    pieces = max(1, math.ceil(per.count() / MAX_SENT_CLUSTERS))
+    part = F.pmod(F.xxhash64("c"), F.lit(pieces))
 
     def mean_distance(v, q, s):
         dot = F.aggregate(F.zip_with(v, s["m"], lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
         return F.greatest(q - 2 * dot + s["q"], F.lit(0.0))
 
-    own = F.filter("all", lambda s: s["c"] == F.col("c"))[0]
-    a = F.when(own["n"] > 1, mean_distance(F.col("v"), F.col("q"), own) * own["n"] / (own["n"] - 1))
-    others = F.transform(F.filter("all", lambda s: s["c"] != F.col("c")), lambda s: mean_distance(F.col("v"), F.col("q"), s))
-    d = d.select(a.alias("a"), F.array_min(others).alias("b"))
+    d = p.withColumns({"q": norm, "a": F.lit(None).cast("double"), "b": F.lit(None).cast("double")})
+    for i in range(pieces):  # each piece is one row of about MAX_SENT_CLUSTERS entries
+        sums = per.where(part == i).agg(F.collect_list(F.struct("c", "m", "q", "n")).alias("all"))
+        own = F.get(F.filter("all", lambda s: s["c"] == F.col("c")), F.lit(0))
+        a = F.when(own["n"] > 1, mean_distance(F.col("v"), F.col("q"), own) * own["n"] / (own["n"] - 1))
+        others = F.transform(F.filter("all", lambda s: s["c"] != F.col("c")), lambda s: mean_distance(F.col("v"), F.col("q"), s))
+        d = d.crossJoin(F.broadcast(sums)).select("c", "v", "q", F.coalesce("a", a).alias("a"), F.least("b", F.array_min(others)).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return d.agg(F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette_sq"))

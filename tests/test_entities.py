@@ -32,7 +32,7 @@ def test_names_are_matched_longest_first_from_the_left(spark):
 def test_strict_aspects_drop_what_overlaps_an_entity(spark):
     rows = [(1, "The old red plate is fine. Two small gears broke"), (2, "red Hot Rod gear"), (3, "new ring; 5 old bolts"), (4, None), (5, "cold monday plate"), (6, "hot rod")]
     reviews = spark.createDataFrame(rows, "key long, text string")
-    gazetteer = spark.createDataFrame([("hot  rod", "PERSON"), ("Hot Rod", "PERSON"), (None, "PERSON"), ("", "PERSON"), ("a name of many words", "PERSON")], "name string, kind string")
+    gazetteer = spark.createDataFrame([("hot  rod", "PERSON"), ("Hot Rod", "PERSON"), (None, "PERSON"), ("", "PERSON"), ("a name of many words", "PERSON"), ("old red plate", "PRODUCT")], "name string, kind string")
     adjectives, nouns = ["old", "red", "small", "new", "cold", "hot"], ["plate", "gears", "gear", "ring", "bolts", "rod"]
 
     def phrases(**kw):
