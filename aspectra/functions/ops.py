@@ -59,6 +59,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many counted rows may be sent to all executors.
+BROADCAST_ROWS = 1 << 20
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast join if its counted rows stay within ``BROADCAST_ROWS``; else the join is left to shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def global_rank(df: DataFrame, order: Column, out: str = "_grank", partitions: int | None = None) -> DataFrame:
     """Exact 1-based rank in a total ``order`` without a global window: range partitioning
     puts equal keys in one partition, each partition is sorted, and partition offsets

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectra import lexicons as L
+from aspectra.functions.ops import sent_if_small
 
 
 def _c(c) -> Column:
@@ -103,7 +104,7 @@ def tag_tokens(tokens: DataFrame, tok_col: str, lexicon: DataFrame) -> DataFrame
     """Tag and lemma from a (word, tag, lemma) lexicon; unknown word -> NN, lemma =
     word.  Adds ``tag``, ``lemma`` and ``keep`` (tag starts with NN or JJ)."""
     lx = lexicon.select(F.col("word").alias(tok_col), F.col("tag").alias("_tag"), F.col("lemma").alias("_lemma"))
-    j = tokens.join(F.broadcast(lx), tok_col, "left")
+    j = tokens.join(sent_if_small(lx), tok_col, "left")
     return (j.withColumn("tag", F.coalesce("_tag", F.lit("NN"))).withColumn("lemma", F.coalesce("_lemma", F.col(tok_col)))
             .withColumn("keep", F.substring("tag", 1, 2).isin("NN", "JJ")).drop("_tag", "_lemma"))
 
@@ -121,7 +122,7 @@ def with_noun_tests(df: DataFrame, lemma_col: str, senses: DataFrame, abstract_n
                     suffixes=L.ABSTRACT_SUFFIXES) -> DataFrame:
     """T12, T13, T14 as columns: is_abstract, is_concrete, n_senses."""
     s = noun_senses(senses).withColumnRenamed("lemma", lemma_col)
-    j = df.join(F.broadcast(s), lemma_col, "left")
+    j = df.join(sent_if_small(s), lemma_col, "left")
     lem = F.col(lemma_col)
     suffix = F.lit(False)
     for suf in suffixes:

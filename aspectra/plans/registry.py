@@ -315,7 +315,7 @@ def q_sent_broadcast(spark, sf):
 # ---------------------------------------------------------------------------
 # V: vectors, similarity, de-duplication, mapping
 # ---------------------------------------------------------------------------
-from aspectra.functions.ops import global_rank  # noqa: E402
+from aspectra.functions.ops import global_rank, sent_if_small  # noqa: E402
 from aspectra.operators import cooccurrence as W  # noqa: E402
 from aspectra.operators import vectors as V  # noqa: E402
 
@@ -409,7 +409,7 @@ def _mapped(spark, sf):
                                                      F.col("phrase").alias("aspect_phrase"), "embedding")
     cat = _keyword_catalogue(spark, sf)
     m = V.nearest_keyword(aspects, "embedding", cat, "kw_index", "kv")
-    return m.join(F.broadcast(cat.drop("kv")), "kw_index", "left")
+    return m.join(sent_if_small(cat.drop("kv")), "kw_index", "left")
 
 
 @query("map_best")

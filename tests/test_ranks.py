@@ -38,3 +38,22 @@ def test_split_holds_out_the_same_share_of_every_label(spark):
                                        F.array(F.col("id").cast("double")).alias("features"))
     held = split(samples, ["phrase"]).groupBy("kpi").agg(F.count_if("is_test").alias("n")).collect()
     assert {r.n for r in held} == {313}
+
+
+def test_only_counted_small_tables_are_broadcast(spark, monkeypatch):
+    from aspectra.functions import ops
+    from aspectra.operators import lexical as LX
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tokens = spark.createDataFrame([("ring",), ("odd",), ("ring",)], "token string")
+        lexicon = LX.lexicon_table(spark, [("ring", "NN", "ring", None), ("red", "JJ", "red", None)])
+        plans, rows = [], []
+        for most in (2, 1):
+            monkeypatch.setattr(ops, "BROADCAST_ROWS", most)
+            tagged = LX.tag_tokens(tokens, "token", lexicon)
+            plans.append("BroadcastHashJoin" in tagged._jdf.queryExecution().toString())
+            rows.append(sorted(map(str, tagged.collect())))
+        assert plans == [True, False] and rows[0] == rows[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
