@@ -32,7 +32,7 @@ def tidy_shuffles(spark: SparkSession):
             spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a re-run of what
@@ -41,7 +41,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with tidy_shuffles(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 

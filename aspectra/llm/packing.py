@@ -1,19 +1,22 @@
 """Lexical retrieval packing: windows filled with a seed document and its nearest unused neighbours.
 
-Documents are taken in the partitions they are read in, without a shuffle, and
-gathered into index shards of ``shard_docs`` documents or ``shard_ids`` token
-ids, whichever comes first.  A shard holds a BM25
-inverted index over its documents' words.  The next unused document seeds a
-window; the index returns its best-scoring unused neighbours, which fill the
-window in turn.  The one that no longer fits is cut, and its rest stays in the
-shard, so every window but a shard's last is full.
+Texts become token ids once; the ids are the terms of the index.  Document
+counts, inverse frequencies and the mean length are taken over all documents (a
+table no longer than the vocabulary).  Each document gets a signature, the terms
+that win a weighted min-wise hash under its BM25 weights, and documents are
+range-partitioned by it, so that lexical neighbours of the whole corpus come to
+stand side by side wherever they were read.  Along that order they are gathered
+into index shards of ``shard_docs`` documents or ``shard_ids`` token ids,
+whichever comes first.  A shard holds the BM25 inverted index of its documents.
+The next unused document seeds a window; the index returns its best-scoring
+unused neighbours, which fill the window in turn.  The one that no longer fits
+is cut, and its rest stays in the shard, so every window but a shard's last is
+full.
 """
 
 from __future__ import annotations
 
 import json
-import sys
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,12 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from aspectra.llm.common import saved
+
 #: How byte-level BPE vocabularies of this family split a text before merging (fixed value).
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: BM25's usual saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: Texts with a longer run without white space go to the tokenizer itself, whose merging stays fast on them.
 LONG_RUN = 1000
+#: Terms of a signature, the strongest first.
+SIGNATURE = 8
+#: Token ids that one task lays side by side.
+IDS_PER_TASK = 1 << 22
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,7 +49,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of a text, as the tokenizer file at ``path`` gives them, in little-endian unsigned 32-bit.
+    """Token ids of a text, as the tokenizer file at ``path`` gives them.
 
     A byte-level BPE vocabulary numbers its merges by rank, so its ids are made by
     the faster rank-based encoder; texts with the vocabulary's added tokens or
@@ -56,15 +65,10 @@ class Encoder:
         ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in self.added}
         self.fast = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def encode(self, text: str, words: list[str]) -> bytes:
-        if len(max(words, key=len, default="")) > LONG_RUN or any(t in text for t in self.added):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast(text)
-        packed = array("I", ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
+    def encode(self, text: str) -> list[int]:
+        if len(max(text.split(), key=len, default="")) > LONG_RUN or any(t in text for t in self.added):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast(text)
 
 
 @lru_cache(maxsize=2)
@@ -72,30 +76,71 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def narrow(ids: list[int]) -> bytes:
+    """Ids in little-endian unsigned 16-bit if all fit, else 32-bit; their count tells which."""
+    return np.array(ids, dtype="<u2" if max(ids) < 1 << 16 else "<u4").tobytes()
+
+
+def widen(packed: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(packed, dtype="<u2" if len(packed) == 2 * count else "<u4")
+
+
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and how often each occurs."""
+    ids = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
+    return ids[first].astype(np.int64), np.diff(np.append(first, len(ids)))
+
+
+class Corpus:
+    """What BM25 knows of all documents: the inverse frequency of each term and the mean length."""
+
+    def __init__(self, docs: int, length: int, found_in: dict[int, int]):
+        self.mean = max(1.0, length / max(1, docs))
+        n = np.zeros(max(found_in, default=0) + 1)
+        n[list(found_in)] = list(found_in.values())
+        # a term of one document points nowhere, one of most documents has no positive weight
+        self.idf = np.where(n > 1, np.maximum(0.0, np.log((docs - n + 0.5) / (n + 0.5))), 0.0)
+        # a number of (0, 1) for each term, the same in every task
+        mixed = (np.arange(len(n), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        self.log_draw = np.log(((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, length) -> np.ndarray:
+        """BM25 weight of terms that occur ``tf`` times in a document of ``length`` ids."""
+        return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+    def signature(self, terms: np.ndarray, tf: np.ndarray) -> bytes:
+        """The terms that win the weighted draw, the winner first, in bytes that sort as the terms do.
+
+        Two documents share the winner with the chance that grows with the
+        weight they have in common.
+        """
+        weight = self.weights(terms, tf, int(tf.sum()))
+        some = np.flatnonzero(weight > 0)
+        order = np.lexsort((terms[some], -self.log_draw[terms[some]] / weight[some]))[:SIGNATURE]
+        return terms[some][order].astype(">u4").tobytes()
+
+
 class Shard:
-    """An inverted index of BM25 weights over a few documents' words (numbers that stand for words, one array a document)."""
-
-    def __init__(self, words: list[np.ndarray]):
-        self.docs = len(words)
-        length = np.array([len(w) for w in words], dtype=np.int64)
-        owner = np.repeat(np.arange(self.docs), length)
-        distinct, term = np.unique(np.concatenate(words), return_inverse=True)
-        # postings: one entry per word and document, by word, then document
-        posting, tf = np.unique(term * self.docs + owner, return_counts=True)
-        term, owner = posting // self.docs, posting % self.docs
-        found_in = np.bincount(term, minlength=len(distinct))
-        idf = np.log((self.docs - found_in + 0.5) / (found_in + 0.5))
-        # a word of one document points nowhere, one of most documents has no positive weight
-        keep = ((found_in > 1) & (idf > 0))[term]
-        term, owner, tf = term[keep], owner[keep], tf[keep]
-        norm = K1 * (1 - B + B * length / max(1.0, float(length.mean())))
-        self.owner, self.weight = owner, idf[term] * tf * (K1 + 1) / (tf + norm[owner])
+    """An inverted index of the BM25 weights of a few documents; the statistics are the whole corpus's."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], corpus: Corpus):
+        self.docs = len(bags)
+        owner = np.repeat(np.arange(self.docs), [len(terms) for terms, _ in bags])
+        length = np.array([tf.sum() for _, tf in bags], dtype=np.int64)
+        terms, tf = np.concatenate([t for t, _ in bags]), np.concatenate([n for _, n in bags])
+        weight = corpus.weights(terms, tf, length[owner])
+        # documents are in order, so a stable sort by term gives postings by term, then document
+        order = np.flatnonzero(weight > 0)
+        order = order[np.argsort(terms[order], kind="stable")]
+        distinct, term = np.unique(terms[order], return_inverse=True)
+        self.owner, self.weight = owner[order], weight[order]
         self.start = np.searchsorted(term, np.arange(len(distinct) + 1))
-        by_doc = np.argsort(owner, kind="stable")
-        self.queries = np.split(term[by_doc], np.cumsum(np.bincount(owner, minlength=self.docs))[:-1])
+        by_doc = np.argsort(self.owner, kind="stable")
+        self.queries = np.split(term[by_doc], np.cumsum(np.bincount(self.owner, minlength=self.docs))[:-1])
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 score of every document of the shard for all words of ``doc``."""
+        """BM25 score of every document of the shard for all terms of ``doc``."""
         q = self.queries[doc]
         first, n = self.start[q], self.start[q + 1] - self.start[q]
         at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
@@ -132,6 +177,49 @@ def pack_shard(lengths: list[int], index: Shard, window: int):
         yield filled
 
 
+def tokenized(rows: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """``doc_id, row, size, ids`` per document (``row`` is unique), and per task one row of ``terms`` and ``found_in``: in how many of its documents each occurs."""
+
+    def batches(frames):
+        encode = encoder(tokenizer_path).encode
+        row = TaskContext.get().partitionId() << 32
+        found_in: dict[int, int] = {}
+        for frame in frames:
+            sizes, ids = [], []
+            for text in frame["text"]:
+                got = encode(text or "")
+                for term in set(got):
+                    found_in[term] = found_in.get(term, 0) + 1
+                got.append(end_id)
+                sizes.append(len(got))
+                ids.append(narrow(got))
+            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": range(row, row + len(ids)), "size": sizes, "ids": ids})
+            row += len(ids)
+            yield out.assign(terms=None, found_in=None)
+        yield pd.DataFrame({"doc_id": pd.array([pd.NA], dtype="Int64"), "row": [-1], "size": [0], "ids": [b""], "terms": [list(found_in)], "found_in": [list(found_in.values())]})
+
+    return rows.mapInPandas(batches, "doc_id long, row long, size long, ids binary, terms array<int>, found_in array<long>")
+
+
+def statistics(tokens: DataFrame) -> tuple[Corpus, int]:
+    """The corpus's BM25 statistics and its number of token ids; what comes to the driver is no longer than the vocabulary."""
+    docs, ids = tokens.where("row >= 0").agg(F.count("row"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    counts = tokens.where("row < 0").select(F.explode(F.arrays_zip("terms", "found_in")).alias("x")).groupBy("x.terms").agg(F.sum("x.found_in").alias("n"))
+    return Corpus(docs, ids - docs, {r["terms"]: r["n"] for r in counts.collect()}), ids
+
+
+def signed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
+    """The documents with their ``signature``."""
+
+    def batches(frames):
+        for frame in frames:
+            signatures = [corpus.signature(*counted(widen(ids, size)[:-1])) for ids, size in zip(frame["ids"], frame["size"], strict=True)]
+            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), signature=signatures)
+
+    rows = tokens.where("row >= 0").select("doc_id", "row", "size", "ids")
+    return rows.mapInPandas(batches, "doc_id long, row long, size long, ids binary, signature binary")
+
+
 def pack(
     docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 1024, shard_ids: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -141,20 +229,23 @@ def pack(
     or empty text is that id alone.  Documents of a window or more fill windows
     of their own; their rests and the others are packed with their neighbours.
     Null ids and repeated rows are packed like any other row.  Equal scores go
-    to the earlier row.  A window's number is unique in the result: the number
-    of the task in the high bits, a counter in the low ones.  Extra columns are
-    ignored; an empty table gives an empty result.
+    to the earlier row in the order of signatures, equal signatures stand in the
+    order they were read in and are split over shards and tasks like others.  A
+    window's number is unique in the result: the number of the task in the high
+    bits, a counter in the low ones.  Extra columns are ignored; an empty table
+    gives an empty result.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    tokens = saved(tokenized(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer_path, end_id), "pack-ids", compression="zstd")
+    corpus, total = statistics(tokens)
 
-    def pieces(ids, words, doc_ids, number):
-        sizes = [len(x) // 4 for x in ids]
+    def pieces(ids, doc_ids, number):
+        sizes = [len(x) for x in ids]
         out = []
-        for filled in pack_shard(sizes, Shard(words), window):
+        for filled in pack_shard(sizes, Shard([counted(x[:-1]) for x in ids], corpus), window):
             offset = 0
             for d, start, length in filled:
-                out.append((doc_ids[d], start, length, sizes[d], number, offset, ids[d][4 * start : 4 * (start + length)]))
+                out.append((doc_ids[d], start, length, sizes[d], number, offset, ids[d][start : start + length].astype("<u4").tobytes()))
                 offset += length
             number += 1
             if len(out) >= 4000:
@@ -163,25 +254,20 @@ def pack(
         yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"}), number
 
     def batches(frames):
-        encode = encoder(tokenizer_path).encode
         number = TaskContext.get().partitionId() << 32
-        ids, words, doc_ids, held = [], [], [], 0
+        ids, doc_ids, held = [], [], 0
         for frame in frames:
-            for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True):
-                text = text or ""
-                split = text.split()
-                got = encode(text, split)
-                ids.append(got + end)
-                words.append(np.fromiter(map(hash, split), dtype=np.int64, count=len(split)))
+            for doc_id, size, packed in zip(frame["doc_id"].astype("Int64"), frame["size"], frame["ids"], strict=True):
+                ids.append(widen(packed, size))
                 doc_ids.append(doc_id)
-                held += len(got) // 4
+                held += size
                 if len(ids) == shard_docs or held >= shard_ids:
-                    for out, number in pieces(ids, words, doc_ids, number):
+                    for out, number in pieces(ids, doc_ids, number):
                         yield out
-                    ids, words, doc_ids, held = [], [], [], 0
+                    ids, doc_ids, held = [], [], 0
         if ids:
-            for out, number in pieces(ids, words, doc_ids, number):
+            for out, number in pieces(ids, doc_ids, number):
                 yield out
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(batches, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    laid = signed(tokens, corpus).repartitionByRange(total // IDS_PER_TASK + 1, "signature", "row").sortWithinPartitions("signature", "row")
+    return laid.select("doc_id", "size", "ids").mapInPandas(batches, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -1,5 +1,7 @@
 """Text operators against brute force, on edge cases and on a whole small table."""
 
+import math
+import random
 import zlib
 from collections import Counter
 
@@ -182,6 +184,99 @@ def test_packing_round_trip(docs, empty, texts):
     assert packing.pack(empty, path).collect() == []
 
 
+def bm25_windows(texts, encode, window):
+    """Plain packing of ``(doc_id, text)`` in one shard: windows as lists of ``(doc_id, start, length)``, and the scores of all pairs."""
+    bags = [Counter(encode(t or "")) for _, t in texts]
+    n, mean = len(bags), max(1.0, sum(b.total() for b in bags) / len(bags))
+    found_in = Counter(term for b in bags for term in b)
+    idf = {t: max(0.0, math.log((n - f + 0.5) / (f + 0.5))) if f > 1 else 0.0 for t, f in found_in.items()}
+
+    def weight(bag, t):
+        return idf[t] * bag[t] * 2.2 / (bag[t] + 1.2 * (0.25 + 0.75 * bag.total() / mean))
+
+    def signature(bag):
+        draw = {t: math.log(((((t + 1) * 0x9E3779B97F4A7C15) % 2**64 >> 11) + 0.5) / 2**53) for t in bag}
+        return sorted((t for t in bag if idf[t] > 0), key=lambda t: (-draw[t] / weight(bag, t), t))[: packing.SIGNATURE]
+
+    order = sorted(range(n), key=lambda i: (signature(bags[i]), i))
+    score = {(a, b): sum(weight(bags[b], t) for t in bags[a] if t in bags[b]) for a in range(n) for b in range(n)}
+    left = {i: bags[i].total() + 1 for i in order}
+    begun = dict.fromkeys(order, 0)
+    windows = []
+
+    def take(i, room):
+        got = min(room, left[i])
+        piece = (texts[i][0], begun[i], got)
+        begun[i] += got
+        left[i] -= got
+        return piece
+
+    for i in order:
+        while left[i] >= window:
+            windows.append([take(i, window)])
+    for seed in order:
+        if left[seed]:
+            filled, member = [], seed
+            while member is not None:
+                filled.append(take(member, window - sum(x[2] for x in filled)))
+                rest = [i for i in order if left[i]]
+                full = sum(x[2] for x in filled) == window
+                member = None if full or not rest else max(rest, key=lambda i: round(score[seed, i], 9))
+            windows.append(filled)
+    return windows
+
+
+def test_packing_matches_brute_force_bm25(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [(i, t) for i, t in pairs(spark) if len(t or "") < 4000][:120]
+    texts += [(1000, None), (1001, ""), (1002, texts[5][1]), (1003, texts[5][1] + " end")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    windows = {}
+    for r in packing.pack(rows, path, window=512).collect():
+        windows.setdefault(r.sequence_id, []).append((r.offset, (r.doc_id, r.start, r.length)))
+    got = sorted([piece for _, piece in sorted(w)] for w in windows.values())
+    assert got == sorted(bm25_windows(texts, packing.encoder(path).encode, 512))
+
+
+def test_packing_retrieves_across_the_corpus(spark, monkeypatch):
+    """Near copies at both ends of the table meet, though shards are small; statistics are the corpus's."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "IDS_PER_TASK", 1 << 14)
+    draw = random.Random(7)
+    vocabulary = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    own = [draw.choices(vocabulary, k=60) for _ in range(300)]
+    texts = [(i, " ".join(w)) for i, w in enumerate(own)] + [(1000 + i, " ".join([*w[:-1], "other"])) for i, w in enumerate(own)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(6, "doc_id")
+    got = packing.pack(rows, path, window=700, shard_docs=40).collect()
+    windows = {}
+    for r in got:
+        windows.setdefault(r.doc_id % 1000, {}).setdefault(r.doc_id >= 1000, set()).add(r.sequence_id)
+    assert sum(bool(w[False] & w[True]) for w in windows.values()) >= 270
+    assert len({r.sequence_id >> 32 for r in got}) > 1
+    corpus, total = packing.statistics(packing.tokenized(rows.select("doc_id", "text"), path, 1))
+    ids = {i: packing.encoder(path).encode(t) for i, t in texts}
+    found_in = Counter(t for x in ids.values() for t in set(x))
+    assert total == sum(len(x) + 1 for x in ids.values()) and corpus.mean == (total - 600) / 600
+    assert all(math.isclose(corpus.idf[t], max(0.0, math.log((600.5 - f) / (f + 0.5))) if f > 1 else 0.0) for t, f in found_in.items())
+
+
+def test_packing_splits_equal_signatures(spark):
+    """Copies of one text fill several shards and tasks; no window but a shard's last is short."""
+    import public_tokenizers
+
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same words in every row").alias("text"))
+    got = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.json"), window=64, shard_docs=100).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.sequence_id] += r.length
+    assert sum(sizes.values()) == sum(r.doc_tokens for r in got if r.start == 0)
+    assert sum(v < 64 for v in sizes.values()) <= 30 and max(sizes.values()) == 64
+
+
 def test_encoder_matches_the_tokenizer(spark):
     import public_tokenizers
 
@@ -189,7 +284,7 @@ def test_encoder_matches_the_tokenizer(spark):
     e = packing.Encoder(path)
     hard = ["a  b\n\n c\t", "it's 'll ''s x", "  ", "<|endoftext|> a", "é漢字\U0001f600 12 3.4", "a  b", "", "x" * 3000, "\u00a0 \u2003x\u0085", "\n\n\n", "a\r\n b", "I'LL 'S"]
     for text in [t for _, t in pairs(spark)] + hard:
-        assert np.frombuffer(e.encode(text, text.split()), dtype="<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert e.encode(text) == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 HARD_PII = [
