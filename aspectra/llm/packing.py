@@ -17,6 +17,10 @@ full.
 from __future__ import annotations
 
 import json
+import re
+import sys
+from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -31,14 +35,18 @@ from aspectra.llm.common import saved
 
 #: How byte-level BPE vocabularies of this family split a text before merging (fixed value).
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: The same without look-ahead or possessive repeats, for texts in which no two white-space characters meet; it splits in about three quarters of the time.
+SIMPLE_PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
 #: BM25's usual saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: Texts with a longer run without white space go to the tokenizer itself, whose merging stays fast on them.
 LONG_RUN = 1000
+LONG = re.compile(rf"\S{{{LONG_RUN + 1}}}")
+HARD = re.compile(rf"\s\s|\S{{{LONG_RUN + 1}}}")
 #: Terms of a signature, the strongest first.
 SIGNATURE = 8
-#: Token ids that one task lays side by side.
-IDS_PER_TASK = 1 << 22
+#: Token ids that one task lays side by side, and rows a task that bounds between tasks are drawn from.
+IDS_PER_TASK, SAMPLED = 1 << 22, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,9 +72,15 @@ class Encoder:
         byte = byte_alphabet()
         ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in self.added}
         self.fast = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.simple = tiktoken.Encoding("simple", pat_str=SIMPLE_PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> list[int]:
-        if len(max(text.split(), key=len, default="")) > LONG_RUN or any(t in text for t in self.added):
+        if any(t in text for t in self.added):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = HARD.search(text)
+        if found is None:
+            return self.simple(text)
+        if LONG.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast(text)
 
@@ -76,9 +90,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def little_endian(numbers: array) -> bytes:
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 def narrow(ids: list[int]) -> bytes:
     """Ids in little-endian unsigned 16-bit if all fit, else 32-bit; their count tells which."""
-    return np.array(ids, dtype="<u2" if max(ids) < 1 << 16 else "<u4").tobytes()
+    try:
+        return little_endian(array("H", ids))
+    except OverflowError:
+        return little_endian(array("I", ids))
 
 
 def widen(packed: bytes, count: int) -> np.ndarray:
@@ -178,50 +201,79 @@ def pack_shard(lengths: list[int], index: Shard, window: int):
 
 
 def tokenized(rows: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """``doc_id, row, size, ids`` per document (``row`` is unique), and per task one row of ``terms`` and ``found_in``: in how many of its documents each occurs."""
+    """``doc_id, row, size, ids, terms, tf`` per document (``row`` is unique), and per task one row of ``seen`` and ``found_in``: in how many of its documents each term occurs."""
 
     def batches(frames):
         encode = encoder(tokenizer_path).encode
         row = TaskContext.get().partitionId() << 32
-        found_in: dict[int, int] = {}
+        found_in = np.zeros(0, dtype=np.int64)
         for frame in frames:
-            sizes, ids = [], []
+            out = []
+            bags = []
             for text in frame["text"]:
-                got = encode(text or "")
-                for term in set(got):
-                    found_in[term] = found_in.get(term, 0) + 1
-                got.append(end_id)
-                sizes.append(len(got))
-                ids.append(narrow(got))
-            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": range(row, row + len(ids)), "size": sizes, "ids": ids})
-            row += len(ids)
-            yield out.assign(terms=None, found_in=None)
-        yield pd.DataFrame({"doc_id": pd.array([pd.NA], dtype="Int64"), "row": [-1], "size": [0], "ids": [b""], "terms": [list(found_in)], "found_in": [list(found_in.values())]})
-
-    return rows.mapInPandas(batches, "doc_id long, row long, size long, ids binary, terms array<int>, found_in array<long>")
+                ids = encode(text or "")
+                ids.append(end_id)
+                packed = narrow(ids)
+                terms, tf = counted(widen(packed, len(ids))[:-1])
+                bags.append(terms)
+                out.append((row, len(ids), packed, terms.astype("<u4").tobytes(), tf.astype("<u4").tobytes()))
+                row += 1
+            if out:
+                here = np.bincount(np.concatenate(bags), minlength=len(found_in))
+                here[: len(found_in)] += found_in
+                found_in = here
+                got = pd.DataFrame(out, columns=["row", "size", "ids", "terms", "tf"])
+                yield got.assign(doc_id=frame["doc_id"].astype("Int64").to_numpy(), seen=None, found_in=None).astype({"doc_id": "Int64"})
+        seen = np.flatnonzero(found_in)
+        last = pd.DataFrame({"row": [-1], "size": [0], "ids": [b""], "terms": [b""], "tf": [b""], "seen": [seen.astype(np.int32)], "found_in": [found_in[seen]]})
+        yield last.assign(doc_id=pd.array([pd.NA], dtype="Int64"))
+
+    return rows.mapInPandas(batches, "doc_id long, row long, size long, ids binary, terms binary, tf binary, seen array<int>, found_in array<long>")
 
 
 def statistics(tokens: DataFrame) -> tuple[Corpus, int]:
     """The corpus's BM25 statistics and its number of token ids; what comes to the driver is no longer than the vocabulary."""
     docs, ids = tokens.where("row >= 0").agg(F.count("row"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    counts = tokens.where("row < 0").select(F.explode(F.arrays_zip("terms", "found_in")).alias("x")).groupBy("x.terms").agg(F.sum("x.found_in").alias("n"))
-    return Corpus(docs, ids - docs, {r["terms"]: r["n"] for r in counts.collect()}), ids
+    counts = tokens.where("row < 0").select(F.explode(F.arrays_zip("seen", "found_in")).alias("x")).groupBy("x.seen").agg(F.sum("x.found_in").alias("n"))
+    return Corpus(docs, ids - docs, {r["seen"]: r["n"] for r in counts.collect()}), ids
 
 
-def signed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
-    """The documents with their ``signature``."""
+def bag(terms: bytes, tf: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(terms, dtype="<u4").astype(np.int64), np.frombuffer(tf, dtype="<u4").astype(np.int64)
 
-    def batches(frames):
+
+def laid_out(tokens: DataFrame, corpus: Corpus, tasks: int) -> DataFrame:
+    """The documents by signature, then row, in ``tasks`` ranges of that order; equal signatures are split between rows.
+
+    The bounds come from about ``SAMPLED`` documents a task; they decide how even
+    the tasks are and where shards begin.
+    """
+    docs = tokens.where("row >= 0").select("doc_id", "row", "size", "ids", "terms", "tf")
+
+    def signatures(frames):
+        for frame in frames:
+            keys = [corpus.signature(*bag(terms, tf)) for terms, tf in zip(frame["terms"], frame["tf"], strict=True)]
+            yield pd.DataFrame({"signature": keys, "row": frame["row"]})
+
+    bounds = []
+    if tasks > 1:
+        share = min(1.0, SAMPLED * tasks / max(1, docs.count()))
+        sample = docs.sample(share, seed=1).select("row", "terms", "tf").mapInPandas(signatures, "signature binary, row long").collect()
+        keys = sorted((bytes(r["signature"]), r["row"]) for r in sample)
+        bounds = [keys[len(keys) * i // tasks] for i in range(1, tasks)] if keys else []
+
+    def dealt(frames):
         for frame in frames:
-            signatures = [corpus.signature(*counted(widen(ids, size)[:-1])) for ids, size in zip(frame["ids"], frame["size"], strict=True)]
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), signature=signatures)
+            keys = [corpus.signature(*bag(terms, tf)) for terms, tf in zip(frame["terms"], frame["tf"], strict=True)]
+            tasks_of = [bisect_right(bounds, key) for key in zip(keys, frame["row"], strict=True)]
+            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), signature=keys, task=tasks_of)
 
-    rows = tokens.where("row >= 0").select("doc_id", "row", "size", "ids")
-    return rows.mapInPandas(batches, "doc_id long, row long, size long, ids binary, signature binary")
+    rows = docs.mapInPandas(dealt, "doc_id long, row long, size long, ids binary, terms binary, tf binary, signature binary, task int")
+    return rows.repartitionById(tasks, F.col("task")).sortWithinPartitions("signature", "row")
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 1024, shard_ids: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, shard_docs: int = 512, shard_ids: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` per piece; ``ids`` are little-endian unsigned 32-bit.
 
@@ -239,10 +291,10 @@ def pack(
     tokens = saved(tokenized(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer_path, end_id), "pack-ids", compression="zstd")
     corpus, total = statistics(tokens)
 
-    def pieces(ids, doc_ids, number):
+    def pieces(ids, bags, doc_ids, number):
         sizes = [len(x) for x in ids]
         out = []
-        for filled in pack_shard(sizes, Shard([counted(x[:-1]) for x in ids], corpus), window):
+        for filled in pack_shard(sizes, Shard(bags, corpus), window):
             offset = 0
             for d, start, length in filled:
                 out.append((doc_ids[d], start, length, sizes[d], number, offset, ids[d][start : start + length].astype("<u4").tobytes()))
@@ -255,19 +307,20 @@ def pack(
 
     def batches(frames):
         number = TaskContext.get().partitionId() << 32
-        ids, doc_ids, held = [], [], 0
+        ids, bags, doc_ids, held = [], [], [], 0
         for frame in frames:
-            for doc_id, size, packed in zip(frame["doc_id"].astype("Int64"), frame["size"], frame["ids"], strict=True):
+            for doc_id, size, packed, terms, tf in zip(frame["doc_id"].astype("Int64"), frame["size"], frame["ids"], frame["terms"], frame["tf"], strict=True):
                 ids.append(widen(packed, size))
+                bags.append(bag(terms, tf))
                 doc_ids.append(doc_id)
                 held += size
                 if len(ids) == shard_docs or held >= shard_ids:
-                    for out, number in pieces(ids, doc_ids, number):
+                    for out, number in pieces(ids, bags, doc_ids, number):
                         yield out
-                    ids, doc_ids, held = [], [], 0
+                    ids, bags, doc_ids, held = [], [], [], 0
         if ids:
-            for out, number in pieces(ids, doc_ids, number):
+            for out, number in pieces(ids, bags, doc_ids, number):
                 yield out
 
-    laid = signed(tokens, corpus).repartitionByRange(total // IDS_PER_TASK + 1, "signature", "row").sortWithinPartitions("signature", "row")
-    return laid.select("doc_id", "size", "ids").mapInPandas(batches, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    laid = laid_out(tokens, corpus, total // IDS_PER_TASK + 1).select("doc_id", "size", "ids", "terms", "tf")
+    return laid.mapInPandas(batches, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
