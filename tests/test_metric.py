@@ -67,6 +67,27 @@ def test_cells_keep_far_points_apart(spark, monkeypatch):
     assert seen[0] < 8 * len(x)
 
 
+def test_points_travel_to_blocks_not_to_every_cell(spark, monkeypatch):
+    """Scattered points, which no bound keeps apart: what a point is copied for does not grow with the cells."""
+    monkeypatch.setattr(metric, "SLICE_ROWS", 10)
+    monkeypatch.setattr(metric, "BLOCKS", 4, raising=False)
+    x = np.random.default_rng(4).normal(0, 1, (500, 24))
+    seen = []
+    blocks = metric._blocks
+
+    def counted(visits, *rest):
+        seen.append(visits.count())
+        return blocks(visits, *rest)
+
+    monkeypatch.setattr(metric, "_blocks", counted)
+    got = {}
+    for r in metric.nearest(frame(spark, x), 3, cell_rows=10).collect():
+        got.setdefault(r.id, []).append((r.dist, r.nbr))
+    assert seen[0] <= 5 * len(x)  # there are over 20 cells
+    d = distances(x)
+    assert all(sorted(got[i]) == sorted((float(d[i, j]), j) for j in range(len(x)))[:3] for i in range(len(x)))
+
+
 def mutual(x, min_samples):
     d = distances(x)
     core = np.sort(d, axis=1)[:, min(min_samples, len(x) - 1)]
