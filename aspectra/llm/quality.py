@@ -21,8 +21,6 @@ from aspectra.llm.common import saved
 #: White space that parts words.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Trusted documents that train the target at most (those of the smallest id hash); 16 bytes each are broadcast.
-TRUSTED_ROWS = 1 << 20
 #: Hash buckets (a power of two); 16 bytes each are broadcast, and a task sends one row for each it met.
 BUCKETS = 1 << 18
 #: Log ratios are whole multiples of 1 / SCALE, thresholds of 1 / BINS.
@@ -85,21 +83,25 @@ def base_failed(counts) -> np.ndarray:
 
 
 def count_buckets(docs: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, raw, target``: n-grams of all texts and of the trusted ones."""
+    """``bucket, n``: n-grams of all texts."""
 
     def batches(frames):
-        raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+        n = np.zeros(buckets, dtype=np.int64)
         for frame in frames:
             for part in _chunks(frame):
-                _, hashes, owner = take_apart(part["text"].tolist())
-                at = buckets_of(hashes, buckets)
-                raw += np.bincount(at, minlength=buckets)
-                target += np.bincount(at[part["trusted"].to_numpy()[owner]], minlength=buckets)
-        used = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": used.astype(np.int32), "raw": raw[used], "target": target[used]})
+                _, hashes, _ = take_apart(part["text"].tolist())
+                n += np.bincount(buckets_of(hashes, buckets), minlength=buckets)
+        used = np.flatnonzero(n)
+        yield pd.DataFrame({"bucket": used.astype(np.int32), "n": n[used]})
 
-    found = docs.select("text", "trusted").mapInPandas(batches, "bucket int, raw long, target long")
-    return found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return docs.select("text").mapInPandas(batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def _held(counts: DataFrame, buckets: int, name: str) -> np.ndarray:
+    table = saved(counts, name).toPandas()  # a row a bucket at most
+    held = np.zeros(buckets, dtype=np.int64)
+    held[table["bucket"]] = table["n"]
+    return held
 
 
 def ratios(raw: np.ndarray, target: np.ndarray, raw_all: int, target_all: int) -> np.ndarray:
@@ -141,15 +143,11 @@ def judge(docs: DataFrame, trusted: DataFrame, lost_share: float = 0.005, bucket
     empty result.
     """
     spark = docs.sparkSession
-    names = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("trusted_id")).distinct()
-    names = names.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(TRUSTED_ROWS).withColumn("named", F.lit(True))
+    names = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id")).distinct()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = rows.join(F.broadcast(names), rows["doc_id"] == names["trusted_id"], "left").select(  # TRUSTED_ROWS at most
-        "doc_id", "text", F.coalesce("named", F.lit(False)).alias("trusted")
-    )
-    table = saved(count_buckets(marked, buckets), "quality-buckets").toPandas()  # a row a bucket at most
-    raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
-    raw[table["bucket"]], target[table["bucket"]] = table["raw"], table["target"]
+    # every trusted document trains the target; Spark chooses the join by the size of the names
+    target_texts = saved(rows.join(names, "doc_id", "left_semi").select("text"), "quality-trusted")
+    raw, target = _held(count_buckets(rows, buckets), buckets, "quality-raw"), _held(count_buckets(target_texts, buckets), buckets, "quality-target")
     raw_all, target_all = max(1, int(raw.sum())), int(target.sum())
     shared = spark.sparkContext.broadcast((raw, target))
 
@@ -166,7 +164,7 @@ def judge(docs: DataFrame, trusted: DataFrame, lost_share: float = 0.005, bucket
 
     least = None
     if target_all:
-        spread = marked.where("trusted").select("text").mapInPandas(bins, "bin long").groupBy("bin").count().sort("bin").toPandas()  # log ratios are bounded, so bins are
+        spread = target_texts.mapInPandas(bins, "bin long").groupBy("bin").count().sort("bin").toPandas()  # log ratios are bounded, so bins are
         if len(spread):
             at = np.searchsorted(np.cumsum(spread["count"]), int(lost_share * spread["count"].sum()), side="right")
             least = int(spread["bin"].iloc[at])

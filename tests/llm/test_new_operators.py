@@ -82,6 +82,24 @@ def test_quality_tells_the_target_from_the_rest(spark):
     assert sum(got[i] for i in held if i % 2) >= 95 and not any(got[i] for i in held if i % 2 == 0)
 
 
+def test_quality_trains_on_every_trusted_document(spark, monkeypatch):
+    """No bound on the trusted documents: more names than any fixed number give the model of all of them."""
+    monkeypatch.setattr(quality, "TRUSTED_ROWS", 5, raising=False)
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * 7 + j) % (90 if i % 2 else 45)}" for j in range(60))) for i in range(60)], "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in [*range(0, 60, 2), 0, 2, None, 999]], "doc_id long")
+    got = quality.judge(docs, trusted, buckets=1 << 8).collect()
+    raw, target = np.zeros(1 << 8, dtype=np.int64), np.zeros(1 << 8, dtype=np.int64)
+    for r in docs.collect():
+        held = np.bincount(quality.buckets_of(quality.take_apart([r.text])[1], 1 << 8), minlength=1 << 8)
+        raw += held
+        target += held * (r.doc_id % 2 == 0)
+    weight = quality.ratios(raw, target, int(raw.sum()), int(target.sum()))
+    for r in got:
+        text = " ".join(f"word{(r.doc_id * 7 + j) % (90 if r.doc_id % 2 else 45)}" for j in range(60))
+        at = quality.buckets_of(quality.take_apart([text])[1], 1 << 8)
+        assert r.score == weight[at].sum() / (len(at) * quality.SCALE)
+
+
 def test_quality_edge_cases(spark, docs, empty, texts):
     trusted = spark.createDataFrame([(7,), (7,), (None,), (99,)], "doc_id long")
     got = quality.judge(docs, trusted).collect()
