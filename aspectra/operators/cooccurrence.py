@@ -1,26 +1,33 @@
 """Trained word and phrase vectors (V1): co-occurrence, positive pointwise mutual information, randomised eigenvectors.
 
-Words that stand within a window of each other are counted by one aggregation.  The PPMI matrix
-stays a table of its entries.  Its leading eigenvectors come from a randomised range finder: the
-matrix is multiplied by a random block whose rows follow from a hash of the word, then some times by
-its own result, each time one pass that joins entries with rows and sums per word.  Only square
-matrices as wide as the block meet on the driver.
+Words that stand within a window of each other are counted by one aggregation, which tasks prepare
+by counting pairs of frequent words as numbers.  The PPMI matrix stays a table of its entries.  Its
+leading eigenvectors come from a randomised range finder: the matrix is multiplied by a random block
+whose rows follow from a hash of the word, then some times by its own result.  For a product the
+matrix is cut into square cells by hashes of both words; a row of the factor travels to the cells of
+its word's column, a cell sends one partial sum per word.  Only square matrices as wide as the block
+meet on the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aspectra.functions import ops
 from aspectra.functions.ops import saved
 from aspectra.operators.vectors import l2_normalize
 
 #: Columns of the random block beyond the wanted dimensions, and multiplications after the first.
 SPARE, ROUNDS = 10, 3
 ROWS = "word string, row array<double>"
+#: Entries of a cell of the matrix on average, entries multiplied at once, and pairs of words that a task counts together.
+CELL_ENTRIES, MULTIPLIED, PAIRS = 1 << 20, 1 << 14, 1 << 22
 
 
 def word_tokens(text):
@@ -30,9 +37,11 @@ def word_tokens(text):
 def cooccurrences(docs: DataFrame, text_col: str = "text", window: int = 4, min_count: int = 5) -> DataFrame:
     """``a, b, n`` (a <= b): how often two words stand at most ``window`` words apart in a text, both of
     them words of at least ``min_count`` occurrences.  A null text has no words."""
-    toks = docs.select(word_tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    toks = docs.select(F.coalesce(word_tokens(F.col(text_col)), F.array().cast("array<string>")).alias("w"))
     vocab = toks.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     vocab = saved(vocab.select("word"), "cooc-vocabulary")
+    if vocab.limit(ops.BROADCAST_ROWS + 1).count() <= ops.BROADCAST_ROWS:
+        return _counted(toks, vocab, window)
     # the later words of each window, whole arrays shifted against each other
     pairs = None
     for k in range(1, window + 1):
@@ -43,6 +52,49 @@ def cooccurrences(docs: DataFrame, text_col: str = "text", window: int = 4, min_
     return counted.join(vocab.withColumnRenamed("word", "a"), "a").join(vocab.withColumnRenamed("word", "b"), "b").select("a", "b", "n")
 
 
+def _counted(toks: DataFrame, vocab: DataFrame, window: int) -> DataFrame:
+    """The same by numbers: words get their place in the sorted vocabulary (at most ``BROADCAST_ROWS`` words), tasks count pairs of places."""
+    words = [r["word"] for r in vocab.orderBy("word").collect()]
+    shared = toks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def batches(frames):
+        place = shared.value
+        keys, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        fresh, waiting = [], 0
+
+        def merged():
+            found, held = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (keys[:0], n[:0])
+            both, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            return both, np.bincount(at, weights=np.concatenate([n, held]), minlength=len(both)).astype(np.int64)
+
+        def table():
+            return pd.DataFrame({"a": keys // len(place), "b": keys % len(place), "n": n})
+
+        for frame in frames:
+            for text in frame["w"]:
+                at = np.fromiter((place.get(w, -1) for w in text), dtype=np.int64, count=len(text))
+                for k in range(1, min(window, len(at) - 1) + 1):
+                    left, right = at[:-k], at[k:]
+                    both = (left >= 0) & (right >= 0)
+                    left, right = left[both], right[both]
+                    fresh.append(np.minimum(left, right) * len(place) + np.maximum(left, right))
+                    waiting += len(left)
+                if waiting >= PAIRS:
+                    keys, n = merged()
+                    fresh, waiting = [], 0
+                    if len(keys) >= PAIRS:
+                        yield table()
+                        keys, n = keys[:0], n[:0]
+        keys, n = merged()
+        yield table()
+
+    found = toks.select("w").mapInPandas(batches, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    names = toks.sparkSession.createDataFrame(pd.DataFrame({"at": np.arange(len(words)), "word": np.array(words, dtype=object)}), "at long, word string")
+    first, second = (names.select(F.col("at").alias(c), F.col("word").alias(f"word_{c}")) for c in "ab")
+    found = found.join(F.broadcast(first), "a").join(F.broadcast(second), "b")  # BROADCAST_ROWS at most
+    return found.select(F.col("word_a").alias("a"), F.col("word_b").alias("b"), "n")
+
+
 def ppmi(counts: DataFrame) -> DataFrame:
     """``a, b, v``: the positive entries of the symmetric matrix ln(n_ab N / (n_a n_b)), both ways round.
 
@@ -64,34 +116,66 @@ def _signs(words, width: int) -> np.ndarray:
     return 2.0 * np.array(bits).reshape(len(words), width) - 1.0
 
 
-def _summed(width: int, row_of):
-    """mapInPandas body over entries that share a partition by ``a``: sums ``v`` times the row of ``b`` per word."""
+def _summed(width: int):
+    """mapInPandas body over partial sums that share a partition by ``word``: adds them per word."""
 
     def batches(frames):
         place, sums = {}, np.zeros((0, width))
         for frame in frames:
-            code, words = pd.factorize(frame["a"])
+            code, words = pd.factorize(frame["word"])
             at = np.array([place.setdefault(w, len(place)) for w in words], dtype=np.int64)
             if len(place) > len(sums):
                 sums = np.concatenate([sums, np.zeros((max(len(place) - len(sums), len(sums)), width))])
-            for k in range(0, len(frame), 4096):
-                part = frame.iloc[k : k + 4096]
-                np.add.at(sums, at[code[k : k + 4096]], part["v"].to_numpy()[:, None] * row_of(part))
+            if len(frame):
+                np.add.at(sums, at[code], np.stack(frame["row"].to_numpy()))
         yield pd.DataFrame({"word": list(place), "row": list(sums[: len(place)])})
 
     return batches
 
 
-def _times(entries: DataFrame, rows: DataFrame | None, width: int) -> DataFrame:
-    """The matrix times ``rows`` (``word, row``), or times the random block."""
-    if rows is None:
-        def block(part):
-            code, words = pd.factorize(part["b"])
-            return _signs(words, width)[code]
+def _cut(entries: DataFrame) -> DataFrame:
+    """The entries with the cell (``across``, ``down``) that each lies in; saved."""
+    side = math.ceil(math.sqrt(max(1, entries.count()) / CELL_ENTRIES))
+    return saved(entries.select("a", "b", "v", _cell("b", side).alias("across"), _cell("a", side).alias("down"), F.lit(side).alias("side")), "cooc-cells")
+
+
+def _cell(word: str, side):
+    return F.pmod(F.xxhash64(word), F.lit(side)).cast("int")
 
-        return entries.repartition("a").sortWithinPartitions("a", "b").mapInPandas(_summed(width, block), ROWS)
-    joined = entries.join(rows.select(F.col("word").alias("b"), "row"), "b").repartition("a").sortWithinPartitions("a", "b")
-    return joined.mapInPandas(_summed(width, lambda part: np.stack(part["row"].to_numpy())), ROWS)
+
+def _product(frame: pd.DataFrame, rows_of, width: int) -> pd.DataFrame:
+    """Sums of a cell's entries times the rows of their ``b``, per ``a``; ``rows_of(words)``: those words' rows."""
+    frame = frame.sort_values(["a", "b"])
+    a, names = pd.factorize(frame["a"])
+    b, words = pd.factorize(frame["b"])
+    v, rows, sums = frame["v"].to_numpy(), rows_of(words), np.zeros((len(names), width))
+    for k in range(0, len(a), MULTIPLIED):
+        own = a[k : k + MULTIPLIED]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[starts]] += np.add.reduceat(v[k : k + MULTIPLIED, None] * rows[b[k : k + MULTIPLIED]], starts, axis=0)
+    return pd.DataFrame({"word": names, "part": np.full(len(names), frame["across"].iloc[0], dtype=np.int32), "row": list(sums)})
+
+
+def _times(cells: DataFrame, rows: DataFrame | None, width: int) -> DataFrame:
+    """The matrix (``cells`` of ``_cut``) times ``rows`` (``word, row``), or times the random block."""
+    schema = "word string, part int, row array<double>"
+    if rows is None:
+        parts = cells.groupBy("across", "down").applyInPandas(lambda frame: _product(frame, lambda words: _signs(words, width), width), schema)
+    else:
+        def cell(frame, held):
+            known = frame["b"].isin(held["word"])
+            if not known.any():
+                return pd.DataFrame({"word": [], "part": [], "row": []}).astype({"word": object, "part": "int32", "row": object})
+            place = pd.Series(np.arange(len(held)), index=held["word"])
+            matrix = np.stack(held["row"].to_numpy())
+            return _product(frame[known], lambda words: matrix[place[words].to_numpy()], width)
+
+        first = cells.select("side").limit(1).collect()
+        side = first[0]["side"] if first else 1
+        down = F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("down")
+        sent = rows.select("word", "row", _cell("word", side).alias("across"), down)
+        parts = cells.groupBy("across", "down").cogroup(sent.groupBy("across", "down")).applyInPandas(cell, schema)
+    return parts.repartition("word").sortWithinPartitions("word", "part").mapInPandas(_summed(width), ROWS)
 
 
 def _gram(left: DataFrame, width: int) -> np.ndarray:
@@ -135,7 +219,7 @@ def train_vectors(docs: DataFrame, text_col: str = "text", dim: int = 64, window
     ``min_count`` occurrences that have a positive entry; the same table gives the same vectors up to
     rounding, whatever its partitions.  The vector is the word's row of the leading eigenvectors, each
     weighted by the root of its eigenvalue's size."""
-    entries = saved(ppmi(cooccurrences(docs, text_col, window, min_count)), "cooc-ppmi")
+    entries = _cut(saved(ppmi(cooccurrences(docs, text_col, window, min_count)), "cooc-ppmi"))
     width = dim + SPARE
     basis, held = _orthonormal(saved(_times(entries, None, width), "cooc-range"), width)
     if not held:

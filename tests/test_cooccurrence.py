@@ -66,6 +66,29 @@ def test_vectors_span_the_leading_eigenvectors(spark, texts):
     assert all(np.allclose(got[w], again[w], atol=1e-6) for w in words)
 
 
+def test_products_send_rows_to_cells_not_to_entries(spark, texts, monkeypatch):
+    """Few partial sums per word, however many entries it has; the same vectors from one cell and from many."""
+    whole = {r.word: r.vector for r in W.train_vectors(frame(spark, texts), dim=6).collect()}
+    monkeypatch.setattr(W, "CELL_ENTRIES", 12, raising=False)
+    words, m = dense(counts_of(texts, 4, 5))
+    cut = {r.word: r.vector for r in W.train_vectors(frame(spark, texts), dim=6).collect()}
+    assert set(cut) == set(words) and all(np.allclose(whole[w], cut[w], atol=1e-6) for w in words)
+    cells = W._cut(W.ppmi(W.cooccurrences(frame(spark, texts), "text", 4, 5)))
+    rows = spark.createDataFrame([(w, [float(i), 1.0]) for i, w in enumerate(words)], "word string, row array<double>")
+    got = {r.word: r.row for r in W._times(cells, rows, 2).collect()}
+    want = m @ np.array([[i, 1.0] for i in range(len(words))])
+    assert cells.select("across", "down").distinct().count() > 4
+    assert all(np.allclose(got[w], want[i]) for i, w in enumerate(words) if w in got) and len(got) == (m > 0).any(axis=1).sum()
+
+
+@pytest.mark.parametrize("bounds", [(0, 4), (1 << 20, 3)])
+def test_counts_of_large_vocabularies_and_of_many_pairs(spark, texts, monkeypatch, bounds):
+    monkeypatch.setattr(W.ops, "BROADCAST_ROWS", bounds[0])
+    monkeypatch.setattr(W, "PAIRS", bounds[1])
+    got = {(r.a, r.b): r.n for r in W.cooccurrences(frame(spark, texts), "text", 3, 4).collect()}
+    assert got == counts_of(texts, 3, 4)
+
+
 def test_planted_synonyms_are_neighbours(spark):
     rng = np.random.default_rng(2)
     topics = [[f"t{chr(97 + i)}{chr(97 + k)}" for k in range(6)] for i in range(12)]
