@@ -19,6 +19,8 @@ from aspectra.functions.ops import saved
 
 #: Rows the first centroids are drawn from, rows compared at once in a task, and the share of the variance below which a model rests.
 SAMPLE_ROWS, TOGETHER, REST = 4096, 1024, 1e-4
+#: Rows that a step of all models compares at once: the distances to the models of one k stay in the processor's cache.
+STEP_ROWS = 512
 
 
 def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -57,41 +59,79 @@ class _Models:
             own = far[:, lo:hi].argmin(axis=1)
             yield lo, hi, own, far[np.arange(len(x)), lo + own]
 
+    def equal_sizes(self):
+        """Runs of models with the same number of centroids: the first model's position, how many, centroids of each."""
+        sizes = np.array([hi - lo for lo, hi in self.spans])
+        starts = np.flatnonzero(np.concatenate([[True], sizes[1:] != sizes[:-1]]))
+        return [(int(a), int(b - a), int(sizes[a])) for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True)]
 
-SUMS = "model int, part int, n binary, sums binary, squares binary, cost double"
+
+class _Step:
+    """Sums of the rows nearest to each centroid, over all batches given to ``add``: vector sums, summed squared norm and rows side by side."""
+
+    def __init__(self, models: _Models):
+        self.models, self.runs = models, models.equal_sizes()
+        # one product with (x, 1) gives |c|^2 - 2 xc, which orders a row's centroids as the distance does
+        self.low = np.hstack([-2.0 * models.all, (models.all * models.all).sum(axis=1)[:, None]])
+        self.sums = np.zeros((len(models.all), models.all.shape[1] + 2))
+        self.cost = np.zeros(len(models.names))
+
+    def add(self, x: np.ndarray) -> None:
+        one, norm = np.ones((len(x), 1)), (x * x).sum(axis=1)
+        across, down = np.ascontiguousarray(np.hstack([x, one]).T), np.hstack([x, norm[:, None], one])
+        for at, many, k in self.runs:
+            lo = self.models.spans[at][0]
+            rows = slice(lo, lo + many * k)
+            far = (self.low[rows] @ across).reshape(many, k, len(x))
+            least = far.min(axis=1)
+            hot = far == least[:, None, :]
+            if np.count_nonzero(hot) != many * len(x):  # ties: the first centroid; not a number equals nothing
+                own = far.argmin(axis=1)
+                least = np.take_along_axis(far, own[:, None, :], axis=1)[:, 0]
+                hot = np.arange(k)[None, :, None] == own[:, None, :]
+            self.sums[rows] += hot.reshape(many * k, len(x)).astype(np.float64) @ down
+            self.cost[at : at + many] += np.clip(least + norm, 0.0, None).sum(axis=1)
+
+
+SUMS = "share int, part int, sums binary, cost binary"
 
 
 def _pass(vectors: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple]:
-    """Per model: rows, vector sums and summed squared norms of each centroid, and the cost."""
-    shared = vectors.sparkSession.sparkContext.broadcast(_Models(models))  # all centroids: bounded by the ks and seeds asked for
+    """Per model: rows, vector sums and summed squared norms of each centroid, and the cost.
+
+    A task returns its sums in a few shares of neighbouring models, twice as many as there are cores, which are
+    added up apart: no group holds more than its share of the centroids for every task."""
+    context = vectors.sparkSession.sparkContext
+    shared = context.broadcast(_Models(models))  # all centroids: bounded by the ks and seeds asked for
+    shares = np.array_split(np.arange(len(models)), min(len(models), 2 * context.defaultParallelism))
+    spans = _Models(models).spans
 
     def sums(frames):
-        m = shared.value
-        n, total, squares, cost = np.zeros(len(m.all)), np.zeros_like(m.all), np.zeros(len(m.all)), np.zeros(len(m.names))
+        step = _Step(shared.value)
         for frame in frames:
-            x_all = _matrix(frame["v"])
-            for at in range(0, len(x_all), TOGETHER):
-                x = x_all[at : at + TOGETHER]
-                hot = np.zeros((len(x), len(m.all)))
-                for k, (lo, _, own, far) in enumerate(m.nearest(x)):
-                    hot[np.arange(len(x)), lo + own] = 1.0
-                    cost[k] += far.sum()
-                n += hot.sum(axis=0)
-                total += hot.T @ x
-                squares += hot.T @ (x * x).sum(axis=1)
+            x = _matrix(frame["v"])
+            for at in range(0, len(x), STEP_ROWS):
+                step.add(x[at : at + STEP_ROWS])
         part = TaskContext.get().partitionId()
         yield pd.DataFrame(
-            [(name, part, n[lo:hi].tobytes(), total[lo:hi].tobytes(), squares[lo:hi].tobytes(), cost[k]) for k, (name, (lo, hi)) in enumerate(zip(m.names, m.spans, strict=True))],
-            columns=["model", "part", "n", "sums", "squares", "cost"])
+            [(i, part, step.sums[spans[own[0]][0] : spans[own[-1]][1]].tobytes(), step.cost[own].tobytes()) for i, own in enumerate(shares)],
+            columns=["share", "part", "sums", "cost"])
 
     def add(frame):
         frame = frame.sort_values("part")  # one order of summation
-        joined = {c: sum(np.frombuffer(b) for b in frame[c]).tobytes() for c in ("n", "sums", "squares")}
-        return pd.DataFrame([{"model": frame["model"].iloc[0], "part": -1, **joined, "cost": frame["cost"].sum()}])
-
-    found = vectors.mapInPandas(sums, SUMS).groupBy("model").applyInPandas(add, SUMS).collect()  # one row a model
-    width = next(iter(models.values())).shape[1]
-    return {r["model"]: (np.frombuffer(r["n"]), np.frombuffer(r["sums"]).reshape(-1, width), np.frombuffer(r["squares"]), r["cost"]) for r in found}
+        joined = {c: sum(np.frombuffer(b) for b in frame[c]).tobytes() for c in ("sums", "cost")}
+        return pd.DataFrame([{"share": frame["share"].iloc[0], "part": -1, **joined}])
+
+    found = vectors.mapInPandas(sums, SUMS).groupBy("share").applyInPandas(add, SUMS).collect()  # the sums of all centroids, once
+    out, names, width = {}, list(models), next(iter(models.values())).shape[1] + 2
+    for r in found:
+        own, cost = shares[r["share"]], np.frombuffer(r["cost"])
+        held, first = np.frombuffer(r["sums"]).reshape(-1, width), spans[own[0]][0]
+        for k, c in zip(own, cost, strict=True):
+            lo, hi = spans[k]
+            rows = held[lo - first : hi - first]
+            out[names[k]] = rows[:, -1], rows[:, :-2], rows[:, -2], float(c)
+    return out
 
 
 def fit_all(vectors: DataFrame, start: dict[int, np.ndarray], tolerance: float, max_iter: int) -> dict[int, np.ndarray]:

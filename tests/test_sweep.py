@@ -65,3 +65,31 @@ def test_sweep_of_few_points(spark):
     assert run([[1, 1]] * 9) == ([0] * 9, 0)  # one value is one cluster
     own, n = run([[0, 0], [0, 1], [9, 9]])
     assert n == 1 and own[0] == own[1] != own[2]
+
+
+def test_step_sums_rows_by_their_first_nearest_centroid():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (700, 3)).astype(np.float64)  # whole numbers: many rows lie between two centroids
+    models = {m: x[rng.integers(0, len(x), k)] for m, k in enumerate((2, 5, 5, 5, 9, 2))}
+    step = sweep._Step(sweep._Models(models))
+    for at in range(0, len(x), 256):
+        step.add(x[at : at + 256])
+    for m, (lo, hi) in enumerate(step.models.spans):
+        far = ((x[:, None, :] - models[m][None]) ** 2).sum(axis=2)
+        own = far.argmin(axis=1)
+        want = np.array([[*x[own == c].sum(axis=0), (x[own == c] ** 2).sum(), (own == c).sum()] for c in range(hi - lo)])
+        assert (step.sums[lo:hi] == want).all() and step.cost[m] == far.min(axis=1).sum()
+
+
+def test_pass_adds_up_the_shares_of_all_tasks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-9, 10, (200, 2)).astype(np.float64)
+    points = spark.createDataFrame([([float(a) for a in v],) for v in x], "v array<double>").repartition(7)
+    models = {m: x[:k] for m, k in zip(range(3, 90, 2), np.tile([2, 3, 7], 29), strict=False)}
+    got = sweep._pass(points, models)
+    assert set(got) == set(models)
+    for m, c in models.items():
+        own = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        n, sums, squares, _ = got[m]
+        assert n.tolist() == np.bincount(own, minlength=len(c)).tolist()
+        assert (sums == np.array([x[own == k].sum(axis=0) for k in range(len(c))])).all() and squares.sum() == (x * x).sum()
