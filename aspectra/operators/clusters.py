@@ -28,48 +28,81 @@ def _block_groups(df: DataFrame, id_col: str, nb: int) -> DataFrame:
     return o.withColumn("_lo", F.least("_b", "_o")).withColumn("_hi", F.greatest("_b", "_o")).drop("_o")
 
 
-def distance_sums(points: DataFrame, id_col: str, vec_col: str, cluster_col: str, block_size: int = 2048) -> DataFrame:
+#: Points of a strip at most, rows of partial sums a pair of strips may return, and points of a strip compared at once.
+STRIP, STRIP_SUMS, TILE = 32_768, 1 << 21, 1024
+
+
+def _strips(n: int, clusters: int, parallelism: int) -> int:
+    """How many strips ``n`` points are dealt to: few, since every point travels once, and is summed up once, per
+    strip; enough to keep all cores busy; of fewer points where many clusters make the sums of a pair of strips long."""
+    size = min(STRIP, max(2 * TILE, STRIP_SUMS // max(clusters, 1)))
+    return max(1, math.ceil(n / size), min(math.ceil(n / (2 * TILE)), 2 * parallelism))
+
+
+def distance_sums(points: DataFrame, id_col: str, vec_col: str, cluster_col: str) -> DataFrame:
     """Exact Euclidean distance sums from every point to every cluster:
-    (id, own_cluster, cluster, dsum, n).  Block-pair groups of bounded size emit one row
-    per (point, cluster) they see; a final aggregation adds the partial sums."""
+    (id, own_cluster, cluster, dsum, n).  Pairs of strips of bounded size are compared tile by
+    tile and return one row per (point, cluster) they see; a final aggregation adds the partial sums."""
     base = points.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v"),
                          F.col(cluster_col).cast("long").alias("_c"))
-    n = base.count()
-    nb = max(1, math.ceil(n / block_size))
-    g = _block_groups(base, "_id", nb)
+    n, k = base.agg(F.count(F.lit(1)), F.countDistinct("_c")).first()
+    strips = _strips(n, k, points.sparkSession.sparkContext.defaultParallelism)
+    g = _block_groups(base, "_id", strips)
     schema = "i long, ci long, c long, dsum double, n long"
 
-    def one_side(ia, ca, ma, ib, cb, mb, same):
-        sa = (ma * ma).sum(1)[:, None]
-        sb = (mb * mb).sum(1)[None, :]
-        d = np.sqrt(np.clip(sa + sb - 2.0 * ma @ mb.T, 0.0, None))
-        if same:
-            np.fill_diagonal(d, 0.0)
-        rows = []
-        for c in np.unique(cb):
-            mask = cb == c
-            s = d[:, mask].sum(1)
-            cnt = int(mask.sum()) - (((ca == c).astype(int)) if same else 0)
-            rows.append(pd.DataFrame({"i": ia, "ci": ca, "c": np.full(len(ia), c), "dsum": s,
-                                      "n": np.broadcast_to(cnt, len(ia)).astype("int64")}))
-        return rows
+    def strip(frame):
+        """Rows in the order of their clusters, and where each cluster starts."""
+        frame = frame.sort_values("_c", kind="stable")
+        c = frame["_c"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, dtype=np.int64)
+        x = np.array([np.asarray(v, dtype=np.float64) for v in frame["_v"]])
+        return frame["_id"].to_numpy(), c, x, (x * x).sum(axis=1), starts
+
+    def add(tile, at, sums, starts):
+        """Adds a tile's distances to the clusters of its columns, which begin at position ``at`` of their strip."""
+        first = np.searchsorted(starts, at, side="right") - 1
+        last = np.searchsorted(starts, at + tile.shape[1], side="left")
+        cuts = np.maximum(starts[first:last] - at, 0)
+        sums[:, first:last] += np.add.reduceat(tile, cuts, axis=1)
+
+    def rows_of(a, b, sums, same):
+        ids, own, _, _, _ = a
+        _, other, _, _, starts = b
+        held = np.diff(np.append(starts, len(other)))
+        c = np.tile(other[starts], len(ids))
+        ci = np.repeat(own, len(starts))
+        # a point has no distance to itself
+        return pd.DataFrame({"i": np.repeat(ids, len(starts)), "ci": ci, "c": c, "dsum": sums.ravel(),
+                             "n": np.tile(held, len(ids)) - ((ci == c) if same else 0)})
 
     def per_pair(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
-        a = pdf[pdf["_b"] == lo]
-        ma = np.stack([np.asarray(v, dtype=np.float64) for v in a["_v"]])
-        ia, ca = a["_id"].to_numpy(), a["_c"].to_numpy()
-        if lo == hi:
-            rows = one_side(ia, ca, ma, ia, ca, ma, True)
-        else:
-            b = pdf[pdf["_b"] == hi]
-            mb = np.stack([np.asarray(v, dtype=np.float64) for v in b["_v"]])
-            ib, cb = b["_id"].to_numpy(), b["_c"].to_numpy()
-            rows = one_side(ia, ca, ma, ib, cb, mb, False) + one_side(ib, cb, mb, ia, ca, ma, False)
-        return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame(
-            {"i": [], "ci": [], "c": [], "dsum": [], "n": []})
-
-    parts = g.groupBy("_lo", "_hi").applyInPandas(per_pair, schema)
+        same = lo == hi
+        a = strip(pdf[pdf["_b"] == lo])
+        b = a if same else strip(pdf[pdf["_b"] == hi])
+        if not len(a[0]) or not len(b[0]):
+            return pd.DataFrame({"i": [], "ci": [], "c": [], "dsum": [], "n": []})
+        to_b = np.zeros((len(a[0]), len(b[4])))
+        to_a = to_b if same else np.zeros((len(b[0]), len(a[4])))
+        for p in range(0, len(a[0]), TILE):
+            xa, na = a[2][p : p + TILE], a[3][p : p + TILE]
+            for q in range(p if same else 0, len(b[0]), TILE):
+                d = xa @ b[2][q : q + TILE].T
+                d *= -2.0
+                d += na[:, None]
+                d += b[3][q : q + TILE]
+                np.sqrt(np.clip(d, 0.0, None, out=d), out=d)
+                if same and p == q:
+                    np.fill_diagonal(d, 0.0)
+                add(d, q, to_b[p : p + TILE], b[4])
+                if not (same and p == q):
+                    add(np.ascontiguousarray(d.T), p, to_a[q : q + TILE], a[4])
+        parts = [rows_of(a, b, to_b, same)]
+        if not same:
+            parts.append(rows_of(b, a, to_a, False))
+        return pd.concat(parts, ignore_index=True)
+
+    parts = g.repartition(strips * (strips + 1) // 2, "_lo", "_hi").groupBy("_lo", "_hi").applyInPandas(per_pair, schema)
     return parts.groupBy("i", "ci", "c").agg(F.sum("dsum").alias("dsum"), F.sum("n").alias("n"))
 
 
@@ -78,12 +111,12 @@ def silhouette(points: DataFrame, id_col: str, vec_col: str, cluster_col: str) -
     than 2 labels or 2 points.  One row: silhouette."""
     p = points.where(F.col(cluster_col) >= 0)
     sums = distance_sums(p, id_col, vec_col, cluster_col)
-    own = sums.where(F.col("c") == F.col("ci")).select("i", F.when(F.col("n") > 0, F.col("dsum") / F.col("n"))
-                                                      .alias("a"), F.col("n").alias("n_own"))
-    other = sums.where(F.col("c") != F.col("ci")).groupBy("i").agg(F.min(F.col("dsum") / F.col("n")).alias("b"))
-    s = own.join(other, "i", "left").select(
-        F.when((F.col("n_own") == 0) | F.col("b").isNull(), F.lit(0.0))
-        .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    # own and other clusters in one aggregation: two readers of the sums would compare all pairs twice
+    mine, mean = F.col("c") == F.col("ci"), F.when(F.col("n") > 0, F.col("dsum") / F.col("n"))
+    per = sums.groupBy("i").agg(F.collect_list(F.when(mine, F.struct(mean.alias("a"), "n"))).alias("own"), F.min(F.when(~mine, mean)).alias("b"))
+    s = per.select(F.explode("own").alias("own"), F.when(F.col("i").isNotNull(), F.col("b")).alias("b")).select(
+        F.when((F.col("own.n") == 0) | F.col("b").isNull(), F.lit(0.0))
+        .otherwise((F.col("b") - F.col("own.a")) / F.greatest("own.a", "b")).alias("s"))
     stats = p.agg(F.countDistinct(cluster_col).alias("k"), F.count(F.lit(1)).alias("n"))
     return s.agg(F.avg("s").alias("s")).crossJoin(stats).select(
         F.when((F.col("k") <= 1) | (F.col("n") < 2), F.lit(0.0)).otherwise(F.coalesce("s", F.lit(0.0))).alias("silhouette"))
