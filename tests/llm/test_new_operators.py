@@ -366,3 +366,18 @@ def test_compared_balls_count_every_link(spark):
         want = {i: int(sum(copies[j] for j in range(60) if linked[i, j] and (ball[i], ball[j]) in met)) for i in range(60)}
         assert got == {i: n for i, n in want.items() if n}
         assert {tuple(r) for r in joined.collect()} == {(a, b) for a, b in ((0, 1), (0, 2)) if linked[np.ix_(ball == a, ball == b)].any()}
+
+
+def test_quality_shuffles_few_texts_without_trust(spark, monkeypatch):
+    """Every named row passes the filter of names, few others do; a filter too small for the names still loses none."""
+    docs = spark.createDataFrame([(None if i == 7 else i, f"text {i}") for i in range(4000)], "doc_id long, text string")
+    names = spark.createDataFrame([(i * 5,) for i in range(900)], "doc_id long")
+    named = {i for i in range(0, 4000, 5)}
+    passed = {r.doc_id for r in quality._likely(docs, names).collect()}
+    assert named <= passed and len(passed - named) < 3200 / 8
+    monkeypatch.setattr(quality, "MOST_BITS", 1 << 15)
+    many = spark.range(0, 600_000, 5).withColumnRenamed("id", "doc_id")
+    assert named <= {r.doc_id for r in quality._likely(docs, many).collect()}
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert named <= {int(r.doc_id) for r in quality._likely(texts, names.select(F.col("doc_id").cast("string"))).collect()}
+    assert quality._likely(docs.select(F.col("doc_id").cast("int"), "text"), names).count() == 4000
