@@ -1,13 +1,19 @@
 """K-means over all (k, seed) at once.
 
-Every model moves one step per pass: a task compares its points with the centroids of all models
-that still move, and returns sums per centroid; the few sums give the next centroids.  A sweep is so
-many passes as its slowest model needs, not one job per model and step.  Costs and the silhouette of
-every k come from two more passes.
+Points that fit into a task (``HELD_BYTES``) travel to a few tasks, each of which fits its share of
+the models to rest.  It knows a bound of how much nearer every point's centroid is than the others;
+while that exceeds what the centroids have moved since, the point is not compared again.
+
+Of more points every model moves one step per pass: a task compares its points with the centroids of
+all models that still move, and returns sums per centroid; the few sums give the next centroids.  Such
+a sweep is so many passes as its slowest model needs, not one job per model and step.  Costs and the
+silhouette of every k come from two more passes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -15,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from aspectra.functions.ops import saved
+from aspectra.functions.ops import saved, small_batches
 
 #: Rows the first centroids are drawn from, rows compared at once in a task, and the share of the variance below which a model rests.
 SAMPLE_ROWS, TOGETHER, REST = 4096, 1024, 1e-4
 #: Rows that a step of all models compares at once: the distances to the models of one k stay in the processor's cache.
 STEP_ROWS = 512
+#: Bytes of points that a task may hold, points that travel in one row, and rows of one model compared at once.
+HELD_BYTES, PACKED, FIT_ROWS = 320 << 20, 1024, 4096
+#: Costs that differ by a smaller share count as equal: seeds that end in the same clusters differ by rounding.
+EQUAL_COST = 1e-12
 
 
 def plus_plus(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -148,6 +158,142 @@ def fit_all(vectors: DataFrame, start: dict[int, np.ndarray], tolerance: float,
     return models
 
 
+class _Fit:
+    """One model on all points: Lloyd's steps, in which only rows whose bounds have met are compared with the centroids again.
+
+    ``short``: the points in single precision, by which rows are compared; what rounding could turn is compared
+    again in double precision, and sums are taken in it.  ``whole``: the points themselves, None if ``short`` is exact."""
+
+    def __init__(self, short: np.ndarray, whole: np.ndarray | None, norms: np.ndarray, start: np.ndarray):
+        self.short, self.whole, self.norms, self.c = short, whole, norms, start.copy()
+        self.own = np.zeros(len(short), dtype=np.int32)
+        # by how much every other centroid was farther than the own one at least, when a row was last compared, and that step
+        self.gap, self.at = np.zeros(len(short)), np.zeros(len(short), dtype=np.int32)
+        self.past = [self.c]  # the centroids of every step
+        self.sums, self.n = np.zeros_like(self.c), np.zeros(len(start), dtype=np.int64)
+        self.most = math.sqrt(float(norms.max(initial=0.0)))
+
+    def _exact(self, rows) -> np.ndarray:
+        return self.short[rows].astype(np.float64) if self.whole is None else self.whole[rows]
+
+    def _error(self, kind) -> float:
+        """More than the rounding error of a value of ``_two``."""
+        longest = math.sqrt(float((self.c * self.c).sum(axis=1).max()))
+        return (self.c.shape[1] + 8) * float(np.finfo(kind).eps) * (2.0 * self.most * longest + longest * longest)
+
+    def _two(self, x: np.ndarray):
+        """Per row its first nearest centroid, and |c|^2 - 2 xc of that one and of the next: they order centroids as distances do."""
+        c = self.c.astype(x.dtype)
+        far = (-2.0 * c).astype(x.dtype) @ x.T
+        far += (self.c * self.c).sum(axis=1).astype(x.dtype)[:, None]
+        least = far.min(axis=0)
+        hot = far == least
+        if np.count_nonzero(hot) == len(x):
+            own = (np.arange(len(far), dtype=x.dtype) @ hot.astype(x.dtype)).astype(np.int32)
+            np.copyto(far, np.inf, where=hot)
+        else:  # ties: the first centroid; not a number equals nothing
+            own = far.argmin(axis=0).astype(np.int32)
+            far[own, np.arange(len(x))] = np.inf
+        return own, least.astype(np.float64), far.min(axis=0).astype(np.float64)
+
+    def _add(self, own: np.ndarray, x: np.ndarray, sign: int) -> None:
+        hot = np.arange(len(self.c))[:, None] == own[None, :]
+        self.sums += sign * (hot.astype(np.float64) @ x)
+        self.n += sign * np.count_nonzero(hot, axis=1)
+
+    def compare(self, rows: np.ndarray, first: bool = False) -> None:
+        own, least, second = self._two(self.short[rows])
+        norms, error = self.norms[rows], self._error(np.float32)
+        up, low = least + norms + error, second + norms - error
+        near = np.flatnonzero(~(second - least > 2.0 * error))
+        if len(near):
+            own[near], least, second = self._two(self._exact(rows[near]))
+            error = self._error(np.float64)
+            up[near], low[near] = least + norms[near] + error, second + norms[near] - error
+        self.gap[rows], self.at[rows] = np.sqrt(np.maximum(low, 0.0)) - np.sqrt(np.maximum(up, 0.0)), len(self.past) - 1
+        if first:
+            self._add(own, self._exact(rows), 1)
+        else:
+            old = self.own[rows]
+            other = np.flatnonzero(own != old)
+            if len(other):
+                x = self._exact(rows[other])
+                self._add(old[other], x, -1)
+                self._add(own[other], x, 1)
+        self.own[rows] = own
+
+    def _drift(self) -> np.ndarray:
+        """Per step and centroid by how much, since that step, it can have come off its rows beside all other centroids."""
+        away = np.sqrt(((np.array(self.past) - self.c) ** 2).sum(axis=2))
+        most = np.broadcast_to(away.max(axis=1)[:, None], away.shape).copy()  # of the other centroids
+        if away.shape[1] > 1:
+            most[np.arange(len(away)), away.argmax(axis=1)] = np.partition(away, -2, axis=1)[:, -2]
+        return away + most + 1e-9 * (1.0 + self.most)
+
+    def to_rest(self, tolerance: float, max_iter: int) -> np.ndarray:
+        met = np.arange(len(self.short))
+        for step in range(max_iter):
+            for at in range(0, len(met), FIT_ROWS):
+                self.compare(met[at : at + FIT_ROWS], first=step == 0)
+            new = np.where(self.n[:, None] > 0, self.sums / np.maximum(self.n, 1)[:, None], self.c)
+            moved = new - self.c
+            self.c = new
+            if (moved * moved).sum() <= tolerance:
+                break
+            self.past.append(new)
+            met = np.flatnonzero(~(self.gap > self._drift()[self.at, self.own]))  # not a number is no bound
+        return self.c
+
+
+def _packed(vectors: DataFrame) -> DataFrame:
+    """``rows, short, x``: up to ``PACKED`` points as the bytes of their numbers, in single precision where that is exact."""
+
+    def batches(frames):
+        for frame in frames:
+            x = _matrix(frame["v"])
+            for at in range(0, len(x), PACKED):
+                part = x[at : at + PACKED]
+                exact = bool((part.astype(np.float32) == part).all())
+                yield pd.DataFrame({"rows": [len(part)], "short": [exact], "x": [(part.astype(np.float32) if exact else part).tobytes()]})
+
+    return vectors.mapInPandas(batches, "rows int, short boolean, x binary")
+
+
+def _fit_held(packed: DataFrame, n: int, short: bool, start: dict[int, np.ndarray], tolerance: float, max_iter: int) -> dict[int, np.ndarray]:
+    """``fit_all`` for ``n`` points (of ``_packed``) that a task can hold: tasks get all points and each its share of the models."""
+    context = packed.sparkSession.sparkContext
+    dim = next(iter(start.values())).shape[1]
+    shared = context.broadcast(start)
+    tasks = min(len(start), 2 * context.defaultParallelism)
+    names = sorted(start, key=lambda m: (-len(start[m]), m))  # every task has models of all sizes
+
+    def rest(held, norms, task):
+        own = names[task::tasks]
+        lower, whole = held if not short else (held[0], None)
+        return pd.DataFrame({"model": own, "c": [_Fit(lower, whole, norms, shared.value[m]).to_rest(tolerance, max_iter).tobytes() for m in own]})
+
+    def fitted(frames):
+        held = [np.zeros((n, dim), dtype=kind) for kind in ((np.float32,) if short else (np.float32, np.float64))]
+        norms, at = np.zeros(n), 0
+        for frame in frames:
+            for task, rows, small, data in zip(frame["task"], frame["rows"], frame["short"], frame["x"], strict=True):
+                x = np.frombuffer(data, dtype=np.float32 if small else np.float64).reshape(rows, dim)
+                for to in held:
+                    to[at : at + rows] = x
+                norms[at : at + rows] = (x.astype(np.float64) ** 2).sum(axis=1)
+                at += rows
+                if at == n:  # a partition may have got several shares
+                    yield rest(held, norms, task)
+                    at = 0
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
+    sent = packed.select("rows", "short", "x", F.xxhash64("x").alias("order"), each)
+    laid = sent.repartitionById(tasks, "task").sortWithinPartitions("task", "order").drop("order")  # one order of summation
+    with small_batches(packed.sparkSession):
+        found = laid.mapInPandas(fitted, "model int, c binary").collect()  # all centroids: bounded by the ks and seeds asked for
+    return {r["model"]: np.frombuffer(r["c"]).reshape(-1, dim) for r in found}
+
+
 def silhouettes(vectors: DataFrame, models: dict[int, np.ndarray], stats: dict[int, tuple]) -> dict[int, float]:
     """Mean silhouette on squared distances per model, in one pass: the mean squared distance to a cluster follows from its sums."""
     means = {}
@@ -182,7 +328,7 @@ def silhouettes(vectors: DataFrame, models: dict[int, np.ndarray], stats: dict[i
 
 
 def kmeans_sweep(points: DataFrame, vec_col: str, ks: range, seeds, max_iter: int) -> tuple[DataFrame, DataFrame]:
-    """(points with ``cluster``, ``k, silhouette_sq, cost``): per k the cheapest of the models of all seeds, and of these the best by silhouette (the first on ties)."""
+    """(points with ``cluster``, ``k, silhouette_sq, cost``): per k the cheapest of the models of all seeds (the first on ties), and of these the best by silhouette (the first on ties)."""
     spark = points.sparkSession
     vectors = points.select(F.transform(vec_col, lambda e: e.cast("double")).alias("v"))
     vectors = saved(vectors.repartition(spark.sparkContext.defaultParallelism, F.xxhash64("v")), "sweep-points")
@@ -192,11 +338,17 @@ def kmeans_sweep(points: DataFrame, vec_col: str, ks: range, seeds, max_iter: in
     if not names or not len(sample):
         return points.withColumn("cluster", F.lit(0)), none
     start = {i: plus_plus(sample, k, s) for i, (k, s) in enumerate(names)}
-    models = fit_all(vectors, start, REST * float(sample.var(axis=0).mean()), max_iter)
+    tolerance = REST * float(sample.var(axis=0).mean())
+    packed = saved(_packed(vectors), "sweep-packed")
+    n, short = packed.agg(F.sum("rows"), F.min("short")).first()
+    if n * sample.shape[1] * (4 if short else 12) <= HELD_BYTES:
+        models = _fit_held(packed, n, short, start, tolerance, max_iter)
+    else:
+        models = fit_all(vectors, start, tolerance, max_iter)
     stats = _pass(vectors, models)
     best: dict[int, int] = {}
     for i, (k, _) in enumerate(names):
-        if k not in best or stats[i][3] < stats[best[k]][3]:
+        if k not in best or stats[i][3] < stats[best[k]][3] * (1 - EQUAL_COST):
             best[k] = i
     chosen = {i: models[i] for i in best.values() if (stats[i][0] > 0).sum() > 1}
     if not chosen:

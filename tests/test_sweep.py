@@ -93,3 +93,37 @@ def test_pass_adds_up_the_shares_of_all_tasks(spark):
         n, sums, squares, _ = got[m]
         assert n.tolist() == np.bincount(own, minlength=len(c)).tolist()
         assert (sums == np.array([x[own == k].sum(axis=0) for k in range(len(c))])).all() and squares.sum() == (x * x).sum()
+
+
+def test_held_points_need_no_pass_a_step(spark, monkeypatch):
+    """All models come to rest inside the tasks: one pass for the costs, however many steps they take; over the limit a pass a step, with the same labels."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (400, 3))
+    points = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    passes, one = [], sweep._pass
+    monkeypatch.setattr(sweep, "_pass", lambda *a: passes.append(1) or one(*a))
+    labels, metrics = C.kmeans_sweep(points, "v", 2, 5, seeds=(1, 2))
+    held = [r.cluster for r in labels.sort("id").collect()], {r.k: r.cost for r in metrics.collect()}
+    assert len(passes) == 1
+    monkeypatch.setattr(sweep, "HELD_BYTES", 0)
+    labels, metrics = C.kmeans_sweep(points, "v", 2, 5, seeds=(1, 2))
+    assert len(passes) > 4 and [r.cluster for r in labels.sort("id").collect()] == held[0]
+    assert all(abs(held[1][r.k] - r.cost) <= 1e-9 * r.cost for r in metrics.collect())
+
+
+def test_fit_compares_again_only_what_may_have_moved():
+    """The steps of a plain fit, from points that single precision holds exactly (with ties) and from others, in a small share of the comparisons."""
+    rng = np.random.default_rng(7)
+    spread = np.concatenate([rng.normal(0, 1, (500, 4)) + c for c in rng.uniform(-4, 4, (4, 4))])
+    for x, exact in ((np.round(spread), True), (spread, False)):
+        tolerance = 1e-9
+        for k in (2, 7):
+            start = sweep.plus_plus(x, k, 3)
+            fit = sweep._Fit(x.astype(np.float32), None if exact else x, (x * x).sum(axis=1), start)
+            seen, one = [], fit.compare
+            fit.compare = lambda rows, first=False: seen.append(len(rows)) or one(rows, first)
+            cost, own = lloyd(x, start, tolerance)
+            c = fit.to_rest(tolerance, 300)
+            far = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+            assert far.argmin(axis=1).tolist() == own.tolist() and abs(far.min(axis=1).sum() - cost) <= 1e-9 * cost
+            assert sum(seen) < 0.7 * len(x) * len(fit.past)
