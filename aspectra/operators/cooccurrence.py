@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.functions import ops
-from aspectra.functions.ops import saved
+from aspectra.functions.ops import saved, sent_if_small, small_batches
 from aspectra.operators.vectors import l2_normalize
 
 #: Columns of the random block beyond the wanted dimensions, and multiplications after the first.
 SPARE, ROUNDS = 10, 3
 ROWS = "word string, row array<double>"
-#: Entries of a cell of the matrix on average, entries multiplied at once, and pairs of words that a task counts together.
-CELL_ENTRIES, MULTIPLIED, PAIRS = 1 << 20, 1 << 14, 1 << 22
+#: Entries of a cell of the matrix on average, entries multiplied at once, pairs of words that a task counts together, and counts it returns at once.
+CELL_ENTRIES, MULTIPLIED, PAIRS, RETURNED = 1 << 20, 1 << 14, 1 << 20, 1 << 16
 
 
 def word_tokens(text):
@@ -49,12 +49,12 @@ def cooccurrences(docs: DataFrame, text_col: str = "text", window: int = 4, min_
         pairs = shifted if pairs is None else F.concat(pairs, shifted)
     each = toks.select(F.inline(pairs))
     counted = each.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(vocab.withColumnRenamed("word", "a"), "a").join(vocab.withColumnRenamed("word", "b"), "b").select("a", "b", "n")
+    return saved(counted.join(vocab.withColumnRenamed("word", "a"), "a").join(vocab.withColumnRenamed("word", "b"), "b").select("a", "b", "n"), "cooc-counts")
 
 
 def _counted(toks: DataFrame, vocab: DataFrame, window: int) -> DataFrame:
     """The same by numbers: words get their place in the sorted vocabulary (at most ``BROADCAST_ROWS`` words), tasks count pairs of places."""
-    words = [r["word"] for r in vocab.orderBy("word").collect()]
+    words = vocab.orderBy("word").toPandas()["word"].tolist()
     shared = toks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def batches(frames):
@@ -67,8 +67,10 @@ def _counted(toks: DataFrame, vocab: DataFrame, window: int) -> DataFrame:
             both, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
             return both, np.bincount(at, weights=np.concatenate([n, held]), minlength=len(both)).astype(np.int64)
 
-        def table():
-            return pd.DataFrame({"a": keys // len(place), "b": keys % len(place), "n": n})
+        def tables():
+            for at in range(0, len(keys), RETURNED):
+                key = keys[at : at + RETURNED]
+                yield pd.DataFrame({"a": key // len(place), "b": key % len(place), "n": n[at : at + RETURNED]})
 
         for frame in frames:
             for text in frame["w"]:
@@ -83,12 +85,14 @@ def _counted(toks: DataFrame, vocab: DataFrame, window: int) -> DataFrame:
                     keys, n = merged()
                     fresh, waiting = [], 0
                     if len(keys) >= PAIRS:
-                        yield table()
+                        yield from tables()
                         keys, n = keys[:0], n[:0]
         keys, n = merged()
-        yield table()
+        yield from tables()
 
     found = toks.select("w").mapInPandas(batches, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    with small_batches(toks.sparkSession):  # texts come as lists of words
+        found = saved(found, "cooc-counts")
     names = toks.sparkSession.createDataFrame(pd.DataFrame({"at": np.arange(len(words)), "word": np.array(words, dtype=object)}), "at long, word string")
     first, second = (names.select(F.col("at").alias(c), F.col("word").alias(f"word_{c}")) for c in "ab")
     found = found.join(F.broadcast(first), "a").join(F.broadcast(second), "b")  # BROADCAST_ROWS at most
@@ -98,14 +102,15 @@ def _counted(toks: DataFrame, vocab: DataFrame, window: int) -> DataFrame:
 def ppmi(counts: DataFrame) -> DataFrame:
     """``a, b, v``: the positive entries of the symmetric matrix ln(n_ab N / (n_a n_b)), both ways round.
 
-    A word's ``n_a`` sums its row, in which a word beside itself counts twice."""
+    A word's ``n_a`` sums its row, in which a word beside itself counts twice.  ``counts`` are read twice: ``cooccurrences`` has saved them."""
     other = counts.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
     both = counts.select("a", "b", F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")).alias("n")).unionByName(other)
-    both = saved(both, "cooc-both")
-    per = both.groupBy("a").agg(F.sum("n").alias("na"))
-    total = per.agg(F.sum("na").alias("total"))  # one row
+    words = saved(both.groupBy("a").agg(F.sum("n").alias("na")), "cooc-words")
+    per = sent_if_small(words)
+    of_b = sent_if_small(words.select(F.col("a").alias("b"), F.col("na").alias("nb")))
+    total = words.agg(F.sum("na").alias("total"))  # one row
     v = F.log(F.col("n").cast("double") * F.col("total") / F.col("na") / F.col("nb"))
-    entries = both.join(per, "a").join(per.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").crossJoin(F.broadcast(total))
+    entries = both.join(per, "a").join(of_b, "b").crossJoin(F.broadcast(total))
     return entries.select("a", "b", v.alias("v")).where("v > 0")
 
 

@@ -115,3 +115,13 @@ def test_planted_synonyms_are_neighbours(spark):
 def test_no_words(spark):
     for texts in ([], [None, "", "one"]):
         assert W.train_vectors(frame(spark, texts), dim=4).collect() == []
+
+
+def test_a_task_returns_few_counts_at_once(spark, texts, monkeypatch):
+    """What a task counted leaves in small frames, none of which holds a share of the table; the same counts."""
+    monkeypatch.setattr(W, "RETURNED", 2)
+    monkeypatch.setattr(W, "PAIRS", 3)
+    seen, one = [], W.saved
+    monkeypatch.setattr(W, "saved", lambda df, name: seen.append((name, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or one(df, name))
+    got = {(r.a, r.b): r.n for r in W.cooccurrences(frame(spark, texts), "text", 3, 4).collect()}
+    assert got == counts_of(texts, 3, 4) and ("cooc-counts", "500") in seen
