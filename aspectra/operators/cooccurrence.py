@@ -139,47 +139,64 @@ def _summed(width: int):
 
 
 def _cut(entries: DataFrame) -> DataFrame:
-    """The entries with the cell (``across``, ``down``) that each lies in; saved."""
+    """The matrix as cells (``across``, ``down``), saved: a cell's words (``a``, ``b``, sorted) and, by ``a`` then ``b``,
+    its entries as bytes: the places of both words among them and the value.  Words are sorted once, not for every product."""
     side = math.ceil(math.sqrt(max(1, entries.count()) / CELL_ENTRIES))
-    return saved(entries.select("a", "b", "v", _cell("b", side).alias("across"), _cell("a", side).alias("down"), F.lit(side).alias("side")), "cooc-cells")
+
+    def packed(frame):
+        a, names = pd.factorize(frame["a"], sort=True)
+        b, words = pd.factorize(frame["b"], sort=True)
+        order = np.lexsort((b, a))
+        rows, columns, v = (x[order].astype(kind).tobytes() for x, kind in ((a, np.int32), (b, np.int32), (frame["v"].to_numpy(), np.float64)))
+        return pd.DataFrame({"across": frame["across"].iloc[:1], "down": frame["down"].iloc[:1], "side": [side], "a": [list(names)], "b": [list(words)], "rows": [rows], "columns": [columns], "v": [v]})
+
+    cells = entries.select("a", "b", "v", _cell("b", side).alias("across"), _cell("a", side).alias("down")).groupBy("across", "down")
+    schema = "across int, down int, side int, a array<string>, b array<string>, rows binary, columns binary, v binary"
+    return saved(cells.applyInPandas(packed, schema), "cooc-cells")
 
 
 def _cell(word: str, side):
     return F.pmod(F.xxhash64(word), F.lit(side)).cast("int")
 
 
-def _product(frame: pd.DataFrame, rows_of, width: int) -> pd.DataFrame:
-    """Sums of a cell's entries times the rows of their ``b``, per ``a``; ``rows_of(words)``: those words' rows."""
-    frame = frame.sort_values(["a", "b"])
-    a, names = pd.factorize(frame["a"])
-    b, words = pd.factorize(frame["b"])
-    v, rows, sums = frame["v"].to_numpy(), rows_of(words), np.zeros((len(names), width))
+def _product(cell, known: np.ndarray | None, rows: np.ndarray, width: int) -> pd.DataFrame:
+    """Sums of a cell's entries times the rows of their ``b``, per ``a``; ``known``: which ``b`` have a row (None: all)."""
+    a, b, v = np.frombuffer(cell["rows"], dtype=np.int32), np.frombuffer(cell["columns"], dtype=np.int32), np.frombuffer(cell["v"])
+    names = np.array(cell["a"], dtype=object)
+    if known is not None and not known.all():
+        held = known[b]
+        a, b, v = a[held], b[held], v[held]
+    sums = np.zeros((len(names), width))
     for k in range(0, len(a), MULTIPLIED):
         own = a[k : k + MULTIPLIED]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
         sums[own[starts]] += np.add.reduceat(v[k : k + MULTIPLIED, None] * rows[b[k : k + MULTIPLIED]], starts, axis=0)
-    return pd.DataFrame({"word": names, "part": np.full(len(names), frame["across"].iloc[0], dtype=np.int32), "row": list(sums)})
+    met = np.unique(a)
+    return pd.DataFrame({"word": names[met], "part": np.full(len(met), cell["across"], dtype=np.int32), "row": list(sums[met])})
 
 
 def _times(cells: DataFrame, rows: DataFrame | None, width: int) -> DataFrame:
     """The matrix (``cells`` of ``_cut``) times ``rows`` (``word, row``), or times the random block."""
     schema = "word string, part int, row array<double>"
     if rows is None:
-        parts = cells.groupBy("across", "down").applyInPandas(lambda frame: _product(frame, lambda words: _signs(words, width), width), schema)
+        def drawn(frame):
+            cell = frame.iloc[0]
+            return _product(cell, None, _signs(cell["b"], width), width)
+
+        parts = cells.groupBy("across", "down").applyInPandas(drawn, schema)
     else:
-        def cell(frame, held):
-            known = frame["b"].isin(held["word"])
-            if not known.any():
+        def multiplied(frame, held):
+            if not len(frame) or not len(held):
                 return pd.DataFrame({"word": [], "part": [], "row": []}).astype({"word": object, "part": "int32", "row": object})
-            place = pd.Series(np.arange(len(held)), index=held["word"])
-            matrix = np.stack(held["row"].to_numpy())
-            return _product(frame[known], lambda words: matrix[place[words].to_numpy()], width)
+            cell = frame.iloc[0]
+            at = pd.Index(held["word"]).get_indexer(pd.Index(cell["b"], dtype=object))
+            return _product(cell, at >= 0, np.stack(held["row"].to_numpy())[np.maximum(at, 0)], width)
 
         first = cells.select("side").limit(1).collect()
         side = first[0]["side"] if first else 1
         down = F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("down")
         sent = rows.select("word", "row", _cell("word", side).alias("across"), down)
-        parts = cells.groupBy("across", "down").cogroup(sent.groupBy("across", "down")).applyInPandas(cell, schema)
+        parts = cells.groupBy("across", "down").cogroup(sent.groupBy("across", "down")).applyInPandas(multiplied, schema)
     return parts.repartition("word").sortWithinPartitions("word", "part").mapInPandas(_summed(width), ROWS)
 
 
@@ -228,7 +245,7 @@ def train_vectors(docs: DataFrame, text_col: str = "text", dim: int = 64, window
     width = dim + SPARE
     basis, held = _orthonormal(saved(_times(entries, None, width), "cooc-range"), width)
     if not held:
-        return entries.select(F.col("a").alias("word"), F.array_repeat(F.lit(0.0), dim).alias("vector")).limit(0)
+        return entries.select(F.explode("a").alias("word"), F.array_repeat(F.lit(0.0), dim).alias("vector")).limit(0)
     for _ in range(ROUNDS):
         basis, held = _orthonormal(saved(_times(entries, basis, held), "cooc-range"), held)
     image = saved(_times(entries, basis, held), "cooc-image")

@@ -125,3 +125,13 @@ def test_a_task_returns_few_counts_at_once(spark, texts, monkeypatch):
     monkeypatch.setattr(W, "saved", lambda df, name: seen.append((name, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or one(df, name))
     got = {(r.a, r.b): r.n for r in W.cooccurrences(frame(spark, texts), "text", 3, 4).collect()}
     assert got == counts_of(texts, 3, 4) and ("cooc-counts", "500") in seen
+
+
+def test_words_of_a_cell_are_sorted_once(spark, texts, monkeypatch):
+    """A cell is one row of packed entries; products read no words per entry."""
+    monkeypatch.setattr(W, "CELL_ENTRIES", 12)
+    entries = W.ppmi(W.cooccurrences(frame(spark, texts), "text", 4, 5))
+    cells = W._cut(entries).collect()
+    assert len(cells) == len({(c.across, c.down) for c in cells})
+    got = {(c.a[i], c.b[j]): v for c in cells for i, j, v in zip(np.frombuffer(c.rows, np.int32), np.frombuffer(c.columns, np.int32), np.frombuffer(c.v))}
+    assert got == {(r.a, r.b): r.v for r in entries.collect()}
